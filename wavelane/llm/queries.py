@@ -5,20 +5,45 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wavelane.llm.fingerprint import fingerprints
+from wavelane.llm.language_id import LanguageModel, identify, labelled_texts
 from wavelane.llm.packing import pack
-from wavelane.llm.shared import documents
+from wavelane.llm.quality import assess, fit_field
+from wavelane.llm.shared import documents, fold
 from wavelane.llm.token_counts import count_tokens
+from wavelane.llm.toxicity import fit_classifier, score_texts
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), limit=4096)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_classifier(docs, labels, fold("doc_id", 5) != 0)
+    return score_texts(docs, model, fold("doc_id", 5) == 0)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op3_packing)}
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = LanguageModel.fit(labelled_texts(docs, fold("doc_id", 4) != 2))
+    return identify(docs, model).withColumn("held_out", fold("doc_id", 4) == 2).select("doc_id", "held_out", "lang_pred", "score", "n_bytes", "bits")
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return assess(docs, fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_language_id, op6_quality_rules, op8_fingerprints)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,3 +40,14 @@ def fold(column: str, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
+    """Of each value of ``by`` the rows with the smallest hashes of doc_id, ``most`` at most.
+
+    Only ids are ranked, and each task keeps ``most`` of a value before the shuffle; the ids
+    picked are few by this bound, so they are broadcast to fetch the rest of their rows.
+    """
+    ranked = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
+    ids = rows.select("doc_id", by).withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= most).select("doc_id").distinct()
+    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
