@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Chunks of text whose ids a worker remembers; the memo starts again when it is full.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 1_000_000
 #: Bits of a sequence_id that number the sequences of one partition.
 SEQUENCE_BITS = 40
 
@@ -50,9 +50,13 @@ class ChunkIds(dict):
             self.clear()
             self[""] = b""
             new = list(chunks - {""})
-        # Encoded together, a few thousand to a call, and cut apart by where each token starts.
-        for at in range(0, len(new), 2_000):
-            part = new[at : at + 2_000]
+        # A chunk of ASCII has the ids of its lower-case form, and a stop after a letter is a token of its own.
+        plain = [c.lower() if c.isascii() and "<|" not in c else c for c in new]
+        cores = [c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() and c[-2] < "\u0250" and c[-2] != "İ" else c for c in plain]
+        missing = [c for c in dict.fromkeys([*cores, ".", ","]) if c not in self]
+        # Encoded together, a few hundred to a call, and cut apart by where each token starts.
+        for at in range(0, len(missing), 500):
+            part = missing[at : at + 500]
             lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
@@ -61,6 +65,9 @@ class ChunkIds(dict):
             for c, high in zip(part, cuts, strict=True):
                 self[c] = raw[low:high]
                 low = high
+        for c, form, core in zip(new, plain, cores, strict=True):
+            if c not in self:
+                self[c] = self[core] if form == core else self[core] + self[form[-1]]
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
         """Each text's ids and then ``end_id``."""
