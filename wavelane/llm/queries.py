@@ -9,7 +9,9 @@ from wavelane.llm.fingerprint import fingerprints
 from wavelane.llm.language_id import LanguageModel, identify, labelled_texts
 from wavelane.llm.packing import pack
 from wavelane.llm.quality import assess, fit_field
+from wavelane.llm.sentence_spans import remove_repeats
 from wavelane.llm.shared import documents, fold
+from wavelane.llm.suffix_levels import remove_repeated_bytes
 from wavelane.llm.token_counts import count_tokens
 from wavelane.llm.toxicity import fit_classifier, score_texts
 
@@ -28,6 +30,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
+def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeated_bytes(documents(spark, sf_dir))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = LanguageModel.fit(labelled_texts(docs, fold("doc_id", 4) != 2))
@@ -43,7 +49,11 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op5_language_id, op6_quality_rules, op8_fingerprints)}
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op8_fingerprints, op9_sentence_spans)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}

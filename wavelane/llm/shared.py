@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -33,6 +34,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop shuffle files that no plan refers to any more, before the next large step writes its own."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fold(column: str, n: int) -> Column:
     """The remainder of crc32 of the id as text."""
     return F.crc32(F.col(column).cast("string")) % n
