@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -151,6 +152,21 @@ class Scorer:
         return out
 
 
+def predictions(column, scorer: Scorer) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score and code length of each text of a column."""
+    languages = scorer.model.languages
+    data, offsets = text_bytes(column)
+    letters = np.fromiter((t is not None and _LETTER.search(t) is not None for t in (x.as_py() for x in column)), bool, len(column))
+    names = np.array([*languages, UNKNOWN], object)
+    if not languages:
+        return np.full(len(column), UNKNOWN, object), np.zeros(len(column)), np.zeros(len(column))
+    bits = scorer.code_lengths(data, offsets)
+    best = np.argmin(bits, axis=0)
+    least = bits[best, np.arange(len(column))]
+    score = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=0)
+    return names[np.where(letters, best, len(languages))], np.where(letters, score, 0.0), least
+
+
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """Rows (doc_id, lang_pred, score, n_bytes, bits), one for each row of ``docs``.
 
@@ -163,18 +179,31 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(held.value)
-        names = np.array([*held.value.languages, UNKNOWN], object)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            letters = np.fromiter((t is not None and _LETTER.search(t) is not None for t in (x.as_py() for x in batch.column(1))), bool, batch.num_rows)
+            lang, score, bits = predictions(batch.column(1), scorer)
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score), size, pa.array(bits)], ["doc_id", "lang_pred", "score", "n_bytes", "bits"])
+
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_bytes long, bits double")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """The rows of ``docs`` whose text has a language, with all their columns; the text is cast to a string.
+
+    A model that has learned no language tells nothing and keeps every row with a letter.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    rows = docs.withColumn("text", docs["text"].cast("string"))
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(held.value)
+        for batch in batches:
+            column = batch.column(at)
             if held.value.languages:
-                bits = scorer.code_lengths(data, offsets)
-                best = np.argmin(bits, axis=0)
-                least = bits[best, np.arange(batch.num_rows)]
-                score = 1 / np.exp2(np.maximum(least - bits, -1000)).sum(axis=0)
+                keep = predictions(column, scorer)[0] != UNKNOWN
             else:
-                best, least, score, letters = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), np.zeros(batch.num_rows), letters & False
-            lang = names[np.where(letters, best, len(names) - 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(np.where(letters, score, 0.0)), pa.array(np.diff(offsets)), pa.array(least)], ["doc_id", "lang_pred", "score", "n_bytes", "bits"])
+                keep = [t is not None and _LETTER.search(t) is not None for t in column.to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, lang_pred string, score double, n_bytes long, bits double")
+    return rows.mapInArrow(run, rows.schema)

@@ -226,6 +226,19 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_quality: int = SAMPLE_PER_
     return LineField.fit(x, line_at, np.array([r.quality for r in rows]))
 
 
+def verdicts(column, field: LineField, content_share: float) -> list[np.ndarray]:
+    """Base counts, base_failed, kept, content_share, n_lines and n_content_lines of a text column."""
+    data, offsets = text_bytes(column)
+    parts: list[list[np.ndarray]] = []
+    for low, high in row_ranges(offsets):
+        base, x, words, line_at = measure(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
+        content = field.decode(x, line_at)
+        share = sum_by_row(words * content, line_at) / np.maximum(base["n_words"], 1)
+        failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
+        parts.append([*(base[k] for k in BASE), failed, ~failed & (share >= content_share), share, np.diff(line_at), sum_by_row(content, line_at)])
+    return [np.concatenate(c) for c in zip(*parts, strict=True)]
+
+
 def assess(docs: DataFrame, field: LineField, content_share: float = CONTENT_SHARE) -> DataFrame:
     """Rows (doc_id, base counts, base_failed, kept, content_share, n_lines, n_content_lines), one for each row of ``docs``.
 
@@ -233,22 +246,28 @@ def assess(docs: DataFrame, field: LineField, content_share: float = CONTENT_SHA
     columns are ignored; an empty table gives none. One pass over the scan, without a shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(field)  # a few numbers
+    types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
+    names = ["doc_id", *BASE, "base_failed", "kept", "content_share", "n_lines", "n_content_lines"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            parts: list[list[np.ndarray]] = []
-            for low, high in row_ranges(offsets):
-                base, x, words, line_at = measure(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low])
-                content = held.value.decode(x, line_at)
-                share = sum_by_row(words * content, line_at) / np.maximum(base["n_words"], 1)
-                failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
-                parts.append([*(base[k] for k in BASE), failed, ~failed & (share >= content_share), share, np.diff(line_at), sum_by_row(content, line_at)])
-            columns = [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else []
-            if columns:
-                types = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.float64()] + [pa.int64()] * 2
-                names = ["doc_id", *BASE, "base_failed", "kept", "content_share", "n_lines", "n_content_lines"]
+            if batch.num_rows:
+                columns = verdicts(batch.column(1), held.value, content_share)
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names)
 
     schema = "doc_id long, " + ", ".join(f"{k} long" for k in BASE) + ", base_failed boolean, kept boolean, content_share double, n_lines long, n_content_lines long"
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, schema)
+
+
+def keep_content(docs: DataFrame, field: LineField, content_share: float = CONTENT_SHARE) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns; the text is cast to a string."""
+    held = docs.sparkSession.sparkContext.broadcast(field)
+    rows = docs.withColumn("text", docs["text"].cast("string"))
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(verdicts(batch.column(at), held.value, content_share)[6]))
+
+    return rows.mapInArrow(run, rows.schema)

@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from wavelane.llm.fingerprint import fingerprints
 from wavelane.llm.language_id import LanguageModel, identify, labelled_texts
+from wavelane.llm.near_dup import near_duplicates
 from wavelane.llm.packing import pack
+from wavelane.llm.piece_codec import round_trips
 from wavelane.llm.quality import assess, fit_field
 from wavelane.llm.sentence_spans import remove_repeats
 from wavelane.llm.shared import documents, fold
@@ -45,6 +47,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assess(docs, fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trips(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"), rate=0.1, seed=17)
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(documents(spark, sf_dir))
 
@@ -53,7 +59,11 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op8_fingerprints, op9_sentence_spans)}
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op7_merge_dropout, op8_fingerprints, op9_sentence_spans, op10_near_dup)}
 
 #: DuckDB SQL for the queries that SQL can express.
 ORACLES: dict[str, str] = {}
