@@ -23,20 +23,36 @@ KEYS, MARKS, REQUESTS, PARTS, PART_REQUESTS, WINDOWS, TEXTS = range(7)
 FLUSH_BYTES = 16 << 20
 
 
-def pack_arrays(arrays: list[np.ndarray]) -> bytes:
-    """Arrays of one length as bytes."""
-    head = " ".join(a.dtype.str for a in arrays).encode()
-    return len(head).to_bytes(2, "little") + head + zstandard.ZstdCompressor(level=1).compress(b"".join(np.ascontiguousarray(a).tobytes() for a in arrays))
+def pack_arrays(arrays: list[np.ndarray], widths: dict[int, int] | None = None) -> bytes:
+    """Arrays of one length as bytes. Integers are stored as differences, byte by byte; of unsigned ones, which are
+    hashes, the ``widths`` lowest bytes are."""
+    kinds, parts = [], []
+    for k, a in enumerate(arrays):
+        if a.dtype.kind == "i":
+            kinds.append(a.dtype.str[1:])
+            parts.append(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).view(np.uint8).reshape(len(a), -1).T.tobytes())
+        else:
+            width = (widths or {}).get(k, 8)
+            kinds.append(f"u{width}")
+            parts.append(np.ascontiguousarray(a).view(np.uint8).reshape(len(a), 8)[:, :width].tobytes())
+    head = " ".join(kinds).encode()
+    return len(head).to_bytes(2, "little") + head + len(arrays[0]).to_bytes(4, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
 
 
 def unpack_arrays(blob: bytes) -> list[np.ndarray]:
     size = int.from_bytes(blob[:2], "little")
-    kinds = [np.dtype(k) for k in blob[2 : 2 + size].decode().split()]
-    raw = zstandard.ZstdDecompressor().decompress(blob[2 + size :])
-    n, out, at = len(raw) // sum(k.itemsize for k in kinds), [], 0
-    for k in kinds:
-        out.append(np.frombuffer(raw, k, n, at))
-        at += n * k.itemsize
+    n = int.from_bytes(blob[2 + size : 6 + size], "little")
+    raw, out, at = zstandard.ZstdDecompressor().decompress(blob[6 + size :]), [], 0
+    for kind in blob[2 : 2 + size].decode().split():
+        width = int(kind[1:])
+        own = np.frombuffer(raw, np.uint8, n * width, at)
+        at += n * width
+        if kind[0] == "i":
+            out.append(np.cumsum(np.ascontiguousarray(own.reshape(width, n).T).view(f"<i{width}")[:, 0], dtype=f"<i{width}"))
+        else:
+            full = np.zeros((n, 8), np.uint8)
+            full[:, :width] = own.reshape(n, width)
+            out.append(full.view(U64)[:, 0])
     return out
 
 
@@ -53,6 +69,12 @@ def unpack_rows(blob: bytes) -> Iterator[pa.RecordBatch]:
         yield from reader
 
 
+def by_place(arrays: list[np.ndarray], doc: int = 1, start: int = 2) -> list[np.ndarray]:
+    """Entries in order of their places, in which these take least room."""
+    order = np.lexsort((arrays[start], arrays[doc]))
+    return [a[order] for a in arrays]
+
+
 def doc_bucket(doc: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.astype(np.int64).view(U64) + U64(0x51ED2701)) % U64(n)).astype(np.int32)
 
@@ -74,7 +96,7 @@ class Blobs:
         self.rows.append((kind, bucket, blob))
         self.size += len(blob)
 
-    def deal(self, kind: int, bucket: np.ndarray, arrays: list[np.ndarray]) -> None:
+    def deal(self, kind: int, bucket: np.ndarray, arrays: list[np.ndarray], widths: dict[int, int] | None = None) -> None:
         """Puts each bucket's part of the arrays."""
         order = np.argsort(bucket, kind="stable")
         sorted_ = bucket[order]
@@ -82,7 +104,7 @@ class Blobs:
         for low, high in zip([0, *edges.tolist()], [*edges.tolist(), len(order)], strict=True):
             if high > low:
                 own = order[low:high]
-                self.put(kind, int(sorted_[low]), pack_arrays([a[own] for a in arrays]))
+                self.put(kind, int(sorted_[low]), pack_arrays([a[own] for a in arrays], widths))
 
     def take(self, least: int = 4 << 20) -> Iterator[pa.RecordBatch]:
         if self.rows and self.size >= least:
@@ -208,7 +230,20 @@ class Levels:
         self.out.append((MARKS, late))
 
     def add(self, batch: list[np.ndarray]) -> None:
-        """``batch``: sorted by distinct keys."""
+        """A batch in any order; entries with equal keys count one after the other."""
+        order = np.argsort(batch[0], kind="stable")
+        batch = [a[order] for a in batch]
+        first = np.ones(len(order), bool)
+        first[1:] = batch[0][1:] != batch[0][:-1]
+        if not first.all():
+            rest = [a[~first] for a in batch]
+            batch = [a[first] for a in batch]
+            self._add(batch)
+            self.add(rest)
+        else:
+            self._add(batch)
+
+    def _add(self, batch: list[np.ndarray]) -> None:
         for level in self.levels:
             at = np.searchsorted(level[0], batch[0])
             hit = at < len(level[0])

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Blobs, Levels, Spans, blob_rows, by_bucket, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
+from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import partitions
 from wavelane.llm.textnum import BYTE_KEYS, U64, _power_tables, find_words, hash_spans, mix, row_ranges, text_bytes
 
@@ -76,6 +76,7 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, n: i
             nonlocal parts, size
             if parts:
                 firsts, others = first_of_each([np.concatenate(x) for x in zip(*parts, strict=True)])
+                firsts = by_place(firsts)
                 out.deal(KEYS, key_bucket(firsts[0], n), firsts)
                 doc, start, end = joined(*others[1:])
                 out.deal(MARKS, doc_bucket(doc, n), [doc, start, end])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
@@ -22,22 +23,37 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read back.
+def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
+    """``df`` written as a table in the shared folder, in folders by a column if asked for, and read back.
 
     Cuts the lineage: what is read later comes from shared storage, not from an
     executor that may be lost.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.option("compression", "zstd")
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(df.columns)
+    out.stored_at = path
+    return out
+
+
+def discard(table: DataFrame, part: str) -> None:
+    """Deletes a folder of a stored table that nothing reads any more."""
+    spark = table.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.stored_at}/{part}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
-    """Lets Spark drop shuffle files that no plan refers to any more, before the next large step writes its own."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Lets Spark drop the shuffle files of plans that are done, before the next large step writes its own.
+
+    Spark deletes them once the driver's garbage collection finds that no plan refers to them.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def fold(column: str, n: int) -> Column:

@@ -11,7 +11,7 @@ whose whole fingerprint came earlier is repeated, all of it. Buckets of the anch
 hold the index family: each new batch is scanned against the sorted levels, and levels of
 about equal size merge. Where an anchor has runs with one fingerprint only, the scan settles
 all of them. Where runs differ, matches end inside of them. Those runs are cut into parts of
-up to 16 windows at equal distances from the anchor; a part's key is the hash of the bytes that
+up to 12 windows at equal distances from the anchor; a part's key is the hash of the bytes that
 all its windows share, so that parts which can't have a window in common don't meet. Parts go
 through a second family of levels, and only windows of parts that share a key and yet differ
 are compared one by one, in a third.
@@ -28,14 +28,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, PART_REQUESTS, PARTS, REQUESTS, WINDOWS, Blobs, Levels, Spans, blob_rows, by_bucket, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
-from wavelane.llm.shared import partitions, release, stored
+from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, PART_REQUESTS, PARTS, REQUESTS, WINDOWS, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
+from wavelane.llm.shared import discard, partitions, release, stored
 from wavelane.llm.textnum import U64, mix, row_ranges, text_bytes
 
 LENGTH, SEED = 100, 36
 _RUN = LENGTH - SEED
 #: Windows of a part, and bytes that all windows of a part share.
-PART = 16
+PART = 12
 CORE = LENGTH - PART + 1
 
 
@@ -131,7 +131,7 @@ def part_entries(data: np.ndarray, doc: np.ndarray, base: np.ndarray, first: np.
     at = np.concatenate([at[whole], place[cut]])
     low = np.concatenate([first[whole], p[cut]])
     high = np.concatenate([last[whole], p[np.append(cut[1:], len(p)) - 1] if len(cut) else p])
-    # Parts of 16 by the distance from window to anchor.
+    # Parts by the distance from window to anchor.
     nearest, farthest = (at - high) // PART, (at - low) // PART
     n = farthest - nearest + 1
     i = np.repeat(np.arange(len(at)), n)
@@ -241,7 +241,7 @@ def _index_text(rows: DataFrame, n: int) -> DataFrame:
             anchor, print_, doc, first, last, base, tied, slice_ = (np.concatenate(x) for x in zip(*runs, strict=True))
             start = (first - base).astype(np.int32)
             sent, late, differ = settle([anchor, doc, start, start + (last - first).astype(np.int32) + np.int32(LENGTH), print_], tied)
-            out.deal(KEYS, key_bucket(sent[0], n), sent)
+            send_keys(out, KEYS, sent, n)
             marks.add(late)
             entries = []
             differ = differ[np.argsort(slice_[differ], kind="stable")]
@@ -274,12 +274,29 @@ def _index_text(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, BLOBS)
 
 
+def send_keys(out: Blobs, kind: int, sent: list[np.ndarray], n: int) -> None:
+    """Sends entries by bucket of the key, with 40 bits of it and 48 of the fingerprint.
+
+    Keys that only seem equal cost a request; fingerprints are compared under one key only.
+    """
+    sent = by_place(sent)
+    out.deal(kind, key_bucket(sent[0], n), [sent[0] & U64(2**40 - 1), *sent[1:4], sent[4] & U64(2**48 - 1), sent[5]], {0: 5, 4: 6})
+
+
+def send_windows(out: Blobs, marks: Marks, entries: list[list[np.ndarray]], n: int) -> None:
+    """Settles windows within the task and sends the first of each by its hash; their ends follow from their starts."""
+    firsts, others = first_of_each([np.concatenate(x) for x in zip(*entries, strict=True)])
+    marks.add(others[1:])
+    firsts = by_place(firsts[:3])
+    out.deal(WINDOWS, key_bucket(firsts[0], n), firsts)
+
+
 def send_parts(out: Blobs, marks: Marks, entries: list[list[np.ndarray]], n: int) -> None:
     """Settles parts within the task and sends them by key; asks for the windows of those that differ."""
     if entries:
         whole = [np.concatenate(x) for x in zip(*entries, strict=True)]
         sent, late, differ = settle(whole)
-        out.deal(PARTS, key_bucket(sent[0], n), sent)
+        send_keys(out, PARTS, sent, n)
         marks.add(late)
         asked = [x[differ] for x in whole[1:4]]
         out.deal(PART_REQUESTS, doc_bucket(asked[0], n), asked)
@@ -295,7 +312,8 @@ def _scan_levels(blobs: DataFrame, n: int, keys: int, requests: int) -> DataFram
             if kind != keys:
                 out.put(kind, bucket, blob)
             else:
-                levels.add(unpack_arrays(blob))
+                entries = unpack_arrays(blob)
+                levels.add([*entries, entries[2] + np.int32(LENGTH)] if kind == WINDOWS else entries)
                 for what, arrays in levels.take():
                     if what == MARKS:
                         marks.add(arrays)
@@ -322,9 +340,7 @@ def _answer(requests: DataFrame, texts: DataFrame, n: int) -> DataFrame:
                     if what == REQUESTS:
                         send_parts(out, marks, entries, n)
                     else:
-                        firsts, others = first_of_each([np.concatenate(x) for x in zip(*entries, strict=True)])
-                        marks.add(others[1:])
-                        out.deal(WINDOWS, key_bucket(firsts[0], n), firsts)
+                        send_windows(out, marks, entries, n)
                     found[what] = []
 
         for kind, _, blob in blob_rows(batches):
@@ -370,10 +386,11 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = False) -> DataFrame
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     kind = F.col("kind")
     texts = text_blobs(rows, n)
-    runs = stored(_scan_levels(_index_text(rows, n), n, KEYS, REQUESTS), "suffix-runs")
+    runs = stored(_scan_levels(_index_text(rows, n), n, KEYS, REQUESTS), "suffix-runs", by="kind")
     release(docs.sparkSession)
     answered = _answer(runs.where(kind == REQUESTS), texts, n)
-    parts = stored(_scan_levels(runs.where(kind == PARTS).unionByName(answered), n, PARTS, PART_REQUESTS), "suffix-parts")
+    parts = stored(_scan_levels(runs.where(kind == PARTS).unionByName(answered), n, PARTS, PART_REQUESTS), "suffix-parts", by="kind")
+    discard(runs, f"kind={PARTS}")
     release(docs.sparkSession)
     both = runs.unionByName(parts)
     windows = stored(_scan_levels(_answer(both.where(kind == PART_REQUESTS), texts, n), n, WINDOWS, WINDOWS), "suffix-windows")
