@@ -4,7 +4,459 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from wavelane.functions import arrays as A, estimators as E, signal as S
+from wavelane.operators import align, folds, labels, metrics, segments, windows as W
+from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, table, windows64
+from wavelane.sources.readers import ecg_epoch, participant_id
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+P = ["participant"]
+GAP_A, GAP_B, WIDTH = 10 * HOUR, 48 * HOUR, 48 * HOUR
+LENGTH, STRIDE, SPAN = 8, 2, (6 * HOUR, 60 * HOUR)
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, and its SQL if it has any."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _runs(role: str, gap: int, name: str) -> str:
+    """SQL for gap-free runs of one role: common tables <name>_rows (with run) and <name> (segments)."""
+    where = f" WHERE role = '{role}'" if role else ""
+    return f"""{name}_d AS (SELECT *, t - lag(t) OVER (PARTITION BY participant ORDER BY t, ord) AS dt FROM samples{where}),
+{name}_rows AS (SELECT *, sum(CASE WHEN dt > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY t, ord ROWS UNBOUNDED PRECEDING) AS run FROM {name}_d),
+{name} AS (SELECT participant, CAST(run AS BIGINT) AS segment, min(t) AS s, max(t) AS e, count(*) AS n FROM {name}_rows GROUP BY participant, run)"""
+
+
+def _role(spark, sf_dir, role):
+    return samples(spark, sf_dir).where(F.col("role") == role)
+
+
+def _segments(spark, sf_dir, role, gap=GAP_B):
+    return segments.gap_segments(_role(spark, sf_dir, role), P, "t", "ord", gap)
+
+
+# -- segments and intervals ------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {SAMPLES_SQL}, {_runs('', GAP_A, 'g')} SELECT participant, segment, s AS start_us, e AS end_us, CAST(n AS BIGINT) AS n FROM g")
+def gap_segments(spark, sf_dir):
+    out = segments.gap_segments(samples(spark, sf_dir), P, "t", "ord", GAP_A)
+    return out.select("participant", "segment", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n")
+
+
+@query(ORACLES["gap_segments"])
+def gap_segments_bucketed(spark, sf_dir):
+    """As gap_segments, in two steps that spread a large key over buckets of time."""
+    out = segments.gap_segments(samples(spark, sf_dir), P, "t", "ord", GAP_A, bucket=7 * 24 * HOUR)
+    return out.select("participant", "segment", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n")
+
+
+_NESTED = f"""{_runs("click", GAP_B, "b")},
+inside AS (SELECT a.*, b.segment AS b_segment, b.s AS b_start, b.e AS b_end, count(*) OVER (PARTITION BY a.participant, b.segment) AS k FROM samples a JOIN b ON a.participant = b.participant AND a.t BETWEEN b.s AND b.e WHERE a.role = 'view'),
+nd AS (SELECT *, t - lag(t) OVER (PARTITION BY participant, b_segment ORDER BY t, ord) AS dt FROM inside WHERE k >= 2),
+nested AS (SELECT *, sum(CASE WHEN dt > {GAP_B} THEN 1 ELSE 0 END) OVER (PARTITION BY participant, b_segment ORDER BY t, ord ROWS UNBOUNDED PRECEDING) AS run FROM nd)"""
+
+
+@query(f"WITH {SAMPLES_SQL}, {_NESTED} SELECT participant, b_segment, b_start, b_end, CAST(run AS BIGINT) AS run, min(t) AS start_us, max(t) AS end_us, CAST(count(*) AS BIGINT) AS n FROM nested GROUP BY ALL")
+def region_segments(spark, sf_dir):
+    out = segments.region_segments(_role(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P, "t", "ord", GAP_B, WIDTH)
+    return out.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+_OVERLAP = f"""{_runs("view", GAP_B, "a")}, {_runs("click", GAP_B, "b")},
+regions AS (SELECT a.participant, a.segment AS a_segment, b.segment AS b_segment, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM a JOIN b ON a.participant = b.participant AND a.s <= b.e AND b.s <= a.e WHERE least(a.e, b.e) > greatest(a.s, b.s))"""
+
+
+@query(f"WITH {SAMPLES_SQL}, {_OVERLAP} SELECT participant, a_segment, b_segment, s AS start_us, e AS end_us FROM regions")
+def overlap_regions(spark, sf_dir):
+    out = segments.overlaps(_segments(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P)
+    return out.withColumnsRenamed({"start": "start_us", "end": "end_us"})
+
+
+@query(f"""WITH {SAMPLES_SQL}, i AS (SELECT participant, t AS a, t + CAST(round(x * 1000) AS BIGINT) * 1000000 AS b FROM samples WHERE round(x * 1000) > 0),
+r AS (SELECT *, max(b) OVER (PARTITION BY participant ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
+g AS (SELECT *, sum(CASE WHEN reach IS NULL OR a > reach THEN 1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS k FROM r),
+m AS (SELECT participant, k, min(a) AS a, max(b) AS b FROM g GROUP BY participant, k) SELECT participant, CAST(sum(b - a) AS BIGINT) AS covered_us, CAST(count(*) AS BIGINT) AS n_merged FROM m GROUP BY participant""")
+def coverage_seconds(spark, sf_dir):
+    i = samples(spark, sf_dir).withColumn("b", F.col("t") + F.round(F.col("x") * 1000).cast("long") * 1_000_000)
+    return segments.coverage(i, P, "t", "b").select("participant", F.col("covered").cast("long").alias("covered_us"), "n_merged")
+
+
+# -- windows ---------------------------------------------------------------------------------------------------------
+
+_W3 = f"""{_runs("", GAP_A, "g")},
+o AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY participant, run) AS k, lead(t, {LENGTH - 1}) OVER w AS t1 FROM g_rows WINDOW w AS (PARTITION BY participant, run ORDER BY t, ord)),
+w3 AS (SELECT participant, CAST(run AS BIGINT) AS run, CAST(i AS BIGINT) AS i, t AS t0, t1 FROM o WHERE i % {STRIDE} = 0 AND i + {LENGTH} <= k AND t1 - t BETWEEN {SPAN[0]} AND {SPAN[1]})"""
+
+
+def _w3(spark, sf_dir):
+    return W.gap_restart_windows(samples(spark, sf_dir), P, "t", "ord", GAP_A, LENGTH, STRIDE, SPAN)
+
+
+@query(f"WITH {SAMPLES_SQL}, {_W3} SELECT * FROM w3")
+def gap_restart_windows(spark, sf_dir):
+    return _w3(spark, sf_dir)
+
+
+@query(f"WITH {SAMPLES_SQL}, {_W3} SELECT w.participant, w.t0, w.t1, CAST(count(s.t) AS BIGINT) AS n_slice FROM w3 w LEFT JOIN samples s ON s.participant = w.participant AND s.role = 'click' AND s.t BETWEEN w.t0 AND w.t1 GROUP BY ALL")
+def interval_slice_counts(spark, sf_dir):
+    return W.slice_counts(_w3(spark, sf_dir).select("participant", "t0", "t1"), _role(spark, sf_dir, "click"), P, "t", WIDTH, ["participant", "t0", "t1"])
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_W3}, s AS (SELECT w.participant, w.t0, w.t1, list(s.x ORDER BY s.t, s.ord) AS x FROM w3 w JOIN samples s ON s.participant = w.participant AND s.role = 'click' AND s.t BETWEEN w.t0 AND w.t1 GROUP BY ALL)
+SELECT participant, t0, t1, CAST(len(x) AS BIGINT) AS valid_len, CASE WHEN len(x) <= 3 THEN 3 END AS padded_len, CASE WHEN len(x) <= 3 THEN round(x[1], 6) END AS first_x, CASE WHEN len(x) <= 3 THEN round(CASE WHEN len(x) = 3 THEN x[3] ELSE 0 END, 6) END AS last_x, len(x) > 3 AS rejected FROM s""")
+def padded_slices(spark, sf_dir):
+    rows = W.slice_arrays(_w3(spark, sf_dir), _role(spark, sf_dir, "click"), P, "t", "ord", "x", WIDTH, ["participant", "t0", "t1"])
+    rows = rows.withColumn("p", W.padded(F.col("slice"), 3))
+    return rows.select("participant", "t0", "t1", F.size("slice").cast("long").alias("valid_len"), F.when(F.col("p").isNotNull(), F.size("p")).alias("padded_len"), F.round(F.element_at("p", 1), 6).alias("first_x"), F.round(F.element_at("p", -1), 6).alias("last_x"), F.col("p").isNull().alias("rejected"))
+
+
+L4, S4, SPAN4 = 3, 1, (HOUR, 96 * HOUR)
+_W4 = f"""{_NESTED}, o4 AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY participant, b_segment, run) AS kk, lead(t, {L4 - 1}) OVER w AS t1 FROM nested WINDOW w AS (PARTITION BY participant, b_segment, run ORDER BY t, ord)),
+w4 AS (SELECT participant, b_segment, CAST(run AS BIGINT) AS run, CAST(i AS BIGINT) AS i, t AS t0, t1 FROM o4 WHERE i % {S4} = 0 AND i + {L4} <= kk AND t1 - t BETWEEN {SPAN4[0]} AND {SPAN4[1]})"""
+
+
+def _w4(spark, sf_dir):
+    return W.continuous_windows(_role(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P, "t", "ord", GAP_B, L4, S4, SPAN4, WIDTH)
+
+
+@query(f"WITH {SAMPLES_SQL}, {_W4} SELECT * FROM w4")
+def continuous_windows(spark, sf_dir):
+    return _w4(spark, sf_dir)
+
+
+_REGION_W = f"""regions_n AS (SELECT a.participant, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM v a JOIN b ON a.participant = b.participant AND a.s <= b.e AND b.s <= a.e WHERE least(a.e, b.e) > greatest(a.s, b.s)),
+ri AS (SELECT x.*, r.s AS region FROM samples x JOIN regions_n r ON x.participant = r.participant AND x.t BETWEEN r.s AND r.e WHERE x.role = 'view'),
+rd AS (SELECT *, t - lag(t) OVER (PARTITION BY participant, region ORDER BY t, ord) AS dt FROM ri),
+rr AS (SELECT *, sum(CASE WHEN dt > {GAP_B} THEN 1 ELSE 0 END) OVER (PARTITION BY participant, region ORDER BY t, ord ROWS UNBOUNDED PRECEDING) AS run FROM rd),
+ro AS (SELECT *, row_number() OVER w - 1 AS i, lead(t, {L4 - 1}) OVER w AS t1 FROM rr WINDOW w AS (PARTITION BY participant, region, run ORDER BY t, ord)),
+w5 AS (SELECT participant, t AS t0, t1 FROM ro WHERE i % {S4} = 0 AND t1 IS NOT NULL AND t1 - t BETWEEN {SPAN4[0]} AND {SPAN4[1]})"""
+
+
+@query(f"WITH {SAMPLES_SQL}, {_W4}, {_runs('view', GAP_B, 'v')}, {_REGION_W}, long4 AS (SELECT participant, t0, t1 FROM w4 WHERE t1 - t0 >= {60 * HOUR}) SELECT participant, t0, t1, false AS fallback FROM long4 UNION ALL SELECT participant, t0, t1, true FROM w5 WHERE participant NOT IN (SELECT participant FROM long4)")
+def windows_with_fallback(spark, sf_dir):
+    """Long windows where both signals run on; for participants without any, windows of the overlaps."""
+    first = _w4(spark, sf_dir).where(F.col("t1") - F.col("t0") >= 60 * HOUR).select("participant", "t0", "t1")
+    regions = segments.overlaps(_segments(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P).select("participant", F.col("start").alias("region"), "start", "end")
+    second = W.region_windows(_role(spark, sf_dir, "view"), regions, P, "t", "ord", GAP_B, L4, S4, SPAN4, WIDTH).select("participant", "t0", "t1")
+    return W.with_fallback(first, second, P)
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_runs("", GAP_A, "g")}, o AS (SELECT *, row_number() OVER (PARTITION BY participant, run ORDER BY t, ord) - 1 AS i, count(*) OVER (PARTITION BY participant, run) AS k FROM g_rows),
+s AS (SELECT a.participant, a.run, a.i, a.t AS t0, count(*) AS n, max(b.t) AS t1, sum(b.x * (b.i - a.i + 1)) AS dot, arg_min(b.x, b.i) AS first_x, arg_max(b.x, b.i) AS last_x FROM o a JOIN o b ON a.participant = b.participant AND a.run = b.run AND b.i BETWEEN a.i AND a.i + {LENGTH - 1} WHERE a.i % {STRIDE} = 0 AND a.i + {LENGTH} <= a.k GROUP BY ALL)
+SELECT participant, CAST(run AS BIGINT) AS run, CAST(i AS BIGINT) AS i, t0, t1, CAST(n AS BIGINT) AS n, round(first_x, 6) AS first_x, round(last_x, 6) AS last_x, round(dot, 4) AS dot FROM s""")
+def window_arrays(spark, sf_dir):
+    rows = segments.with_runs(samples(spark, sf_dir), P, "t", "ord", GAP_A)
+    w = W.window_arrays(rows, ["participant", "run"], "t", "ord", ["x"], LENGTH, STRIDE)
+    dot = F.aggregate(F.transform("x_window", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return w.select("participant", "run", F.col("i").cast("long").alias("i"), "t0", "t1", F.size("x_window").cast("long").alias("n"), F.round(F.element_at("x_window", 1), 6).alias("first_x"), F.round(F.element_at("x_window", -1), 6).alias("last_x"), F.round(dot, 4).alias("dot"))
+
+
+@query("""WITH s AS (SELECT vec_id, unnest([0, 16, 32, 40]) AS p, embedding FROM embeddings WHERE len(embedding) = 64) SELECT vec_id, CAST(p AS INT) AS start, round(CAST(embedding[p + 1] AS DOUBLE), 6) AS first_x, round(CAST(embedding[p + 24] AS DOUBLE), 6) AS last_x FROM s""")
+def sub_windows(spark, sf_dir):
+    """Windows of 24 at stride 16 inside each window of 64, and one at the tail."""
+    rows = windows64(spark, sf_dir).select("vec_id", F.posexplode(W.sub_windows(F.col("w"), 24, 16)).alias("k", "s"))
+    return rows.select("vec_id", F.when(F.col("k") < 3, F.col("k") * 16).otherwise(40).alias("start"), F.round(F.element_at("s", 1), 6).alias("first_x"), F.round(F.element_at("s", -1), 6).alias("last_x"))
+
+
+@query("SELECT vec_id, CAST(k AS INT) AS k, round(list_sum(CAST(embedding[k * 10 + 1 : k * 10 + 20] AS DOUBLE[])), 6) AS total FROM (SELECT vec_id, embedding, unnest(range(0, 5)) AS k FROM embeddings WHERE len(embedding) = 64)")
+def sliding_windows(spark, sf_dir):
+    rows = windows64(spark, sf_dir).select("vec_id", F.posexplode(W.sliding(F.col("w"), 20, 10)).alias("k", "s"))
+    return rows.select("vec_id", "k", F.round(F.aggregate("s", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+# -- alignment -------------------------------------------------------------------------------------------------------
+
+_DEVICE_SQL = "CASE role " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in DEVICE_OF.items()) + " END"
+_RANK_SQL = "CASE device " + " ".join(f"WHEN '{d}' THEN {k}" for k, d in enumerate(DEVICES, 1)) + " END"
+TOLERANCE = 24 * HOUR
+_DEV = f"""dev AS (SELECT participant, {_DEVICE_SQL} AS device, ord, t FROM samples WHERE {_DEVICE_SQL} IS NOT NULL),
+counts AS (SELECT participant, device, count(*) AS n, {_RANK_SQL} AS rank FROM dev GROUP BY ALL),
+full_ AS (SELECT participant FROM counts GROUP BY participant HAVING count(*) = 4),
+base AS (SELECT participant, arg_min(device, n * 10 + rank) AS base, min(n) AS n_windows FROM counts WHERE participant IN (SELECT participant FROM full_) GROUP BY participant)"""
+
+
+def _devices(spark, sf_dir):
+    role = F.col("role")
+    device = F.coalesce(*(F.when(role == k, v) for k, v in DEVICE_OF.items()))
+    return samples(spark, sf_dir).withColumn("device", device).where(F.col("device").isNotNull())
+
+
+@query(f"WITH {SAMPLES_SQL}, {_DEV} SELECT participant FROM full_")
+def complete_participants(spark, sf_dir):
+    return align.complete_participants(_devices(spark, sf_dir), "participant", "device", DEVICES)
+
+
+@query(f"WITH {SAMPLES_SQL}, {_DEV} SELECT participant, base, CAST(n_windows AS BIGINT) AS n_windows FROM base")
+def base_device(spark, sf_dir):
+    return align.base_device(_devices(spark, sf_dir), "participant", "device", DEVICES)
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_DEV}, l AS (SELECT d.participant, b.base, d.ord AS base_ord, d.t AS t0 FROM dev d JOIN base b ON d.participant = b.participant AND d.device = b.base),
+n AS (SELECT l.*, d.device, d.ord, row_number() OVER (PARTITION BY l.participant, l.base_ord, d.device ORDER BY abs(d.t - l.t0), d.t, d.ord) AS r FROM l JOIN dev d ON d.participant = l.participant AND abs(d.t - l.t0) <= {TOLERANCE})
+SELECT participant, base, base_ord, t0, {", ".join(f"max(CASE WHEN device = '{d}' THEN ord END) AS {d}_ord" for d in DEVICES)} FROM n WHERE r = 1 GROUP BY ALL HAVING count(*) = 4""")
+def nearest_tolerance_align(spark, sf_dir):
+    return align.nearest_align(_devices(spark, sf_dir), "participant", "device", "t", "ord", DEVICES, TOLERANCE)
+
+
+_KEYED = """k AS (SELECT participant, role, ord, CAST(round_even(t / 3600000000.0 / 12, 0) AS BIGINT) AS k0, x FROM samples),
+ref AS (SELECT participant, ord AS ref_ord, k0, x FROM k WHERE role = 'view'), src AS (SELECT participant, k0, max(ord) AS src_ord, arg_max(x, ord) AS src_x FROM k WHERE role = 'click' GROUP BY ALL)"""
+
+
+def _half_days(spark, sf_dir, role):
+    half = F.col("t") / F.lit(3600000000.0) / 12
+    return _role(spark, sf_dir, role).select("participant", "ord", half.alias("t0"), half.alias("t1"), "x")
+
+
+@query(f"WITH {SAMPLES_SQL}, {_KEYED} SELECT r.participant, r.k0 AS t0_key, r.ref_ord, s.src_ord, round(s.src_x, 6) AS x, s.src_ord IS NULL AS missing FROM ref r LEFT JOIN src s ON r.participant = s.participant AND r.k0 = s.k0")
+def keyed_realign(spark, sf_dir):
+    out = align.keyed_realign(_half_days(spark, sf_dir, "view"), _half_days(spark, sf_dir, "click"), P, "ord")
+    return out.select("participant", "t0_key", "ref_ord", "src_ord", F.round("x", 6).alias("x"), "missing")
+
+
+_VIEWS = "v AS (SELECT vec_id AS ord, label, CAST(label * 100 + vec_id AS DOUBLE) AS t0, embedding FROM embeddings)"
+
+
+@query(f"WITH {_VIEWS}, a AS (SELECT * FROM v WHERE ord % 5 <> 0), b AS (SELECT * FROM v WHERE ord % 7 <> 0) SELECT a.label, CAST(a.t0 AS BIGINT) AS t0_key, a.ord, 60 + 10 * a.label AS hr_gt, round(CAST(a.embedding[1] AS DOUBLE), 6) AS a_first, round(CAST(b.embedding[1] AS DOUBLE) * 2, 6) AS b_first, a.ord % 11 <> 0 AS same FROM a JOIN b ON a.label = b.label AND a.t0 = b.t0")
+def channel_merge(spark, sf_dir):
+    v = windows64(spark, sf_dir).withColumn("t0", (F.col("label") * 100 + F.col("vec_id")).cast("double")).withColumn("t1", F.col("t0") + 8).withColumnRenamed("vec_id", "ord")
+    a = v.where("ord % 5 <> 0").withColumn("hr_gt", 60 + 10 * F.col("label")).withColumn("mark", F.col("ord")).withColumn("first", F.element_at("w", 1))
+    b = v.where("ord % 7 <> 0").withColumn("mark", F.when(F.col("ord") % 11 == 0, -1).otherwise(F.col("ord"))).withColumn("first", F.element_at("w", 1) * 2)
+    out = align.merge_channels(a, b, ["label"], ["mark"], ["first"], ["hr_gt"])
+    return out.select("label", "t0_key", "ord", "hr_gt", F.round("a_first", 6).alias("a_first"), F.round("b_first", 6).alias("b_first"), (F.col("same") | (F.col("ord") == -1)).alias("same"))
+
+
+@query(f"WITH {_VIEWS} SELECT label, CAST(count(*) FILTER (ord % 5 <> 0 AND ord % 7 = 0) AS BIGINT) AS only_a, CAST(count(*) FILTER (ord % 5 = 0 AND ord % 7 <> 0) AS BIGINT) AS only_b, CAST(count(*) FILTER (ord % 5 <> 0 AND ord % 7 <> 0 AND ord % 11 = 0) AS BIGINT) AS differing FROM v WHERE ord % 5 <> 0 OR ord % 7 <> 0 GROUP BY label")
+def channel_merge_check(spark, sf_dir):
+    v = windows64(spark, sf_dir).withColumn("t0", (F.col("label") * 100 + F.col("vec_id")).cast("double")).withColumn("t1", F.col("t0") + 8).withColumnRenamed("vec_id", "ord")
+    a = v.where("ord % 5 <> 0").withColumn("mark", F.col("ord"))
+    b = v.where("ord % 7 <> 0").withColumn("mark", F.when(F.col("ord") % 11 == 0, -1).otherwise(F.col("ord")))
+    return align.merge_problems(a, b, ["label"], ["mark"])
+
+
+# -- labels ----------------------------------------------------------------------------------------------------------
+
+_WEEK = 7 * 24 * HOUR
+_LABELLED_SQL = f"""g AS (SELECT participant, t // {_WEEK} AS week, count(*) AS n, max(CASE WHEN ord % 97 = 0 THEN 1 ELSE 0 END) AS bad, min(ord) % 13 = 0 AS poor FROM samples GROUP BY ALL),
+d AS (SELECT participant, t // {_WEEK} AS week, (t - lag(t) OVER (PARTITION BY participant, t // {_WEEK} ORDER BY t, ord)) / 36000000000.0 AS rr FROM samples),
+s AS (SELECT participant, week, median(rr) AS m, stddev_pop(rr) / avg(rr) AS cv, bool_or(rr < 0.05 OR rr > 3.0) AS wild, count(rr) AS k FROM d WHERE rr IS NOT NULL GROUP BY ALL),
+l AS (SELECT g.participant, g.week, g.n AS n_peaks, s.m, s.cv, CASE WHEN g.bad = 1 THEN 'contains_nan' WHEN g.n < 3 THEN 'too_short' WHEN g.n < 4 THEN 'too_few_beats' WHEN coalesce(s.k, 0) = 0 THEN 'no_rr' WHEN 60 / s.m < 40 OR 60 / s.m > 180 THEN 'implausible_hr' WHEN s.wild THEN 'implausible_rr' WHEN s.cv > 0.9 THEN 'rr_too_irregular' WHEN g.poor THEN 'poor_quality' ELSE 'ok' END AS reason FROM g LEFT JOIN s ON g.participant = s.participant AND g.week = s.week)"""
+
+
+def _labelled(spark, sf_dir):
+    """Weeks of a participant as windows, events as beats, ten hours as a second."""
+    rows = samples(spark, sf_dir).withColumn("week", F.floor(F.col("t") / _WEEK).cast("long"))
+    w = rows.groupBy("participant", "week").agg(F.array_sort(F.collect_list("t")).alias("p"), F.count("*").alias("n"), F.max(F.col("ord") % 97 == 0).alias("bad"), (F.min("ord") % 13 == 0).alias("poor"))
+    return labels.label_cascade(w, F.col("n"), F.col("bad"), F.col("p"), 36000000000.0, F.when(F.col("poor"), "Unacceptable").otherwise(""), min_samples=3, min_beats=4, rr_band=(0.05, 3.0), max_cv=0.9)
+
+
+@query(f"WITH {SAMPLES_SQL}, {_LABELLED_SQL} SELECT participant, week, CAST(n_peaks AS BIGINT) AS n_peaks, reason, reason = 'ok' AS valid, round(CASE WHEN reason = 'ok' THEN 60 / m END, 6) AS hr FROM l")
+def label_cascade(spark, sf_dir):
+    return _labelled(spark, sf_dir).select("participant", "week", "n_peaks", "reason", "valid", F.round("hr", 6).alias("hr"))
+
+
+@query(f"WITH {SAMPLES_SQL}, {_LABELLED_SQL} SELECT participant, CAST(count(*) AS BIGINT) AS n_windows, CAST(count(*) FILTER (reason = 'ok') AS BIGINT) AS n_kept, CAST(count(*) FILTER (reason <> 'ok') AS BIGINT) AS n_dropped, {', '.join(f'CAST(count(*) FILTER (reason = {chr(39)}{r}{chr(39)}) AS BIGINT) AS n_{r}' for r in labels.REASONS)} FROM l GROUP BY participant")
+def label_summary(spark, sf_dir):
+    return labels.label_summary(_labelled(spark, sf_dir), P)
+
+
+@query(f"WITH {SAMPLES_SQL}, {_W3}, c AS (SELECT w.participant, w.t0, count(s.t) AS n FROM w3 w LEFT JOIN samples s ON s.participant = w.participant AND s.role = 'click' AND s.t BETWEEN w.t0 AND w.t1 GROUP BY ALL) SELECT participant, CAST(count(*) AS BIGINT) AS n_windows, CAST(count(*) FILTER (n >= 2) AS BIGINT) AS n_valid, round(count(*) FILTER (n >= 2) / count(*), 6) AS valid_ratio FROM c GROUP BY participant")
+def valid_window_ratio(spark, sf_dir):
+    """Windows with enough samples of the other signal, by participant."""
+    out = metrics.valid_ratio(interval_slice_counts(spark, sf_dir), P, F.col("n_slice") >= 2)
+    return out.withColumn("valid_ratio", F.round("valid_ratio", 6))
+
+
+# -- metrics and folds -----------------------------------------------------------------------------------------------
+
+
+def _metric_sql(keys: str, zero: bool, source: str) -> str:
+    r = "CASE WHEN stddev_pop(y) > 0 AND stddev_pop(x) > 0 THEN covar_pop(y, x) / (stddev_pop(y) * stddev_pop(x)) END"
+    r = f"coalesce({r}, 0.0)" if zero else r
+    return f"SELECT {keys}, CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS valid, round(avg(abs(y - x)), 5) AS mae, round(sqrt(avg((y - x) * (y - x))), 5) AS rmse, round({r}, 5) AS r, 100.0::DOUBLE AS valid_pct FROM {source} GROUP BY ALL"
+
+
+def _rounded(df):
+    return df.withColumns({c: F.round(c, 5) for c in ("mae", "rmse", "r")})
+
+
+def _pairs(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").withColumn("y", F.col("l_quantity")).withColumn("x", F.col("l_extendedprice") / 2000)
+
+
+_PAIRS_SQL = "(SELECT *, l_quantity AS y, l_extendedprice / 2000 AS x FROM lineitem)"
+
+
+@query(_metric_sql("l_returnflag, l_linestatus", False, _PAIRS_SQL))
+def error_metrics(spark, sf_dir):
+    return _rounded(metrics.error_metrics(_pairs(spark, sf_dir), ["l_returnflag", "l_linestatus"], "y", "x"))
+
+
+@query(_metric_sql("l_suppkey", True, _PAIRS_SQL))
+def error_metrics_zero_r(spark, sf_dir):
+    return _rounded(metrics.error_metrics(_pairs(spark, sf_dir), ["l_suppkey"], "y", "x", zero_r=True))
+
+
+@query(f"""WITH f AS ({_metric_sql("l_suppkey", True, _PAIRS_SQL)}) SELECT CAST(count(*) AS BIGINT) AS n_folds, {", ".join(f"round(avg({m}), 4) AS {m}_mean, round(stddev_pop({m}), 4) AS {m}_std" for m in ("mae", "rmse", "r"))} FROM f""")
+def loso_macro_metrics(spark, sf_dir):
+    out = metrics.macro_metrics(error_metrics_zero_r(spark, sf_dir), ["mae", "rmse", "r"])
+    return out.select("n_folds", *(F.round(c, 4).alias(c) for c in out.columns if c != "n_folds"))
+
+
+@query("""WITH r AS (SELECT event_type AS participant, event_id FROM events), t AS (SELECT DISTINCT participant AS target FROM r),
+f AS (SELECT target, participant, CASE WHEN participant = target THEN 'test' WHEN substr(md5(concat_ws('|', target, participant, CAST(event_id AS VARCHAR))), 1, 2) < '33' THEN 'val' ELSE 'train' END AS split, event_id FROM r, t)
+SELECT target, participant, split, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM f GROUP BY ALL""")
+def loso_folds(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("participant"), "event_id")
+    out = folds.loso_folds(rows, "participant", ["participant", "event_id"])
+    return out.groupBy("target", "participant", "split").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
+
+
+@query("SELECT c_nationkey, CASE WHEN h < '1a' THEN 'test' WHEN h < '40' THEN 'val' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, substr(md5(concat_ws('|', '7', CAST(c_custkey AS VARCHAR))), 1, 2) AS h FROM customer) GROUP BY ALL")
+def three_way_split(spark, sf_dir):
+    return folds.three_way(table(spark, sf_dir, "customer"), ["c_custkey"], 0.15, 0.1, seed=7).groupBy("c_nationkey", "split").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {SAMPLES_SQL}, d AS (SELECT participant, t - lag(t) OVER (PARTITION BY participant ORDER BY t, ord) AS d FROM samples) SELECT participant, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN median(d) > 0 THEN 3600000000.0 / median(d) END, 6) AS fs FROM d GROUP BY participant")
+def fs_estimate(spark, sf_dir):
+    out = metrics.sampling_rate(samples(spark, sf_dir), P, "t", "ord", float(HOUR))
+    return out.withColumn("fs", F.round("fs", 6))
+
+
+@query("WITH c AS (SELECT event_type, event_id // 500 AS c, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL) SELECT event_type, round(median(lo), 6) AS least, round(median(hi), 6) AS greatest FROM c GROUP BY event_type")
+def chunk_extremes(spark, sf_dir):
+    out = metrics.chunk_extremes(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 500)
+    return out.select("event_type", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
+
+
+@query("SELECT event_type, round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM events GROUP BY event_type")
+def value_range(spark, sf_dir):
+    out = metrics.value_range(table(spark, sf_dir, "events"), ["event_type"], "value")
+    return out.select("event_type", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
+
+
+# -- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query("WITH f AS (SELECT event_type AS source_file, user_id AS participant, event_id, epoch_us(ts) AS t, arg_min(epoch_us(ts), event_id) OVER (PARTITION BY user_id, event_type) AS first_t FROM events) SELECT participant, source_file, event_id, CAST(first_t // 1000 + (t - first_t) // 1000 AS BIGINT) AS epoch_ms FROM f")
+def ecg_epoch_recompute(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("participant"), F.col("event_type").alias("source_file"), F.col("event_id").alias("ord"), F.col("ts"))
+    first = F.min_by(F.unix_micros(F.col("ts").cast("timestamp")), "ord").over(segments.Window.partitionBy("participant", "source_file"))
+    e = e.withColumn("rel_time_ms", F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - first) / 1000).cast("double")).withColumn("phone_time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    return ecg_epoch(e).select("participant", "source_file", F.col("ord").alias("event_id"), F.floor("ecg_epoch_ms").cast("long").alias("epoch_ms"))
+
+
+@query("SELECT c_custkey, 'P' || CAST(CAST(regexp_extract(c_name, '([0-9]+)$', 1) AS BIGINT) AS VARCHAR) AS participant FROM customer")
+def participant_id_normalise(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    raw = F.regexp_extract("c_name", "([0-9]+)$", 1)
+    return c.select("c_custkey", participant_id(F.when(F.col("c_custkey") % 2 == 0, raw).otherwise(F.concat(F.lit("p"), raw))).alias("participant"))
+
+
+# -- array functions -------------------------------------------------------------------------------------------------
+
+_PLACES = "p AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64)"
+
+
+@query(f"WITH {_PLACES}, m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(i AS INT) AS i, round((x - m) / (s + 1e-6), 5) AS z FROM p JOIN m ON p.vec_id = m.vec_id WHERE i IN (0, 31, 63)")
+def window_zscore(spark, sf_dir):
+    z = windows64(spark, sf_dir).withColumn("z", A.zscore(F.col("w")))
+    return z.select("vec_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.element_at("z", i + 1), 5).alias("z")) for i in (0, 31, 63)))).alias("e")).select("vec_id", "e.i", "e.z")
+
+
+@query(f"WITH {_PLACES}, f AS (SELECT vec_id, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(i AS INT) AS i, round(x - a - b * i, 6) AS y FROM p JOIN f ON p.vec_id = f.vec_id WHERE i IN (0, 31, 63)")
+def window_detrend(spark, sf_dir):
+    z = windows64(spark, sf_dir).withColumn("z", A.detrend(F.col("w")))
+    return z.select("vec_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.element_at("z", i + 1), 6).alias("y")) for i in (0, 31, 63)))).alias("e")).select("vec_id", "e.i", "e.y")
+
+
+@query("SELECT vec_id, 32 AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS a0, round(CAST(embedding[33] AS DOUBLE), 6) AS b0, round(CAST(embedding[32] AS DOUBLE), 6) AS a31, round(CAST(embedding[64] AS DOUBLE), 6) AS b31 FROM embeddings WHERE len(embedding) = 64")
+def channel_stack(spark, sf_dir):
+    s = windows64(spark, sf_dir).withColumn("s", A.stack_channels(F.slice("w", 1, 32), F.slice("w", 33, 32)))
+    at = lambda i, c: F.round(F.element_at(F.element_at("s", i), c), 6)
+    return s.select("vec_id", F.size("s").alias("n"), at(1, 1).alias("a0"), at(1, 2).alias("b0"), at(32, 1).alias("a31"), at(32, 2).alias("b31"))
+
+
+@query("SELECT vec_id, CAST(60 + 10 * label AS DOUBLE) AS hr_gt, label % 4 AS role FROM embeddings WHERE 60 + 10 * label BETWEEN 30 AND 140 AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0")
+def model_input_filter(spark, sf_dir):
+    w = windows64(spark, sf_dir).withColumn("hr_gt", (60 + 10 * F.col("label")).cast("double"))
+    return w.where(A.model_input(F.col("hr_gt"), [F.col("w")], 30, 140)).select("vec_id", "hr_gt", (F.col("label") % 4).alias("role"))
+
+
+@query("SELECT c_custkey, printf('%02d:%02d:%02d', s // 3600, s // 60 % 60, s % 60) AS clock, CAST(round_even(c_acctbal, 0) AS BIGINT) AS key FROM (SELECT *, CAST(floor(abs(c_acctbal) * 37) AS BIGINT) AS s FROM customer)")
+def clock_and_keys(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", A.clock(F.abs("c_acctbal") * 37).alias("clock"), align.window_key("c_acctbal").alias("key"))
+
+
+@query("SELECT DISTINCT event_type, lower(replace(event_type || '_2', '_', '')) || '_ir' AS run_label, CASE WHEN trim(CASE WHEN event_type = 'error' THEN '' ELSE event_type END) = '' THEN 'unknown' ELSE event_type END AS quality FROM events")
+def text_labels(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_type").distinct()
+    return e.select("event_type", A.run_label(F.concat("event_type", F.lit("_2")), F.lit("ppg_ir")).alias("run_label"), labels.quality_text(F.when(F.col("event_type") == "error", "").otherwise(F.col("event_type"))).alias("quality"))
+
+
+# -- estimators ------------------------------------------------------------------------------------------------------
+
+_HANN = "h AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS w FROM p)"
+
+
+@query(f"""WITH {_PLACES}, {_HANN}, bins AS (SELECT unnest(range(511, 3074)) AS k), d AS (SELECT vec_id, k, sqrt(pow(sum(w * cos(2 * pi() * k * i / 8192)), 2) + pow(sum(w * sin(2 * pi() * k * i / 8192)), 2)) AS m FROM h, bins GROUP BY vec_id, k),
+b AS (SELECT vec_id, arg_max(k, m) AS k FROM d WHERE k BETWEEN 512 AND 3072 GROUP BY vec_id),
+v AS (SELECT b.vec_id, b.k, max(CASE WHEN d.k = b.k - 1 THEN m END) AS l, max(CASE WHEN d.k = b.k THEN m END) AS c, max(CASE WHEN d.k = b.k + 1 THEN m END) AS r FROM b JOIN d ON b.vec_id = d.vec_id AND d.k BETWEEN b.k - 1 AND b.k + 1 GROUP BY ALL),
+o AS (SELECT vec_id, 60 * (k + CASE WHEN abs(l - 2 * c + r) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))) ELSE 0 END) * 8 / 8192 AS hr FROM v) SELECT vec_id, round(CASE WHEN hr BETWEEN 30 AND 180 THEN hr END, 4) AS hr_fft FROM o""")
+def hr_fft(spark, sf_dir):
+    return windows64(spark, sf_dir).select("vec_id", F.round(metrics.F.nanvl(E.heart_rate("fft", F.col("w"), 8.0), F.lit(None).cast("double")), 4).alias("hr_fft"))
+
+
+@query(f"""WITH {_PLACES}, {_HANN}, lags AS (SELECT unnest(range(2, 18)) AS k), r AS (SELECT a.vec_id, k, sum(a.w * b.w) AS r FROM h a JOIN lags ON true JOIN h b ON a.vec_id = b.vec_id AND b.i = a.i + k GROUP BY a.vec_id, k),
+b AS (SELECT vec_id, arg_max(k, r) AS k FROM r WHERE k BETWEEN 3 AND 16 GROUP BY vec_id),
+v AS (SELECT b.vec_id, b.k, max(CASE WHEN r.k = b.k - 1 THEN r END) AS l, max(CASE WHEN r.k = b.k THEN r END) AS c, max(CASE WHEN r.k = b.k + 1 THEN r END) AS rr FROM b JOIN r ON b.vec_id = r.vec_id AND r.k BETWEEN b.k - 1 AND b.k + 1 GROUP BY ALL),
+o AS (SELECT vec_id, 60 * 8 / (k + CASE WHEN abs(l - 2 * c + rr) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - rr) / (l - 2 * c + rr))) ELSE 0 END) AS hr FROM v) SELECT vec_id, round(CASE WHEN hr BETWEEN 30 AND 180 THEN hr END, 4) AS hr_autocorr FROM o""")
+def hr_autocorr(spark, sf_dir):
+    return windows64(spark, sf_dir).select("vec_id", F.round(F.nanvl(E.heart_rate("autocorr", F.col("w"), 8.0), F.lit(None).cast("double")), 4).alias("hr_autocorr"))
+
+
+def _estimator(name: str):
+    def run(spark, sf_dir):
+        return windows64(spark, sf_dir).select("vec_id", E.heart_rate(name, F.col("w"), 8.0).alias(f"hr_{name}"))
+
+    run.__name__ = f"hr_{name}"
+    return query()(run)
+
+
+for _name in ("msptd", "pwd", "qppgfast", "neurokit", "heartpy"):
+    _estimator(_name)
+
+
+@query()
+def estimates_long(spark, sf_dir):
+    """Every estimator's answer beside the label, and its metrics by algorithm."""
+    w = windows64(spark, sf_dir).withColumn("ppg_ir", F.col("w")).withColumn("hr_gt", 60.0 + 10 * F.col("label"))
+    est = E.estimates(w, ["vec_id", "hr_gt"], ["ppg_ir", "ppg_green"], ["fft", "autocorr", "msptd"], 8.0)
+    return metrics.error_metrics(est, ["channel", "algorithm"], "hr_gt", "hr_est")
+
+
+@query()
+def bandpass(spark, sf_dir):
+    return windows64(spark, sf_dir).select("vec_id", S.bandpass(F.col("w"), 8.0).alias("filtered"))
+
+
+@query()
+def pulse_preprocess(spark, sf_dir):
+    return S.preprocess_channels(windows64(spark, sf_dir).select("vec_id", F.col("w").alias("ppg")), 8.0)
+
+
+@query()
+def resample200(spark, sf_dir):
+    return windows64(spark, sf_dir).select("vec_id", S.resample(F.col("w"), 200).alias("resampled"))
