@@ -4,13 +4,15 @@
    15 band keys of 3 samples, and an odd sketch: the samples folded into a bitmap of 256
    parities. The population count of two sketches' XOR estimates a high similarity closely.
 2. Documents with equal sets become one class with its smallest doc_id as representative.
-3. Representatives that share a band key meet in a task; a key with very many is split at random
-   into blocks. Pivots link what their sketches find near; these links are confirmed on the full sets.
-4. Keys whose members are then in different components are looked at again: every pair of
-   different components whose sketches come near the threshold at all is confirmed or refuted on
-   the full sets. In a split key the members outside its largest component go to every block.
-   So no link is lost to a pivot, and components that are already one cost nothing more.
-5. Components of the links are found by alternating large-star and small-star steps.
+3. Representatives that share a band key meet in a task. Those whose sketches come near the
+   threshold at all (four standard deviations) are candidates; only a spanning forest of the
+   candidate pairs leaves the task, not the pairs. A key with very many members is split into
+   blocks, and all its members count as candidates of its smallest id.
+4. The forests' components hold every candidate pair. Their texts are fetched, and inside of each
+   component the full sets are compared through an inverted index; again a forest of the
+   confirmed links leaves the task. A component with very many members is split into blocks
+   that meet pairwise.
+5. Components of the confirmed links are found by alternating large-star and small-star steps.
 
 A pair of similarity 0.85 shares no band key with a probability of 6e-7 (0.8: 2e-5); one that
 does is missed by its sketch only if that is four standard deviations off.
@@ -25,12 +27,13 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F
 
+from wavelane.llm.exchange import BLOBS, REQUESTS, Blobs, blob_rows, by_bucket, doc_bucket, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import partitions, release, stored
 from wavelane.llm.textnum import FOLDED_KEYS, U64, distinct_by_row, find_words, hash_spans, mix, row_ranges, shingles, text_bytes
 
 SHINGLE_WORDS, PERCENT = 5, 80
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 128, 15, 3, 256
-#: Members of a band key that meet in one task at most; a key with more is split into blocks.
+#: Documents that meet in one task at most, of a band key or of a component of candidates.
 BLOCK = 4096
 _RNG = np.random.default_rng(20240611)
 _ADD, _TIMES = _RNG.integers(0, 2**63, (2, SAMPLES), dtype=np.int64).astype(U64)
@@ -109,99 +112,129 @@ def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1)
 
 
-def pivot_links(ids: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Pairs (smaller id, larger id): the smallest id left is a pivot and takes all that are near it, until none is left."""
-    out = []
-    order = np.argsort(ids, kind="stable")
-    while len(order) > 1:
-        pivot, order = order[0], order[1:]
-        near = _differing(sketches[order], sketches[pivot]) <= most
-        out += [(int(ids[pivot]), int(i)) for i in ids[order[near]] if i != ids[pivot]]
-        order = order[~near]
+def forest_of_near(ids: np.ndarray, sketches: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """A spanning forest of the graph whose edges are sketches that differ in ``most`` bits at most."""
+    out, left, reached = [], np.arange(len(ids)), []
+    while len(left):
+        if not reached:
+            reached, left = [left[0]], left[1:]
+        node = reached.pop()
+        near = _differing(sketches[left], sketches[node]) <= most
+        out += [(int(ids[node]), int(i)) for i in ids[left[near]]]
+        reached += left[near].tolist()
+        left = left[~near]
     return out
 
 
-def cross_links(ids: np.ndarray, sketches: np.ndarray, component: np.ndarray, guest: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """All near pairs of different components; of two guests, who also meet elsewhere, none."""
-    out = []
-    for k in range(len(ids) - 1):
-        rest = slice(k + 1, None)
-        near = (component[rest] != component[k]) & (_differing(sketches[rest], sketches[k]) <= most) & ~(guest[rest] & guest[k])
-        out += [(min(int(ids[k]), int(i)), max(int(ids[k]), int(i))) for i in ids[rest][near]]
+class Forest:
+    """Union-find over the places of one task's documents."""
+
+    def __init__(self, n: int):
+        self.parent = list(range(n))
+
+    def find(self, i: int) -> int:
+        while self.parent[i] != i:
+            self.parent[i] = self.parent[self.parent[i]]
+            i = self.parent[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Whether the two were apart."""
+        i, j = self.find(i), self.find(j)
+        self.parent[max(i, j)] = min(i, j)
+        return i != j
+
+
+def forest_of_links(values: np.ndarray, at: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest, as pairs of places, of the sets that are similar enough. Of two blocks (sides 0 and 1) only pairs across count."""
+    n, size = len(at) - 1, np.diff(at)
+    forest, out = Forest(n), []
+    across = len(set(side.tolist())) > 1
+    if n == 2:
+        both = len(np.intersect1d(values[at[0] : at[1]], values[at[1] :], assume_unique=True))
+        return [(0, 1)] if 100 * both >= percent * (size[0] + size[1] - both) else []
+    _, shingle = np.unique(values, return_inverse=True)
+    order = np.argsort(shingle, kind="stable")
+    holder = np.repeat(np.arange(n), size)[order]
+    begin = np.searchsorted(shingle[order], np.arange(shingle.max() + 2)) if len(shingle) else np.zeros(1, np.int64)
+    for i in range(n - 1):
+        own = shingle[at[i] : at[i + 1]]
+        own = own[begin[own + 1] - begin[own] > 1]
+        if not len(own):
+            continue
+        both = np.bincount(np.concatenate([holder[begin[k] : begin[k + 1]] for k in own]), minlength=n)[i + 1 :]
+        near = 100 * both >= percent * (size[i] + size[i + 1 :] - both)
+        if across:
+            near &= side[i + 1 :] != side[i]
+        out += [(i, j) for j in (np.flatnonzero(near) + i + 1).tolist() if forest.join(i, j)]
     return out
 
 
-def _by_key(rows: DataFrame, n: int, links, schema: str = "a long, b long") -> DataFrame:
-    """``links`` applied to the rows of each (key, block); first columns key, block, doc_id, sketch."""
+def _by_group(rows: DataFrame, n: int, keys: list[str], order: str, links) -> DataFrame:
+    """Rows (a, b): ``links`` applied to the rows of each group of keys, which come together in a task by rising ``order``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
+        held: list[pa.Table] = []
+        last: tuple | None = None
 
-        def groups(table: pa.Table, last: bool):
+        def done() -> Iterator[pa.RecordBatch]:
             nonlocal held
-            key = np.stack([table.column(k).to_numpy().astype(np.int64) for k in (0, 1)], axis=1)
-            edges = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-            cuts = [0, *edges.tolist(), len(key)]
-            if not last:
-                held = table.slice(cuts[-2])
-                cuts = cuts[:-1]
-            else:
-                held = None
-            pairs = []
-            if any(b - a > 1 for a, b in zip(cuts[:-1], cuts[1:], strict=True)):
-                ids = table.column(2).to_numpy()
-                sketches = np.frombuffer(b"".join(table.column(3).to_pylist()), U64).reshape(len(ids), -1)
-                more = [c.to_numpy() for c in table.columns[4:]]
-                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                    if b - a > 1:
-                        pairs += links(ids[a:b], sketches[a:b], *(m[a:b] for m in more))
-            if pairs:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*set(pairs), strict=True)], ["a", "b"])
+            table, held = pa.concat_tables(held).combine_chunks(), []
+            if table.num_rows > 1 and (pairs := links(table)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            key = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(len(keys))], axis=1)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             table = pa.Table.from_batches([batch])
-            table = table if held is None else pa.concat_tables([held, table]).combine_chunks()
-            if table.num_rows:
-                yield from groups(table, False)
-        if held is not None and held.num_rows:
-            yield from groups(held.combine_chunks(), True)
-
-    return rows.repartition(n, "key", "block").sortWithinPartitions("key", "block", "doc_id").mapInArrow(run, schema)
-
-
-def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``texts``: doc_id, packed text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        known: dict[int, np.ndarray] = {}
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = np.zeros(len(a), bool)
-            for low in range(0, len(a), 512):
-                own = range(low, min(low + 512, len(a)))
-                new = {i: batch.column(c)[k].as_py() for k in own for i, c in ((a[k], 2), (b[k], 3)) if i not in known}
-                values, at = shingle_sets(pa.array([unpack.decompress(z).decode() for z in new.values()], pa.large_string()), size)
-                known |= {i: values[at[k] : at[k + 1]] for k, i in enumerate(new)}
-                for k in own:
-                    x, y = known[a[k]], known[b[k]]
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    good[k] = 100 * both >= percent * (len(x) + len(y) - both)
-                if len(known) > 4096:
-                    known = {}
-            yield batch.select([0, 1]).filter(pa.array(good))
-
-    rows = pairs.join(texts.withColumnRenamed("doc_id", "b").withColumnRenamed("packed", "tb"), "b").join(texts.withColumnRenamed("doc_id", "a").withColumnRenamed("packed", "ta"), "a")
-    return rows.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
-
-
-def packed_texts(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                now = tuple(key[low].tolist())
+                if held and now != last:
+                    yield from done()
+                if high < len(key) and not held:  # a group that begins and ends here
+                    if high - low > 1 and (pairs := links(table.slice(low, high - low))):
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs, strict=True)], ["a", "b"])
+                    continue
+                held.append(table.slice(low, high - low))
+                last = now
+                if high < len(key):
+                    yield from done()
+        if held:
+            yield from done()
+
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, "a long, b long")
+
+
+def fetched(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """Rows (doc_id, packed): the compressed texts of the ids; of a repeated id the first text met. Ids and texts are dealt by id."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = Blobs()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pack.compress((t or "").encode()) for t in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "packed"])
+            doc = batch.column(0).to_numpy(zero_copy_only=False)
+            out.deal(REQUESTS, doc_bucket(doc, n), [doc, np.zeros(len(doc), np.int32), np.zeros(len(doc), np.int32)])
+            yield from out.take()
+        yield from out.take(0)
 
-    return docs.mapInArrow(run, "doc_id long, packed binary")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, pack = [np.zeros(0, np.int64)], zstandard.ZstdCompressor(level=3)
+        wanted: set[int] | None = None
+        for kind, _, blob in blob_rows(batches):
+            if kind == REQUESTS:
+                asked.append(unpack_arrays(blob)[0])
+                continue
+            if wanted is None:
+                wanted = set(np.concatenate(asked).tolist())
+            for batch in unpack_rows(blob):
+                got = [(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) if d in wanted]
+                got = list({d: (d, t) for d, t in reversed(got)}.values())
+                wanted.difference_update(d for d, _ in got)
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([pack.compress((t or "").encode()) for _, t in got], pa.binary())], ["doc_id", "packed"])
+
+    return by_bucket(ids.select("doc_id").mapInArrow(ask, BLOBS).unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(run, "doc_id long, packed binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,40 +271,41 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     own = stored(sketch_documents(rows, size), "sketches")
     classes = stored(own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     member = classes.select(F.explode("bands").alias("key"), "doc_id", "sketch")
-    crowded = member.groupBy("key").count().where(F.col("count") > BLOCK).select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    crowded = stored(crowded, "crowded")
-    some = crowded.limit(1).count() > 0
-    spread = lambda df: df.join(crowded, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if some else df.withColumn("blocks", F.lit(1))
-    block = F.expr("cast(pmod(xxhash64(doc_id, 7), blocks) AS int)")
-
-    near, hardly = most_different(percent / 100 - 0.05), most_different(percent / 100 - 0.14)
-    pairs = stored(_by_key(spread(member).select("key", block.alias("block"), "doc_id", "sketch"), n, lambda ids, sk: pivot_links(ids, sk, near)).distinct(), "pairs")
+    crowded = stored(member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where(F.col("n") > BLOCK), "crowded")
+    if crowded.limit(1).count():
+        met = member.join(crowded.select("key", "least"), "key", "left")
+        stars = met.where("least IS NOT NULL").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
+        met = met.where("least IS NULL").drop("least")
+    else:
+        met, stars = member, None
+    hardly = most_different(percent / 100 - 0.14)
+
+    def near(table: pa.Table) -> list[tuple[int, int]]:
+        sketches = np.frombuffer(b"".join(table.column(2).to_pylist()), U64).reshape(table.num_rows, -1)
+        return forest_of_near(table.column(1).to_numpy(), sketches, hardly)
+
+    candidates = _by_group(met.select("key", "doc_id", "sketch"), n, ["key"], "doc_id", near)
+    candidates = stored((candidates.unionByName(stars) if stars else candidates).distinct(), "candidates")
     release(spark)
-    ends = lambda df: df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    # A document that is near another one at all; texts of these are kept packed. Ids repeated in the table have one text each.
-    texts = stored(packed_texts(rows.join(ends(pairs), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("packed").alias("packed")), "texts")
-    links = stored(confirmed(pairs, texts, size, percent), "links")
-    found = components(links)
+    groups = components(candidates)
+    groups = stored(groups.unionByName(groups.select(F.col("component").alias("doc_id"), "component").distinct()).withColumnRenamed("component", "group"), "groups")
+    texts = stored(fetched(rows, groups, n), "texts")
     release(spark)
 
-    # Keys with members of different components.
-    label = classes.select("doc_id", "bands", "sketch").join(found, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    labelled = label.select(F.explode("bands").alias("key"), "doc_id", "sketch", "component")
-    split = labelled.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("key")
-    again = spread(labelled.join(split, "key", "left_semi")).withColumn("block", block).withColumn("guest", F.lit(False))
-    if some:
-        sizes = again.where("blocks > 1").groupBy("key", "component").count().groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        guests = again.where("blocks > 1").join(sizes, "key").where("component != main").withColumn("home", F.col("block")).withColumn("block", F.explode(F.expr("sequence(0, blocks - 1)"))).where("block != home").withColumn("guest", F.lit(True))
-        again = again.unionByName(guests.select(*again.columns))
-    crossing = lambda ids, sk, component, guest: cross_links(ids, sk, component, guest, hardly)
-    more = stored(_by_key(again.select("key", "block", "doc_id", "sketch", "component", "guest"), n, crossing).distinct().join(pairs, ["a", "b"], "left_anti"), "more-pairs")
+    # A group is one unit, or its blocks meet pairwise: (0, 0), (0, 1), (1, 1) and so on.
+    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "group").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, 7), blocks) AS int)"))
+    units = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    units = units.select("group", "low", "high", "doc_id", F.when(F.col("block") == F.col("low"), 0).otherwise(1).alias("side")).join(texts, "doc_id")
+
+    def similar(table: pa.Table) -> list[tuple[int, int]]:
+        unpack, ids = zstandard.ZstdDecompressor(), table.column(3).to_pylist()
+        values, at = shingle_sets(pa.array([unpack.decompress(z).decode() for z in table.column(5).to_pylist()], pa.large_string()), size)
+        return [(ids[i], ids[j]) for i, j in forest_of_links(values, at, table.column(4).to_numpy(), percent)]
+
+    links = stored(_by_group(units.select("group", "low", "high", "doc_id", "side", "packed"), n, ["group", "low", "high"], "doc_id", similar), "links")
     release(spark)
-    if more.limit(1).count():
-        other = packed_texts(rows.join(ends(more).join(texts, "doc_id", "left_anti"), "doc_id", "left_semi")).groupBy("doc_id").agg(F.min("packed").alias("packed"))
-        more_links = stored(confirmed(more, stored(texts.unionByName(other), "texts"), size, percent), "links")
-        if more_links.limit(1).count():
-            found = components(links.unionByName(more_links))
-            release(spark)
+    found = components(links)
     by_set = classes.select("set_key", "doc_id").join(found, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
     joined = own.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
     out = joined.withColumn("component_id", F.coalesce("component", "doc_id"))
