@@ -141,7 +141,7 @@ def slope_sum(x: np.ndarray, fs: float) -> float:
     total = np.convolve(rise, np.ones(width))[: len(rise)]
     learn = min(round(4 * fs), len(x) // 3) if len(x) < 12 * fs else round(8 * fs)
     level = 3 * total[: max(learn, 1)].mean()
-    onsets, k, blind = [], 0, max(1, round(0.25 * fs))
+    onsets, k, blind = [], 0, max(1, round(0.34 * fs))
     since = 0
     while k < len(total):
         if total[k] > level / 3:
@@ -152,7 +152,7 @@ def slope_sum(x: np.ndarray, fs: float) -> float:
                 foot -= 1
             onsets.append(foot)
             level += (total[top] - level) / 10
-            k, since = max(stop, top + 1), 0
+            k, since = max(stop, top + blind), 0
             continue
         since += 1
         if since > 2.5 * fs and level > 1e-9:
@@ -200,7 +200,7 @@ def enhanced(x: np.ndarray, fs: float) -> float:
         if len(peaks) > 2:
             beats = np.diff(peaks) / fs
             hr, spread = 60 / beats.mean(), float(beats.std())
-            if 40 <= hr <= 180 and 0 < spread < best[0]:
+            if 40 <= hr <= 180 and spread < best[0]:
                 best = spread, hr
     return _inside(best[1], 30, 200)
 
@@ -216,6 +216,10 @@ def register_estimator(name: str, estimator: Callable[[np.ndarray, float], float
 
 
 def estimate_one(name: str, x: np.ndarray, fs: float) -> float:
+    return answer(ESTIMATORS[name], x, fs)
+
+
+def answer(estimator: Callable[[np.ndarray, float], float], x: np.ndarray, fs: float) -> float:
     """An estimator's answer by the contract of all of them: NaN rather than an error."""
     if x is None or len(x) < LEAST_SAMPLES:
         return np.nan
@@ -223,20 +227,22 @@ def estimate_one(name: str, x: np.ndarray, fs: float) -> float:
     if not np.isfinite(x).all():
         return np.nan
     try:
-        return ESTIMATORS[name](x, fs)
+        return estimator(x, fs)
     except (ValueError, IndexError, ZeroDivisionError, FloatingPointError):
         return np.nan
 
 
 def heart_rate(name: str, window: Column, fs: float) -> Column:
-    """An estimator by name (in any case) as a column expression over an array column."""
+    """An estimator by name (in any case) as a column expression over an array column; its NaN is null in the column."""
     key = name.lower()
     if key not in ESTIMATORS:
         raise ValueError(f"unknown estimator {name!r}; known: {', '.join(sorted(ESTIMATORS))}")
 
+    own = ESTIMATORS[key]  # goes with the plan: a worker doesn't know what was registered here
+
     @F.pandas_udf("double")
     def run(w: pd.Series) -> pd.Series:
-        return pd.Series([estimate_one(key, x, fs) for x in w], dtype=float)
+        return pd.Series([answer(own, x, fs) for x in w], dtype=float)
 
     return run(window)
 

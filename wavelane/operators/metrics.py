@@ -11,7 +11,7 @@ def clean(x: str) -> Column:
 
 
 def error_metrics(pairs: DataFrame, keys: list[str], truth: str, estimate: str, zero_r: bool = False) -> DataFrame:
-    """n, valid, valid_pct, mae, rmse and r by keys, over rows that have both numbers.
+    """n, valid (rows with an estimate), valid_pct, and over rows that have both numbers mae, rmse and r, by keys.
 
     ``r`` is null on constant input, or 0.0 with ``zero_r``. One pass of plain aggregates, combined before the shuffle.
     """
