@@ -30,7 +30,7 @@ def pack_arrays(arrays: list[np.ndarray], widths: dict[int, int] | None = None)
     for k, a in enumerate(arrays):
         if a.dtype.kind == "i":
             kinds.append(a.dtype.str[1:])
-            parts.append(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).view(np.uint8).reshape(len(a), -1).T.tobytes())
+            parts.append(np.diff(a, prepend=a.dtype.type(0)).astype(a.dtype).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
         else:
             width = (widths or {}).get(k, 8)
             kinds.append(f"u{width}")
@@ -199,13 +199,23 @@ def earlier(doc_a: np.ndarray, at_a: np.ndarray, doc_b: np.ndarray, at_b: np.nda
     return (doc_a < doc_b) | ((doc_a == doc_b) & (at_a < at_b))
 
 
+def not_again(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of sorted entries with the first of each group marked: those that are neither first nor at the first one's own place.
+
+    The same place comes twice where a table repeats a document.
+    """
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(first)), 0))
+    return ~first & ((doc != doc[lead]) | (start != start[lead]))
+
+
 def first_of_each(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Entries (key, doc, start, end, ...): by rising key the first place of each, and the others."""
+    """Entries (key, doc, start, end, ...): by rising key the first place of each, and the other places."""
     order = np.lexsort((arrays[2], arrays[1], arrays[0]))
     arrays = [a[order] for a in arrays]
     first = np.ones(len(order), bool)
     first[1:] = arrays[0][1:] != arrays[0][:-1]
-    return [a[first] for a in arrays], [a[~first] for a in arrays]
+    others = not_again(arrays[1], arrays[2], first)
+    return [a[first] for a in arrays], [a[others] for a in arrays]
 
 
 class Levels:

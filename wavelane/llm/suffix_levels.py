@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, PART_REQUESTS, PARTS, REQUESTS, WINDOWS, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
+from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, PART_REQUESTS, PARTS, REQUESTS, WINDOWS, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, not_again, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import discard, partitions, release, stored
 from wavelane.llm.textnum import U64, mix, row_ranges, text_bytes
 
@@ -163,7 +163,8 @@ def settle(entries: list[np.ndarray], tied: np.ndarray | None = None) -> tuple[l
     send = (new_print & ~mixed) | (new_key & mixed)
     differ = mixed[send]
     sent = [key[send], np.where(differ, -1, doc[send]), np.where(differ, 0, start[send]).astype(np.int32), np.where(differ, 0, end[send]).astype(np.int32), np.where(differ, U64(0), print_[send]), differ.astype(np.int8)]
-    return sent, [doc[~new_print], start[~new_print], end[~new_print]], order[new_print & mixed]
+    late = not_again(doc, start, new_print)
+    return sent, [doc[late], start[late], end[late]], order[new_print & mixed]
 
 
 class AnchorLevels(Levels):
