@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 #: Chunks of text whose ids a worker remembers; the memo starts again when it is full.
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 600_000
 #: Bits of a sequence_id that number the sequences of one partition.
 SEQUENCE_BITS = 40
 

@@ -222,8 +222,10 @@ def fit_field(docs: DataFrame, labels: DataFrame, per_quality: int = SAMPLE_PER_
     rows.sort(key=lambda r: (r.doc_id, r.text))
     if not rows:
         return LineField.fit(np.zeros((0, len(FEATURES))), np.zeros(1, np.int64), np.zeros(0, np.int64))
-    _, x, _, line_at = measure(*text_bytes(pa.array([r.text for r in rows], pa.large_string())))
-    return LineField.fit(x, line_at, np.array([r.quality for r in rows]))
+    data, offsets = text_bytes(pa.array([r.text for r in rows], pa.large_string()))
+    parts = [measure(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in row_ranges(offsets)]
+    line_at = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(p[3]) for p in parts)]))
+    return LineField.fit(np.concatenate([p[1] for p in parts]), line_at, np.array([r.quality for r in rows]))
 
 
 def verdicts(column, field: LineField, content_share: float) -> list[np.ndarray]:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes of text handled at once by the numpy kernels.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 # The six ASCII white-space characters that separate words.
 IS_SPACE = np.zeros(256, bool)
