@@ -106,3 +106,23 @@ def test_filters_leave_bad_windows_null(spark):
     df = spark.createDataFrame([(1, [float(x) for x in tone(1.2)]), (2, [1.0] * 10), (3, [float("nan")] * 100), (4, None)], "k int, w array<double>")
     got = {r.k: r.f for r in df.select("k", S.bandpass(F.col("w"), 100.0).alias("f")).collect()}
     assert len(got[1]) == 800 and got[2] is None and got[3] is None and got[4] is None
+
+
+def spikes(bpm, fs=130.0, seconds=8, noise=0.02):
+    t = np.arange(int(fs * seconds)) / fs
+    beats = np.arange(0.4, seconds - 0.2, 60 / bpm)
+    x = sum(np.exp(-(((t - b) / 0.015) ** 2)) + 0.2 * np.exp(-(((t - b - 0.25) / 0.05) ** 2)) for b in beats)
+    return 1000 * (x + noise * np.random.default_rng(1).normal(size=len(t))), beats
+
+
+@pytest.mark.parametrize("bpm", [50, 75, 110, 160])
+def test_r_peaks(spark, bpm):
+    from wavelane.functions import ecg
+
+    x, beats = spikes(bpm)
+    found = ecg.r_peaks(x, 130.0) / 130.0
+    assert len(found) == len(beats) and np.abs(found - beats).max() < 0.03
+    df = spark.createDataFrame([(1, x.tolist()), (2, [0.0] * 1040), (3, [float("nan")] * 1040), (4, [1.0] * 10), (5, None)], "k int, e array<double>")
+    rows = {r.k: r for r in ecg.label_windows(df, "e").collect()}
+    assert rows[1].valid and abs(rows[1].hr - bpm) < 2 and rows[1].n_peaks == len(beats)
+    assert [rows[k].reason for k in (2, 3, 4, 5)] == ["too_few_beats", "contains_nan", "too_short", "too_short"]

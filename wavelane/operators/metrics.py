@@ -56,3 +56,19 @@ def chunk_extremes(rows: DataFrame, keys: list[str], i: str, x: str, chunk: int)
     """Median over chunks of rows of the chunks' least and greatest values."""
     parts = rows.withColumn("_c", F.floor(F.col(i) / chunk)).groupBy(*keys, "_c").agg(F.min(clean(x)).alias("_lo"), F.max(clean(x)).alias("_hi"))
     return parts.groupBy(*keys).agg(F.median("_lo").alias("least"), F.median("_hi").alias("greatest"))
+
+
+def column_zscore(rows: DataFrame, columns: list[str], epsilon: float = 1e-6) -> DataFrame:
+    """Columns less their means over the population deviation plus epsilon; the statistics are one row, joined to all."""
+    stats = rows.agg(*(f(clean(c)).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
+    out = rows.join(F.broadcast(stats))
+    for c in columns:
+        out = out.withColumn(c, (F.col(c) - F.col(f"_m_{c}")) / (F.col(f"_s_{c}") + epsilon))
+    return out.drop(*stats.columns)
+
+
+def class_weights(rows: DataFrame, label: str) -> DataFrame:
+    """Rows with ``weight``, the inverse of their class's share over the number of classes."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
+    total = counts.agg(F.sum("_n").alias("_all"), F.count("*").alias("_k"))
+    return rows.join(counts.join(F.broadcast(total)), label).withColumn("weight", F.col("_all") / (F.col("_k") * F.col("_n"))).drop("_n", "_all", "_k")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wavelane.functions import arrays as A, estimators as E, signal as S
+from wavelane.functions import arrays as A, ecg, estimators as E, signal as S
 from wavelane.operators import align, folds, labels, metrics, segments, windows as W
 from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, table, windows64
 from wavelane.sources.readers import ecg_epoch, participant_id
@@ -347,6 +347,18 @@ def value_range(spark, sf_dir):
     return out.select("event_type", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
 
 
+@query("SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / ((SELECT stddev_pop(c_acctbal) FROM customer) + 1e-6), 6) AS c_acctbal FROM customer")
+def column_zscore(spark, sf_dir):
+    out = metrics.column_zscore(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), ["c_acctbal"])
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 6))
+
+
+@query("WITH n AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label) SELECT vec_id, e.label, round((SELECT count(*) FROM embeddings) / ((SELECT count(*) FROM n) * n), 6) AS weight FROM embeddings e JOIN n ON e.label = n.label")
+def class_weights(spark, sf_dir):
+    out = metrics.class_weights(table(spark, sf_dir, "embeddings").select("vec_id", "label"), "label")
+    return out.select("vec_id", "label", F.round("weight", 6).alias("weight"))
+
+
 # -- sources ---------------------------------------------------------------------------------------------------------
 
 
@@ -447,6 +459,12 @@ def estimates_long(spark, sf_dir):
     return metrics.error_metrics(est, ["channel", "algorithm"], "hr_gt", "hr_est")
 
 
+@query()
+def ecg_labels(spark, sf_dir):
+    """Embeddings read as ECG windows at 30 Hz: labels by beats and quality."""
+    return ecg.label_windows(windows64(spark, sf_dir).select("vec_id", "w"), "w", 30.0).drop("w")
+
+
 @query()
 def bandpass(spark, sf_dir):
     return windows64(spark, sf_dir).select("vec_id", S.bandpass(F.col("w"), 8.0).alias("filtered"))
