@@ -428,7 +428,7 @@ b AS (SELECT vec_id, arg_max(k, m) AS k FROM d WHERE k BETWEEN 512 AND 3072 GROU
 v AS (SELECT b.vec_id, b.k, max(CASE WHEN d.k = b.k - 1 THEN m END) AS l, max(CASE WHEN d.k = b.k THEN m END) AS c, max(CASE WHEN d.k = b.k + 1 THEN m END) AS r FROM b JOIN d ON b.vec_id = d.vec_id AND d.k BETWEEN b.k - 1 AND b.k + 1 GROUP BY ALL),
 o AS (SELECT vec_id, 60 * (k + CASE WHEN abs(l - 2 * c + r) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))) ELSE 0 END) * 8 / 8192 AS hr FROM v) SELECT vec_id, round(CASE WHEN hr BETWEEN 30 AND 180 THEN hr END, 4) AS hr_fft FROM o""")
 def hr_fft(spark, sf_dir):
-    return windows64(spark, sf_dir).select("vec_id", F.round(metrics.F.nanvl(E.heart_rate("fft", F.col("w"), 8.0), F.lit(None).cast("double")), 4).alias("hr_fft"))
+    return windows64(spark, sf_dir).select("vec_id", F.round(E.heart_rate("fft", F.col("w"), 8.0), 4).alias("hr_fft"))
 
 
 @query(f"""WITH {_PLACES}, {_HANN}, lags AS (SELECT unnest(range(2, 18)) AS k), r AS (SELECT a.vec_id, k, sum(a.w * b.w) AS r FROM h a JOIN lags ON true JOIN h b ON a.vec_id = b.vec_id AND b.i = a.i + k GROUP BY a.vec_id, k),
@@ -436,7 +436,7 @@ b AS (SELECT vec_id, arg_max(k, r) AS k FROM r WHERE k BETWEEN 3 AND 16 GROUP BY
 v AS (SELECT b.vec_id, b.k, max(CASE WHEN r.k = b.k - 1 THEN r END) AS l, max(CASE WHEN r.k = b.k THEN r END) AS c, max(CASE WHEN r.k = b.k + 1 THEN r END) AS rr FROM b JOIN r ON b.vec_id = r.vec_id AND r.k BETWEEN b.k - 1 AND b.k + 1 GROUP BY ALL),
 o AS (SELECT vec_id, 60 * 8 / (k + CASE WHEN abs(l - 2 * c + rr) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - rr) / (l - 2 * c + rr))) ELSE 0 END) AS hr FROM v) SELECT vec_id, round(CASE WHEN hr BETWEEN 30 AND 180 THEN hr END, 4) AS hr_autocorr FROM o""")
 def hr_autocorr(spark, sf_dir):
-    return windows64(spark, sf_dir).select("vec_id", F.round(F.nanvl(E.heart_rate("autocorr", F.col("w"), 8.0), F.lit(None).cast("double")), 4).alias("hr_autocorr"))
+    return windows64(spark, sf_dir).select("vec_id", F.round(E.heart_rate("autocorr", F.col("w"), 8.0), 4).alias("hr_autocorr"))
 
 
 def _estimator(name: str):
