@@ -15,7 +15,7 @@ from wavelane.llm.language_id import LanguageModel, keep_identified, labelled_te
 from wavelane.llm.near_dup import near_duplicates
 from wavelane.llm.packing import pack
 from wavelane.llm.quality import fit_field, keep_content
-from wavelane.llm.sentence_spans import remove_repeats
+from wavelane.llm.sentence_spans import RUN_WORDS, remove_repeats
 from wavelane.llm.shared import documents, fold, stored
 
 
@@ -39,8 +39,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the sentences of passages that came earlier; n_chars is counted again."""
-    left = remove_repeats(docs)
+    """Documents without the sentences, and runs of over 50 words, that came earlier; n_chars is counted again."""
+    left = remove_repeats(docs, run_words=RUN_WORDS)
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)

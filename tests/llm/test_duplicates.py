@@ -179,6 +179,45 @@ def test_sentences_at_the_edges(spark, odd, none):
     assert sentence_spans.remove_repeats(none).count() == 0
 
 
+def brute_runs(rows, run_words):
+    """Word places that a run of so many words covers which occurs earlier."""
+    words = {d: re.findall(r"[^\x20\x09-\x0D]+", t or "") for d, t in rows}
+    first, gone = {}, {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - run_words + 1):
+            if first.setdefault(tuple(words[d][i : i + run_words]), (d, i)) != (d, i):
+                gone.setdefault(d, set()).update(range(i, i + run_words))
+    return {d: [w for k, w in enumerate(words[d]) if k not in gone.get(d, ())] for d in words}
+
+
+def test_passages_in_mid_sentence(spark):
+    rng = random.Random(12)
+    fresh = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    passages = [fresh(60), fresh(25) + ". " + fresh(30), fresh(20) + ".\n" + fresh(9) + "! " + fresh(22), fresh(51), fresh(50)]
+    rows = [(k, f"{fresh(7)} {p} {fresh(5)}. {fresh(8)}.") for k, p in enumerate(passages)]
+    rows += [(10 + k, f"{fresh(9)}. {fresh(4)} {p} {fresh(6)} {fresh(3)}. {fresh(3)}") for k, p in enumerate(passages)]
+    rows += [(30, f"{passages[0]} {passages[3]}"), (31, f"{fresh(3)} {passages[1]}"), (32, " ".join(["ha"] * 80)), (None, passages[0])]
+    got = {r.doc_id: r for r in sentence_spans.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), run_words=51).collect()}
+    expect = brute_runs([r for r in rows if r[0] is not None], 51)
+    assert {d: r.text.split() for d, r in got.items() if d is not None} == expect
+    assert got[None].text == passages[0] and got[30].text == "" and [len(expect[d]) for d in (10, 11, 12, 13, 14, 32)] == [25, 25, 25, 25, 75, 1]
+    for d, t in rows:
+        raw = t.encode()
+        for span in reversed(got[d].removed):
+            raw = raw[: span.start] + raw[span.end :]
+        assert raw.decode() == got[d].text and (got[d].n_removed > 0) == (got[d].text != t)
+
+
+def test_query_leaves_no_run_of_over_50_words(spark, docs):
+    from wavelane.llm.queries import op9_sentence_spans
+
+    got = {r.doc_id: r.text.split() for r in op9_sentence_spans(spark, "/root/testdata/sf0.001").collect()}
+    runs = brute_runs([(r.doc_id, r.text) for r in docs.collect()], 51)
+    for d, left in runs.items():
+        rest = iter(left)
+        assert all(w in rest for w in got[d])
+
+
 # -- near-duplicates -------------------------------------------------------------------------------------------------
 
 

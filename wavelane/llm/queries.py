@@ -11,7 +11,7 @@ from wavelane.llm.near_dup import near_duplicates
 from wavelane.llm.packing import pack
 from wavelane.llm.piece_codec import round_trips
 from wavelane.llm.quality import assess, fit_field
-from wavelane.llm.sentence_spans import remove_repeats
+from wavelane.llm.sentence_spans import RUN_WORDS, remove_repeats
 from wavelane.llm.shared import documents, fold
 from wavelane.llm.suffix_levels import remove_repeated_bytes
 from wavelane.llm.token_counts import count_tokens
@@ -56,7 +56,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_sentences", "n_removed", "removed", "text")
+    return remove_repeats(documents(spark, sf_dir), run_words=RUN_WORDS).select("doc_id", "n_sentences", "n_removed", "removed", "text")
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and word runs.
 
 A sentence ends with a word that ends in a full stop, question or exclamation mark, or that
 a line feed or the text's end follows. From each sentence runs the shortest span of at least
 two sentences and twelve words that starts there, and to each the shortest that ends there;
-every span is hashed by its words. Spans are joined over all documents, and all sentences
-that a span covers which also occurs earlier (smaller doc_id, or same document and earlier
-start) are removed.
+every span is hashed by its words. A passage that begins or ends inside of a host's sentence
+shares no such span with its edges, so every run of 51 words is hashed as well, from each
+word on, if ``run_words`` asks for it. Spans and runs are joined over all documents, and all words that one covers which
+also occurs earlier (smaller doc_id, or same document and earlier start) are removed: no
+run of over 50 words is left that occurs earlier in the input, wherever sentences end.
 """
 
 from __future__ import annotations
@@ -21,6 +23,10 @@ from wavelane.llm.shared import partitions
 from wavelane.llm.textnum import BYTE_KEYS, U64, _power_tables, find_words, hash_spans, mix, row_ranges, text_bytes
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 12
+#: Words that repeat count from here on whatever sentences they stand in.
+RUN_WORDS = 51
+#: Bytes of text whose spans and runs, one a word, a task gathers before it sends them.
+GATHER_BYTES = FLUSH_BYTES // 4
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -54,20 +60,27 @@ def spans(first: np.ndarray, sentence_at: np.ndarray, least_sentences: int, leas
     return row[low] if len(low) else low, low, pair & 0xFFFFFFFF
 
 
-def span_entries(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, least_sentences: int, least_words: int) -> list[np.ndarray]:
-    """(key, doc, start, end) of all spans of the rows, places counted in sentences of the document."""
+def span_entries(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, least_sentences: int, least_words: int, run_words: int | None = None) -> list[np.ndarray]:
+    """(key, doc, start, end) of all spans and runs of the rows, places counted in words of the document."""
     starts, ends, first, at = sentences(data, offsets)
     row, low, high = spans(first, at, least_sentences, least_words)
+    word_at = first[at]
+    low, high = first[low], first[high]
+    if run_words:
+        runs = np.maximum(np.diff(word_at) - run_words + 1, 0)
+        run_row = np.repeat(np.arange(len(runs)), runs)
+        run = np.arange(len(run_row)) + (word_at[:-1] - np.cumsum(runs) + runs)[run_row]
+        row, low, high = np.concatenate([row, run_row]), np.concatenate([low, run]), np.concatenate([high, run + run_words])
     words = hash_spans(data, starts, ends, BYTE_KEYS)
     up, down = _power_tables(len(words) + 1)
     sums = np.concatenate([np.zeros(1, U64), np.cumsum(words * up[: len(words)])])
-    key = mix((sums[first[high]] - sums[first[low]]) * down[first[low]] + (first[high] - first[low]).astype(U64))
-    base = at[:-1][row] if len(row) else row
+    key = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(U64))
+    base = word_at[row]
     return [key, ids[row], (low - base).astype(np.int32), (high - base).astype(np.int32)]
 
 
-def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, n: int) -> DataFrame:
-    """Blobs of marks, by document, of all spans that also occur earlier."""
+def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, run_words: int | None, n: int) -> DataFrame:
+    """Blobs of marks, by document, of all spans and runs that also occur earlier."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, parts, size = Blobs(), [], 0
@@ -87,9 +100,9 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, n: i
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, offsets = text_bytes(batch.column(1))
             for low, high in row_ranges(offsets):
-                parts.append(span_entries(ids[low:high], data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], least_sentences, least_words))
+                parts.append(span_entries(ids[low:high], data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], least_sentences, least_words, run_words))
                 size += int(offsets[high] - offsets[low])
-                if size >= FLUSH_BYTES:
+                if size >= GATHER_BYTES:
                     send()
             yield from out.take()
         send()
@@ -116,8 +129,9 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, n: i
     return by_bucket(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(gather, BLOBS), n).mapInArrow(meet, BLOBS)
 
 
-def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS) -> DataFrame:
-    """``docs`` with repeated spans cut out of ``text``, and n_sentences, n_removed, removed (byte ranges of the old text).
+def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, run_words: int | None = None) -> DataFrame:
+    """``docs`` with repeated spans and runs cut out of ``text``, and n_sentences, n_removed (those that lose words), removed
+    (byte ranges of the old text). Without ``run_words`` only spans of whole sentences count.
 
     All columns are kept; the new ones replace columns of their names. Rows with a null doc_id have no place in the order: they stay
     whole and repeat nothing. Rows that share a doc_id and text are one document; a null text stays null, with no sentences; an
@@ -127,7 +141,7 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
     new = ["n_sentences", "n_removed", "removed"]
     rest = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *rest)
-    marks = repeated_spans(docs, least_sentences, least_words, n)
+    marks = repeated_spans(docs, least_sentences, least_words, run_words, n)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = Spans()
@@ -142,12 +156,13 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
                 texts, counts, removed, ranges = batch.column(1).to_pylist(), np.diff(at), [], []
                 for k, doc in enumerate(batch.column(0).to_pylist()):
                     low, high = marked.of(doc)
-                    gone = cover(low, high, int(counts[k])) if len(low) else np.zeros(counts[k], bool)
-                    removed.append(int(gone.sum()))
+                    own = first[at[k] : at[k + 1] + 1] - first[at[k]]
+                    gone = cover(low, high, int(own[-1])) if len(low) else np.zeros(own[-1], bool)
+                    removed.append(int(np.logical_or.reduceat(gone, own[:-1]).sum()) if len(low) else 0)
                     ranges.append([])
                     if removed[-1]:
-                        # A sentence reaches to the next one's first word; the first from the text's start.
-                        edge = np.append(starts[first[at[k] : at[k + 1]]], offsets[k + 1]) - offsets[k]
+                        # A word reaches to the next one; the first from the text's start.
+                        edge = np.append(starts[first[at[k]] : first[at[k + 1]]], offsets[k + 1]) - offsets[k]
                         edge[0] = 0
                         turns = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                         ranges[-1] = [{"start": int(edge[a]), "end": int(edge[b])} for a, b in zip(turns[::2], turns[1::2], strict=True)]
