@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -143,6 +143,32 @@ def test_dropout_is_lossless_seeded_and_varied(docs, library):
     assert set(np.frombuffer(piece_codec.PieceCodec(PIECES, 1.0, 1).encode("the word"), "<u4").tolist()) <= {library.piece_to_id(c) for c in "▁theword"}
 
 
+def test_dropout_draws_for_each_occurrence():
+    """Forms of a word over documents and within one, and their shares, are those of independent draws."""
+    own, rng = piece_codec.PieceCodec(PIECES, 0.1, 17), random.Random(3)
+    for word in ("information", "because", "different", "together"):
+        pieces = lambda gaps: tuple(own.segment("▁" + word, gaps)[0])  # noqa: E731, B023
+        geometric = lambda: (int(np.log(rng.random()) / np.log(0.9)) for _ in range(99))
+        expect = Counter(pieces(geometric()) for _ in range(4000))
+        over = Counter(tuple(np.frombuffer(own.encode(word, own.variant(d)), "<u4").tolist()) for d in range(4000))
+        assert len(over) > 6 and abs(over.most_common(1)[0][1] - expect.most_common(1)[0][1]) < 200
+        assert abs(len(over) - len(expect)) < 0.4 * len(expect)
+        line = own.encode(" ".join([word] * 300), 5)
+        assert len({own.encode(f"{word} {word}", d) for d in range(300)}) > len({own.encode(word, d) for d in range(300)}) > 4
+        assert line != own.encode(word, 5) * 300 and own.decode(line) == " ".join([word] * 300)
+        assert line == piece_codec.PieceCodec(PIECES, 0.1, 17).encode(" ".join([word] * 300), 5)
+
+
+def test_dropout_does_not_depend_on_what_is_remembered(docs, monkeypatch):
+    texts = [(r.doc_id, r.text) for r in docs.limit(60).collect()]
+    a = piece_codec.PieceCodec(PIECES, 0.1, 1)
+    expect = [a.encode(t, d) for d, t in texts]
+    assert expect == [a.encode(t, d) for d, t in texts]
+    monkeypatch.setattr(piece_codec, "MEMO_ENTRIES", 50)
+    b = piece_codec.PieceCodec(PIECES, 0.1, 1)
+    assert expect[::-1] == [b.encode(t, d) for d, t in reversed(texts)]
+
+
 def test_codec_tables(spark, docs, odd, none):
     encoded = piece_codec.encode_texts(odd, PIECES, 0.1, 3)
     back = piece_codec.decode_texts(encoded, PIECES).collect()

@@ -1,10 +1,12 @@
 """Piece encoding with seeded merge-dropout, and decoding.
 
 A merge-type segmentation takes candidate merges from an agenda by rank, the leftmost first.
-With dropout each candidate that comes up is skipped if a keyed hash of its place and piece
-falls below the rate; it may come up again after a neighbour has merged. The key is a seed
-and the document's variant, so that a run can be repeated exactly and another seed gives
-other segmentations. At rate 0 the result is the library's own. Characters that are no
+With dropout each candidate that comes up is skipped at the rate, independently of all others;
+it may come up again after a neighbour has merged. What is drawn is how many candidates pass
+before the next skip, by a hash of a seed, the document and the pre-token's place in it, so
+that a run can be repeated exactly and another seed gives other segmentations. A pre-token's
+segmentation depends on which candidates in turn are skipped alone, so results are remembered
+by that; each occurrence still has draws of its own. At rate 0 the result is the library's own. Characters that are no
 piece become byte pieces, as does the mark that stands for a space, so decoding gives back
 every text.
 """
@@ -14,16 +16,21 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-#: Segmentations of a pre-token that a seed gives; a document uses one of them throughout.
-VARIANTS = 4
-MEMO_ENTRIES = 300_000
+from wavelane.llm.textnum import U64, mix
+
+#: Segmentations remembered, over all pre-tokens and the skips in them.
+MEMO_ENTRIES = 800_000
+#: Draws made at once for each pre-token; more follow where so many skips are not enough.
+DRAWS = 4
+_STEP = U64(0x9E3779B97F4A7C15)
 _MARK = "▁"
 _PIECES = re.compile(r"\n[^ \n]*| +[^ \n]*")
 
@@ -46,12 +53,27 @@ class PieceCodec:
             self.raw[i] = piece.replace(_MARK, " ").encode()
         for b, i in enumerate(self.bytes):
             self.raw[i] = bytes([b])
-        self.limit, self.seed = int(rate * 2**32), seed
-        self.memos: list[dict[str, bytes]] = [{} for _ in range(VARIANTS)]
-
-    def segment(self, text: str, key: int) -> list[str]:
-        """Pieces of a pre-token; its spaces are marks."""
-        ranks, limit, crc = self.ranks, self.limit, zlib.crc32
+        self.rate, self.seed = rate, seed
+        self.scale = 1 / np.log1p(-rate) if 0 < rate < 1 else -0.0
+        #: By pre-token: its ids, the candidates that came up, and by the next one skipped the same again.
+        self.memo: dict[str, list] = {}
+        self.entries = 0
+
+    def gaps(self, key: np.ndarray, n: int) -> np.ndarray:
+        """n draws of how many candidates pass before one is skipped; ``key`` is one 64-bit number."""
+        u = ((mix(key + np.arange(1, n + 1, dtype=U64) * _STEP) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+        return np.minimum(np.log(u) * self.scale, 1e9).astype(np.int64)
+
+    def _more_gaps(self, key: np.ndarray, place: int) -> Iterator[int]:
+        own = mix(mix(key ^ _STEP) + U64(place))
+        while True:
+            yield from self.gaps(own, 64).tolist()
+            own = mix(own + U64(1))
+
+    def segment(self, text: str, gaps: Iterable[int] = ()) -> tuple[list[str], int, int]:
+        """Pieces of a pre-token, whose spaces are marks; the candidates that came up, and how many were skipped."""
+        ranks, gaps, seen, skips = self.ranks, iter(gaps), 0, 0
+        left = next(gaps, -1)
         symbols, n = list(text), len(text)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = [(r, i, 2) for i in range(n - 1) if (r := ranks.get(symbols[i] + symbols[i + 1])) is not None]
@@ -61,9 +83,13 @@ class PieceCodec:
             j = after[i]
             if not symbols[i] or j < 0 or len(symbols[i]) + len(symbols[j]) != size:
                 continue  # one of the two has merged meanwhile
-            piece = symbols[i] + symbols[j]
-            if limit and crc(b"%d %b" % (i, piece.encode()), key) < limit:
+            seen += 1
+            if not left:
+                skips += 1
+                left = next(gaps, -1)
                 continue
+            left -= 1
+            piece = symbols[i] + symbols[j]
             symbols[i], symbols[j] = piece, ""
             after[i] = k = after[j]
             if k >= 0:
@@ -72,47 +98,79 @@ class PieceCodec:
                     heapq.heappush(agenda, (r, i, size + len(symbols[k])))
             if (h := before[i]) >= 0 and (r := ranks.get(symbols[h] + piece)) is not None:
                 heapq.heappush(agenda, (r, h, len(symbols[h]) + size))
-        return [s for s in symbols if s]
+        return [s for s in symbols if s], seen, skips
 
-    def _ids(self, text: str, key: int) -> bytes:
+    def _ids(self, text: str, gaps: Iterable[int] = ()) -> tuple[bytes, int, int]:
         out: list[int] = []
-        for piece in self.segment(text, key):
+        pieces, seen, skips = self.segment(text, gaps)
+        for piece in pieces:
             if (i := self.ids.get(piece)) is not None:
                 out.append(i)
             else:
                 out += [self.bytes[b] for b in piece.encode()]
-        return np.array(out, "<u4").tobytes()
+        return np.array(out, "<u4").tobytes(), seen, skips
+
+    def _drawn(self, text: str, key: np.ndarray, place: int, draws: list[int]) -> bytes:
+        """Ids of a pre-token by its draws: remembered for the same skips, or else merged."""
+        node, above, at, skips = self.memo.get(text), None, draws[0] if draws else 1 << 60, 0
+        while node is not None:
+            if at >= node[1]:
+                return node[0]
+            above, edge = node, at
+            node = node[2].get(at) if node[2] else None
+            skips += 1
+            if skips == len(draws):
+                break
+            at += 1 + draws[skips]
+        ids, seen, done = self._ids(text if text[:1] == "\n" else _MARK + text.replace(" ", _MARK), chain(draws, self._more_gaps(key, place)) if draws else ())
+        if node is None and done == skips:
+            if self.entries >= MEMO_ENTRIES:
+                self.memo.clear()
+                self.entries, above = 0, above and [b"", 0, None]
+            self.entries += 1
+            if above is None:
+                self.memo[text] = [ids, seen, None]
+            elif above[2] is None:
+                above[2] = {edge: [ids, seen, None]}
+            else:
+                above[2][edge] = [ids, seen, None]
+        return ids
 
     def encode(self, text: str, variant: int = 0) -> bytes:
-        """Little-endian 32-bit ids of a text."""
+        """Little-endian 32-bit ids of a text, by the draws of a document's variant."""
         if not text:
             return b""
-        memo, key = self.memos[variant], zlib.crc32(b"%d %d" % (self.seed, variant))
         if _MARK in text:
             # Marks of the text itself: its parts between them are encoded on their own, the marks as bytes.
             mark = np.array([self.bytes[b] for b in _MARK.encode()], "<u4").tobytes()
-            parts = [" " + text.split(_MARK)[0], *text.split(_MARK)[1:]]
-            return mark.join(b"".join(self._ids(m.replace(" ", _MARK), key) for m in re.findall(r"\n|[^ \n]+| +[^ \n]*", p)) for p in parts)
+            parts = [re.findall(r"\n|[^ \n]+| +[^ \n]*", p) for p in [" " + text.split(_MARK)[0], *text.split(_MARK)[1:]]]
+            key, draws = self._draws(variant, sum(map(len, parts)))
+            places = iter(range(len(draws)))
+            own = lambda m, k: self._ids(m.replace(" ", _MARK), chain(draws[k], self._more_gaps(key, k)) if draws[k] else ())[0]
+            return mark.join(b"".join(own(m, next(places)) for m in p) for p in parts)
         if "  " in text or text[0] == " ":
             keys = [m[1:] if m[0] == " " else m for m in _PIECES.findall(" " + text)]
         else:
             keys = text.replace("\n", " \n").split(" ")
-        try:
-            return b"".join(map(memo.__getitem__, keys))
-        except KeyError:
-            if len(memo) > MEMO_ENTRIES:
-                memo.clear()
-            for k in set(keys).difference(memo):
-                line = k[:1] == "\n"
-                memo[k] = self._ids(k if line else _MARK + k.replace(" ", _MARK), key)
-            return b"".join(map(memo.__getitem__, keys))
+        key, draws = self._draws(variant, len(keys))
+        get, out = self.memo.get, []
+        for k, own in enumerate(draws):
+            node = get(keys[k])
+            out.append(node[0] if node is not None and (not own or own[0] >= node[1]) else self._drawn(keys[k], key, k, own))
+        return b"".join(out)
+
+    def _draws(self, variant: int, n: int) -> tuple[np.ndarray, list[list[int]]]:
+        """The variant's key, and the first draws of n pre-tokens; none at rate 0."""
+        key = mix(mix(np.array([self.seed & (2**64 - 1)], U64)) + np.array([variant & (2**64 - 1)], U64))
+        return key, self.gaps(key, n * DRAWS).reshape(n, DRAWS).tolist() if self.rate > 0 else [[]] * n
 
     def decode(self, ids: bytes) -> str:
         """The text that the ids encode; their first space is the one that encoding adds."""
         return b"".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))[1:].decode()
 
     def variant(self, doc_id: int | None) -> int:
-        return zlib.crc32(b"%d:%d" % (self.seed, -1 if doc_id is None else doc_id)) % VARIANTS
+        """The document's own: its id, and a number that no id has for a null one."""
+        return 1 << 63 if doc_id is None else doc_id
 
 
 _codecs: dict[tuple, PieceCodec] = {}
@@ -126,7 +184,7 @@ def codec(model_path: str, rate: float, seed: int) -> PieceCodec:
 
 
 def encode_texts(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0) -> DataFrame:
-    """Rows (doc_id, ids). Null texts count as empty, without ids; a null doc_id has a variant of its own; other columns are ignored."""
+    """Rows (doc_id, ids). Null texts count as empty, without ids; null doc_ids share a variant of their own; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, rate, seed)
@@ -150,7 +208,8 @@ def decode_texts(encoded: DataFrame, model_path: str) -> DataFrame:
 
 
 def round_trips(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int = 0) -> DataFrame:
-    """Rows (doc_id, n_bytes, n_tokens, ids_crc32, variant, lossless), one for each row of ``docs``.
+    """Rows (doc_id, n_bytes, n_tokens, ids_crc32, variant, lossless), one for each row of ``docs``. ``variant`` is a crc32 of the
+    seed and the id, as a signed number; the draws are by the whole id.
 
     ``lossless``: decoding the ids gives the text. Null texts count as empty; repeated rows give repeated rows; an empty
     table gives none; other columns are ignored. One pass over the scan, without a shuffle.
@@ -163,7 +222,7 @@ def round_trips(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int =
             variant = [own.variant(d) for d in docs_]
             ids = [own.encode(t, v) for t, v in zip(texts, variant, strict=True)]
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
-            columns = [batch.column(0), size, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(variant, pa.int32()), pa.array([own.decode(i) == t for i, t in zip(ids, texts, strict=True)])]
+            columns = [batch.column(0), size, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(np.array([zlib.crc32(b"%d:%d" % (seed, v)) for v in variant], np.uint32).view(np.int32)), pa.array([own.decode(i) == t for i, t in zip(ids, texts, strict=True)])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "variant", "lossless"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, ids_crc32 long, variant int, lossless boolean")
