@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections import defaultdict
@@ -292,6 +293,20 @@ def test_sketches_estimate_high_similarities():
     assert abs(np.mean(error)) < 0.02 and np.std(error) < 0.05
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_sketches_lose_hardly_a_pair(similarity):
+    """The exact distribution of the bits that differ, for ideal hashes."""
+    n, bits = near_dup.SAMPLES, near_dup.SKETCH_BITS
+    odd, over, k = np.zeros(bits + 1), [], np.arange(bits + 1)
+    odd[0] = 1
+    for _ in range(n + 1):
+        over.append(odd[near_dup.most_different(similarity) + 1 :].sum())
+        for _ in range(2):
+            odd = np.concatenate([[0], (odd * (bits - k) / bits)[:-1]]) + np.concatenate([(odd * k / bits)[1:], [0]])
+    share = [math.comb(n, d) * (1 - similarity) ** d * similarity ** (n - d) for d in range(n + 1)]
+    assert np.dot(share, over) < 2e-8
+
+
 def test_components_of_chains_and_cycles(spark):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 102), (102, 100)] + [(200, x) for x in range(201, 230)]

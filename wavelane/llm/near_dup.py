@@ -5,7 +5,7 @@
    parities. The population count of two sketches' XOR estimates a high similarity closely.
 2. Documents with equal sets become one class with its smallest doc_id as representative.
 3. Representatives that share a band key meet in a task. Those whose sketches come near the
-   threshold at all (four standard deviations) are candidates; only a spanning forest of the
+   threshold at all (six standard deviations) are candidates; only a spanning forest of the
    candidate pairs leaves the task, not the pairs. A key with very many members is split into
    blocks, and all its members count as candidates of its smallest id.
 4. The forests' components hold every candidate pair. Their texts are fetched, and inside of each
@@ -15,7 +15,8 @@
 5. Components of the confirmed links are found by alternating large-star and small-star steps.
 
 A pair of similarity 0.85 shares no band key with a probability of 6e-7 (0.8: 2e-5); one that
-does is missed by its sketch only if that is four standard deviations off.
+does is missed by its sketch only if that is over six standard deviations off (below 2e-8 at
+0.85 and at 0.8, by the exact distribution for ideal hashes).
 """
 
 from __future__ import annotations
@@ -85,9 +86,15 @@ def odd_sketches(samples: np.ndarray) -> np.ndarray:
     return np.packbits((counts & 1).astype(np.uint8).reshape(n, SKETCH_BITS), axis=1).view(U64)
 
 
-def most_different(similarity: float) -> int:
-    """Bits in which sketches differ at most, by expectation, at this similarity."""
-    return int(SKETCH_BITS / 2 * (1 - np.exp(-4 * SAMPLES * (1 - similarity) / SKETCH_BITS)))
+def most_different(similarity: float, deviations: float = 6) -> int:
+    """Bits in which sketches of this similarity differ at most, so many standard deviations above expectation.
+
+    Of the samples a binomial number differs, and each that does turns a bit of either sketch.
+    """
+    # The mean of (-1)^x over the bits x of the XOR, and of the product of two of them.
+    one, two = ((1 - (1 - similarity) * (1 - (1 - c / SKETCH_BITS) ** 2)) ** SAMPLES for c in (2, 4))
+    variance = (SKETCH_BITS + SKETCH_BITS * (SKETCH_BITS - 1) * two - (SKETCH_BITS * one) ** 2) / 4
+    return int(np.ceil(SKETCH_BITS / 2 * (1 - one) + deviations * np.sqrt(variance)))
 
 
 def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
@@ -278,7 +285,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
         met = met.where("least IS NULL").drop("least")
     else:
         met, stars = member, None
-    hardly = most_different(percent / 100 - 0.14)
+    hardly = most_different(percent / 100)
 
     def near(table: pa.Table) -> list[tuple[int, int]]:
         sketches = np.frombuffer(b"".join(table.column(2).to_pylist()), U64).reshape(table.num_rows, -1)
