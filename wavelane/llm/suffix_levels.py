@@ -1,4 +1,4 @@
-"""Exact removal of repeated byte strings with a logarithmic family of sampled suffix arrays.
+"""Exact removal of repeated byte strings with a logarithmic family of hash levels over anchored windows; no suffix is sorted.
 
 Sampling. A window is ``LENGTH`` bytes. Its anchor is the least hash among its strings of
 ``SEED`` bytes; equal windows have equal anchors at equal distances. Neighbouring windows
