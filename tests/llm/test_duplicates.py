@@ -49,7 +49,7 @@ def test_levels_find_every_later_place():
             places[k].add((d, s))
         firsts, others = exchange.first_of_each([key, doc, start, start])
         levels.add(firsts)
-        for _, a in [(0, others[1:]), *levels.take()]:
+        for a in [others[1:], *levels.take()]:
             marked |= set(zip(a[0].tolist(), a[1].tolist(), strict=True))
     expect = {p for own in places.values() for p in own if p != min(own)}
     assert expect <= marked and len(levels.levels) <= 9
@@ -91,16 +91,16 @@ def byte_rows(seed, n=150):
     return rows
 
 
-@pytest.mark.parametrize("seed,parts", [(1, 1), (2, 6)])
-def test_bytes_by_brute_force(spark, seed, parts):
+@pytest.mark.parametrize("seed,parts,paired,batch", [(1, 1, 32, 1 << 16), (2, 6, 32, 1 << 16), (3, 5, 2, 50), (4, 7, 1, 7)])
+def test_bytes_by_brute_force(spark, seed, parts, paired, batch):
     rows = byte_rows(seed)
-    got = suffix_levels.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+    got = suffix_levels.remove_repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts), paired=paired, batch=batch).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(rows)
 
 
-def test_bytes_in_small_batches(spark, docs, monkeypatch):
+def test_bytes_in_small_batches(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
-    got = suffix_levels.remove_repeated_bytes(docs.repartition(9), with_text=True).collect()
+    got = suffix_levels.remove_repeated_bytes(docs.repartition(9), with_text=True, batch=500).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_bytes(rows)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 

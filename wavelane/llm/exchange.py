@@ -18,9 +18,11 @@ from wavelane.llm.textnum import U64, mix
 
 BLOBS = "kind int, bucket int, blob binary"
 #: Kinds of blobs. They sort so that a task meets marks and requests before documents.
-KEYS, MARKS, REQUESTS, PARTS, PART_REQUESTS, WINDOWS, TEXTS = range(7)
+KEYS, MARKS, REQUESTS, PARTS, WINDOWS, TEXTS = range(6)
 #: Bytes of text that a task gathers before it puts equal keys together and sends them.
 FLUSH_BYTES = 16 << 20
+#: Entries of blobs that make a batch of their own for a family of levels.
+BATCH_ENTRIES = 1 << 16
 
 
 def pack_arrays(arrays: list[np.ndarray], widths: dict[int, int] | None = None) -> bytes:
@@ -208,68 +210,94 @@ def not_again(doc: np.ndarray, start: np.ndarray, first: np.ndarray) -> np.ndarr
     return ~first & ((doc != doc[lead]) | (start != start[lead]))
 
 
+def sorted_by(key: np.ndarray, *then: np.ndarray) -> np.ndarray:
+    """The order by key and then by the other arrays, which only entries with equal keys are sorted by."""
+    order = np.argsort(key)
+    same = key[order[1:]] == key[order[:-1]]
+    tied = np.zeros(len(order), bool)
+    tied[1:] = same
+    tied[:-1] |= same
+    at = np.flatnonzero(tied)
+    if len(at):
+        own = order[at]
+        order[at] = own[np.lexsort((*(a[own] for a in reversed(then)), key[own]))]
+    return order
+
+
 def first_of_each(arrays: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Entries (key, doc, start, end, ...): by rising key the first place of each, and the other places."""
-    order = np.lexsort((arrays[2], arrays[1], arrays[0]))
+    """Entries (key, doc, start, end, and what else must be equal): by rising key the first place of each, and the other places."""
+    order = sorted_by(arrays[0], *arrays[4:], arrays[1], arrays[2])
     arrays = [a[order] for a in arrays]
     first = np.ones(len(order), bool)
-    first[1:] = arrays[0][1:] != arrays[0][:-1]
+    first[1:] = np.logical_or.reduce([a[1:] != a[:-1] for a in (arrays[0], *arrays[4:])])
     others = not_again(arrays[1], arrays[2], first)
     return [a[first] for a in arrays], [a[others] for a in arrays]
 
 
+class Batches:
+    """Puts the arrays of small blobs together until they make a batch."""
+
+    def __init__(self, least: int = BATCH_ENTRIES):
+        self.least, self.parts, self.size = least, [], 0
+
+    def add(self, arrays: list[np.ndarray]) -> list[list[np.ndarray]]:
+        """The batch, once there are entries enough for one."""
+        self.parts.append(arrays)
+        self.size += len(arrays[0])
+        return self.rest() if self.size >= self.least else []
+
+    def rest(self) -> list[list[np.ndarray]]:
+        parts, self.parts, self.size = self.parts, [], 0
+        return [[np.concatenate(x) for x in zip(*parts, strict=True)]] if parts else []
+
+
+def merged_levels(levels: list[list[np.ndarray]], order: Callable[[list[np.ndarray]], np.ndarray]) -> None:
+    """Merges levels of about equal size, from the last on, so that n entries keep about log n of them."""
+    while len(levels) > 1 and len(levels[-2][0]) < 2 * len(levels[-1][0]):
+        b, a = levels.pop(), levels.pop()
+        both = [np.concatenate(x) for x in zip(a, b, strict=True)]
+        own = order(both)
+        levels.append([x[own] for x in both])
+
+
 class Levels:
-    """A logarithmic index family over entries (key, doc, start, end, ...) with distinct keys.
+    """A logarithmic index family over entries (key, doc, start, end, and what else must be equal) with distinct keys.
 
     Each batch, sorted by key, is scanned against every level; what the levels lack becomes a level of its own,
-    and levels of about equal size merge, so that n entries keep about log n levels.
+    and levels of about equal size merge. Of two entries that are equal the earlier stays in its level; the later one
+    is put out as a mark, unless they are the same place.
     """
 
-    def __init__(self, on_match: Callable | None = None):
+    def __init__(self):
         self.levels: list[list[np.ndarray]] = []
-        self.on_match = on_match or self._later
-        self.out: list[tuple[int, list[np.ndarray]]] = []
-
-    def _later(self, level: list[np.ndarray], i: np.ndarray, batch: list[np.ndarray], j: np.ndarray) -> None:
-        """Of two entries with one key the earlier stays in the level; the later one is put out as a mark, unless they are the same place."""
-        sooner = earlier(batch[1][j], batch[2][j], level[1][i], level[2][i])
-        same = (batch[1][j] == level[1][i]) & (batch[2][j] == level[2][i])
-        late = [np.where(sooner, a[i], b[j])[~same] for a, b in zip(level[1:4], batch[1:4], strict=True)]
-        for a, b in zip(level[1:], batch[1:], strict=True):
-            a[i[sooner]] = b[j[sooner]]
-        self.out.append((MARKS, late))
+        self.out: list[list[np.ndarray]] = []
 
     def add(self, batch: list[np.ndarray]) -> None:
-        """A batch in any order; entries with equal keys count one after the other."""
-        order = np.argsort(batch[0], kind="stable")
-        batch = [a[order] for a in batch]
-        first = np.ones(len(order), bool)
-        first[1:] = batch[0][1:] != batch[0][:-1]
-        if not first.all():
-            rest = [a[~first] for a in batch]
-            batch = [a[first] for a in batch]
-            self._add(batch)
-            self.add(rest)
-        else:
-            self._add(batch)
-
-    def _add(self, batch: list[np.ndarray]) -> None:
+        """A batch in any order."""
+        batch, late = first_of_each(batch)
+        self.out.append(late[1:4])
         for level in self.levels:
             at = np.searchsorted(level[0], batch[0])
             hit = at < len(level[0])
             hit[hit] = level[0][at[hit]] == batch[0][hit]
             if hit.any():
                 j = np.flatnonzero(hit)
-                self.on_match(level, at[j], batch, j)
+                self._meet(level, at[j], batch, j)
                 batch = [a[~hit] for a in batch]
-        if not len(batch[0]):
-            return
-        self.levels.append([a.copy() for a in batch])
-        while len(self.levels) > 1 and len(self.levels[-2][0]) < 2 * len(self.levels[-1][0]):
-            b, a = self.levels.pop(), self.levels.pop()
-            order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
-            self.levels.append([np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True)])
-
-    def take(self) -> list[tuple[int, list[np.ndarray]]]:
+        if len(batch[0]):
+            self.levels.append(batch)
+            merged_levels(self.levels, lambda both: np.argsort(both[0], kind="stable"))
+
+    def _meet(self, level: list[np.ndarray], i: np.ndarray, batch: list[np.ndarray], j: np.ndarray) -> None:
+        equal = np.logical_and.reduce([np.ones(len(i), bool), *(a[i] == b[j] for a, b in zip(level[4:], batch[4:], strict=True))])
+        i, j = i[equal], j[equal]
+        sooner = earlier(batch[1][j], batch[2][j], level[1][i], level[2][i])
+        same = (batch[1][j] == level[1][i]) & (batch[2][j] == level[2][i])
+        self.out.append([np.where(sooner, a[i], b[j])[~same] for a, b in zip(level[1:4], batch[1:4], strict=True)])
+        for a, b in zip(level[1:4], batch[1:4], strict=True):
+            a[i[sooner]] = b[j[sooner]]
+
+    def take(self) -> list[list[np.ndarray]]:
+        """Marks (doc, start, end) that have come up since the last call."""
         out, self.out = self.out, []
-        return [(kind, arrays) for kind, arrays in out if len(arrays[0])]
+        return [m for m in out if len(m[0])]

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from wavelane.llm.exchange import BLOBS, REQUESTS, Blobs, blob_rows, by_bucket, doc_bucket, text_blobs, unpack_arrays, unpack_rows
-from wavelane.llm.shared import partitions, release, stored
+from wavelane.llm.shared import partitions, stored
 from wavelane.llm.textnum import FOLDED_KEYS, U64, distinct_by_row, find_words, hash_spans, mix, row_ranges, shingles, text_bytes
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -272,8 +272,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     its whole sequence as one. Rows with a null doc_id are linked with nothing, have a null component and are kept.
     Repeated rows give repeated rows; an empty table gives none; other columns are ignored.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     own = stored(sketch_documents(rows, size), "sketches")
     classes = stored(own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
@@ -293,11 +292,9 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
 
     candidates = _by_group(met.select("key", "doc_id", "sketch"), n, ["key"], "doc_id", near)
     candidates = stored((candidates.unionByName(stars) if stars else candidates).distinct(), "candidates")
-    release(spark)
     groups = components(candidates)
     groups = stored(groups.unionByName(groups.select(F.col("component").alias("doc_id"), "component").distinct()).withColumnRenamed("component", "group"), "groups")
     texts = stored(fetched(rows, groups, n), "texts")
-    release(spark)
 
     # A group is one unit, or its blocks meet pairwise: (0, 0), (0, 1), (1, 1) and so on.
     sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
@@ -311,7 +308,6 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
         return [(ids[i], ids[j]) for i, j in forest_of_links(values, at, table.column(4).to_numpy(), percent)]
 
     links = stored(_by_group(units.select("group", "low", "high", "doc_id", "side", "packed"), n, ["group", "low", "high"], "doc_id", similar), "links")
-    release(spark)
     found = components(links)
     by_set = classes.select("set_key", "doc_id").join(found, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
     joined = own.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")

@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
+from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Batches, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import partitions
 from wavelane.llm.textnum import BYTE_KEYS, U64, _power_tables, find_words, hash_spans, mix, row_ranges, text_bytes
 
@@ -109,21 +109,27 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, run_
         yield from out.take(0)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, levels, late = Blobs(), Levels(), []
+        out, levels, gathered = Blobs(), Levels(), Batches()
+        late, size = [], 0
+
+        def scan(entries: list[list[np.ndarray]], most: int) -> None:
+            nonlocal late, size
+            for batch in entries:
+                levels.add(batch)
+                late += levels.take()
+                size = sum(len(a[0]) for a in late)
+            if size > most:
+                doc, start, end = joined(*(np.concatenate(x) for x in zip(*late, strict=True)))
+                out.deal(MARKS, doc_bucket(doc, n), [doc, start, end])
+                late, size = [], 0
+
         for kind, bucket, blob in blob_rows(batches):
             if kind == MARKS:
                 out.put(MARKS, bucket, blob)
             else:
-                levels.add(unpack_arrays(blob))
-                late += [a for _, a in levels.take()]
-            if sum(len(a[0]) for a in late[-64:]) > 1 << 18:
-                doc, start, end = joined(*(np.concatenate(x) for x in zip(*late, strict=True)))
-                out.deal(MARKS, doc_bucket(doc, n), [doc, start, end])
-                late = []
+                scan(gathered.add(unpack_arrays(blob)), 1 << 18)
             yield from out.take()
-        if late:
-            doc, start, end = joined(*(np.concatenate(x) for x in zip(*late, strict=True)))
-            out.deal(MARKS, doc_bucket(doc, n), [doc, start, end])
+        scan(gathered.rest(), 0)
         yield from out.take(0)
 
     return by_bucket(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(gather, BLOBS), n).mapInArrow(meet, BLOBS)

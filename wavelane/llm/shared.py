@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -27,35 +28,29 @@ def stored(df: DataFrame, label: str, by: str | None = None) -> DataFrame:
     """``df`` written as a table in the shared folder, in folders by a column if asked for, and read back.
 
     Cuts the lineage: what is read later comes from shared storage, not from an
-    executor that may be lost.
+    executor that may be lost. The shuffle files of the write go when it ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(by) if by else writer).parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (writer.partitionBy(by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path).select(df.columns)
     out.stored_at = path
     return out
 
 
-def discard(table: DataFrame, part: str) -> None:
-    """Deletes a folder of a stored table that nothing reads any more."""
+def discard(table: DataFrame, part: str = "") -> None:
+    """Deletes a stored table, or a folder of it, that nothing reads any more."""
     spark = table.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.stored_at}/{part}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{table.stored_at}/{part}".rstrip("/"))
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of plans that are done, before the next large step writes its own.
-
-    Spark deletes them once the driver's garbage collection finds that no plan refers to them.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
-
-
 def fold(column: str, n: int) -> Column:
     """The remainder of crc32 of the id as text."""
     return F.crc32(F.col(column).cast("string")) % n

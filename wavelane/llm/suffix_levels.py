@@ -1,22 +1,24 @@
-"""Exact removal of repeated byte strings with a logarithmic family of hash levels over anchored windows; no suffix is sorted.
+"""Exact removal of repeated byte strings with a logarithmic family of suffix arrays, sparse and of two stages.
 
 Sampling. A window is ``LENGTH`` bytes. Its anchor is the least hash among its strings of
 ``SEED`` bytes; equal windows have equal anchors at equal distances. Neighbouring windows
-with one anchor form a run (of 64 at most), so only about one suffix in 33 is indexed, and
-yet each window belongs to exactly one indexed suffix. An entry has the anchor's hash as its
-key and a fingerprint of the whole run's bytes.
-
-Batches. A task's suffixes are sorted by anchor, which puts equal anchors together: a run
-whose whole fingerprint came earlier is repeated, all of it. Buckets of the anchor's hash
-hold the index family: each new batch is scanned against the sorted levels, and levels of
-about equal size merge. Where an anchor has runs with one fingerprint only, the scan settles
-all of them. Where runs differ, matches end inside of them. Those runs are cut into parts of
-up to 12 windows at equal distances from the anchor; a part's key is the hash of the bytes that
-all its windows share, so that parts which can't have a window in common don't meet. Parts go
-through a second family of levels, and only windows of parts that share a key and yet differ
-are compared one by one, in a third.
-
-Equal windows are told by 64-bit hashes of all their bytes.
+with one anchor form a run (of 64 at most), so only about one suffix in 30 is indexed, and
+yet each window belongs to exactly one indexed suffix.
+
+First stage: whole runs. A task's runs are sorted by anchor, which puts equal anchors
+together. Buckets of the anchor's hash hold a family of levels: each new batch is scanned
+against them, and levels of about equal size merge. Where an anchor has runs of one
+content only (told by 64 bits of its own beside the anchor's), all but the earliest are
+repeated. Where contents differ, matches end inside of the runs, and their bytes are asked for.
+
+Second stage: suffixes with bytes. Such a run is cut at equal distances from the anchor into
+parts of up to ``PART`` windows. What a part's windows share, its core of ``CORE`` bytes, is
+the head of the suffix, kept as a hash; what follows it and what precedes it are kept as they are,
+eight bytes each. A batch gets its suffix array, the order by core and following bytes, and is
+merge-scanned against the arrays of the levels: for suffixes that meet, the lengths of their
+matches to either side give the windows that they have in common. Arrays of about equal
+size merge. A core that has many contents is not compared pair by pair: its windows, again with
+their bytes, go on to buckets of their own, so that no core makes one task long.
 """
 
 from __future__ import annotations
@@ -28,15 +30,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, PART_REQUESTS, PARTS, REQUESTS, WINDOWS, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, not_again, text_blobs, unpack_arrays, unpack_rows
-from wavelane.llm.shared import discard, partitions, release, stored
+from wavelane.llm.exchange import BATCH_ENTRIES, BLOBS, FLUSH_BYTES, KEYS, MARKS, PARTS, REQUESTS, WINDOWS, Batches, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, earlier, first_of_each, joined, key_bucket, merged_levels, not_again, sorted_by, text_blobs, unpack_arrays, unpack_rows
+from wavelane.llm.shared import discard, partitions, stored
 from wavelane.llm.textnum import U64, mix, row_ranges, text_bytes
 
 LENGTH, SEED = 100, 36
 _RUN = LENGTH - SEED
-#: Windows of a part, and bytes that all windows of a part share.
-PART = 12
+#: Windows of a part, and bytes that all of them share; to either side of these are eight more at most.
+PART = 9
 CORE = LENGTH - PART + 1
+_FLANK = PART - 1
+#: Contents of one core that are compared in pairs; beyond, the windows of all of them are sorted.
+PAIRED = 32
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,8 +53,8 @@ def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the strings of SEED bytes, of the windows of LENGTH, and of strings of 64 and 32, from each byte on.
+def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the strings of SEED bytes, of the windows of LENGTH, of strings of 64 and 32, and the next 8 bytes, from each byte on.
 
     Built by doubling: 8 bytes as a number, then 16, 32, 64, and 36 and 100 from these and 4.
     """
@@ -62,7 +67,7 @@ def window_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     thirty_two = _pair(sixteen[:-16], sixteen[16:])
     seed = _pair(thirty_two[: n + 64], four[32 : n + 96])
     sixty_four = _pair(thirty_two[:n], thirty_two[32 : n + 32])
-    return seed, _pair(sixty_four, seed[64 : n + 64]), sixty_four, thirty_two
+    return seed, _pair(sixty_four, seed[64 : n + 64]), sixty_four, thirty_two, eight
 
 
 def anchored_runs(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -71,7 +76,7 @@ def anchored_runs(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     Tied: the anchor is there more than once, so the run's own windows may repeat. Windows are numbered by their first
     byte in ``data``; rows shorter than a window have none.
     """
-    seed, window, _, _ = window_hashes(data)
+    seed, window, _, _, _ = window_hashes(data)
     least, width = seed, 1
     while 2 * width <= _RUN:
         least = np.minimum(least[:-width], least[width:])
@@ -113,8 +118,12 @@ def _anchor_places(seed: np.ndarray, anchor: np.ndarray, first: np.ndarray, last
 
 
 def part_entries(data: np.ndarray, doc: np.ndarray, base: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """(key, doc, start, end, fingerprint) of the parts of runs; ``base``: where the run's document starts in ``data``."""
-    seed, window, sixty_four, thirty_two = window_hashes(data)
+    """(core, doc, head, reach, left, right) of the parts of runs; ``base``: where the run's document starts in ``data``.
+
+    ``head`` is the last window's start for a part that is not cut short; ``reach`` has the fewest and the most bytes before it
+    that a window of the part takes in; ``left`` ends at the head, ``right`` starts after the core, without bytes that no window has.
+    """
+    seed, _, sixty_four, thirty_two, eight = window_hashes(data)
     near = np.lib.stride_tricks.sliding_window_view(seed, _RUN + 1)
     anchor = np.concatenate([np.zeros(0, U64), *(near[first[k : k + 4096]].min(axis=1) for k in range(0, len(first), 4096))])
     at, tied = _anchor_places(seed, anchor, first, last)
@@ -138,71 +147,207 @@ def part_entries(data: np.ndarray, doc: np.ndarray, base: np.ndarray, first: np.
     k = np.repeat(nearest - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
     head = at[i] - PART * k
     low, high, run = np.maximum(low[i], head - PART + 1), np.minimum(high[i], head), run[i]
-    core = _pair(sixty_four[head], thirty_two[head + CORE - 32])
-    key = mix(_pair(core, k.astype(U64)))
-    print_ = mix(_pair(window[low], window[high]) + (high - low).astype(U64))
-    return [key, doc[run], (low - base[run]).astype(np.int32), (high - base[run]).astype(np.int32) + np.int32(LENGTH), print_]
+    core = mix(_pair(_pair(sixty_four[head], thirty_two[head + CORE - 32]), k.astype(U64)))
+    least, most = head - high, head - low
+    before = np.where(head >= 8, eight[np.maximum(head - 8, 0)], _up(eight[np.zeros_like(head)], 8 - np.minimum(head, 8)))
+    left = _up(_down(before, 8 - most), 8 - most)
+    right = _down(_up(eight[head + CORE], least), least)
+    return [core, doc[run], (head - base[run]).astype(np.int32), (least * PART + most).astype(np.int8), left, right]
+
+
+def _up(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Little-endian bytes moved by n places to the end; 8 leaves none."""
+    return np.where(n < 8, x << (U64(8) * np.minimum(n, 7).astype(U64)), U64(0))
+
 
+def _down(x: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.where(n < 8, x >> (U64(8) * np.minimum(n, 7).astype(U64)), U64(0))
 
-def settle(entries: list[np.ndarray], tied: np.ndarray | None = None) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """Puts one task's entries (key, doc, start, end, fingerprint) together.
 
-    Returns what to send, sorted by key: for a key with one fingerprint its first place, for another a mark that its
+def settle(entries: list[np.ndarray], mixed: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Puts runs (anchor, doc, start, end, fingerprint) together; ``mixed``: its anchor is known to have runs that differ.
+
+    Returns, sorted by anchor, for an anchor with one fingerprint its first place and for another one a note that its
     runs differ; spans that came earlier with the same fingerprint; and the indices of the runs that differ, the
     first of each fingerprint.
     """
-    key, doc, start, end, print_ = entries
-    order = np.lexsort((start, doc, print_, key))
+    order = sorted_by(entries[0], entries[4], entries[1], entries[2])
     key, doc, start, end, print_ = (x[order] for x in entries)
     new_key, new_print = np.ones(len(key), bool), np.ones(len(key), bool)
     new_key[1:] = key[1:] != key[:-1]
     new_print[1:] = new_key[1:] | (print_[1:] != print_[:-1])
     group = np.cumsum(new_key) - 1
-    weight = new_print.astype(float) + (0 if tied is None else tied[order])
-    mixed = (np.bincount(group, weight) > 1)[group]
-    send = (new_print & ~mixed) | (new_key & mixed)
-    differ = mixed[send]
-    sent = [key[send], np.where(differ, -1, doc[send]), np.where(differ, 0, start[send]).astype(np.int32), np.where(differ, 0, end[send]).astype(np.int32), np.where(differ, U64(0), print_[send]), differ.astype(np.int8)]
+    differ = (np.bincount(group, new_print.astype(float) + mixed[order]) > 1)[group]
+    send = (new_print & ~differ) | (new_key & differ)
+    note = differ[send]
+    sent = [key[send], np.where(note, -1, doc[send]), np.where(note, 0, start[send]).astype(np.int32), np.where(note, 0, end[send]).astype(np.int32), np.where(note, U64(0), print_[send]), note.astype(np.int8)]
     late = not_again(doc, start, new_print)
-    return sent, [doc[late], start[late], end[late]], order[new_print & mixed]
-
+    return sent, [doc[late], start[late], end[late]], order[new_print & differ]
 
-class AnchorLevels(Levels):
-    """The family of anchors. Entries: (anchor, doc, first, end, fingerprint, mixed), ``mixed`` where runs of this anchor are known to differ.
 
-    ``doc`` -1 stands for a task that has found so already and compares its own runs' windows.
-    """
+class RunLevels:
+    """The family of whole runs. Entries: (anchor, doc, start, end, fingerprint, note), the note where runs of this anchor are known
+    to differ: a task that has found so sends it in place of its runs, whose bytes it has itself."""
 
     def __init__(self):
-        super().__init__(self._meet)
-
-    def _meet(self, level, i, batch, j) -> None:
-        a, b = [x[i] for x in level], [x[j] for x in batch]
+        self.levels: list[list[np.ndarray]] = []
+        self.marks: list[list[np.ndarray]] = []
+        self.requests: list[list[np.ndarray]] = []
+
+    def add(self, batch: list[np.ndarray]) -> None:
+        noted = batch[5] > 0
+        sent, late, differ = settle(batch[:5], noted)
+        self.marks.append(late)
+        self.requests.append([a[differ[~noted[differ]]] for a in batch[1:4]])
+        batch = sent
+        for level in self.levels:
+            at = np.searchsorted(level[0], batch[0])
+            hit = at < len(level[0])
+            hit[hit] = level[0][at[hit]] == batch[0][hit]
+            if hit.any():
+                self._meet(level, at[hit], [a[hit] for a in batch])
+                batch = [a[~hit] for a in batch]
+        if len(batch[0]):
+            self.levels.append(batch)
+            merged_levels(self.levels, lambda both: np.argsort(both[0], kind="stable"))
+
+    def _meet(self, level: list[np.ndarray], i: np.ndarray, b: list[np.ndarray]) -> None:
+        a = [x[i] for x in level]
         alike = (a[5] == 0) & (b[5] == 0) & (a[4] == b[4])
-        sooner = earlier_(b, a)
+        sooner = earlier(b[1], b[2], a[1], a[2])
         same = (a[1] == b[1]) & (a[2] == b[2])
-        self.out.append((MARKS, [np.where(sooner, x, y)[alike & ~same] for x, y in zip(a[1:4], b[1:4], strict=True)]))
+        self.marks.append([np.where(sooner, x, y)[alike & ~same] for x, y in zip(a[1:4], b[1:4], strict=True)])
         take = alike & sooner
         for x, y in zip(level[1:4], b[1:4], strict=True):
             x[i[take]] = y[take]
-        # Runs that differ: the level's entry is asked for its windows once, the batch's in any case.
+        # Runs that differ: the level's own is asked for once, the batch's in any case.
         ask = ~alike & (a[5] == 0)
-        self.out.append((REQUESTS, [x[ask] for x in a[1:4]]))
+        self.requests.append([x[ask] for x in a[1:4]])
         level[5][i[ask]] = 1
         ask = ~alike & (b[5] == 0)
-        self.out.append((REQUESTS, [x[ask] for x in b[1:4]]))
-
-
-def earlier_(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    return (a[1] < b[1]) | ((a[1] == b[1]) & (a[2] < b[2]))
-
-
-def window_entries(window: np.ndarray, doc: np.ndarray, base: np.ndarray, first: np.ndarray, last: np.ndarray) -> list[np.ndarray]:
-    """(hash, doc, start, end) of each window of the runs; ``base``: where the run's document starts in the array of hashes."""
-    n = last - first + 1
-    at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-    start = (at - np.repeat(base, n)).astype(np.int32)
-    return [window[at], np.repeat(doc, n), start, start + np.int32(LENGTH)]
+        self.requests.append([x[ask] for x in b[1:4]])
+
+    def take(self) -> tuple[list[list[np.ndarray]], list[list[np.ndarray]]]:
+        """Marks and requests that have come up since the last call."""
+        out = self.marks, self.requests
+        self.marks, self.requests = [], []
+        return out
+
+
+def suffix_array(parts: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Parts (core, doc, head, reach, left, right) in the order of their suffixes, by core and following bytes, of equal contents
+    the first place only; and the spans (doc, start, end) of the others."""
+    order = sorted_by(parts[0], parts[5].byteswap(), parts[4], parts[3], parts[1], parts[2])
+    parts = [x[order] for x in parts]
+    new = np.ones(len(order), bool)
+    new[1:] = np.logical_or.reduce([parts[k][1:] != parts[k][:-1] for k in (0, 3, 4, 5)])
+    late = not_again(parts[1], parts[2], new)
+    doc, head, reach = (x[late] for x in parts[1:4])
+    return [x[new] for x in parts], [doc, head - reach % PART, head - reach // PART + np.int32(LENGTH)]
+
+
+def part_windows(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """(key, doc, start, end, bytes) of all windows of parts: the key is a hash of the core, the window's place beside it and the
+    eight bytes of the window that are not the core's."""
+    reach, out = parts[3].astype(np.int64), []
+    for n in range(PART):
+        own = (reach // PART <= n) & (n <= reach % PART)
+        core, doc, head, _, left, right = (x[own] for x in parts)
+        n_ = np.full(len(core), n)
+        bytes_ = _down(left, 8 - n_) | _up(right, n_)
+        start = head - np.int32(n)
+        out.append([mix(_pair(core + U64(n), bytes_)), doc, start, start + np.int32(LENGTH), bytes_])
+    return [np.concatenate(x) for x in zip(*out, strict=True)]
+
+
+def many_of_a_core(parts: list[np.ndarray], paired: int) -> np.ndarray:
+    """Which parts, in the order of their suffixes, belong to a core of which there are over ``paired``."""
+    new = np.ones(len(parts[0]), bool)
+    new[1:] = parts[0][1:] != parts[0][:-1]
+    group = np.cumsum(new) - 1
+    return (np.bincount(group) > paired)[group] if len(group) else new
+
+
+class SuffixLevels:
+    """The family of suffix arrays. Entries are parts; those of a core with over ``paired`` contents leave as windows."""
+
+    def __init__(self, paired: int = PAIRED):
+        self.paired = paired
+        self.levels: list[list[np.ndarray]] = []
+        self.crowded = np.zeros(0, U64)
+        self.marks: list[list[np.ndarray]] = []
+        self.windows: list[list[np.ndarray]] = []
+
+    def add(self, batch: list[np.ndarray]) -> None:
+        noted = batch[3] < 0  # a task has sent the windows of this core already
+        notes = np.unique(batch[0][noted])
+        batch, late = suffix_array([x[~noted] for x in batch])
+        self.marks.append(late)
+        self._crowd(np.setdiff1d(notes, self.crowded, assume_unique=True))
+        if len(self.crowded):
+            at = np.minimum(np.searchsorted(self.crowded, batch[0]), len(self.crowded) - 1)
+            out = self.crowded[at] == batch[0]
+            self.windows.append([x[out] for x in batch])
+            batch = [x[~out] for x in batch]
+        cores, sizes = np.unique(batch[0], return_counts=True)
+        for level in self.levels:
+            sizes = sizes + np.searchsorted(level[0], cores, "right") - np.searchsorted(level[0], cores, "left")
+        if (sizes > self.paired).any():
+            new = cores[sizes > self.paired]
+            self._crowd(new)
+            out = np.isin(batch[0], new)
+            self.windows.append([x[out] for x in batch])
+            batch = [x[~out] for x in batch]
+        n, apart = len(batch[0]), 1
+        while len(a := np.flatnonzero(batch[0][apart:] == batch[0][: n - apart])):
+            self._match(batch, a, batch, a + apart)
+            apart += 1
+        known = np.zeros(n, bool)
+        for level in self.levels:
+            low, high = np.searchsorted(level[0], batch[0], "left"), np.searchsorted(level[0], batch[0], "right")
+            j = np.repeat(np.arange(n), high - low)
+            i = np.arange(len(j)) + np.repeat(low - np.cumsum(high - low) + (high - low), high - low)
+            self._match(level, i, batch, j)
+            equal = np.logical_and.reduce([level[k][i] == batch[k][j] for k in (3, 4, 5)])
+            i, j = i[equal], j[equal]
+            known[j] = True
+            sooner = earlier(batch[1][j], batch[2][j], level[1][i], level[2][i])
+            for k in (1, 2):
+                level[k][i[sooner]] = batch[k][j[sooner]]
+        if not known.all():
+            self.levels.append([x[~known] for x in batch])
+            merged_levels(self.levels, lambda both: sorted_by(both[0], both[5].byteswap(), both[4], both[3]))
+
+    def _crowd(self, cores: np.ndarray) -> None:
+        """From now on these cores' parts leave as windows, those of the levels now."""
+        if len(cores):
+            self.crowded = np.union1d(self.crowded, cores)
+            for k, level in enumerate(self.levels):
+                out = np.isin(level[0], cores)
+                self.windows.append([x[out] for x in level])
+                self.levels[k] = [x[~out] for x in level]
+
+    def _match(self, a: list[np.ndarray], i: np.ndarray, b: list[np.ndarray], j: np.ndarray) -> None:
+        """Marks the later one's windows that two suffixes have in common, by the lengths of their matches before and after the core."""
+        for low in range(0, len(i), 1 << 20):
+            self._match_some([x[i[low : low + (1 << 20)]] for x in a], [x[j[low : low + (1 << 20)]] for x in b])
+
+    def _match_some(self, a: list[np.ndarray], b: list[np.ndarray]) -> None:
+        left, right = a[4] ^ b[4], a[5] ^ b[5]
+        before = sum(((left >> U64(8 * k)) == 0).astype(np.int64) for k in range(8))
+        after = sum(((right << U64(8 * k)) == 0).astype(np.int64) for k in range(8))
+        least = np.maximum.reduce([a[3] // PART, b[3] // PART, _FLANK - after])
+        most = np.minimum.reduce([a[3] % PART, b[3] % PART, before])
+        found = (least <= most) & ((a[1] != b[1]) | (a[2] != b[2]))
+        second = earlier(a[1], a[2], b[1], b[2])
+        doc, head = (np.where(second, y, x)[found] for x, y in zip(a[1:3], b[1:3], strict=True))
+        self.marks.append([doc, (head - most[found]).astype(np.int32), (head - least[found] + LENGTH).astype(np.int32)])
+
+    def take(self) -> tuple[list[list[np.ndarray]], list[list[np.ndarray]]]:
+        """Marks, and parts whose windows are to be sent, that have come up since the last call."""
+        out = self.marks, [w for w in self.windows if len(w[0])]
+        self.marks, self.windows = [], []
+        return out
 
 
 class Marks:
@@ -225,7 +370,7 @@ class Marks:
             self.parts, self.size = [], 0
 
 
-def _index_text(rows: DataFrame, n: int) -> DataFrame:
+def _index_text(rows: DataFrame, n: int, paired: int) -> DataFrame:
     """Each task's suffixes by bucket of their anchor; marks and windows that it can tell on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +387,7 @@ def _index_text(rows: DataFrame, n: int) -> DataFrame:
             anchor, print_, doc, first, last, base, tied, slice_ = (np.concatenate(x) for x in zip(*runs, strict=True))
             start = (first - base).astype(np.int32)
             sent, late, differ = settle([anchor, doc, start, start + (last - first).astype(np.int32) + np.int32(LENGTH), print_], tied)
-            send_keys(out, KEYS, sent, n)
+            send_runs(out, sent, n)
             marks.add(late)
             entries = []
             differ = differ[np.argsort(slice_[differ], kind="stable")]
@@ -252,7 +397,7 @@ def _index_text(rows: DataFrame, n: int) -> DataFrame:
                 if len(own):
                     entries.append(part_entries(data, doc[own], base[own], first[own], last[own]))
             runs, slices, size = [], [], 0
-            send_parts(out, marks, entries, n)
+            send_parts(out, marks, entries, n, paired)
             marks.send()
 
         for batch in batches:
@@ -275,127 +420,133 @@ def _index_text(rows: DataFrame, n: int) -> DataFrame:
     return rows.mapInArrow(run, BLOBS)
 
 
-def send_keys(out: Blobs, kind: int, sent: list[np.ndarray], n: int) -> None:
-    """Sends entries by bucket of the key, with 40 bits of it and 48 of the fingerprint.
-
-    Keys that only seem equal cost a request; fingerprints are compared under one key only.
-    """
+def send_runs(out: Blobs, sent: list[np.ndarray], n: int) -> None:
+    """Sends runs by bucket of the anchor, with 40 bits of it beside those that the bucket tells; anchors that only seem equal cost a request."""
     sent = by_place(sent)
-    out.deal(kind, key_bucket(sent[0], n), [sent[0] & U64(2**40 - 1), *sent[1:4], sent[4] & U64(2**48 - 1), sent[5]], {0: 5, 4: 6})
+    out.deal(KEYS, key_bucket(sent[0], n), [sent[0] & U64(2**40 - 1), *sent[1:]], {0: 5})
 
 
-def send_windows(out: Blobs, marks: Marks, entries: list[list[np.ndarray]], n: int) -> None:
-    """Settles windows within the task and sends the first of each by its hash; their ends follow from their starts."""
-    firsts, others = first_of_each([np.concatenate(x) for x in zip(*entries, strict=True)])
-    marks.add(others[1:])
-    firsts = by_place(firsts[:3])
-    out.deal(WINDOWS, key_bucket(firsts[0], n), firsts)
+def send_windows(out: Blobs, marks: Marks, parts: list[list[np.ndarray]], n: int) -> None:
+    """Settles windows of parts within the task and sends the first of each by its hash; their ends follow from their starts."""
+    if parts:
+        firsts, others = first_of_each(part_windows([np.concatenate(x) for x in zip(*parts, strict=True)]))
+        marks.add(others[1:4])
+        key, doc, start, _, bytes_ = by_place(firsts)
+        out.deal(WINDOWS, key_bucket(key, n), [key, doc, start, bytes_])
 
 
-def send_parts(out: Blobs, marks: Marks, entries: list[list[np.ndarray]], n: int) -> None:
-    """Settles parts within the task and sends them by key; asks for the windows of those that differ."""
+def send_parts(out: Blobs, marks: Marks, entries: list[list[np.ndarray]], n: int, paired: int) -> None:
+    """Settles parts within the task and sends them by core; of a core with many contents the windows, and a note to its bucket."""
     if entries:
-        whole = [np.concatenate(x) for x in zip(*entries, strict=True)]
-        sent, late, differ = settle(whole)
-        send_keys(out, PARTS, sent, n)
+        parts, late = suffix_array([np.concatenate(x) for x in zip(*entries, strict=True)])
         marks.add(late)
-        asked = [x[differ] for x in whole[1:4]]
-        out.deal(PART_REQUESTS, doc_bucket(asked[0], n), asked)
+        many = many_of_a_core(parts, paired)
+        if many.any():
+            send_windows(out, marks, [[x[many] for x in parts]], n)
+            cores = np.unique(parts[0][many])
+            zero = np.zeros(len(cores), np.int32)
+            parts = [np.concatenate([x[~many], y]) for x, y in zip(parts, [cores, zero.astype(np.int64), zero, np.full(len(cores), -1, np.int8), zero.astype(U64), zero.astype(U64)], strict=True)]
+        parts = by_place(parts)
+        out.deal(PARTS, key_bucket(parts[0], n), parts)
 
 
-def _scan_levels(blobs: DataFrame, n: int, keys: int, requests: int) -> DataFrame:
-    """Keys' blobs met by a family of levels: its marks and requests by document; other blobs pass."""
+def _scan_levels(blobs: DataFrame, n: int, kind_: int, paired: int, batch: int) -> DataFrame:
+    """Blobs of one kind met by a family of levels: its marks by document and what goes on; other blobs pass."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, levels = Blobs(), Levels() if keys == WINDOWS else AnchorLevels()
+        out, gathered = Blobs(), Batches(batch)
+        levels = {KEYS: RunLevels, PARTS: lambda: SuffixLevels(paired), WINDOWS: Levels}[kind_]()
         marks = Marks(out, n)
+
+        def scan(entries: list[list[np.ndarray]]) -> None:
+            for own in entries:
+                levels.add(own)
+                if kind_ == WINDOWS:
+                    found = levels.take()
+                else:
+                    found, more = levels.take()
+                    if kind_ == PARTS:
+                        send_windows(out, marks, more, n)
+                    elif more:
+                        asked = by_place([np.concatenate(x) for x in zip(*more, strict=True)], 0, 1)
+                        out.deal(REQUESTS, doc_bucket(asked[0], n), asked)
+                for m in found:
+                    marks.add(m)
+
         for kind, bucket, blob in blob_rows(batches):
-            if kind != keys:
+            if kind != kind_:
                 out.put(kind, bucket, blob)
+            elif kind == WINDOWS:
+                key, doc, start, bytes_ = unpack_arrays(blob)
+                scan(gathered.add([key, doc, start, start + np.int32(LENGTH), bytes_]))
             else:
-                entries = unpack_arrays(blob)
-                levels.add([*entries, entries[2] + np.int32(LENGTH)] if kind == WINDOWS else entries)
-                for what, arrays in levels.take():
-                    if what == MARKS:
-                        marks.add(arrays)
-                    else:
-                        out.deal(requests, doc_bucket(arrays[0], n), arrays)
+                scan(gathered.add(unpack_arrays(blob)))
             yield from out.take()
+        scan(gathered.rest())
         marks.send()
         yield from out.take(0)
 
     return by_bucket(blobs, n).mapInArrow(run, BLOBS)
 
 
-def _answer(requests: DataFrame, texts: DataFrame, n: int) -> DataFrame:
-    """The runs or parts asked for, from their documents' texts: runs as parts, parts as windows, by bucket of their key."""
+def _answer(requests: DataFrame, texts: DataFrame, n: int, paired: int) -> DataFrame:
+    """The runs asked for, from their documents' texts, as parts by bucket of their core."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, asked = Blobs(), {REQUESTS: Spans(), PART_REQUESTS: Spans()}
-        marks = Marks(out, n)
-        found: dict[int, list[list[np.ndarray]]] = {REQUESTS: [], PART_REQUESTS: []}
-
-        def send(least: int) -> None:
-            for what, entries in found.items():
-                if sum(len(e[0]) for e in entries) > least:
-                    if what == REQUESTS:
-                        send_parts(out, marks, entries, n)
-                    else:
-                        send_windows(out, marks, entries, n)
-                    found[what] = []
-
+        out, asked = Blobs(), Spans()
+        marks, found, size = Marks(out, n), [], 0
         for kind, _, blob in blob_rows(batches):
-            if kind in asked:
-                asked[kind].add(unpack_arrays(blob))
+            if kind == REQUESTS:
+                asked.add(unpack_arrays(blob))
                 continue
             for batch in unpack_rows(blob):
                 data, offsets = text_bytes(batch.column(1))
                 ids = batch.column(0).to_pylist()
                 for low, high in row_ranges(offsets):
-                    for what, spans in asked.items():
-                        wanted = [spans.of(d) for d in ids[low:high]]
-                        sizes = [len(s) for s, _ in wanted]
-                        if not any(sizes):
-                            continue
-                        own = data[offsets[low] : offsets[high]]
-                        base = np.repeat(offsets[low:high] - offsets[low], sizes)
-                        doc = np.repeat(np.array([d if d is not None else 0 for d in ids[low:high]], np.int64), sizes)
-                        first, end = np.concatenate([s for s, _ in wanted]), np.concatenate([e for _, e in wanted])
-                        # A second row with the same id may be shorter than the one that was indexed.
-                        reach = np.repeat(offsets[low + 1 : high + 1] - offsets[low], sizes)
-                        ok = base + end <= reach
-                        place = doc[ok], base[ok], (base + first)[ok], (base + end)[ok] - LENGTH
-                        found[what].append(part_entries(own, *place) if what == REQUESTS else window_entries(window_hashes(own)[1], *place))
-                send(1 << 20)
+                    wanted = [asked.of(d) for d in ids[low:high]]
+                    sizes = [len(s) for s, _ in wanted]
+                    if not any(sizes):
+                        continue
+                    own = data[offsets[low] : offsets[high]]
+                    base = np.repeat(offsets[low:high] - offsets[low], sizes)
+                    doc = np.repeat(np.array([d if d is not None else 0 for d in ids[low:high]], np.int64), sizes)
+                    first, end = np.concatenate([s for s, _ in wanted]), np.concatenate([e for _, e in wanted])
+                    # A second row with the same id may be shorter than the one that was indexed.
+                    ok = base + end <= np.repeat(offsets[low + 1 : high + 1] - offsets[low], sizes)
+                    found.append(part_entries(own, doc[ok], base[ok], (base + first)[ok], (base + end)[ok] - LENGTH))
+                    size += len(found[-1][0])
+                if size > 1 << 20:
+                    send_parts(out, marks, found, n, paired)
+                    found, size = [], 0
             yield from out.take()
-        send(0)
+        send_parts(out, marks, found, n, paired)
         marks.send()
         yield from out.take(0)
 
     return by_bucket(requests.unionByName(texts), n, sort=True).mapInArrow(run, BLOBS)
 
 
-def remove_repeated_bytes(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeated_bytes(docs: DataFrame, with_text: bool = False, paired: int = PAIRED, batch: int = BATCH_ENTRIES) -> DataFrame:
     """Rows (doc_id, n_bytes, n_removed, n_spans, kept_sha256, removed), and ``kept`` (binary) if asked for.
 
     Removed is each byte that lies in a string of 100 bytes which also starts earlier: in a smaller doc_id, or earlier
     in the same document. Null texts count as empty. Rows with a null doc_id have no place in the order: they stay whole
     and repeat nothing. Rows that share a doc_id and text are one document. An empty table gives none; other columns are
-    ignored. Every exchange has at most one entry a task for a string, whatever its count.
+    ignored. Every exchange has at most one entry a task for a string, whatever its count. No bytes are taken for equal by less
+    than 64 bits of hash beside the anchor's, or beside eight bytes as they are.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     kind = F.col("kind")
-    texts = text_blobs(rows, n)
-    runs = stored(_scan_levels(_index_text(rows, n), n, KEYS, REQUESTS), "suffix-runs", by="kind")
-    release(docs.sparkSession)
-    answered = _answer(runs.where(kind == REQUESTS), texts, n)
-    parts = stored(_scan_levels(runs.where(kind == PARTS).unionByName(answered), n, PARTS, PART_REQUESTS), "suffix-parts", by="kind")
-    discard(runs, f"kind={PARTS}")
-    release(docs.sparkSession)
+    runs = stored(_scan_levels(_index_text(rows, n, paired), n, KEYS, paired, batch), "suffix-runs", by="kind")
+    answered = _answer(runs.where(kind == REQUESTS), text_blobs(rows, n), n, paired)
+    parts = stored(_scan_levels(runs.where(kind == PARTS).unionByName(answered), n, PARTS, paired, batch), "suffix-parts", by="kind")
+    for done in (PARTS, REQUESTS):
+        discard(runs, f"kind={done}")
     both = runs.unionByName(parts)
-    windows = stored(_scan_levels(_answer(both.where(kind == PART_REQUESTS), texts, n), n, WINDOWS, WINDOWS), "suffix-windows")
-    release(docs.sparkSession)
+    windows = stored(_scan_levels(both.where(kind == WINDOWS), n, WINDOWS, paired, batch), "suffix-windows")
+    for table in (runs, parts):
+        discard(table, f"kind={WINDOWS}")
     marks = both.unionByName(windows).where(kind == MARKS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
