@@ -9,7 +9,8 @@ import public_tokenizers as P
 import pytest
 
 from wavelane.llm import piece_codec, token_counts
-from wavelane.llm.packing import ChunkIds, HarmonicBins, cut_lengths, pack
+from wavelane.llm import packing
+from wavelane.llm.packing import ChunkIds, HarmonicBins, pack
 
 PIECES, WORDS = P.path("piece_bpe_32k.model"), P.path("word_bpe_49k.json")
 PARTS = [" ", "  ", "\n", "▁", "a", "the", "é", "日", "😀", "\t", "\r\n", "ing", "e", " ", "\x00", "<s>", "<0x0A>", "   ", "word", ".", ",", "'s", "S", "1", "Σ", "İ", "ﬁ", "́", "<|endoftext|>", "<|ENDOFTEXT|>", "\x85", " "]
@@ -62,10 +63,17 @@ def test_ids_are_the_librarys():
         assert np.frombuffer(next(own.encode([s], 1)), "<u4").tolist() == [*own.tokenizer.encode(s, add_special_tokens=False).ids, 1], repr(s)
 
 
-def test_cuts_are_reciprocal_classes():
-    for n in [*range(1, 300), 2047, 2048, 2049, 12345]:
-        cut = cut_lengths(n, 2048)
-        assert sum(cut) == n and all(2048 % c == 0 for c in cut) and cut == sorted(cut, reverse=True)
+def test_ids_with_a_small_memo(monkeypatch):
+    monkeypatch.setattr(packing, "MEMO_ENTRIES", 40)
+    own = ChunkIds(WORDS)
+    texts = strings(6, 500)
+    for s, ids in zip(texts, own.encode(texts, 1), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*own.tokenizer.encode(s, add_special_tokens=False).ids, 1], repr(s)
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        ChunkIds(P.path("byte_bpe_50k.json"))
 
 
 def check_packing(rows, capacity):
@@ -106,19 +114,26 @@ def test_pack_query(spark, docs, odd, none):
 
 
 def test_bins_of_one_worker():
-    bins, rng, rows = HarmonicBins(16, 5), random.Random(1), []
-    total = 0
-    for k in range(200):
-        n = rng.choice([1, 2, 4, 8, 16])
-        total += n
-        rows += bins.add((k, n), n)
-    rows += bins.finish()
-    fill = defaultdict(int)
-    for _, n, s, at in sorted(rows, key=lambda r: (r[2], r[3])):
-        assert fill[s] == at
-        fill[s] += n
-    assert sum(fill.values()) == total and all(v & (v - 1) == 0 for v in fill.values())
-    assert sum(v < 16 for v in fill.values()) <= 4 and min(fill) == 5
+    for capacity, longest in ((16, 40), (64, 64), (64, 9)):
+        bins, rng, rows, docs = HarmonicBins(capacity, 5), random.Random(longest), [], {}
+        for k in range(300):
+            docs[k] = np.arange(rng.randint(1, longest), dtype="<u4").tobytes()
+            rows += bins.add(k, docs[k])
+        whole = len(rows)
+        rows += bins.finish()
+        fill, ids, count = defaultdict(int), defaultdict(int), Counter()
+        for d, start, length, crc, n, s, at in sorted(rows, key=lambda r: (r[5], r[6])):
+            assert fill[s] == at and crc == zlib.crc32(docs[d][4 * start : 4 * (start + length)]) and n == len(docs[d]) // 4
+            fill[s] += length
+        for d, start, length, *_ in sorted(rows):
+            assert ids[d] == start
+            ids[d] += length
+            count[d] += 1
+        assert all(ids[d] == len(raw) // 4 for d, raw in docs.items())
+        assert set(fill) == set(range(5, 5 + len(fill))) and all(v & (v - 1) == 0 for v in fill.values())
+        assert sum(v < capacity for v in fill.values()) <= capacity.bit_length() - 1
+        # A sequence of class k has k pieces of that class, or one more that fills it; a document is cut once for each sequence at most.
+        assert sum(count.values()) - len(docs) <= len(fill) and whole > 200
     with pytest.raises(ValueError):
         HarmonicBins(100, 0)
 

@@ -1,16 +1,18 @@
 """Harmonic packing of token sequences.
 
-Classes are the reciprocal capacities C, C/2, C/4, ... C/C. A document is cut into pieces
-whose lengths are exactly such sizes (its whole sequences first, then the binary digits
-of the rest), and a bin of class k holds k pieces of C/k: a fixed count, so each worker
-fills its bins on its own, in one pass over its own part of the scan, and a full bin has
-no padding. What is left in a worker's unfilled bins at its end is laid out together by
-falling size; all sizes being powers of two, these bins too fill exactly, and the last
-one is split at powers of two, so that no sequence is padded.
+The lengths up to the capacity C fall into reciprocal-capacity classes: class k has those of
+more than C/(k+1) and not more than C/k. A document's whole sequences come first; the rest,
+uncut, goes by its length into the open bin of its class, which takes k of them, a
+fixed count, so each worker fills its bins on its own, in one pass over its own part of the
+scan. What a bin of k pieces has left is filled with the head of the next document: at most one
+document is cut for each sequence, and none has padding. What waits in a worker's
+bins at its end is laid out together, whole sequences first and the last one
+split at powers of two, so that these too have no padding.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -28,11 +30,27 @@ SEQUENCE_BITS = 40
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
+# Fixed values of the tokenizer's file that allow its texts to be cut at spaces.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+
+def cuts_at_spaces(path: str) -> bool:
+    """Whether a tokenizer's file says what cutting relies on: it composes characters, turns white space into one space, lowers case,
+    drops white space between pre-tokens of letters, single digits or other signs, and takes only strings in <| |> out first."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    split = {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True}
+    same = own["normalizer"] == {"type": "Sequence", "normalizers": NORMALIZERS} and own["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [split, BYTE_LEVEL]}
+    plain = own["post_processor"] is None and own["model"]["type"] == "BPE" and not own["model"].get("dropout")
+    return same and plain and all(t["content"].startswith("<|") and " " not in t["content"] and "\n" not in t["content"] for t in own["added_tokens"])
+
+
 class ChunkIds(dict):
     """Token ids, as little-endian 32-bit bytes, by chunk of text between spaces and line feeds.
 
-    The tokenizer composes characters, turns white space into one space, lowers case and drops
-    white space between its pre-tokens, so no token depends on anything beyond a space.
+    No token depends on anything beyond a space, by what the tokenizer's file says; another tokenizer is refused.
     """
 
     def __init__(self, tokenizer_path: str):
@@ -40,20 +58,19 @@ class ChunkIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
+        if not cuts_at_spaces(tokenizer_path):
+            raise ValueError("this tokenizer's texts can't be cut at spaces")
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
         self[""] = b""
 
-    def learn(self, chunks: set[str]) -> None:
-        """Encodes the chunks that the memo lacks."""
-        new = [c for c in chunks if c not in self]
-        if len(self) + len(new) > MEMO_ENTRIES:
-            self.clear()
-            self[""] = b""
-            new = list(chunks - {""})
+    def learn(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of chunks that the memo lacks, which are remembered; the memo starts again when it is full."""
+        new = list(chunks)
         # A chunk of ASCII has the ids of its lower-case form, and a stop after a letter is a token of its own.
         plain = [c.lower() if c.isascii() and "<|" not in c else c for c in new]
         cores = [c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() and c[-2] < "\u0250" and c[-2] != "İ" else c for c in plain]
-        missing = [c for c in dict.fromkeys([*cores, ".", ","]) if c not in self]
+        own = {c: self[c] for c in {*cores, ".", ","} if c in self}
+        missing = [c for c in dict.fromkeys([*cores, ".", ","]) if c not in own]
         # Encoded together, a few hundred to a call, and cut apart by where each token starts.
         for at in range(0, len(missing), 500):
             part = missing[at : at + 500]
@@ -63,11 +80,15 @@ class ChunkIds(dict):
             cuts = (4 * np.searchsorted(starts, np.cumsum(lengths))).tolist()
             raw, low = np.array(e.ids, "<u4").tobytes(), 0
             for c, high in zip(part, cuts, strict=True):
-                self[c] = raw[low:high]
+                own[c] = raw[low:high]
                 low = high
         for c, form, core in zip(new, plain, cores, strict=True):
-            if c not in self:
-                self[c] = self[core] if form == core else self[core] + self[form[-1]]
+            own[c] = own[core] if form == core else own[core] + own[form[-1]]
+        if len(self) + len(own) > MEMO_ENTRIES:
+            self.clear()
+            self[""] = b""
+        self.update(own)
+        return own
 
     def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
         """Each text's ids and then ``end_id``."""
@@ -79,9 +100,13 @@ class ChunkIds(dict):
                 size += len(texts[high])
                 high += 1
             split = [t.replace("\n", " ").split(" ") for t in texts[low:high]]
-            self.learn(set().union(*split))
-            for chunks in split:
-                yield b"".join(map(self.__getitem__, chunks)) + end
+            found = [list(map(self.get, chunks)) for chunks in split]
+            lacks = [None in own for own in found]
+            learned: dict[str, bytes] = {}
+            if any(lacks):
+                learned = self.learn({c for chunks, own, lack in zip(split, found, lacks, strict=True) if lack for c, i in zip(chunks, own, strict=True) if i is None})
+            for chunks, own, lack in zip(split, found, lacks, strict=True):
+                yield b"".join([learned[c] if i is None else i for c, i in zip(chunks, own, strict=True)] if lack else own) + end
             low = high
 
 
@@ -94,49 +119,72 @@ def chunk_ids(path: str) -> ChunkIds:
     return _memos[path]
 
 
-def cut_lengths(n: int, capacity: int) -> list[int]:
-    """Reciprocal-capacity lengths that add up to n, falling."""
-    rest = n % capacity
-    return [capacity] * (n // capacity) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
-
-
 class HarmonicBins:
-    """One worker's open bins: for each class the pieces that wait for their bin's fixed count."""
+    """One worker's bins. A piece is (doc_id, start, ids, doc_tokens), its ids as bytes; a row adds its length, checksum and place."""
 
     def __init__(self, capacity: int, first_id: int):
         if capacity < 1 or capacity & (capacity - 1):
             raise ValueError("the capacity must be a power of two")
         self.capacity, self.next_id = capacity, first_id
         self.open: dict[int, list[tuple]] = {}
+        #: Bins that have their count of pieces and some room left, with that room.
+        self.short: list[tuple[list[tuple], int]] = []
+
+    def add(self, doc_id: int | None, raw: bytes) -> list[tuple]:
+        """Puts a document's ids; returns the rows of the sequences that are full now."""
+        n, at, rows = len(raw) // 4, 0, []
+        while self.short and at < n:
+            pieces, room = self.short.pop()
+            length = min(room, n - at)
+            pieces.append((doc_id, at, raw[4 * at : 4 * (at + length)], n))
+            at += length
+            if length < room:
+                self.short.append((pieces, room - length))
+            else:
+                rows += self._close(pieces)
+        while n - at >= self.capacity:
+            rows += self._close([(doc_id, at, raw[4 * at : 4 * (at + self.capacity)], n)])
+            at += self.capacity
+        if at < n:
+            k = self.capacity // (n - at)
+            waiting = self.open.setdefault(k, [])
+            waiting.append((doc_id, at, raw[4 * at :], n))
+            if len(waiting) == k:
+                del self.open[k]
+                room = self.capacity - sum(len(p[2]) for p in waiting) // 4
+                if room:
+                    self.short.append((waiting, room))
+                else:
+                    rows += self._close(waiting)
+        return rows
 
-    def add(self, piece: tuple, length: int) -> list[tuple]:
-        """Puts a piece into its class's open bin; returns the bin's rows once it is full."""
-        waiting = self.open.setdefault(length, [])
-        waiting.append(piece)
-        if len(waiting) * length < self.capacity:
-            return []
-        self.open[length] = []
-        return self._close(waiting, length)
-
-    def _close(self, pieces: list[tuple], length: int) -> list[tuple]:
-        rows = [(*p, self.next_id, k * length) for k, p in enumerate(pieces)]
+    def _close(self, pieces: list[tuple]) -> list[tuple]:
+        rows, at = [], 0
+        for doc_id, start, ids, n in pieces:
+            rows.append((doc_id, start, len(ids) // 4, zlib.crc32(ids), n, self.next_id, at))
+            at += len(ids) // 4
         self.next_id += 1
         return rows
 
     def finish(self) -> list[tuple]:
-        """Rows of what is left: pieces by falling length, in bins of the capacity and at last of rising powers of two's shares."""
-        left = [(p, n) for n in sorted(self.open, reverse=True) for p in self.open[n]]
-        total, rows, room, at = sum(n for _, n in left), [], 0, 0
-        for p, n in left:
-            if room == at:  # the next sequence: a whole one, or the largest power of two that is left
-                if at:
-                    self.next_id += 1
-                room, at = min(self.capacity, 1 << (total.bit_length() - 1)), 0
-            rows.append((*p, self.next_id, at))
-            at += n
-            total -= n
-        self.next_id += bool(left)
-        self.open = {}
+        """Rows of what still waits: pieces by falling length, in whole sequences and at last in falling powers of two."""
+        left = [p for k in sorted(self.open) for p in self.open[k]] + [p for pieces, _ in self.short for p in pieces]
+        left.sort(key=lambda p: -len(p[2]))
+        total = sum(len(p[2]) for p in left) // 4
+        sizes = [self.capacity] * (total // self.capacity) + [1 << b for b in range(self.capacity.bit_length() - 2, -1, -1) if total % self.capacity >> b & 1]
+        rows, own, room = [], [], 0
+        sizes.reverse()
+        for doc_id, start, ids, n in left:
+            while ids:
+                room = room or sizes.pop()
+                own.append((doc_id, start, ids[: 4 * room], n))
+                start += len(own[-1][2]) // 4
+                room -= len(own[-1][2]) // 4
+                ids = ids[len(own[-1][2]) :]
+                if not room:
+                    rows += self._close(own)
+                    own = []
+        self.open, self.short = {}, []
         return rows
 
 
@@ -160,11 +208,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         for batch in batches:
             ids = memo.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
             for doc_id, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
-                n, start = len(raw) // 4, 0
-                for length in cut_lengths(n, capacity):
-                    piece = (doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n)
-                    rows += bins.add(piece, length)
-                    start += length
+                rows += bins.add(doc_id, raw)
                 if len(rows) >= 20_000:
                     yield out(rows)
                     rows = []
