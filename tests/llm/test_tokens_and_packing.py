@@ -184,6 +184,66 @@ def test_dropout_does_not_depend_on_what_is_remembered(docs, monkeypatch):
     assert expect[::-1] == [b.encode(t, d) for d, t in reversed(texts)]
 
 
+def brute_agenda(own, text, gaps):
+    """Merges by a list of candidates that is searched anew at each step."""
+    symbols, waiting, left = list(text), None, next(gaps)
+    waiting = [own.ranks.get(a + b) for a, b in zip(symbols, symbols[1:])]
+    while any(r is not None for r in waiting):
+        i = min((r, k) for k, r in enumerate(waiting) if r is not None)[1]
+        if left == 0:
+            waiting[i], left = None, next(gaps)
+            continue
+        left -= 1
+        symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+        del waiting[i]
+        for k in (i - 1, i):
+            if 0 <= k < len(waiting):
+                waiting[k] = own.ranks.get(symbols[k] + symbols[k + 1])
+    out = []
+    for s in symbols:
+        out += [own.ids[s]] if s in own.ids else [own.bytes[b] for b in s.encode()]
+    return out
+
+
+@pytest.mark.parametrize("rate", [0.0, 0.1, 0.6, 1.0])
+def test_dropout_by_brute_force(rate):
+    """Each pre-token by the draws of its place, over short, long and odd ones."""
+    own, rng = piece_codec.PieceCodec(PIECES, rate, 23), random.Random(11)
+    words = ["information", "x" * 40, "été", "日本語テキスト", "a", "counterrevolutionaries", "internationalization" * 3, "q\x01z"]
+    for d in range(60):
+        keys = [rng.choice(words) for _ in range(rng.randint(1, 20))]
+        key = piece_codec.mix(piece_codec.mix(np.array([23], np.uint64)) + np.array([d], np.uint64))
+        expect = []
+        for k, word in enumerate(keys):
+            endless = iter(lambda: 10**9, None)
+            draws = endless if rate == 0 else iter([*own.gaps(key, piece_codec.DRAWS * k + np.arange(piece_codec.DRAWS)).tolist(), *(x for x, _ in zip(own._more_gaps(key, k), range(999)))])
+            expect += brute_agenda(own, "▁" + word, draws)
+        assert np.frombuffer(own.encode(" ".join(keys), d), "<u4").tolist() == expect
+
+
+def test_variants_are_independent():
+    """Pre-tokens that two documents both cut otherwise than without dropout are as many as chance has it."""
+    own, whole = piece_codec.PieceCodec(PIECES, 0.1, 5), piece_codec.PieceCodec(PIECES, 0.0, 5)
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(7)) for _ in range(3000)]
+    plain = [whole.encode(w) for w in words]
+    cut = []
+    for d in (4, 5, 6):
+        ids = own._encode_some([" ".join(words)], [d])[0]
+        numbers, at, own_cut = np.frombuffer(ids, "<u4"), 0, np.zeros(len(words), bool)
+        for k, w in enumerate(words):
+            size, n = 0, at
+            while size < len(w) + 1:
+                size += len(own.raw[numbers[n]].decode())
+                n += 1
+            own_cut[k] = numbers[at:n].tobytes() != plain[k]
+            at = n
+        cut.append(own_cut)
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        expect = cut[a].mean() * cut[b].mean() * len(words)
+        assert abs((cut[a] & cut[b]).sum() - expect) < 5 * expect**0.5
+
+
 def test_codec_tables(spark, docs, odd, none):
     encoded = piece_codec.encode_texts(odd, PIECES, 0.1, 3)
     back = piece_codec.decode_texts(encoded, PIECES).collect()

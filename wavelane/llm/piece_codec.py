@@ -4,11 +4,11 @@ A merge-type segmentation takes candidate merges from an agenda by rank, the lef
 With dropout each candidate that comes up is skipped at the rate, independently of all others;
 it may come up again after a neighbour has merged. What is drawn is how many candidates pass
 before the next skip, by a hash of a seed, the document and the pre-token's place in it, so
-that a run can be repeated exactly and another seed gives other segmentations. A pre-token's
-segmentation depends on which candidates in turn are skipped alone, so results are remembered
-by that; each occurrence still has draws of its own. At rate 0 the result is the library's own. Characters that are no
-piece become byte pieces, as does the mark that stands for a space, so decoding gives back
-every text.
+that a run can be repeated exactly and another seed gives other segmentations. Only what a
+pre-token gives without a skip is remembered; each occurrence has draws of its own. The agendas of
+a few thousand pre-tokens are processed together, one candidate of each at a step, as rows of arrays.
+At rate 0 the result is the library's own. Characters that are no piece become byte pieces, as does the
+mark that stands for a space, so decoding gives back every text.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import partial
 from itertools import chain
 
 import numpy as np
@@ -26,13 +27,22 @@ from pyspark.sql import DataFrame
 
 from wavelane.llm.textnum import U64, mix
 
-#: Segmentations remembered, over all pre-tokens and the skips in them.
+#: Pre-tokens whose ids without a skip are remembered.
 MEMO_ENTRIES = 800_000
-#: Draws made at once for each pre-token; more follow where so many skips are not enough.
+#: Bytes of text whose pre-tokens are processed together.
+TOGETHER_BYTES = 1 << 19
+#: Draws that a pre-token has of its own by the document's key; more follow, by another one, where so many skips are not enough.
 DRAWS = 4
+#: Characters of a pre-token whose agenda is a row of an array; a longer one has a heap.
+SHORT = 32
+NO_RANK = 1 << 30
+_MULTIPLIER = U64(0x9E3779B97F4A7C15)
 _STEP = U64(0x9E3779B97F4A7C15)
 _MARK = "▁"
 _PIECES = re.compile(r"\n[^ \n]*| +[^ \n]*")
+_BESIDE_MARKS = re.compile(r"\n|[^ \n]+| +[^ \n]*")
+#: Starts the key of a pre-token without a space before it; and the key of a mark that the text has itself. No text holds these.
+_BARE, _OWN_MARK = "\ud800", "\ud801"
 
 
 class PieceCodec:
@@ -55,19 +65,67 @@ class PieceCodec:
             self.raw[i] = bytes([b])
         self.rate, self.seed = rate, seed
         self.scale = 1 / np.log1p(-rate) if 0 < rate < 1 else -0.0
-        #: By pre-token: its ids, the candidates that came up, and by the next one skipped the same again.
-        self.memo: dict[str, list] = {}
-        self.entries = 0
+        self._tabulate()
+        self._forget()
+
+    def _tabulate(self) -> None:
+        """A hash table of the merges: by two symbols, which are pieces or lone characters, their rank and what they become."""
+        n = self.n_pieces = len(self.raw)
+        symbol = lambda p: self.ids[p] if p in self.ids else n + ord(p) if len(p) == 1 else -1
+        rows = [(symbol(p[:k]) << 32 | symbol(p[k:]), r, self.ids[p]) for p, r in self.ranks.items() for k in range(1, len(p)) if symbol(p[:k]) >= 0 <= symbol(p[k:])]
+        keys, ranks, become = (np.array(c, np.int64) for c in zip(*rows, strict=True))
+        bits = max(10, int(len(keys) - 1).bit_length() + 2)
+        self.shift = U64(64 - bits)
+        self.pairs, self.values = np.full((1 << bits) + 64, -1), np.zeros((1 << bits) + 64, np.int64)
+        left, place = np.arange(len(keys)), self._place(keys)
+        self.tries = 0
+        while len(left):
+            # Of the keys that want a free place one gets it; the others go on to the next.
+            at = place[left]
+            free = self.pairs[at] < 0
+            self.pairs[at[free]] = keys[left[free]]
+            got = self.pairs[at] == keys[left]
+            self.values[at[got]] = ranks[left[got]] << 32 | become[left[got]]
+            left = left[~got]
+            place[left] += 1
+            self.tries += 1
+        single = np.arange(n, n + 0x110000)
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                single[ord(p)] = i
+        self.single = single
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return ((mix(keys.view(U64)) * _MULTIPLIER) >> self.shift).astype(np.int64)
+
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Rank and symbol of merging two, as rank << 32 | symbol; NO_RANK << 32 for those that don't."""
+        keys = a << 32 | b
+        out, at, open_ = np.full(len(keys), NO_RANK << 32), self._place(keys), np.arange(len(keys))
+        for k in range(self.tries):
+            own = self.pairs[at[open_] + k]
+            hit = own == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]] + k]
+            open_ = open_[~hit & (own >= 0)]
+            if not len(open_):
+                break
+        return out
+
+    def _forget(self) -> None:
+        #: By pre-token its number; by number the ids without a skip and the candidates that come up.
+        self.memo: dict[str, int] = {_OWN_MARK: 0}
+        self.whole = [np.array([self.bytes[b] for b in _MARK.encode()], "<u4").tobytes()]
+        self.counts = np.zeros(1 << 12, np.int64)
 
-    def gaps(self, key: np.ndarray, n: int) -> np.ndarray:
-        """n draws of how many candidates pass before one is skipped; ``key`` is one 64-bit number."""
-        u = ((mix(key + np.arange(1, n + 1, dtype=U64) * _STEP) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    def gaps(self, key: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The draws of these numbers: how many candidates pass before one is skipped; ``key`` is one 64-bit number."""
+        u = ((mix(key + (numbers.astype(U64) + U64(1)) * _STEP) >> U64(11)).astype(np.float64) + 0.5) * 2.0**-53
         return np.minimum(np.log(u) * self.scale, 1e9).astype(np.int64)
 
     def _more_gaps(self, key: np.ndarray, place: int) -> Iterator[int]:
         own = mix(mix(key ^ _STEP) + U64(place))
         while True:
-            yield from self.gaps(own, 64).tolist()
+            yield from self.gaps(own, np.arange(64)).tolist()
             own = mix(own + U64(1))
 
     def segment(self, text: str, gaps: Iterable[int] = ()) -> tuple[list[str], int, int]:
@@ -110,59 +168,151 @@ class PieceCodec:
                 out += [self.bytes[b] for b in piece.encode()]
         return np.array(out, "<u4").tobytes(), seen, skips
 
-    def _drawn(self, text: str, key: np.ndarray, place: int, draws: list[int]) -> bytes:
-        """Ids of a pre-token by its draws: remembered for the same skips, or else merged."""
-        node, above, at, skips = self.memo.get(text), None, draws[0] if draws else 1 << 60, 0
-        while node is not None:
-            if at >= node[1]:
-                return node[0]
-            above, edge = node, at
-            node = node[2].get(at) if node[2] else None
-            skips += 1
-            if skips == len(draws):
-                break
-            at += 1 + draws[skips]
-        ids, seen, done = self._ids(text if text[:1] == "\n" else _MARK + text.replace(" ", _MARK), chain(draws, self._more_gaps(key, place)) if draws else ())
-        if node is None and done == skips:
-            if self.entries >= MEMO_ENTRIES:
-                self.memo.clear()
-                self.entries, above = 0, above and [b"", 0, None]
-            self.entries += 1
-            if above is None:
-                self.memo[text] = [ids, seen, None]
-            elif above[2] is None:
-                above[2] = {edge: [ids, seen, None]}
-            else:
-                above[2][edge] = [ids, seen, None]
-        return ids
+    @staticmethod
+    def _marked(key: str) -> str:
+        return key[key[0] == _BARE :] if key and key[0] in ("\n", _BARE) else _MARK + key.replace(" ", _MARK)
+
+    def _together(self, texts: list[str], draws: np.ndarray, more: list) -> tuple[list[bytes], np.ndarray]:
+        """Ids of pre-tokens with spaces as marks, and the candidates that came up. ``draws``: a row of gaps for each, or no columns
+        for no skips; ``more``: how to draw what comes after a row's."""
+        ids: list[bytes] = [b""] * len(texts)
+        counts = np.zeros(len(texts), np.int64)
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        for low, high in ((0, 8), (8, 16), (16, SHORT)):
+            own = np.flatnonzero((size > low) & (size <= high))
+            if len(own):
+                self._rows(texts, own, size[own], draws[own], ids, counts)
+        # Long ones, those with a character that is no piece, and those with more skips than a row of draws has.
+        for k in np.flatnonzero((size > SHORT) | (counts < 0)).tolist():
+            ids[k], counts[k], _ = self._ids(texts[k], chain(draws[k].tolist(), more[k]()) if draws.shape[1] else ())
+        return ids, counts
+
+    def _rows(self, texts: list[str], own: np.ndarray, n: np.ndarray, draws: np.ndarray, ids: list[bytes], counts: np.ndarray) -> None:
+        w, wide = len(own), int(n.max())
+        code = np.frombuffer("".join([texts[k].ljust(wide, "\0") for k in own.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(w, wide)
+        places = np.arange(wide)
+        symbols = np.where(places < n[:, None], self.single[code], -1)
+        agenda = np.full((w, wide), NO_RANK << 32)  # by place: the merge of the symbol there with the next one
+        inside = places[:-1] < n[:, None] - 1
+        agenda[:, :-1][inside] = self._merges(symbols[:, :-1][inside], symbols[:, 1:][inside])
+        seen, live = np.zeros(w, np.int64), np.arange(w)
+        left = draws[:, 0].copy() if draws.shape[1] else np.full(w, 1 << 40)
+        skips = np.zeros(w, np.int64)
+        padded = np.zeros(w, bool)
+        s, g = symbols, agenda
+        final: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            at = np.argmin(g >> 32, axis=1)
+            rows = np.arange(len(live))
+            best = g[rows, at]
+            go = best >> 32 < NO_RANK
+            if not go.all():
+                final.append((live[~go], s[~go]))
+                live, s, g, at, best = live[go], s[go], g[go], at[go], best[go]
+                rows = rows[: len(live)]
+            seen[live] += 1
+            skip = left[live] == 0
+            left[live] -= 1
+            if skip.any():
+                j, who = rows[skip], live[skip]
+                g[j, at[j]] = NO_RANK << 32
+                skips[who] += 1
+                out = skips[who] == draws.shape[1]
+                left[who] = draws[who, np.minimum(skips[who], draws.shape[1] - 1)]
+                padded[who[out]] = True
+                left[who[out]] = 1 << 40
+            j = rows[~skip]
+            if len(j):
+                i = at[j]
+                take = places + (places > i[:, None])
+                take[:, -1] = np.minimum(take[:, -1], wide - 1)
+                own_s, own_g = np.take_along_axis(s[j], take, 1), np.take_along_axis(g[j], take, 1)
+                own_s[:, -1], own_g[:, -1] = -1, NO_RANK << 32
+                r = np.arange(len(j))
+                now = best[j] & 0xFFFFFFFF
+                own_s[r, i] = now
+                following = own_s[r, np.minimum(i + 1, wide - 1)]
+                has = (following >= 0) & (i + 1 < wide)
+                own_g[r, i] = NO_RANK << 32
+                own_g[r[has], i[has]] = self._merges(now[has], following[has])
+                has = i > 0
+                own_g[r[has], i[has] - 1] = self._merges(own_s[r[has], i[has] - 1], now[has])
+                s[j], g[j] = own_s, own_g
+        for who, rows in final:
+            known = (rows < self.n_pieces).all(axis=1) & ~padded[who]
+            counts[own[who]] = np.where(known, seen[who], -1)
+            rows, who = rows[known], own[who[known]]
+            there = rows >= 0
+            raw = rows[there].astype("<u4").tobytes()
+            ends = (4 * np.cumsum(there.sum(axis=1))).tolist()
+            for k, a, b in zip(who.tolist(), [0, *ends[:-1]] if ends else [], ends, strict=True):
+                ids[k] = raw[a:b]
+
+    def _learn(self, keys: list[str]) -> None:
+        """Numbers new pre-tokens by what they give without a skip."""
+        ids, counts = self._together([self._marked(k) for k in keys], np.zeros((len(keys), 0), np.int64), [])
+        n = len(self.whole)
+        self.memo.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.whole += ids
+        if len(self.whole) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros(len(self.whole), np.int64)])
+        self.counts[n : n + len(keys)] = counts
 
     def encode(self, text: str, variant: int = 0) -> bytes:
         """Little-endian 32-bit ids of a text, by the draws of a document's variant."""
+        return self.encode_all([text], [variant])[0]
+
+    def encode_all(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        """Ids of each text, by its document's variant."""
+        out, low = [], 0
+        while low < len(texts):
+            high, size = low, 0
+            while high < len(texts) and size < TOGETHER_BYTES:
+                size += len(texts[high])
+                high += 1
+            out += self._encode_some(texts[low:high], variants[low:high])
+            low = high
+        return out
+
+    def _encode_some(self, texts: list[str], variants: list[int]) -> list[bytes]:
+        if len(self.memo) >= MEMO_ENTRIES:
+            self._forget()
+        split = [self._pre_tokens(t) for t in texts]
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        offsets = np.concatenate([[0], np.cumsum(sizes)])
+        flat = list(chain.from_iterable(split))
+        numbers = list(map(self.memo.get, flat))
+        if None in numbers:
+            self._learn(list(dict.fromkeys(k for k, n in zip(flat, numbers, strict=True) if n is None)))
+            numbers = list(map(self.memo.get, flat))
+        out = list(map(self.whole.__getitem__, numbers))
+        if self.rate > 0 and flat:
+            seeds = mix(mix(np.array([self.seed & (2**64 - 1)], U64)) + np.array([v & (2**64 - 1) for v in variants], U64))
+            doc = np.repeat(np.arange(len(texts)), sizes)
+            place = np.arange(len(flat)) - offsets[:-1][doc]
+            # Few pre-tokens have a skip: a first draw below the candidates that come up; only for these are more draws made.
+            skip = np.flatnonzero(self.gaps(seeds[doc], DRAWS * place) < self.counts[numbers])
+            draws = self.gaps(seeds[doc[skip], None], DRAWS * place[skip, None] + np.arange(DRAWS))
+            more = [partial(self._more_gaps, seeds[d : d + 1], p) for d, p in zip(doc[skip].tolist(), place[skip].tolist(), strict=True)]
+            for k, ids in zip(skip.tolist(), self._together([self._marked(flat[k]) for k in skip.tolist()], draws, more)[0], strict=True):
+                out[k] = ids
+        ends = offsets.tolist()
+        return [b"".join(out[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    def _pre_tokens(self, text: str) -> list[str]:
+        """Keys of a text's pre-tokens: each without its first space, which encoding adds before the first one, or from a line feed on."""
         if not text:
-            return b""
+            return []
         if _MARK in text:
-            # Marks of the text itself: its parts between them are encoded on their own, the marks as bytes.
-            mark = np.array([self.bytes[b] for b in _MARK.encode()], "<u4").tobytes()
-            parts = [re.findall(r"\n|[^ \n]+| +[^ \n]*", p) for p in [" " + text.split(_MARK)[0], *text.split(_MARK)[1:]]]
-            key, draws = self._draws(variant, sum(map(len, parts)))
-            places = iter(range(len(draws)))
-            own = lambda m, k: self._ids(m.replace(" ", _MARK), chain(draws[k], self._more_gaps(key, k)) if draws[k] else ())[0]
-            return mark.join(b"".join(own(m, next(places)) for m in p) for p in parts)
+            # The text's parts between its own marks are encoded on their own, the marks as bytes.
+            first, *others = text.split(_MARK)
+            out = [m if m[0] == "\n" else m[1:] if m[0] == " " else _BARE + m for m in _BESIDE_MARKS.findall(" " + first)]
+            for part in others:
+                out += [_OWN_MARK, *(m if m[0] == "\n" else m[1:] if m[0] == " " else _BARE + m for m in _BESIDE_MARKS.findall(part))]
+            return out
         if "  " in text or text[0] == " ":
-            keys = [m[1:] if m[0] == " " else m for m in _PIECES.findall(" " + text)]
-        else:
-            keys = text.replace("\n", " \n").split(" ")
-        key, draws = self._draws(variant, len(keys))
-        get, out = self.memo.get, []
-        for k, own in enumerate(draws):
-            node = get(keys[k])
-            out.append(node[0] if node is not None and (not own or own[0] >= node[1]) else self._drawn(keys[k], key, k, own))
-        return b"".join(out)
-
-    def _draws(self, variant: int, n: int) -> tuple[np.ndarray, list[list[int]]]:
-        """The variant's key, and the first draws of n pre-tokens; none at rate 0."""
-        key = mix(mix(np.array([self.seed & (2**64 - 1)], U64)) + np.array([variant & (2**64 - 1)], U64))
-        return key, self.gaps(key, n * DRAWS).reshape(n, DRAWS).tolist() if self.rate > 0 else [[]] * n
+            return [m[1:] if m[0] == " " else m for m in _PIECES.findall(" " + text)]
+        return text.replace("\n", " \n").split(" ")
 
     def decode(self, ids: bytes) -> str:
         """The text that the ids encode; their first space is the one that encoding adds."""
@@ -189,7 +339,8 @@ def encode_texts(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_path, rate, seed)
         for batch in batches:
-            ids = [np.frombuffer(own.encode(t or "", own.variant(d)), "<u4").astype(np.int32) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            texts, variants = [t or "" for t in batch.column(1).to_pylist()], [own.variant(d) for d in batch.column(0).to_pylist()]
+            ids = [np.frombuffer(i, "<u4").astype(np.int32) for i in own.encode_all(texts, variants)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, ids array<int>")
@@ -220,7 +371,7 @@ def round_trips(docs: DataFrame, model_path: str, rate: float = 0.1, seed: int =
         for batch in batches:
             docs_, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             variant = [own.variant(d) for d in docs_]
-            ids = [own.encode(t, v) for t, v in zip(texts, variant, strict=True)]
+            ids = own.encode_all(texts, variant)
             size = pc.fill_null(pc.binary_length(batch.column(1)), 0).cast(pa.int64())
             columns = [batch.column(0), size, pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array(np.array([zlib.crc32(b"%d:%d" % (seed, v)) for v in variant], np.uint32).view(np.int32)), pa.array([own.decode(i) == t for i, t in zip(ids, texts, strict=True)])]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens", "ids_crc32", "variant", "lossless"])
