@@ -42,6 +42,8 @@ CORE = LENGTH - PART + 1
 _FLANK = PART - 1
 #: Contents of one core that are compared in pairs; beyond, the windows of all of them are sorted.
 PAIRED = 32
+#: Bits of a core's hash that are sent.
+CORE_KEY = U64(2**48 - 1)
 
 
 def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -256,7 +258,7 @@ def part_windows(parts: list[np.ndarray]) -> list[np.ndarray]:
         n_ = np.full(len(core), n)
         bytes_ = _down(left, 8 - n_) | _up(right, n_)
         start = head - np.int32(n)
-        out.append([mix(_pair(core + U64(n), bytes_)), doc, start, start + np.int32(LENGTH), bytes_])
+        out.append([mix(_pair((core & CORE_KEY) + U64(n), bytes_)), doc, start, start + np.int32(LENGTH), bytes_])
     return [np.concatenate(x) for x in zip(*out, strict=True)]
 
 
@@ -370,35 +372,26 @@ class Marks:
             self.parts, self.size = [], 0
 
 
-def _index_text(rows: DataFrame, n: int, paired: int) -> DataFrame:
-    """Each task's suffixes by bucket of their anchor; marks and windows that it can tell on its own."""
+def _index_text(rows: DataFrame, n: int) -> DataFrame:
+    """Each task's runs by bucket of their anchor; those that it finds to differ are asked for at once, by document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Blobs()
         marks = Marks(out, n)
         runs: list[list[np.ndarray]] = []
-        slices: list[np.ndarray] = []
         size = 0
 
         def send() -> None:
-            nonlocal runs, slices, size
-            if not runs:
-                return
-            anchor, print_, doc, first, last, base, tied, slice_ = (np.concatenate(x) for x in zip(*runs, strict=True))
-            start = (first - base).astype(np.int32)
-            sent, late, differ = settle([anchor, doc, start, start + (last - first).astype(np.int32) + np.int32(LENGTH), print_], tied)
-            send_runs(out, sent, n)
-            marks.add(late)
-            entries = []
-            differ = differ[np.argsort(slice_[differ], kind="stable")]
-            edges = np.searchsorted(slice_[differ], np.arange(len(slices) + 1))
-            for k, data in enumerate(slices):
-                own = differ[edges[k] : edges[k + 1]]
-                if len(own):
-                    entries.append(part_entries(data, doc[own], base[own], first[own], last[own]))
-            runs, slices, size = [], [], 0
-            send_parts(out, marks, entries, n, paired)
-            marks.send()
+            nonlocal runs, size
+            if runs:
+                *entries, tied = (np.concatenate(x) for x in zip(*runs, strict=True))
+                sent, late, differ = settle(entries, tied)
+                send_runs(out, sent, n)
+                marks.add(late)
+                asked = by_place([a[differ] for a in entries[1:4]], 0, 1)
+                out.deal(REQUESTS, doc_bucket(asked[0], n), asked)
+                marks.send()
+                runs, size = [], 0
 
         for batch in batches:
             batch = batch.filter(batch.column(0).is_valid())
@@ -406,11 +399,10 @@ def _index_text(rows: DataFrame, n: int, paired: int) -> DataFrame:
             data, offsets = text_bytes(batch.column(1))
             for low, high in row_ranges(offsets):
                 own = offsets[low : high + 1] - offsets[low]
-                part = data[offsets[low] : offsets[high]]
-                anchor, print_, row, first, last, tied = anchored_runs(part, own)
-                runs.append([anchor, print_, ids[low:high][row], first, last, own[:-1][row], tied, np.full(len(row), len(slices))])
-                slices.append(part.copy())
-                size += len(part)
+                anchor, print_, row, first, last, tied = anchored_runs(data[offsets[low] : offsets[high]], own)
+                start = (first - own[row]).astype(np.int32)
+                runs.append([anchor, ids[low:high][row], start, start + (last - first).astype(np.int32) + np.int32(LENGTH), print_, tied])
+                size += int(own[-1])
                 if size >= FLUSH_BYTES:
                     send()
             yield from out.take()
@@ -447,7 +439,7 @@ def send_parts(out: Blobs, marks: Marks, entries: list[list[np.ndarray]], n: int
             zero = np.zeros(len(cores), np.int32)
             parts = [np.concatenate([x[~many], y]) for x, y in zip(parts, [cores, zero.astype(np.int64), zero, np.full(len(cores), -1, np.int8), zero.astype(U64), zero.astype(U64)], strict=True)]
         parts = by_place(parts)
-        out.deal(PARTS, key_bucket(parts[0], n), parts)
+        out.deal(PARTS, key_bucket(parts[0], n), [parts[0] & CORE_KEY, *parts[1:]], {0: 6})
 
 
 def _scan_levels(blobs: DataFrame, n: int, kind_: int, paired: int, batch: int) -> DataFrame:
@@ -532,22 +524,19 @@ def remove_repeated_bytes(docs: DataFrame, with_text: bool = False, paired: int
     Removed is each byte that lies in a string of 100 bytes which also starts earlier: in a smaller doc_id, or earlier
     in the same document. Null texts count as empty. Rows with a null doc_id have no place in the order: they stay whole
     and repeat nothing. Rows that share a doc_id and text are one document. An empty table gives none; other columns are
-    ignored. Every exchange has at most one entry a task for a string, whatever its count. No bytes are taken for equal by less
-    than 64 bits of hash beside the anchor's, or beside eight bytes as they are.
+    ignored. Every exchange has at most one entry a task for a string, whatever its count. Runs are taken for equal by 64 bits of
+    hash beside 40 of the anchor's, windows by 48 of the core's beside eight bytes as they are, each with those that name the bucket.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     kind = F.col("kind")
-    runs = stored(_scan_levels(_index_text(rows, n, paired), n, KEYS, paired, batch), "suffix-runs", by="kind")
+    runs = stored(_scan_levels(_index_text(rows, n), n, KEYS, paired, batch), "suffix-runs", by="kind")
     answered = _answer(runs.where(kind == REQUESTS), text_blobs(rows, n), n, paired)
-    parts = stored(_scan_levels(runs.where(kind == PARTS).unionByName(answered), n, PARTS, paired, batch), "suffix-parts", by="kind")
-    for done in (PARTS, REQUESTS):
-        discard(runs, f"kind={done}")
-    both = runs.unionByName(parts)
-    windows = stored(_scan_levels(both.where(kind == WINDOWS), n, WINDOWS, paired, batch), "suffix-windows")
-    for table in (runs, parts):
-        discard(table, f"kind={WINDOWS}")
-    marks = both.unionByName(windows).where(kind == MARKS)
+    parts = stored(_scan_levels(answered, n, PARTS, paired, batch), "suffix-parts", by="kind")
+    discard(runs, f"kind={REQUESTS}")
+    windows = stored(_scan_levels(parts.where(kind == WINDOWS), n, WINDOWS, paired, batch), "suffix-windows")
+    discard(parts, f"kind={WINDOWS}")
+    marks = runs.unionByName(parts).unionByName(windows).where(kind == MARKS)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = Spans()
