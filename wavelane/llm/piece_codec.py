@@ -16,9 +16,8 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterable, Iterator
-from functools import partial
-from itertools import chain
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -76,7 +75,9 @@ class PieceCodec:
         keys, ranks, become = (np.array(c, np.int64) for c in zip(*rows, strict=True))
         bits = max(10, int(len(keys) - 1).bit_length() + 2)
         self.shift = U64(64 - bits)
-        self.pairs, self.values = np.full((1 << bits) + 64, -1), np.zeros((1 << bits) + 64, np.int64)
+        self.pairs = np.full((1 << bits) + 64, -1)
+        # The last place stays free: it stands for no merge.
+        self.pair_ranks, self.pair_symbols = np.full(len(self.pairs), NO_RANK, np.int32), np.zeros(len(self.pairs), np.int32)
         left, place = np.arange(len(keys)), self._place(keys)
         self.tries = 0
         while len(left):
@@ -85,7 +86,7 @@ class PieceCodec:
             free = self.pairs[at] < 0
             self.pairs[at[free]] = keys[left[free]]
             got = self.pairs[at] == keys[left]
-            self.values[at[got]] = ranks[left[got]] << 32 | become[left[got]]
+            self.pair_ranks[at[got]], self.pair_symbols[at[got]] = ranks[left[got]], become[left[got]]
             left = left[~got]
             place[left] += 1
             self.tries += 1
@@ -98,18 +99,21 @@ class PieceCodec:
     def _place(self, keys: np.ndarray) -> np.ndarray:
         return ((mix(keys.view(U64)) * _MULTIPLIER) >> self.shift).astype(np.int64)
 
-    def _merges(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Rank and symbol of merging two, as rank << 32 | symbol; NO_RANK << 32 for those that don't."""
-        keys = a << 32 | b
-        out, at, open_ = np.full(len(keys), NO_RANK << 32), self._place(keys), np.arange(len(keys))
-        for k in range(self.tries):
+    def _merges(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and symbol of merging two; NO_RANK for those that don't."""
+        keys = a.astype(np.int64) << 32 | b
+        at = self._place(keys)
+        own = self.pairs[at]
+        found = np.where(own == keys, at, -1)
+        open_ = np.flatnonzero((own != keys) & (own >= 0))
+        for k in range(1, self.tries):
+            if not len(open_):
+                break
             own = self.pairs[at[open_] + k]
             hit = own == keys[open_]
-            out[open_[hit]] = self.values[at[open_[hit]] + k]
+            found[open_[hit]] = at[open_[hit]] + k
             open_ = open_[~hit & (own >= 0)]
-            if not len(open_):
-                break
-        return out
+        return self.pair_ranks[found], self.pair_symbols[found]
 
     def _forget(self) -> None:
         #: By pre-token its number; by number the ids without a skip and the candidates that come up.
@@ -172,7 +176,7 @@ class PieceCodec:
     def _marked(key: str) -> str:
         return key[key[0] == _BARE :] if key and key[0] in ("\n", _BARE) else _MARK + key.replace(" ", _MARK)
 
-    def _together(self, texts: list[str], draws: np.ndarray, more: list) -> tuple[list[bytes], np.ndarray]:
+    def _together(self, texts: list[str], draws: np.ndarray, more: Callable[[int], Iterator[int]] | None = None) -> tuple[list[bytes], np.ndarray]:
         """Ids of pre-tokens with spaces as marks, and the candidates that came up. ``draws``: a row of gaps for each, or no columns
         for no skips; ``more``: how to draw what comes after a row's."""
         ids: list[bytes] = [b""] * len(texts)
@@ -184,62 +188,57 @@ class PieceCodec:
                 self._rows(texts, own, size[own], draws[own], ids, counts)
         # Long ones, those with a character that is no piece, and those with more skips than a row of draws has.
         for k in np.flatnonzero((size > SHORT) | (counts < 0)).tolist():
-            ids[k], counts[k], _ = self._ids(texts[k], chain(draws[k].tolist(), more[k]()) if draws.shape[1] else ())
+            ids[k], counts[k], _ = self._ids(texts[k], chain(draws[k].tolist(), more(k)) if draws.shape[1] else ())
         return ids, counts
 
     def _rows(self, texts: list[str], own: np.ndarray, n: np.ndarray, draws: np.ndarray, ids: list[bytes], counts: np.ndarray) -> None:
         w, wide = len(own), int(n.max())
         code = np.frombuffer("".join([texts[k].ljust(wide, "\0") for k in own.tolist()]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(w, wide)
         places = np.arange(wide)
-        symbols = np.where(places < n[:, None], self.single[code], -1)
-        agenda = np.full((w, wide), NO_RANK << 32)  # by place: the merge of the symbol there with the next one
-        inside = places[:-1] < n[:, None] - 1
-        agenda[:, :-1][inside] = self._merges(symbols[:, :-1][inside], symbols[:, 1:][inside])
-        seen, live = np.zeros(w, np.int64), np.arange(w)
+        s = np.where(places < n[:, None], self.single[code], -1).astype(np.int32)
+        ranks, become = np.full((w, wide), NO_RANK, np.int32), np.zeros((w, wide), np.int32)  # by place: the merge of the symbol there with the next one
+        inside = np.zeros((w, wide), bool)
+        inside[:, :-1] = places[:-1] < n[:, None] - 1
+        ranks[inside], become[inside] = self._merges(s[inside], np.roll(s, -1, axis=1)[inside])
+        seen, live, rows = np.zeros(w, np.int64), np.arange(w), np.arange(w)
         left = draws[:, 0].copy() if draws.shape[1] else np.full(w, 1 << 40)
-        skips = np.zeros(w, np.int64)
-        padded = np.zeros(w, bool)
-        s, g = symbols, agenda
+        skips, more_needed = np.zeros(w, np.int64), np.zeros(w, bool)
         final: list[tuple[np.ndarray, np.ndarray]] = []
         while len(live):
-            at = np.argmin(g >> 32, axis=1)
-            rows = np.arange(len(live))
-            best = g[rows, at]
-            go = best >> 32 < NO_RANK
+            at = np.argmin(ranks, axis=1)
+            go = ranks[rows, at] < NO_RANK
             if not go.all():
                 final.append((live[~go], s[~go]))
-                live, s, g, at, best = live[go], s[go], g[go], at[go], best[go]
+                live, s, ranks, become, at = live[go], s[go], ranks[go], become[go], at[go]
                 rows = rows[: len(live)]
             seen[live] += 1
             skip = left[live] == 0
             left[live] -= 1
             if skip.any():
-                j, who = rows[skip], live[skip]
-                g[j, at[j]] = NO_RANK << 32
+                who = live[skip]
                 skips[who] += 1
-                out = skips[who] == draws.shape[1]
+                out = who[skips[who] == draws.shape[1]]
                 left[who] = draws[who, np.minimum(skips[who], draws.shape[1] - 1)]
-                padded[who[out]] = True
-                left[who[out]] = 1 << 40
+                more_needed[out] = True
+                left[out] = 1 << 40
+                ranks[rows[skip], at[skip]] = NO_RANK
             j = rows[~skip]
             if len(j):
-                i = at[j]
-                take = places + (places > i[:, None])
-                take[:, -1] = np.minimum(take[:, -1], wide - 1)
-                own_s, own_g = np.take_along_axis(s[j], take, 1), np.take_along_axis(g[j], take, 1)
-                own_s[:, -1], own_g[:, -1] = -1, NO_RANK << 32
-                r = np.arange(len(j))
-                now = best[j] & 0xFFFFFFFF
+                i, r = at[j], rows[: len(j)]
+                now = become[j, i]
+                take = np.minimum(places + (places > i[:, None]), wide - 1) + (j * wide)[:, None]
+                own_s, own_r, own_b = s.ravel()[take], ranks.ravel()[take], become.ravel()[take]
+                own_s[:, -1], own_r[:, -1] = -1, NO_RANK
                 own_s[r, i] = now
-                following = own_s[r, np.minimum(i + 1, wide - 1)]
-                has = (following >= 0) & (i + 1 < wide)
-                own_g[r, i] = NO_RANK << 32
-                own_g[r[has], i[has]] = self._merges(now[has], following[has])
-                has = i > 0
-                own_g[r[has], i[has] - 1] = self._merges(own_s[r[has], i[has] - 1], now[has])
-                s[j], g[j] = own_s, own_g
+                own_r[r, i] = NO_RANK
+                following = np.where(i + 1 < wide, own_s[r, np.minimum(i + 1, wide - 1)], -1)
+                has = np.flatnonzero(following >= 0)
+                own_r[has, i[has]], own_b[has, i[has]] = self._merges(now[has], following[has])
+                has = np.flatnonzero(i > 0)
+                own_r[has, i[has] - 1], own_b[has, i[has] - 1] = self._merges(own_s[has, i[has] - 1], now[has])
+                s[j], ranks[j], become[j] = own_s, own_r, own_b
         for who, rows in final:
-            known = (rows < self.n_pieces).all(axis=1) & ~padded[who]
+            known = (rows < self.n_pieces).all(axis=1) & ~more_needed[who]
             counts[own[who]] = np.where(known, seen[who], -1)
             rows, who = rows[known], own[who[known]]
             there = rows >= 0
@@ -250,7 +249,7 @@ class PieceCodec:
 
     def _learn(self, keys: list[str]) -> None:
         """Numbers new pre-tokens by what they give without a skip."""
-        ids, counts = self._together([self._marked(k) for k in keys], np.zeros((len(keys), 0), np.int64), [])
+        ids, counts = self._together([self._marked(k) for k in keys], np.zeros((len(keys), 0), np.int64))
         n = len(self.whole)
         self.memo.update(zip(keys, range(n, n + len(keys)), strict=True))
         self.whole += ids
@@ -281,19 +280,21 @@ class PieceCodec:
         sizes = np.fromiter(map(len, split), np.int64, len(split))
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         flat = list(chain.from_iterable(split))
-        numbers = list(map(self.memo.get, flat))
-        if None in numbers:
-            self._learn(list(dict.fromkeys(k for k, n in zip(flat, numbers, strict=True) if n is None)))
-            numbers = list(map(self.memo.get, flat))
-        out = list(map(self.whole.__getitem__, numbers))
+        numbers = np.fromiter(map(self.memo.get, flat, repeat(-1)), np.int64, len(flat))
+        new = np.flatnonzero(numbers < 0).tolist()
+        if new:
+            self._learn(list(dict.fromkeys([flat[k] for k in new])))
+            numbers[new] = [self.memo[flat[k]] for k in new]
+        out = list(map(self.whole.__getitem__, numbers.tolist()))
         if self.rate > 0 and flat:
             seeds = mix(mix(np.array([self.seed & (2**64 - 1)], U64)) + np.array([v & (2**64 - 1) for v in variants], U64))
             doc = np.repeat(np.arange(len(texts)), sizes)
             place = np.arange(len(flat)) - offsets[:-1][doc]
             # Few pre-tokens have a skip: a first draw below the candidates that come up; only for these are more draws made.
             skip = np.flatnonzero(self.gaps(seeds[doc], DRAWS * place) < self.counts[numbers])
-            draws = self.gaps(seeds[doc[skip], None], DRAWS * place[skip, None] + np.arange(DRAWS))
-            more = [partial(self._more_gaps, seeds[d : d + 1], p) for d, p in zip(doc[skip].tolist(), place[skip].tolist(), strict=True)]
+            doc, place = doc[skip], place[skip]
+            draws = self.gaps(seeds[doc, None], DRAWS * place[:, None] + np.arange(DRAWS))
+            more = lambda k: self._more_gaps(seeds[doc[k] : doc[k] + 1], int(place[k]))
             for k, ids in zip(skip.tolist(), self._together([self._marked(flat[k]) for k in skip.tolist()], draws, more)[0], strict=True):
                 out[k] = ids
         ends = offsets.tolist()
