@@ -23,3 +23,18 @@ def test_entry_names(spark):
     assert set(catalog.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).count() > 0
+
+
+def test_entry_without_the_text_half(monkeypatch):
+    import __spark_entry__ as entry
+
+    whole = set(entry.queries())
+    real = entry.importlib.import_module
+
+    def missing(name, *args):
+        if name.startswith(("wavelane.llm", "corpus_pipeline")):
+            raise ModuleNotFoundError(name)
+        return real(name, *args)
+
+    monkeypatch.setattr(entry.importlib, "import_module", missing)
+    assert set(entry.queries()) == set(catalog.QUERIES) <= whole and entry.oracle_sql() == catalog.ORACLES

@@ -180,3 +180,14 @@ def test_rates_and_ranges(spark):
     df = frame(spark, [(1, k, 10.0 * k) for k in range(5)] + [(2, 1, 5.0), (3, 1, 1.0), (3, 2, 1.0)], "p int, ord long, t double")
     assert {r.p: r.fs for r in metrics.sampling_rate(df, ["p"], "t", "ord").collect()} == {1: 100.0, 2: None, 3: None}
     assert metrics.value_range(df.limit(0), ["p"], "t").count() == 0
+
+
+def test_splits_at_all_shares(spark):
+    from wavelane.operators import folds
+
+    rows = spark.range(20_000)
+    for share in (0.0, 0.2, 0.5, 0.99, 0.999, 1.0):
+        got = folds.two_way(rows, ["id"], share).where("split = 'test'").count() / 20_000
+        assert abs(got - share) < 0.01 and (0 < share < 1 or got == share)
+    three = {r.split: r.n for r in folds.three_way(rows, ["id"], 0.3, 0.7).groupBy("split").agg(F.count("*").alias("n")).collect()}
+    assert "train" not in three and abs(three["test"] / 20_000 - 0.7) < 0.02

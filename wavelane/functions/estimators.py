@@ -1,11 +1,13 @@
-"""Heart-rate estimators of single windows, and their registry.
+"""Heart-rate estimators of windows, and their registry.
 
-Each takes samples and a rate and gives beats a minute, or NaN: for fewer than 50 samples, for samples
-that are not finite, and where nothing plausible is found. They run as Arrow batches, one row a window.
+Each takes windows of one length, a row each, and a rate, and gives beats a minute, or NaN: for fewer than
+50 samples, for samples that are not finite, and where nothing plausible is found. They run as Arrow batches: filters,
+spectra, lags and scalograms over all rows of a batch that have one length; only the search for beats is row by row.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -15,92 +17,113 @@ from pyspark.sql import Column, functions as F
 from wavelane.functions.signal import bessel_low, butterworth_band, forward_backward
 
 LEAST_SAMPLES, PADDED = 50, 8192
+#: Rows that are worked on at once.
+ROWS = 256
+#: Intervals between beats, in seconds, that count: those of 200 to 30 beats a minute.
+INTERVALS = (60 / 200, 60 / 30)
 
 
-def _inside(hr: float, low: float, high: float) -> float:
-    return float(hr) if np.isfinite(hr) and low <= hr <= high else np.nan
+def _inside(hr, low: float, high: float):
+    """Rates inside the closed band; NaN for others."""
+    hr = np.asarray(hr, float)
+    with np.errstate(invalid="ignore"):
+        return np.where((hr >= low) & (hr <= high), hr, np.nan)
 
 
-def _vertex(y: np.ndarray, k: int) -> float:
-    """Offset of the parabola's vertex through a peak and its neighbours, half a step at most."""
-    if k <= 0 or k >= len(y) - 1:
-        return 0.0
-    bend = y[k - 1] - 2 * y[k] + y[k + 1]
-    return float(np.clip(0.5 * (y[k - 1] - y[k + 1]) / bend, -0.5, 0.5)) if abs(bend) > 1e-10 else 0.0
+def _vertex(y: np.ndarray, k: np.ndarray) -> np.ndarray:
+    """Of each row the offset of the parabola's vertex through the value at k and its neighbours, half a step at most; an edge is its own neighbour."""
+    row = np.arange(len(y))
+    before, at, after = y[row, np.maximum(k - 1, 0)], y[row, k], y[row, np.minimum(k + 1, y.shape[1] - 1)]
+    bend = before - 2 * at + after
+    flat = np.abs(bend) <= 1e-10
+    return np.where(flat, 0.0, np.clip(0.5 * (before - after) / np.where(flat, 1.0, bend), -0.5, 0.5))
 
 
-def _from_peaks(peaks: np.ndarray, fs: float, low: float, high: float, average=np.median, ibi: tuple[float, float] | None = None, least: int = 1) -> float:
+def _from_peaks(peaks: np.ndarray, fs: float, low: float, high: float, ibi: tuple[float, float] | None = None, least: int = 1) -> float:
     beats = np.diff(np.asarray(peaks, float)) / fs
     if ibi:
         beats = beats[(beats >= ibi[0]) & (beats <= ibi[1])]
-    return _inside(60 / average(beats), low, high) if len(beats) >= least and average(beats) > 0 else np.nan
+    return float(_inside(60 / np.median(beats), low, high)) if len(beats) >= least and np.median(beats) > 0 else np.nan
 
 
-def spectral(x: np.ndarray, fs: float) -> float:
-    """Largest magnitude between 0.5 and 3 Hz of the Hann-weighted, zero-padded spectrum."""
-    if len(x) > PADDED:
-        return np.nan
-    size = np.abs(np.fft.rfft((x - x.mean()) * np.hanning(len(x)), PADDED))
+def spectral(x: np.ndarray, fs: float, centre: bool = False) -> np.ndarray:
+    """Largest magnitude between 0.5 and 3 Hz of the Hann-weighted, zero-padded spectrum; ``centre``: of the window less its mean."""
+    if x.shape[1] > PADDED:
+        return np.full(len(x), np.nan)
     freq = np.fft.rfftfreq(PADDED, 1 / fs)
-    band = np.flatnonzero((freq >= 0.5) & (freq <= 3.0))
+    band = np.flatnonzero((freq >= 30 / 60) & (freq <= 180 / 60))
     if not len(band):
-        return np.nan
-    k = band[size[band].argmax()]
+        return np.full(len(x), np.nan)
+    x = x - x.mean(axis=1, keepdims=True) if centre else x
+    size = np.abs(np.fft.rfft(x * np.hanning(x.shape[1]), PADDED, axis=1))
+    k = band[size[:, band].argmax(axis=1)]
+    k = np.where(size[np.arange(len(x)), k] > 0, k, 0)
     return _inside(60 * (k + _vertex(size, k)) * fs / PADDED, 30, 180)
 
 
-def autocorrelation(x: np.ndarray, fs: float) -> float:
-    """Largest autocorrelation of the Hann-weighted window at lags of a third of a second to two."""
-    if len(x) > PADDED:
-        return np.nan
-    w = (x - x.mean()) * np.hanning(len(x))
-    size = 1 << int(np.ceil(np.log2(2 * len(w))))
-    r = np.fft.irfft(np.abs(np.fft.rfft(w, size)) ** 2, size)[: len(w)]
-    low, high = int(np.ceil(fs * 0.333)), min(int(np.floor(fs * 2)), len(r) - 1)
-    if low > high:
-        return np.nan
-    k = low + int(r[low : high + 1].argmax())
+def autocorrelation(x: np.ndarray, fs: float, centre: bool = False) -> np.ndarray:
+    """Largest autocorrelation of the Hann-weighted window at lags of a third of a second to two; ``centre``: of the window less its mean."""
+    n = x.shape[1]
+    low, high = int(np.ceil(fs * 60 / 180)), min(int(np.floor(fs * 60 / 30)), PADDED - 1)
+    if n > PADDED or low >= high:
+        return np.full(len(x), np.nan)
+    w = (x - x.mean(axis=1, keepdims=True) if centre else x) * np.hanning(n)
+    size = 1 << int(np.ceil(np.log2(2 * n)))
+    r = np.fft.irfft(np.abs(np.fft.rfft(w, size, axis=1)) ** 2, size, axis=1)[:, :n]
+    r = np.pad(r, ((0, 0), (0, max(0, high + 2 - n))))  # no products beyond the window's length
+    k = low + r[:, low : high + 1].argmax(axis=1)
     return _inside(60 * fs / (k + _vertex(r, k)), 30, 180)
 
 
 def scalogram_peaks(x: np.ndarray, fs: float) -> np.ndarray:
-    """Places that exceed their neighbours at every scale up to the one with the most local maxima."""
-    n = len(x)
-    scales = np.arange(1, (n + 1) // 2)
-    if not len(scales):
-        return np.zeros(0, int)
-    grid = np.zeros((len(scales), n), bool)
-    for s in scales:
-        mid = slice(s, n - s)
-        grid[s - 1, mid] = (x[mid] > x[: n - 2 * s]) & (x[mid] > x[2 * s :])
-    best = int(grid.sum(axis=1).argmax())
-    peaks = np.flatnonzero(grid[: best + 1].all(axis=0))
-    reach = int(np.ceil(0.05 * fs))
-    moved = [max(0, p - reach) + int(x[max(0, p - reach) : p + reach + 1].argmax()) for p in peaks]
-    return np.unique(np.array(moved, int))
-
-
-def multiscale(x: np.ndarray, fs: float) -> float:
-    """Peaks by scalogram in sub-windows of six seconds with a fifth overlapping; mean interval."""
-    size = round(6 * fs)
-    step = max(1, round(0.8 * size))
-    n = len(x)
-    starts = list(range(0, n - size + 1, step)) if n > size else [0]
-    if n > size and starts[-1] + size < n:
-        starts.append(n - size)
-    found = [s + scalogram_peaks(_line_off(x[s : s + size]), fs) for s in starts]
-    return _from_peaks(np.unique(np.concatenate(found)), fs, 30, 200, np.mean)
-
-
-def _line_off(x: np.ndarray) -> np.ndarray:
-    i = np.arange(len(x)) - (len(x) - 1) / 2
-    c = x - x.mean()
-    return c - i * (c @ i) / max((i**2).sum(), 1e-300)
+    """Of each row, as a mask: places that exceed their neighbours at every scale up to the one with the most local maxima, each
+    moved to the largest value within a twentieth of a second."""
+    rows, n = x.shape
+    scales = range(1, (n + 1) // 2)
+    if n < 10:
+        return np.zeros(x.shape, bool)
+
+    def above(s: int) -> np.ndarray:
+        out = np.zeros(x.shape, bool)
+        out[:, s : n - s] = (x[:, s : n - s] > x[:, : n - 2 * s]) & (x[:, s : n - s] > x[:, 2 * s :])
+        return out
+
+    best = np.stack([above(s).sum(axis=1) for s in scales], axis=1).argmax(axis=1) + 1
+    peaks, alive = np.zeros(x.shape, bool), np.ones(x.shape, bool)
+    for s in range(1, int(best.max()) + 1):
+        alive &= above(s)
+        own = best == s
+        peaks[own] = alive[own]
+    reach = max(1, int(np.ceil(fs * 0.05)))
+    row, at = np.nonzero(peaks)
+    around = np.lib.stride_tricks.sliding_window_view(np.pad(x, ((0, 0), (reach, reach)), constant_values=-np.inf), 2 * reach + 1, axis=1)
+    out = np.zeros(x.shape, bool)
+    out[row, at - reach + around[row, at].argmax(axis=1)] = True
+    return out
+
+
+def multiscale(x: np.ndarray, fs: float) -> np.ndarray:
+    """Peaks by scalogram in sub-windows of six seconds with a fifth overlapping; mean of the intervals that count."""
+    size, n = int(6 * fs), x.shape[1]
+    starts = [0]
+    if n > size:
+        starts = list(range(0, n - size, max(1, int(size * (1 - 0.2)))))
+        if starts[-1] + size < n:
+            starts.append(n - size)
+    found = np.zeros(x.shape, bool)
+    for s in starts:
+        found[:, s : s + size] |= scalogram_peaks(x[:, s : s + size], fs)
+    row, at = np.nonzero(found)
+    beats, same = np.diff(at) / fs, row[1:] == row[:-1]
+    ok = same & (beats >= INTERVALS[0]) & (beats <= INTERVALS[1])
+    count = np.bincount(row[1:][ok], minlength=len(x))
+    total = np.bincount(row[1:][ok], beats[ok], len(x))
+    return _inside(np.where(count > 0, 60 * count / np.maximum(total, 1e-300), np.nan), 30, 200)
 
 
 def keep_apart(peaks: np.ndarray, x: np.ndarray, fs: float) -> np.ndarray:
-    """Peaks at least the interval of 200 beats a minute apart; of two closer ones the higher stays."""
-    gap, kept = int(fs * 60 / 200), []
+    """Peaks at least the interval of 200 beats a minute apart; of two closer ones the higher stays. In a plan: arrays.merge_close."""
+    gap, kept = max(1, int(fs * 60 / 200)), []
     for p in peaks:
         if kept and p - kept[-1] < gap:
             if x[p] > x[kept[-1]]:
@@ -110,139 +133,330 @@ def keep_apart(peaks: np.ndarray, x: np.ndarray, fs: float) -> np.ndarray:
     return np.array(kept, int)
 
 
-def upslope(x: np.ndarray, fs: float) -> float:
-    """Pulse waves by their steep rises: after a Bessel low-pass at 25 Hz and a five-point mean, a rise counts whose height
-    reaches an adaptive share of recent ones; a small wave right after a large one is a dicrotic wave and is skipped."""
-    smooth = forward_backward(*bessel_low(min(25 / (fs / 2), 0.9)), x[None])[0]
-    smooth = np.convolve(np.pad(smooth, 2, mode="edge"), np.ones(5) / 5, mode="valid")
-    slope = np.diff(smooth)
-    rising = np.concatenate([[False], slope > 0, [False]])
-    begin, end = np.flatnonzero(~rising[:-1] & rising[1:]), np.flatnonzero(rising[:-1] & ~rising[1:])
-    height = smooth[end] - smooth[begin]
-    if not len(height):
-        return np.nan
-    level, peaks = float(np.quantile(height, 0.75)), []
-    for top, h in zip(end, height, strict=True):
-        recent = peaks and (top - peaks[-1]) / fs < 0.25
-        if h >= 0.4 * level and not (recent and h < 0.6 * level):
-            peaks.append(int(top))
-            level = min(0.8 * level + 0.2 * h, 2.5 * level)
-    return _from_peaks(keep_apart(np.array(peaks, int), x, fs), fs, 30, 200)
-
-
-def slope_sum(x: np.ndarray, fs: float) -> float:
-    """Onsets by the slope-sum function with an adaptive threshold; a beat is the largest value between two onsets."""
-    low, high = x.min(), x.max()
-    if high <= low:
-        return np.nan
-    z = (x - low) / (high - low) * 4000 - 2000
-    width = max(1, round(0.17 * fs))
-    rise = np.maximum(np.diff(z, prepend=z[0]), 0)
-    total = np.convolve(rise, np.ones(width))[: len(rise)]
-    learn = min(round(4 * fs), len(x) // 3) if len(x) < 12 * fs else round(8 * fs)
-    level = 3 * total[: max(learn, 1)].mean()
-    onsets, k, blind = [], 0, max(1, round(0.34 * fs))
-    since = 0
-    while k < len(total):
-        if total[k] > level / 3:
-            stop = min(k + blind, len(total))
-            top = k + int(total[k:stop].argmax())
-            foot = top
-            while foot > 0 and total[foot] > 0.01 * total[top]:
-                foot -= 1
-            onsets.append(foot)
-            level += (total[top] - level) / 10
-            k, since = max(stop, top + blind), 0
-            continue
-        since += 1
-        if since > 2.5 * fs and level > 1e-9:
-            level *= 0.9
-        k += 1
-    onsets = np.unique(onsets)[1:]  # the first may be cut by the window's start
-    peaks = [a + int(x[a:b].argmax()) for a, b in zip(onsets[:-1], onsets[1:], strict=True) if b > a]
-    return _from_peaks(keep_apart(np.array(peaks, int), x, fs), fs, 30, 200)
+def _five_mean(x: np.ndarray) -> np.ndarray:
+    """Mean of five neighbours in each row, its edges repeated."""
+    wide = np.pad(x, ((0, 0), (2, 2)), mode="edge")
+    return sum(wide[:, k : k + x.shape[1]] for k in range(5)) / 5
 
 
-def two_averages(x: np.ndarray, fs: float) -> float:
+def _turns(s: np.ndarray, d: np.ndarray, first: int) -> list[tuple[int, int, int]]:
+    """Where a pulse wave turns: (place, what, extremum). The slope's sign changes around the place; what: -1 for a foot and 1 for a
+    top, if the extremum of the five samples to either side is within two of it; 0 for a stretch without slope."""
+    n, out = len(s), []
+    for i in (np.flatnonzero(d[:-2] * d[2:] <= 0) + 1).tolist():
+        if i < first:
+            continue
+        low, high = max(0, i - 5), min(i + 5, n - 1)
+        if high - i == 5 and not d[i : high + 1].any():
+            out.append((i, 0, i))
+        elif d[low] < 0 < d[high]:
+            if abs((at := low + int(s[low : high + 1].argmin())) - i) <= 2:
+                out.append((i, -1, at))
+        elif d[high] < 0 < d[low]:
+            if abs((at := low + int(s[low : high + 1].argmax())) - i) <= 2:
+                out.append((i, 1, at))
+    return out
+
+
+def _wave_height(s: np.ndarray, fs: float, near: int) -> float:
+    """Typical height of a wave: the mean range of up to ten seconds spread over the window; of a short window the whole range."""
+    n = len(s)
+    parts = next((k for seconds, k in ((12, 10), (7, 5), (4, 2)) if n > seconds * fs), 1)
+    if parts == 1:
+        return float(np.ptp(s[near:]))
+    step = n // (parts + 2)
+    return float(np.mean([np.ptp(s[k * step : min(k * step + int(fs), n - 1) + 1]) for k in range(1, parts + 1)]))
+
+
+def wave_tops(s: np.ndarray, d: np.ndarray, fs: float) -> list[int]:
+    """Tops of pulse waves from a smooth signal and its slope (after Li and others, 2010).
+
+    From a cursor on, turns are followed until a rise from foot to top has 0.4 to 2 times the height expected. If two seconds bring
+    none, the height shrinks to 0.6 of itself, and from 0.4 of the first one it goes back to 2.5 times that.
+    """
+    n, near, far = len(s), max(1, int(0.1 * fs)), int(2 * fs)
+    if n < near + 10:
+        return []
+    turns = _turns(s, d, near)
+    places = [t[0] for t in turns]
+    height = _wave_height(s, fs, near)
+    least = 0.4 * height
+    tops: list[int] = []
+    cursor = near
+    while cursor < n - 1:
+        foot = top = cursor
+        after = None  # where the search goes on
+        for i, what, at in turns[bisect_left(places, cursor) :]:
+            if i - cursor > far:
+                break
+            if what == 0:
+                after = i + 1
+                break
+            foot, top = (at, top) if what < 0 else (foot, at)
+            if not (top > foot and 0.4 * height < s[top] - s[foot] < 2 * height):
+                continue
+            rise = s[foot + 1 : top + 1][::-1]
+            if rise.min() < s[foot]:
+                foot = top - int(rise.argmin())
+            if tops and foot - tops[-1] < 3 * near:  # a dicrotic wave
+                height, after = 2.5 * least, cursor + 1
+                break
+            if tops and top - tops[-1] > far:
+                tops.pop()  # the last one stands alone
+            tops.append(top)
+            after = i + near + 1
+            break
+        if after is None:
+            if cursor + far + 1 >= n - 1:
+                break
+            height = 0.6 * height
+            if height <= least:
+                height = 2.5 * least
+            after = cursor + 1
+        cursor = after
+    return tops
+
+
+def delineator(x: np.ndarray, fs: float) -> np.ndarray:
+    """Tops of pulse waves after a Bessel low-pass at 25 Hz and means of five samples; median of the intervals that count."""
+    s = _five_mean(10 * forward_backward(*bessel_low(min(0.99, max(0.01, 25 * 2 / fs))), x))
+    d = np.diff(s, axis=1) * 100
+    d = _five_mean(np.concatenate([d[:, :1], d], axis=1))
+    return np.array([_from_peaks(keep_apart(wave_tops(a, b, fs), w, fs), fs, 30, 200, INTERVALS) for a, b, w in zip(s, d, x, strict=True)])
+
+
+# Fixed values of the slope-sum method (Vest and others, 2018): seconds of the blind time, of the sum and of the wait for a beat; the
+# least threshold; what marks a missing sample; seconds of a trace back over steps, and from the crossing.
+BLIND, SUM, WAIT, LEAST_LEVEL, MISSING, STEP_BACK, AHEAD = 0.34, 0.17, 2.5, 5, -32758, 0.024, 0.04
+
+
+def rescaled(x: np.ndarray, fs: float) -> np.ndarray:
+    """Samples spread over -2000 to 2000, by the median range of stretches of five minutes; missing ones repeat the last."""
+    x = x.copy()
+    if x[0] <= MISSING:
+        x[0] = x.mean()
+    last = np.maximum.accumulate(np.where(x > MISSING, np.arange(len(x)), 0))
+    x = x[last]
+    long_ = int(5 * 60 * fs)
+    cuts = range(0, len(x), long_) if len(x) >= 5 * 60 * fs else [0]
+    parts = [x[k : k + long_] if len(cuts) > 1 else x for k in cuts]
+    low, high = np.median([p.min() for p in parts]), np.median([p.max() for p in parts])
+    return (x - low) / (high - low) * 4000 - 2000 if high - low > 1e-10 else np.zeros(len(x))
+
+
+class SlopeSum:
+    """Onsets of one window by sums of rises."""
+
+    def __init__(self, x: np.ndarray, fs: float):
+        self.x, self.fs, self.n = rescaled(x, fs), fs, len(x)
+        self.blind = max(1, int(fs * BLIND))
+        self.rises = np.convolve(np.maximum(np.diff(self.x, prepend=self.x[0]), 0), np.ones(max(1, int(fs * SUM))))[: self.n]
+
+    def beat(self, t: int) -> tuple[int, int, float] | None:
+        """(valley, foot, height) of the rise that crosses the threshold at t, or none if it is no beat."""
+        r, fs = self.rises, self.fs
+        ahead = r[t : t + self.blind]
+        top = t + int(ahead.argmax())
+        back = max(0, t - self.blind // 2)
+        high, low = r[top], r[back : top + 1].min()
+        if top == t or high <= low + 10:
+            return None
+        below = np.flatnonzero(r[back : top + 1] < (high - low) * 2.0 / 3)
+        start, step = back + (int(below[-1]) if len(below) else 0), int(STEP_BACK * fs)
+        foot = max(0, t - int(AHEAD * fs))
+        for k in range(start, max(back, t - self.blind // 2 + step) - 1, -1):
+            if k < step:
+                break
+            if r[k] - r[k - step] < (high - low) / 100 + 2:
+                foot = max(0, k - int(0.016 * fs))
+                break
+        valley = self.valley(foot)
+        return (valley, foot, float(high)) if valley > 0 else None
+
+    def valley(self, foot: int) -> int:
+        """The lowest local minimum near the foot, the first of equals, if it is below the foot; or the foot."""
+        x = self.x
+        i = np.arange(max(1, int(foot - 0.20 * self.fs)), min(int(foot + 0.05 * self.fs), self.n - 2) + 1)
+        if foot <= 0 or not len(i):
+            return min(foot, self.n - 1)
+        i = i[(x[i] <= x[i - 1]) & (x[i] <= x[i + 1])]
+        return int(i[x[i].argmin()]) if len(i) and x[i].min() < x[foot] else foot
+
+    def onsets(self) -> list[int]:
+        """A first pass over the learning time sets the level; the second one, from the start, finds the onsets."""
+        n, fs, r = self.n, self.fs, self.rises
+        learn = max(self.blind, int(8 * fs) if n >= 12 * fs else min(int(4 * fs), n // 3))
+        mean = float(r[: min(learn, n - 1) + 1].mean())
+        mean = mean if mean > 0 else LEAST_LEVEL
+        level, out = 3 * mean, []
+        for learning in (True, False):
+            threshold, quiet, t = 2 * mean if learning else mean, 0, 0
+            while t < n and not (learning and t > learn):
+                if r[t] <= threshold:
+                    quiet += 1
+                    if not learning and quiet > int(fs * WAIT) and level > LEAST_LEVEL:
+                        level = max(LEAST_LEVEL, level - 1)
+                        threshold = level / 3
+                    t += 1
+                    continue
+                quiet = 0
+                found = self.beat(t)
+                if found is None:
+                    t += 1
+                    continue
+                valley, foot, high = found
+                if not learning and (not out or valley > out[-1]):
+                    out.append(valley)
+                level += (high - level) / 10
+                threshold = 2 * mean if learning else level / 3
+                t = foot + self.blind
+            if learning and t >= n:
+                return []  # the window ends before the learning time does
+        return out
+
+
+def slope_sum(x: np.ndarray, fs: float) -> np.ndarray:
+    """Onsets by the slope-sum function with an adaptive threshold, without the first; a beat is the largest value between two onsets, or
+    after the last; median of the intervals that count."""
+    out = np.full(len(x), np.nan)
+    for k, w in enumerate(x):
+        onsets = SlopeSum(w, fs).onsets()
+        onsets = onsets[1:] if len(onsets) > 1 else onsets
+        peaks = [a + int(w[a:b].argmax()) for a, b in zip(onsets, [*onsets, len(w)][1:], strict=True)]
+        out[k] = _from_peaks(keep_apart(peaks, w, fs), fs, 30, 200, INTERVALS)
+    return out
+
+
+def two_averages(x: np.ndarray, fs: float) -> np.ndarray:
     """Systolic peaks by two moving averages of the squared, clipped signal (Elgendi and others, 2013): 111 ms against 667 ms,
     blocks of 111 ms at least; derived from the paper, intervals of 0.3 to 2 s count."""
-    x = x[~np.isnan(x)]
-    z = forward_backward(*butterworth_band(0.5, min(8.0, 0.45 * fs), fs), x[None])[0]
+    z = forward_backward(*butterworth_band(0.5, min(8.0, 0.45 * fs), fs), x)
     q = np.maximum(z, 0) ** 2
-    mean = lambda w: np.convolve(q, np.ones(w) / w, mode="same")
+    sums = np.pad(np.cumsum(q, axis=1), ((0, 0), (1, 0)))
+    n, out = x.shape[1], np.full(len(x), np.nan)
+
+    def mean(w: int) -> np.ndarray:
+        """Centred means over w samples, those beyond the edges counting as 0."""
+        low = np.arange(n) - w // 2
+        return (sums[:, np.clip(low + w, 0, n)] - sums[:, np.clip(low, 0, n)]) / w
+
     peak_w, beat_w = max(1, round(0.111 * fs)), max(1, round(0.667 * fs))
-    block = mean(peak_w) > mean(min(beat_w, len(q))) + 0.02 * q.mean()
-    edge = np.diff(np.concatenate([[0], block.astype(int), [0]]))
-    peaks = []
-    for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True):
-        if b - a >= peak_w:
-            p = a + int(z[a:b].argmax())
-            if not peaks or (p - peaks[-1]) / fs > 0.3:
-                peaks.append(p)
-    return _from_peaks(np.array(peaks, int), fs, 30, 220, ibi=(0.3, 2.0), least=2)
-
-
-def enhanced(x: np.ndarray, fs: float) -> float:
+    block = mean(peak_w) > mean(min(beat_w, n)) + 0.02 * q.mean(axis=1, keepdims=True)
+    edge = np.diff(np.pad(block.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    for k in range(len(x)):
+        peaks: list[int] = []
+        for a, b in zip(np.flatnonzero(edge[k] == 1).tolist(), np.flatnonzero(edge[k] == -1).tolist(), strict=True):
+            if b - a >= peak_w:
+                p = a + int(z[k, a:b].argmax())
+                if not peaks or (p - peaks[-1]) / fs > 0.3:
+                    peaks.append(p)
+        out[k] = _from_peaks(np.array(peaks, int), fs, 30, 220, ibi=(0.3, 2.0), least=2)
+    return out
+
+
+def enhanced(x: np.ndarray, fs: float) -> np.ndarray:
     """Peaks above a moving mean of 0.75 s that is raised until the rate is plausible and its intervals vary least; values scaled to
     0 to 1024 and squared twice to lift peaks. Derived from public descriptions of the method."""
-    low, high = x.min(), x.max()
-    if high <= low:
-        return np.nan
-    z = (x - low) / (high - low) * 1024
+    low, span = x.min(axis=1, keepdims=True), np.ptp(x, axis=1, keepdims=True)
+    flat = span[:, 0] <= 0
+    z = (x - low) / np.where(span > 0, span, 1) * 1024
     for _ in range(2):
         z = z**2
-        z = (z - z.min()) / (z.max() - z.min()) * 1024
-    base = np.convolve(np.pad(z, round(0.375 * fs), mode="edge"), np.ones(2 * round(0.375 * fs) + 1) / (2 * round(0.375 * fs) + 1), mode="valid")
-    best = (np.inf, np.nan)
+        z = (z - z.min(axis=1, keepdims=True)) / np.maximum(np.ptp(z, axis=1, keepdims=True), 1e-300) * 1024
+    half = round(0.375 * fs)
+    sums = np.pad(np.cumsum(np.pad(z, ((0, 0), (half, half)), mode="edge"), axis=1), ((0, 0), (1, 0)))
+    base = (sums[:, 2 * half + 1 :] - sums[:, : -2 * half - 1]) / (2 * half + 1)
+    best, rate = np.full(len(x), np.inf), np.full(len(x), np.nan)
     for lift in (5, 10, 15, 20, 25, 30, 40, 50, 60, 70, 80, 90, 100, 110, 120, 150, 200, 300):
-        edge = np.diff(np.concatenate([[0], (z > base * (1 + lift / 100)).astype(int), [0]]))
-        peaks = [a + int(z[a:b].argmax()) for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
-        if len(peaks) > 2:
-            beats = np.diff(peaks) / fs
-            hr, spread = 60 / beats.mean(), float(beats.std())
-            if 40 <= hr <= 180 and spread < best[0]:
-                best = spread, hr
-    return _inside(best[1], 30, 200)
-
-
-ESTIMATORS: dict[str, Callable[[np.ndarray, float], float]] = {
-    "fft": spectral, "autocorr": autocorrelation, "msptd": multiscale, "pwd": upslope, "qppgfast": slope_sum, "neurokit": two_averages, "heartpy": enhanced,
+        inside = z > base * (1 + lift / 100)
+        edge = np.diff(np.pad(inside.astype(np.int8), ((0, 0), (1, 1))), axis=1)
+        row, begin = np.nonzero(edge == 1)
+        if not len(row):
+            continue
+        # The first largest value of each stretch above the line, all rows in one flat array.
+        flat_z = np.where(inside, z, -1.0).ravel()
+        first = row * x.shape[1] + begin
+        size = np.repeat(np.arange(len(first)), np.diff(np.append(first, flat_z.size)))
+        top = np.maximum.reduceat(flat_z, first)
+        hit = np.flatnonzero(flat_z[first[0] :] == top[size]) + first[0]
+        peak = hit[np.searchsorted(hit, first)] % x.shape[1]
+        beats, same = np.diff(peak) / fs, row[1:] == row[:-1]
+        count = np.bincount(row[1:][same], minlength=len(x))
+        mean = np.bincount(row[1:][same], beats[same], len(x)) / np.maximum(count, 1)
+        spread = np.sqrt(np.maximum(np.bincount(row[1:][same], (beats[same] - mean[row[1:][same]]) ** 2, len(x)) / np.maximum(count, 1), 0))
+        hr = 60 / np.where(mean > 0, mean, np.inf)
+        better = (count > 1) & (hr >= 40) & (hr <= 180) & (spread < best)
+        best, rate = np.where(better, spread, best), np.where(better, hr, rate)
+    return np.where(flat, np.nan, _inside(rate, 30, 200))
+
+
+#: Estimators of rows by name.
+ROW_ESTIMATORS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
+    "fft": spectral, "autocorr": autocorrelation, "msptd": multiscale, "pwd": delineator, "qppgfast": slope_sum, "neurokit": two_averages, "heartpy": enhanced,
 }
+#: Estimators of one window that have been registered.
+ESTIMATORS: dict[str, Callable[[np.ndarray, float], float]] = {}
 
 
 def register_estimator(name: str, estimator: Callable[[np.ndarray, float], float]) -> None:
-    """Adds an estimator: a function of samples and rate to beats a minute or NaN."""
+    """Adds an estimator: a function of one window's samples and the rate to beats a minute or NaN."""
     ESTIMATORS[name.lower()] = estimator
 
 
-def estimate_one(name: str, x: np.ndarray, fs: float) -> float:
-    return answer(ESTIMATORS[name], x, fs)
+def _each(estimator: Callable[[np.ndarray, float], float]) -> Callable[[np.ndarray, float], np.ndarray]:
+    """An estimator of one window as one of rows; its errors are NaN."""
 
+    def run(x: np.ndarray, fs: float) -> np.ndarray:
+        out = np.full(len(x), np.nan)
+        for k, w in enumerate(x):
+            try:
+                out[k] = estimator(w, fs)
+            except (ValueError, IndexError, ZeroDivisionError, FloatingPointError):
+                continue
+        return out
 
-def answer(estimator: Callable[[np.ndarray, float], float], x: np.ndarray, fs: float) -> float:
-    """An estimator's answer by the contract of all of them: NaN rather than an error."""
-    if x is None or len(x) < LEAST_SAMPLES:
-        return np.nan
-    x = np.asarray(x, float)
-    if not np.isfinite(x).all():
-        return np.nan
-    try:
-        return estimator(x, fs)
-    except (ValueError, IndexError, ZeroDivisionError, FloatingPointError):
-        return np.nan
+    return run
 
 
-def heart_rate(name: str, window: Column, fs: float) -> Column:
-    """An estimator by name (in any case) as a column expression over an array column; its NaN is null in the column."""
+def _of_rows(name: str) -> Callable[[np.ndarray, float], np.ndarray]:
     key = name.lower()
-    if key not in ESTIMATORS:
-        raise ValueError(f"unknown estimator {name!r}; known: {', '.join(sorted(ESTIMATORS))}")
+    if key in ESTIMATORS:
+        return _each(ESTIMATORS[key])
+    if key not in ROW_ESTIMATORS:
+        raise ValueError(f"unknown estimator {name!r}; known: {', '.join(sorted({*ESTIMATORS, *ROW_ESTIMATORS}))}")
+    return ROW_ESTIMATORS[key]
+
+
+def answers(estimator: Callable[[np.ndarray, float], np.ndarray], windows, fs: float) -> np.ndarray:
+    """An estimator's answers by the contract of all of them: NaN rather than an error. Windows of one length are worked on together."""
+    out, groups = np.full(len(windows), np.nan), {}
+    for k, w in enumerate(windows):
+        if w is not None and len(w) >= LEAST_SAMPLES:
+            groups.setdefault(len(w), []).append(k)
+    for rows in groups.values():
+        for low in range(0, len(rows), ROWS):
+            own = np.array(rows[low : low + ROWS])
+            x = np.stack([np.asarray(windows[k], float) for k in own])
+            good = np.isfinite(x).all(axis=1)
+            if good.any():
+                try:
+                    out[own[good]] = estimator(x[good], fs)
+                except ValueError:  # too short for a filter
+                    continue
+    return out
+
+
+def estimate_one(name: str, x: np.ndarray | None, fs: float) -> float:
+    return float(answers(_of_rows(name), [x], fs)[0])
+
 
-    own = ESTIMATORS[key]  # goes with the plan: a worker doesn't know what was registered here
+def heart_rate(name: str, window: Column, fs: float) -> Column:
+    """An estimator by name (in any case) as a column expression over an array column; its NaN is null in the column."""
+    own = _of_rows(name)  # goes with the plan: a worker doesn't know what was registered here
 
     @F.pandas_udf("double")
     def run(w: pd.Series) -> pd.Series:
-        return pd.Series([answer(own, x, fs) for x in w], dtype=float)
+        return pd.Series(answers(own, w.tolist(), fs))
 
     return run(window)
 

@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def hash_share(*parts: Column) -> Column:
-    """The first byte of an md5 over the parts, as two hex digits: comparable to a share of 256, alike in any engine and order."""
-    return F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 2)
+    """The first four bytes of an md5 over the parts, as eight hex digits: alike in any engine and order."""
+    return F.substring(F.md5(F.concat_ws("|", *(p.cast("string") for p in parts))), 1, 8)
 
 
-def _hex(share: float) -> str:
-    return f"{round(share * 256):02x}"
+def below(share: Column, of: float) -> Column:
+    """Whether a hash share lies below a part of the whole, from 0 (none) to 1 (all)."""
+    edge = round(of * 2**32)
+    return F.lit(True) if edge >= 2**32 else share < f"{max(0, edge):08x}"
 
 
 def loso_folds(rows: DataFrame, participant: str, key: list[str], validation: float = 0.2, targets: DataFrame | None = None) -> DataFrame:
@@ -21,19 +23,19 @@ def loso_folds(rows: DataFrame, participant: str, key: list[str], validation: fl
     optimizer finds them small enough.
     """
     names = (targets or rows.select(participant).distinct()).select(F.col(participant).alias("target"))
-    split = F.when(F.col(participant) == F.col("target"), "test").when(hash_share(F.col("target"), *map(F.col, key)) < _hex(validation), "val").otherwise("train")
+    split = F.when(F.col(participant) == F.col("target"), "test").when(below(hash_share(F.col("target"), *map(F.col, key)), validation), "val").otherwise("train")
     return rows.join(names).withColumn("split", split)
 
 
 def two_way(rows: DataFrame, key: list[str], test: float, seed: int = 0) -> DataFrame:
     """``split``: train or test by a seeded hash of the key."""
-    return rows.withColumn("split", F.when(hash_share(F.lit(seed), *map(F.col, key)) < _hex(test), "test").otherwise("train"))
+    return rows.withColumn("split", F.when(below(hash_share(F.lit(seed), *map(F.col, key)), test), "test").otherwise("train"))
 
 
 def three_way(rows: DataFrame, key: list[str], validation: float, test: float, seed: int = 0) -> DataFrame:
     """``split``: train, val or test by a seeded hash of the key."""
     h = hash_share(F.lit(seed), *map(F.col, key))
-    return rows.withColumn("split", F.when(h < _hex(test), "test").when(h < _hex(test + validation), "val").otherwise("train"))
+    return rows.withColumn("split", F.when(below(h, test), "test").when(below(h, test + validation), "val").otherwise("train"))
 
 
 def grouped_split(rows: DataFrame, group: str, test: float, seed: int = 0) -> DataFrame:

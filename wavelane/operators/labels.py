@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wavelane.functions.arrays import deviation, mean
 
 #: Reasons in the order in which they are tested.
-REASONS = ("contains_nan", "too_short", "too_few_beats", "no_rr", "implausible_hr", "implausible_rr", "rr_too_irregular", "poor_quality", "ok")
+REASONS = ("contains_nan", "too_short", "too_few_beats", "no_rr", "implausible_hr", "implausible_rr", "rr_too_irregular", "poor_quality", "ok", "exception")
 
 
 def quality_text(label: Column) -> Column:
@@ -29,8 +29,9 @@ def median(values: Column) -> Column:
     return F.when(n > 0, (F.element_at(s, F.floor(low).cast("int") + 1) + F.element_at(s, F.floor(high).cast("int") + 1)) / 2)
 
 
-def label_cascade(windows: DataFrame, n_samples: Column, has_nan: Column, peaks: Column, fs: Column | float, quality: Column, min_samples: int = 50, min_beats: int = 4, hr_band: tuple[float, float] = (40.0, 180.0), rr_band: tuple[float, float] = (0.25, 2.0), max_cv: float = 0.2, poor: tuple[str, ...] = ("Unacceptable",)) -> DataFrame:
-    """Adds n_peaks, rr_median, rr_cv, hr, quality, reason and valid; the first failing test gives the reason.
+def label_cascade(windows: DataFrame, n_samples: Column, has_nan: Column, peaks: Column, fs: Column | float, quality: Column, min_samples: int = 50, min_beats: int = 4, hr_band: tuple[float, float] = (40.0, 180.0), rr_band: tuple[float, float] = (0.25, 2.0), max_cv: float = 0.2, poor: tuple[str, ...] = ("Unacceptable",), failed: Column | None = None) -> DataFrame:
+    """Adds n_peaks, rr_median, rr_cv, hr, quality, reason and valid; the first failing test gives the reason, and ``exception`` that the
+    search for beats has ``failed``.
 
     ``hr`` is 60 over the median interval, and null unless the window is valid.
     """
@@ -39,7 +40,7 @@ def label_cascade(windows: DataFrame, n_samples: Column, has_nan: Column, peaks:
     out = out.withColumn("rr_median", median(F.col("_rr"))).withColumn("rr_cv", F.try_divide(deviation(F.col("_rr")), mean(F.col("_rr"))))
     hr = F.try_divide(F.lit(60.0), F.col("rr_median"))
     reason = (
-        F.when(has_nan, "contains_nan").when(n_samples < min_samples, "too_short").when(F.col("n_peaks") < min_beats, "too_few_beats")
+        F.when(has_nan, "contains_nan").when(n_samples < min_samples, "too_short").when(F.lit(False) if failed is None else failed, "exception").when(F.col("n_peaks") < min_beats, "too_few_beats")
         .when(F.size("_rr") == 0, "no_rr").when(hr.isNull() | (hr < hr_band[0]) | (hr > hr_band[1]), "implausible_hr")
         .when(F.exists("_rr", lambda r: (r < rr_band[0]) | (r > rr_band[1])), "implausible_rr").when(F.col("rr_cv") > max_cv, "rr_too_irregular")
         .when(F.col("quality").isin(*poor), "poor_quality").otherwise("ok")

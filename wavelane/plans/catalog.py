@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavelane.functions import arrays as A, ecg, estimators as E, signal as S
 from wavelane.operators import align, folds, labels, metrics, segments, windows as W
-from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, table, windows64
-from wavelane.sources.readers import ecg_epoch, participant_id
+from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, scratch_csv, table, windows64
+from wavelane.sources import readers, sinks
+from wavelane.sources.readers import ecg_epoch, participant_id, pulse_column
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -164,11 +165,11 @@ def window_arrays(spark, sf_dir):
     return w.select("participant", "run", F.col("i").cast("long").alias("i"), "t0", "t1", F.size("x_window").cast("long").alias("n"), F.round(F.element_at("x_window", 1), 6).alias("first_x"), F.round(F.element_at("x_window", -1), 6).alias("last_x"), F.round(dot, 4).alias("dot"))
 
 
-@query("""WITH s AS (SELECT vec_id, unnest([0, 16, 32, 40]) AS p, embedding FROM embeddings WHERE len(embedding) = 64) SELECT vec_id, CAST(p AS INT) AS start, round(CAST(embedding[p + 1] AS DOUBLE), 6) AS first_x, round(CAST(embedding[p + 24] AS DOUBLE), 6) AS last_x FROM s""")
+@query("""WITH s AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS k, unnest([0, 16, 32, 40]) AS p, embedding FROM embeddings WHERE len(embedding) = 64), t AS (SELECT vec_id, k, unnest(range(0, 24)) AS j, p, embedding FROM s) SELECT vec_id, CAST(k AS INT) AS k, CAST(j AS INT) AS j, round(CAST(embedding[p + j + 1] AS DOUBLE), 6) AS x FROM t""")
 def sub_windows(spark, sf_dir):
-    """Windows of 24 at stride 16 inside each window of 64, and one at the tail."""
+    """Windows of 24 at stride 16 inside each window of 64, and one at the tail, with all their samples."""
     rows = windows64(spark, sf_dir).select("vec_id", F.posexplode(W.sub_windows(F.col("w"), 24, 16)).alias("k", "s"))
-    return rows.select("vec_id", F.when(F.col("k") < 3, F.col("k") * 16).otherwise(40).alias("start"), F.round(F.element_at("s", 1), 6).alias("first_x"), F.round(F.element_at("s", -1), 6).alias("last_x"))
+    return rows.select("vec_id", "k", F.posexplode("s").alias("j", "x")).withColumn("x", F.round("x", 6))
 
 
 @query("SELECT vec_id, CAST(k AS INT) AS k, round(list_sum(CAST(embedding[k * 10 + 1 : k * 10 + 20] AS DOUBLE[])), 6) AS total FROM (SELECT vec_id, embedding, unnest(range(0, 5)) AS k FROM embeddings WHERE len(embedding) = 64)")
@@ -226,24 +227,28 @@ def keyed_realign(spark, sf_dir):
     return out.select("participant", "t0_key", "ref_ord", "src_ord", F.round("x", 6).alias("x"), "missing")
 
 
-_VIEWS = "v AS (SELECT vec_id AS ord, label, CAST(label * 100 + vec_id AS DOUBLE) AS t0, embedding FROM embeddings)"
+_DAYS = """v AS (SELECT user_id AS participant, event_type AS role, epoch_us(ts) // 3600000000 // 24 AS day, max(event_id) AS ord, arg_max(value, event_id) AS x FROM events GROUP BY ALL), a AS (SELECT * FROM v WHERE role = 'view'), b AS (SELECT * FROM v WHERE role = 'click')"""
 
 
-@query(f"WITH {_VIEWS}, a AS (SELECT * FROM v WHERE ord % 5 <> 0), b AS (SELECT * FROM v WHERE ord % 7 <> 0) SELECT a.label, CAST(a.t0 AS BIGINT) AS t0_key, a.ord, 60 + 10 * a.label AS hr_gt, round(CAST(a.embedding[1] AS DOUBLE), 6) AS a_first, round(CAST(b.embedding[1] AS DOUBLE) * 2, 6) AS b_first, a.ord % 11 <> 0 AS same FROM a JOIN b ON a.label = b.label AND a.t0 = b.t0")
+def _days(spark, sf_dir, role):
+    """The last event of a role on each day of a participant, as a window: two roles are the two channels."""
+    day = F.floor(F.col("t") / (24 * HOUR)).cast("double")
+    rows = _role(spark, sf_dir, role).groupBy("participant", day.alias("t0")).agg(F.max("ord").alias("ord"), F.max_by("x", "ord").alias("x"))
+    return rows.withColumn("t1", F.col("t0") + 1).withColumn("mark", F.col("t0") % 7 + F.when(F.col("x") > 0.5, 1).otherwise(0))
+
+
+_MARK = "CASE WHEN {0}.x > 0.5 THEN 1 ELSE 0 END"
+
+
+@query(f"WITH {_DAYS} SELECT a.participant, CAST(a.day AS BIGINT) AS t0_key, a.ord, round(a.x, 6) AS a_x, round(b.x, 6) AS b_x, {_MARK.format('a')} = {_MARK.format('b')} AS same FROM a JOIN b ON a.participant = b.participant AND a.day = b.day")
 def channel_merge(spark, sf_dir):
-    v = windows64(spark, sf_dir).withColumn("t0", (F.col("label") * 100 + F.col("vec_id")).cast("double")).withColumn("t1", F.col("t0") + 8).withColumnRenamed("vec_id", "ord")
-    a = v.where("ord % 5 <> 0").withColumn("hr_gt", 60 + 10 * F.col("label")).withColumn("mark", F.col("ord")).withColumn("first", F.element_at("w", 1))
-    b = v.where("ord % 7 <> 0").withColumn("mark", F.when(F.col("ord") % 11 == 0, -1).otherwise(F.col("ord"))).withColumn("first", F.element_at("w", 1) * 2)
-    out = align.merge_channels(a, b, ["label"], ["mark"], ["first"], ["hr_gt"])
-    return out.select("label", "t0_key", "ord", "hr_gt", F.round("a_first", 6).alias("a_first"), F.round("b_first", 6).alias("b_first"), (F.col("same") | (F.col("ord") == -1)).alias("same"))
+    out = align.merge_channels(_days(spark, sf_dir, "view"), _days(spark, sf_dir, "click"), P, ["mark"], ["x"], [])
+    return out.select("participant", "t0_key", "ord", F.round("a_x", 6).alias("a_x"), F.round("b_x", 6).alias("b_x"), "same")
 
 
-@query(f"WITH {_VIEWS} SELECT label, CAST(count(*) FILTER (ord % 5 <> 0 AND ord % 7 = 0) AS BIGINT) AS only_a, CAST(count(*) FILTER (ord % 5 = 0 AND ord % 7 <> 0) AS BIGINT) AS only_b, CAST(count(*) FILTER (ord % 5 <> 0 AND ord % 7 <> 0 AND ord % 11 = 0) AS BIGINT) AS differing FROM v WHERE ord % 5 <> 0 OR ord % 7 <> 0 GROUP BY label")
+@query(f"WITH {_DAYS}, j AS (SELECT coalesce(a.participant, b.participant) AS participant, a.day AS ad, b.day AS bd, {_MARK.format('a')} <> {_MARK.format('b')} AS differs FROM a FULL JOIN b ON a.participant = b.participant AND a.day = b.day) SELECT participant, CAST(count(*) FILTER (bd IS NULL) AS BIGINT) AS only_a, CAST(count(*) FILTER (ad IS NULL) AS BIGINT) AS only_b, CAST(count(*) FILTER (ad IS NOT NULL AND bd IS NOT NULL AND differs) AS BIGINT) AS differing FROM j GROUP BY participant")
 def channel_merge_check(spark, sf_dir):
-    v = windows64(spark, sf_dir).withColumn("t0", (F.col("label") * 100 + F.col("vec_id")).cast("double")).withColumn("t1", F.col("t0") + 8).withColumnRenamed("vec_id", "ord")
-    a = v.where("ord % 5 <> 0").withColumn("mark", F.col("ord"))
-    b = v.where("ord % 7 <> 0").withColumn("mark", F.when(F.col("ord") % 11 == 0, -1).otherwise(F.col("ord")))
-    return align.merge_problems(a, b, ["label"], ["mark"])
+    return align.merge_problems(_days(spark, sf_dir, "view"), _days(spark, sf_dir, "click"), P, ["mark"])
 
 
 # -- labels ----------------------------------------------------------------------------------------------------------
@@ -267,6 +272,16 @@ def label_cascade(spark, sf_dir):
     return _labelled(spark, sf_dir).select("participant", "week", "n_peaks", "reason", "valid", F.round("hr", 6).alias("hr"))
 
 
+@query(f"WITH {SAMPLES_SQL}, {_LABELLED_SQL} SELECT participant, week, CAST(n_peaks AS BIGINT) AS n_peaks, round(60 / m, 6) AS hr FROM l WHERE reason = 'ok'")
+def valid_labels(spark, sf_dir):
+    return labels.keep_valid(_labelled(spark, sf_dir)).select("participant", "week", "n_peaks", F.round("hr", 6).alias("hr"))
+
+
+@query(f"WITH {SAMPLES_SQL}, {_LABELLED_SQL} SELECT participant, CAST(count(*) AS BIGINT) AS total_windows_before, printf('%d (%.1f%%)', count(*) FILTER (reason = 'ok'), 100.0 * count(*) FILTER (reason = 'ok') / count(*)) AS kept_valid_windows, printf('%d (%.1f%%)', count(*) FILTER (reason <> 'ok'), 100.0 * count(*) FILTER (reason <> 'ok') / count(*)) AS dropped_invalid_windows FROM l GROUP BY participant")
+def filter_summary(spark, sf_dir):
+    return sinks.filter_summary(_labelled(spark, sf_dir), P)
+
+
 @query(f"WITH {SAMPLES_SQL}, {_LABELLED_SQL} SELECT participant, CAST(count(*) AS BIGINT) AS n_windows, CAST(count(*) FILTER (reason = 'ok') AS BIGINT) AS n_kept, CAST(count(*) FILTER (reason <> 'ok') AS BIGINT) AS n_dropped, {', '.join(f'CAST(count(*) FILTER (reason = {chr(39)}{r}{chr(39)}) AS BIGINT) AS n_{r}' for r in labels.REASONS)} FROM l GROUP BY participant")
 def label_summary(spark, sf_dir):
     return labels.label_summary(_labelled(spark, sf_dir), P)
@@ -279,6 +294,19 @@ def valid_window_ratio(spark, sf_dir):
     return out.withColumn("valid_ratio", F.round("valid_ratio", 6))
 
 
+@query(f"""WITH {SAMPLES_SQL}, {_W3}, c AS (SELECT w.participant, w.t0, w.t1, count(s.t) AS n FROM w3 w LEFT JOIN samples s ON s.participant = w.participant AND s.role = 'click' AND s.t BETWEEN w.t0 AND w.t1 GROUP BY ALL),
+i AS (SELECT *, max(t1) OVER (PARTITION BY participant ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM c WHERE t1 > t0),
+k AS (SELECT *, sum(CASE WHEN reach IS NULL OR t0 > reach THEN 1 ELSE 0 END) OVER (PARTITION BY participant ORDER BY t0, t1 ROWS UNBOUNDED PRECEDING) AS k FROM i),
+m AS (SELECT participant, sum(e - s) / {HOUR} AS sec FROM (SELECT participant, k, min(t0) AS s, max(t1) AS e FROM k GROUP BY participant, k) GROUP BY participant),
+n AS (SELECT participant, count(*) AS n_windows, count(*) FILTER (n >= 2) AS n_valid FROM c GROUP BY participant)
+SELECT n.participant, CAST(n_windows AS BIGINT) AS n_windows, round(coalesce(sec, 0), 6) AS effective_s, printf('%02d:%02d:%02d', CAST(floor(coalesce(sec, 0)) AS BIGINT) // 3600, CAST(floor(coalesce(sec, 0)) AS BIGINT) // 60 % 60, CAST(floor(coalesce(sec, 0)) AS BIGINT) % 60) AS effective, printf('%d/%d (%.1f%%)', n_valid, n_windows, 100.0 * n_valid / n_windows) AS valid_hr FROM n LEFT JOIN m ON n.participant = m.participant""")
+def run_summary(spark, sf_dir):
+    """What a run of the windowing pipeline reports: windows, time covered without double counting (an hour as a second) and valid labels."""
+    w = interval_slice_counts(spark, sf_dir)
+    out = sinks.run_summary(w, P, "t0", "t1", F.col("n_slice") >= 2, float(HOUR))
+    return out.withColumn("effective_s", F.round("effective_s", 6))
+
+
 # -- metrics and folds -----------------------------------------------------------------------------------------------
 
 
@@ -316,7 +344,7 @@ def loso_macro_metrics(spark, sf_dir):
 
 
 @query("""WITH r AS (SELECT event_type AS participant, event_id FROM events), t AS (SELECT DISTINCT participant AS target FROM r),
-f AS (SELECT target, participant, CASE WHEN participant = target THEN 'test' WHEN substr(md5(concat_ws('|', target, participant, CAST(event_id AS VARCHAR))), 1, 2) < '33' THEN 'val' ELSE 'train' END AS split, event_id FROM r, t)
+f AS (SELECT target, participant, CASE WHEN participant = target THEN 'test' WHEN substr(md5(concat_ws('|', target, participant, CAST(event_id AS VARCHAR))), 1, 8) < '33333333' THEN 'val' ELSE 'train' END AS split, event_id FROM r, t)
 SELECT target, participant, split, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS ids FROM f GROUP BY ALL""")
 def loso_folds(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("participant"), "event_id")
@@ -324,11 +352,21 @@ def loso_folds(spark, sf_dir):
     return out.groupBy("target", "participant", "split").agg(F.count("*").alias("n"), F.sum("event_id").alias("ids"))
 
 
-@query("SELECT c_nationkey, CASE WHEN h < '1a' THEN 'test' WHEN h < '40' THEN 'val' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, substr(md5(concat_ws('|', '7', CAST(c_custkey AS VARCHAR))), 1, 2) AS h FROM customer) GROUP BY ALL")
+@query("SELECT c_nationkey, CASE WHEN h < '1999999a' THEN 'test' WHEN h < '40000000' THEN 'val' ELSE 'train' END AS split, CAST(count(*) AS BIGINT) AS n FROM (SELECT *, substr(md5(concat_ws('|', '7', CAST(c_custkey AS VARCHAR))), 1, 8) AS h FROM customer) GROUP BY ALL")
 def three_way_split(spark, sf_dir):
     return folds.three_way(table(spark, sf_dir, "customer"), ["c_custkey"], 0.15, 0.1, seed=7).groupBy("c_nationkey", "split").agg(F.count("*").alias("n"))
 
 
+@query("""WITH s AS (SELECT unnest([0.0, 0.2, 0.5, 0.999, 1.0]) AS test, unnest(['00000000', '33333333', '80000000', 'ffbe76c9', 'g']) AS edge), h AS (SELECT c_custkey, substr(md5(concat_ws('|', '3', CAST(c_custkey AS VARCHAR))), 1, 8) AS h FROM customer)
+SELECT test::DOUBLE AS test, CAST(count(*) FILTER (h < edge) AS BIGINT) AS n_test, CAST(coalesce(sum(c_custkey) FILTER (h < edge), 0) AS BIGINT) AS keys FROM s, h GROUP BY test""")
+def two_way_split(spark, sf_dir):
+    """Splits at five shares of test rows, from none to all."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey")
+    parts = [folds.two_way(rows, ["c_custkey"], t, seed=3).withColumn("test", F.lit(t)) for t in (0.0, 0.2, 0.5, 0.999, 1.0)]
+    test = F.col("split") == "test"
+    return folds.pooled(parts).groupBy("test").agg(F.count_if(test).alias("n_test"), F.coalesce(F.sum(F.when(test, F.col("c_custkey"))), F.lit(0)).alias("keys"))
+
+
 @query(f"WITH {SAMPLES_SQL}, d AS (SELECT participant, t - lag(t) OVER (PARTITION BY participant ORDER BY t, ord) AS d FROM samples) SELECT participant, CAST(count(*) AS BIGINT) AS n, round(CASE WHEN median(d) > 0 THEN 3600000000.0 / median(d) END, 6) AS fs FROM d GROUP BY participant")
 def fs_estimate(spark, sf_dir):
     out = metrics.sampling_rate(samples(spark, sf_dir), P, "t", "ord", float(HOUR))
@@ -377,28 +415,125 @@ def participant_id_normalise(spark, sf_dir):
     return c.select("c_custkey", participant_id(F.when(F.col("c_custkey") % 2 == 0, raw).otherwise(F.concat(F.lit("p"), raw))).alias("participant"))
 
 
+_FIRST = "(SELECT arg_min(event_type, event_id) FROM events)"
+
+
+@query(f"SELECT 'P7' AS participant, event_id AS ord, round(epoch_us(ts) / 1000.0, 3) AS t_ms, {_FIRST} AS site, round(value, 6) AS ppg, round(epoch_us(ts) / 1000.0 + 3600000, 3) AS phone_ms FROM (SELECT * REPLACE (row_number() OVER (ORDER BY event_id) AS event_id) FROM events)")
+def device_csv_rows(spark, sf_dir):
+    """Events as the headerless CSV of a device whose clock is an hour behind the phone's, read back in both time axes."""
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, sf_dir, "events").orderBy("event_id").select(F.col("event_id").cast("double"), (F.unix_micros(ts) / 1000).alias("epoch_ms"), F.date_format(ts + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("s"), "event_type", F.col("value").cast("double"))
+    path = scratch_csv(e)
+    plain = readers.device_csv(spark, path, "P7")
+    phone = readers.device_csv_phone_time(spark, path, "P7").select("ord", F.round("t_ms", 3).alias("phone_ms"))
+    return plain.select("participant", "ord", F.round("t_ms", 3).alias("t_ms"), "site", F.round("ppg", 6).alias("ppg")).join(phone, "ord").select("participant", "ord", "t_ms", "site", "ppg", "phone_ms")
+
+
+@query("SELECT 'P8' AS participant, row_number() OVER (ORDER BY event_id) AS ord, round((SELECT arg_min(epoch_us(ts), event_id) FROM events) / 1000.0 + event_id * 8.0, 3) AS ecg_epoch_ms, event_id * 8.0::DOUBLE AS ecg_rel_ms, round(value, 6) AS ecg_uv FROM events")
+def polar_csv_rows(spark, sf_dir):
+    """Events as the semicolon CSV of an ECG strap: the first phone time plus the relative time."""
+    e = table(spark, sf_dir, "events").orderBy("event_id").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("phone_time"), F.lit(0.0).alias("sensor_ns"), (F.col("event_id") * 8.0).alias("rel_time_ms"), F.col("value").cast("double").alias("ecg_uv"))
+    out = readers.polar_csv(spark, scratch_csv(e, sep=";", header=True), "P8")
+    return out.select("participant", "ord", F.round("ecg_epoch_ms", 3).alias("ecg_epoch_ms"), "ecg_rel_ms", F.round("ecg_uv", 6).alias("ecg_uv"))
+
+
+@query("WITH f AS (SELECT *, arg_min(epoch_us(ts), event_id) OVER (PARTITION BY event_type) AS f FROM events) SELECT event_type AS source_file, event_id * 8.0::DOUBLE AS ecg_rel_ms, round(f / 1000.0 + event_id * 8.0, 3) AS recomputed_ms, round(epoch_us(ts) / 1000.0, 3) AS trusted_ms, round(value, 6) AS ecg_uv FROM f")
+def merged_csv_rows(spark, sf_dir):
+    """Events as a merged ECG CSV of several source files, its times recomputed by file and taken as they are."""
+    ts = F.col("ts").cast("timestamp")
+    e = table(spark, sf_dir, "events").orderBy("event_id").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("phone_time"), (F.unix_micros(ts) / 1000).alias("time_ms"), F.lit(0.0).alias("sensor_time_ns"), (F.col("event_id") * 8.0).alias("rel_time_ms"), F.col("value").cast("double").alias("ecg_uv"), F.col("event_type").alias("source_file"))
+    path = scratch_csv(e, header=True)
+    a = readers.read_ecg(spark, path, "P9").select("ord", "source_file", "ecg_rel_ms", F.round("ecg_epoch_ms", 3).alias("recomputed_ms"), F.round("ecg_uv", 6).alias("ecg_uv"))
+    b = readers.merged_csv(spark, path, "P9", recompute=False).select("ord", F.round("ecg_epoch_ms", 3).alias("trusted_ms"))
+    return a.join(b, "ord").select("source_file", "ecg_rel_ms", "recomputed_ms", "trusted_ms", "ecg_uv")
+
+
+@query("WITH c AS (SELECT user_id AS participant, event_type AS role, count(*) AS n, min('/data/' || CAST(event_id AS VARCHAR)) AS path FROM events GROUP BY ALL) SELECT participant, role, path FROM c WHERE n = 1")
+def discovered_files(spark, sf_dir):
+    """Files by participant and device, where a device has one; an event is a file."""
+    files = samples(spark, sf_dir).select("participant", "role", F.concat(F.lit("/data/"), F.col("ord")).alias("path"))
+    lone = files.groupBy("participant", "role").agg(F.count("*").alias("n")).where("n = 1").drop("n")
+    return readers.discover(files.join(lone, ["participant", "role"]))
+
+
+@query("SELECT DISTINCT user_id AS participant, row_number() OVER (ORDER BY user_id) AS place FROM (SELECT DISTINCT user_id FROM events)")
+def participants_in_order(spark, sf_dir):
+    """Distinct participants by name; the place of each is counted over the few of them."""
+    names = readers.aligned_participants(samples(spark, sf_dir))
+    return names.withColumn("place", F.row_number().over(segments.Window.orderBy("participant")).cast("long"))
+
+
+@query("WITH a AS (SELECT user_id AS participant, min(epoch_us(ts)) / 1000.0 AS least FROM events GROUP BY ALL) SELECT event_id, round(1000 + epoch_us(ts) / 1000.0 - least, 3) AS t_ms FROM events e JOIN a ON e.user_id = a.participant")
+def phone_time(spark, sf_dir):
+    """Samples moved to another time axis by an anchor for each participant."""
+    rows = samples(spark, sf_dir).select("participant", "ord", (F.col("t") / 1000).alias("t_ms"))
+    anchors = rows.groupBy("participant").agg(F.lit(1000.0).alias("start_ms"), F.min("t_ms").alias("least_ms"))
+    return readers.with_phone_time(rows, anchors, P).select(F.col("ord").alias("event_id"), F.round("t_ms", 3).alias("t_ms"))
+
+
 # -- array functions -------------------------------------------------------------------------------------------------
 
 _PLACES = "p AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64)"
 
 
-@query(f"WITH {_PLACES}, m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(i AS INT) AS i, round((x - m) / (s + 1e-6), 5) AS z FROM p JOIN m ON p.vec_id = m.vec_id WHERE i IN (0, 31, 63)")
+@query(f"WITH {_PLACES}, m AS (SELECT vec_id, avg(x) AS m, stddev_pop(x) AS s FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(i AS INT) AS i, round((x - m) / (s + 1e-6), 5) + 0.0 AS z FROM p JOIN m ON p.vec_id = m.vec_id")
 def window_zscore(spark, sf_dir):
-    z = windows64(spark, sf_dir).withColumn("z", A.zscore(F.col("w")))
-    return z.select("vec_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.element_at("z", i + 1), 5).alias("z")) for i in (0, 31, 63)))).alias("e")).select("vec_id", "e.i", "e.z")
+    return windows64(spark, sf_dir).select("vec_id", F.posexplode(A.zscore(F.col("w"))).alias("i", "z")).withColumn("z", F.round("z", 5))
 
 
-@query(f"WITH {_PLACES}, f AS (SELECT vec_id, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(i AS INT) AS i, round(x - a - b * i, 6) AS y FROM p JOIN f ON p.vec_id = f.vec_id WHERE i IN (0, 31, 63)")
+@query(f"WITH {_PLACES}, f AS (SELECT vec_id, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM p GROUP BY vec_id) SELECT p.vec_id, CAST(i AS INT) AS i, round(x - a - b * i, 6) + 0.0 AS y FROM p JOIN f ON p.vec_id = f.vec_id")
 def window_detrend(spark, sf_dir):
-    z = windows64(spark, sf_dir).withColumn("z", A.detrend(F.col("w")))
-    return z.select("vec_id", F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.round(F.element_at("z", i + 1), 6).alias("y")) for i in (0, 31, 63)))).alias("e")).select("vec_id", "e.i", "e.y")
+    return windows64(spark, sf_dir).select("vec_id", F.posexplode(A.detrend(F.col("w"))).alias("i", "y")).withColumn("y", F.round("y", 6))
 
 
-@query("SELECT vec_id, 32 AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS a0, round(CAST(embedding[33] AS DOUBLE), 6) AS b0, round(CAST(embedding[32] AS DOUBLE), 6) AS a31, round(CAST(embedding[64] AS DOUBLE), 6) AS b31 FROM embeddings WHERE len(embedding) = 64")
+@query(f"WITH {_PLACES} SELECT a.vec_id, CAST(a.i AS INT) AS i, round(a.x, 6) AS a, round(b.x, 6) AS b, round(c.x, 6) AS c FROM p a JOIN p b ON a.vec_id = b.vec_id AND b.i = a.i + 20 JOIN p c ON a.vec_id = c.vec_id AND c.i = a.i + 44 WHERE a.i < 20")
 def channel_stack(spark, sf_dir):
-    s = windows64(spark, sf_dir).withColumn("s", A.stack_channels(F.slice("w", 1, 32), F.slice("w", 33, 32)))
-    at = lambda i, c: F.round(F.element_at(F.element_at("s", i), c), 6)
-    return s.select("vec_id", F.size("s").alias("n"), at(1, 1).alias("a0"), at(1, 2).alias("b0"), at(32, 1).alias("a31"), at(32, 2).alias("b31"))
+    """Three channels of 24, 24 and 20 samples: the shortest gives the length."""
+    stacked = A.stack_channels(F.slice("w", 1, 24), F.slice("w", 21, 24), F.slice("w", 45, 20))
+    s = windows64(spark, sf_dir).select("vec_id", F.posexplode(stacked).alias("i", "s"))
+    return s.select("vec_id", "i", *(F.round(F.element_at("s", k + 1), 6).alias(c) for k, c in enumerate("abc")))
+
+
+@query(f"""WITH {_PLACES}, g AS (SELECT CASE vec_id % 4 WHEN 3 THEN 1.2e-5 ELSE (vec_id % 4) * 4e-6 END AS k, * FROM p)
+SELECT vec_id, bool_and(abs(x - x * (1 + k)) <= 1e-8 + 1e-5 * abs(x * (1 + k))) AS alike FROM g GROUP BY vec_id""")
+def arrays_alike(spark, sf_dir):
+    """Windows against copies that are scaled a little, within and beyond the tolerance."""
+    scale = F.when(F.col("vec_id") % 4 == 3, F.lit(1.2e-5)).otherwise((F.col("vec_id") % 4) * 4e-6)
+    return windows64(spark, sf_dir).select("vec_id", A.allclose(F.col("w"), F.transform("w", lambda x: x * (1 + scale))).alias("alike"))
+
+
+@query(f"WITH {_PLACES} SELECT vec_id, CAST(count(DISTINCT floor(x * 20)) AS INT) AS n, CAST(unnest(list_sort(list(DISTINCT CAST(floor(x * 20) AS BIGINT)))) AS BIGINT) AS v FROM p GROUP BY vec_id")
+def distinct_levels(spark, sf_dir):
+    levels = A.sorted_distinct(F.transform("w", lambda x: F.floor(x * 20).cast("long")))
+    return windows64(spark, sf_dir).select("vec_id", F.size(levels).alias("n"), F.explode(levels).alias("v"))
+
+
+@query(f"""WITH RECURSIVE {_PLACES}, t AS (SELECT a.vec_id, a.i, a.x FROM p a JOIN p l ON a.vec_id = l.vec_id AND l.i = a.i - 1 JOIN p r ON a.vec_id = r.vec_id AND r.i = a.i + 1 WHERE a.x > l.x AND a.x > r.x),
+k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY i) AS k FROM t),
+m AS (SELECT vec_id, k, [i] AS kept, x FROM k WHERE k = 1 UNION ALL
+SELECT m.vec_id, k.k, CASE WHEN k.i - m.kept[-1] >= 4 THEN list_append(m.kept, k.i) WHEN k.x > m.x THEN list_append(m.kept[1:len(m.kept) - 1], k.i) ELSE m.kept END, CASE WHEN k.i - m.kept[-1] >= 4 OR k.x > m.x THEN k.x ELSE m.x END FROM m JOIN k ON k.vec_id = m.vec_id AND k.k = m.k + 1)
+SELECT vec_id, CAST(unnest(arg_max(kept, k)) AS INT) AS peak FROM m GROUP BY vec_id""")
+def peaks_apart(spark, sf_dir):
+    """Local maxima at least four samples apart; of closer ones the higher."""
+    at = lambda i: F.element_at("w", i + 1)
+    tops = F.filter(F.sequence(F.lit(1), F.size("w") - 2), lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)))
+    return windows64(spark, sf_dir).where(F.size("w") > 2).select("vec_id", F.explode(A.merge_close(tops, F.col("w"), 4)).alias("peak"))
+
+
+@query("SELECT vec_id, round(CAST(embedding[3] AS DOUBLE), 6) AS ppg_necklace_ir, round(CAST(embedding[4] AS DOUBLE), 6) AS ppg_necklace_green, round(CAST(embedding[1] AS DOUBLE), 6) AS ppg_ring_ir, round(CAST(embedding[2] AS DOUBLE), 6) AS ppg_ring_green FROM embeddings")
+def device_subset(spark, sf_dir):
+    """The picked devices' channels of a table that has those of all devices."""
+    devices, kinds = ["ring", "necklace", "watch"], ["ir", "green"]
+    every = A.subset_columns(devices, kinds, [0, 1, 2])
+    wide = windows64(spark, sf_dir).select("vec_id", *(F.round(F.element_at("w", k + 1), 6).alias(c) for k, c in enumerate(every)))
+    return wide.select("vec_id", *A.subset_columns(devices, kinds, [1, 0]))
+
+
+@query("SELECT event_id, round(CASE WHEN event_id % 3 = 0 THEN -value ELSE value END, 6) AS ppg_green, round(-value, 6) AS ppg_ir FROM events")
+def channel_fallback(spark, sf_dir):
+    """A channel where the table has it, and else the plain pulse column."""
+    e = table(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("ppg_green"), (-F.col("value")).alias("ppg"))
+    return e.select("event_id", F.round(pulse_column(e, "ppg_green"), 6).alias("ppg_green"), F.round(pulse_column(e, "ppg_ir"), 6).alias("ppg_ir"))
 
 
 @query("SELECT vec_id, CAST(60 + 10 * label AS DOUBLE) AS hr_gt, label % 4 AS role FROM embeddings WHERE 60 + 10 * label BETWEEN 30 AND 140 AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0")
@@ -420,25 +555,43 @@ def text_labels(spark, sf_dir):
 
 # -- estimators ------------------------------------------------------------------------------------------------------
 
-_HANN = "h AS (SELECT vec_id, i, (x - avg(x) OVER (PARTITION BY vec_id)) * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS w FROM p)"
-
-
-@query(f"""WITH {_PLACES}, {_HANN}, bins AS (SELECT unnest(range(511, 3074)) AS k), d AS (SELECT vec_id, k, sqrt(pow(sum(w * cos(2 * pi() * k * i / 8192)), 2) + pow(sum(w * sin(2 * pi() * k * i / 8192)), 2)) AS m FROM h, bins GROUP BY vec_id, k),
-b AS (SELECT vec_id, arg_max(k, m) AS k FROM d WHERE k BETWEEN 512 AND 3072 GROUP BY vec_id),
-v AS (SELECT b.vec_id, b.k, max(CASE WHEN d.k = b.k - 1 THEN m END) AS l, max(CASE WHEN d.k = b.k THEN m END) AS c, max(CASE WHEN d.k = b.k + 1 THEN m END) AS r FROM b JOIN d ON b.vec_id = d.vec_id AND d.k BETWEEN b.k - 1 AND b.k + 1 GROUP BY ALL),
-o AS (SELECT vec_id, 60 * (k + CASE WHEN abs(l - 2 * c + r) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))) ELSE 0 END) * 8 / 8192 AS hr FROM v) SELECT vec_id, round(CASE WHEN hr BETWEEN 30 AND 180 THEN hr END, 4) AS hr_fft FROM o""")
+_HANN = "h AS (SELECT vec_id, i, x * (0.5 - 0.5 * cos(2 * pi() * i / 63)) AS w FROM p)"
+
+
+_FFT = f"""{_HANN}, bins AS (SELECT unnest(range(511, 3074)) AS k), d AS (SELECT vec_id, k, sqrt(pow(sum(w * cos(2 * pi() * k * i / 8192)), 2) + pow(sum(w * sin(2 * pi() * k * i / 8192)), 2)) AS m FROM h, bins GROUP BY vec_id, k),
+fb AS (SELECT vec_id, arg_max(k, m) AS k FROM d WHERE k BETWEEN 512 AND 3072 GROUP BY vec_id),
+fv AS (SELECT fb.vec_id, fb.k, max(CASE WHEN d.k = fb.k - 1 THEN m END) AS l, max(CASE WHEN d.k = fb.k THEN m END) AS c, max(CASE WHEN d.k = fb.k + 1 THEN m END) AS r FROM fb JOIN d ON fb.vec_id = d.vec_id AND d.k BETWEEN fb.k - 1 AND fb.k + 1 GROUP BY ALL),
+fft AS (SELECT vec_id, 60 * (k + CASE WHEN abs(l - 2 * c + r) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - r) / (l - 2 * c + r))) ELSE 0 END) * 8 / 8192 AS hr FROM fv)"""
+_LAGS = f"""lags AS (SELECT unnest(range(2, 18)) AS k), ar AS (SELECT a.vec_id, k, sum(a.w * b.w) AS r FROM h a JOIN lags ON true JOIN h b ON a.vec_id = b.vec_id AND b.i = a.i + k GROUP BY a.vec_id, k),
+ab AS (SELECT vec_id, arg_max(k, r) AS k FROM ar WHERE k BETWEEN 3 AND 16 GROUP BY vec_id),
+av AS (SELECT ab.vec_id, ab.k, max(CASE WHEN ar.k = ab.k - 1 THEN r END) AS l, max(CASE WHEN ar.k = ab.k THEN r END) AS c, max(CASE WHEN ar.k = ab.k + 1 THEN r END) AS rr FROM ab JOIN ar ON ab.vec_id = ar.vec_id AND ar.k BETWEEN ab.k - 1 AND ab.k + 1 GROUP BY ALL),
+autocorr AS (SELECT vec_id, 60 * 8 / (k + CASE WHEN abs(l - 2 * c + rr) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - rr) / (l - 2 * c + rr))) ELSE 0 END) AS hr FROM av)"""
+# Sub-windows of 48 samples at 0 and 16; a place that tops its neighbours at all scales up to the one with most tops, moved to the largest of its three.
+_SCALES = f"""sw AS (SELECT vec_id, s, i - s AS j, x FROM p, (SELECT unnest([0, 16]) AS s) WHERE i - s BETWEEN 0 AND 47),
+top AS (SELECT m.vec_id, m.s, k, m.j, m.x > l.x AND m.x > r.x AS top FROM sw m JOIN (SELECT unnest(range(1, 24)) AS k) ON m.j BETWEEN k AND 47 - k JOIN sw l ON l.vec_id = m.vec_id AND l.s = m.s AND l.j = m.j - k JOIN sw r ON r.vec_id = m.vec_id AND r.s = m.s AND r.j = m.j + k),
+best AS (SELECT vec_id, s, arg_min(k, k - 100 * n) AS k FROM (SELECT vec_id, s, k, count(*) FILTER (top) AS n FROM top GROUP BY ALL) GROUP BY ALL),
+pk AS (SELECT top.vec_id, top.s, top.j FROM top JOIN best ON best.vec_id = top.vec_id AND best.s = top.s AND top.k <= best.k GROUP BY top.vec_id, top.s, top.j, best.k HAVING count(*) FILTER (top) = best.k),
+near AS (SELECT DISTINCT pk.vec_id, pk.s + arg_max(sw.j, sw.x * 1e9 - sw.j * 1e-3) AS place FROM pk JOIN sw ON sw.vec_id = pk.vec_id AND sw.s = pk.s AND abs(sw.j - pk.j) <= 1 GROUP BY pk.vec_id, pk.s, pk.j),
+gaps AS (SELECT vec_id, (place - lag(place) OVER (PARTITION BY vec_id ORDER BY place)) / 8.0 AS g FROM near),
+msptd AS (SELECT w.vec_id, g.hr FROM (SELECT DISTINCT vec_id FROM p) w LEFT JOIN (SELECT vec_id, 60 / avg(g) AS hr FROM gaps WHERE g BETWEEN 0.3 AND 2 GROUP BY vec_id) g ON w.vec_id = g.vec_id)"""
+_BAND = "CASE WHEN hr BETWEEN 30 AND {} THEN hr END"
+
+
+@query(f"WITH {_PLACES}, {_FFT} SELECT vec_id, round({_BAND.format(180)}, 4) AS hr_fft FROM fft")
 def hr_fft(spark, sf_dir):
     return windows64(spark, sf_dir).select("vec_id", F.round(E.heart_rate("fft", F.col("w"), 8.0), 4).alias("hr_fft"))
 
 
-@query(f"""WITH {_PLACES}, {_HANN}, lags AS (SELECT unnest(range(2, 18)) AS k), r AS (SELECT a.vec_id, k, sum(a.w * b.w) AS r FROM h a JOIN lags ON true JOIN h b ON a.vec_id = b.vec_id AND b.i = a.i + k GROUP BY a.vec_id, k),
-b AS (SELECT vec_id, arg_max(k, r) AS k FROM r WHERE k BETWEEN 3 AND 16 GROUP BY vec_id),
-v AS (SELECT b.vec_id, b.k, max(CASE WHEN r.k = b.k - 1 THEN r END) AS l, max(CASE WHEN r.k = b.k THEN r END) AS c, max(CASE WHEN r.k = b.k + 1 THEN r END) AS rr FROM b JOIN r ON b.vec_id = r.vec_id AND r.k BETWEEN b.k - 1 AND b.k + 1 GROUP BY ALL),
-o AS (SELECT vec_id, 60 * 8 / (k + CASE WHEN abs(l - 2 * c + rr) > 1e-10 THEN greatest(-0.5, least(0.5, 0.5 * (l - rr) / (l - 2 * c + rr))) ELSE 0 END) AS hr FROM v) SELECT vec_id, round(CASE WHEN hr BETWEEN 30 AND 180 THEN hr END, 4) AS hr_autocorr FROM o""")
+@query(f"WITH {_PLACES}, {_HANN}, {_LAGS} SELECT vec_id, round({_BAND.format(180)}, 4) AS hr_autocorr FROM autocorr")
 def hr_autocorr(spark, sf_dir):
     return windows64(spark, sf_dir).select("vec_id", F.round(E.heart_rate("autocorr", F.col("w"), 8.0), 4).alias("hr_autocorr"))
 
 
+@query(f"WITH {_PLACES}, {_SCALES} SELECT vec_id, round({_BAND.format(200)}, 4) AS hr_msptd FROM msptd")
+def hr_msptd(spark, sf_dir):
+    return windows64(spark, sf_dir).select("vec_id", F.round(E.heart_rate("msptd", F.col("w"), 8.0), 4).alias("hr_msptd"))
+
+
 def _estimator(name: str):
     def run(spark, sf_dir):
         return windows64(spark, sf_dir).select("vec_id", E.heart_rate(name, F.col("w"), 8.0).alias(f"hr_{name}"))
@@ -447,16 +600,19 @@ def _estimator(name: str):
     return query()(run)
 
 
-for _name in ("msptd", "pwd", "qppgfast", "neurokit", "heartpy"):
+for _name in ("pwd", "qppgfast", "neurokit", "heartpy"):
     _estimator(_name)
 
 
-@query()
+@query(f"""WITH {_PLACES}, {_FFT}, {_LAGS}, {_SCALES}, e AS (SELECT vec_id, 'fft' AS algorithm, {_BAND.format(180)} AS x FROM fft UNION ALL SELECT vec_id, 'autocorr', {_BAND.format(180)} FROM autocorr UNION ALL SELECT vec_id, 'msptd', {_BAND.format(200)} FROM msptd),
+y AS (SELECT algorithm, 60.0 + 10 * label AS y, x FROM e JOIN embeddings USING (vec_id))
+SELECT 'ppg_ir' AS channel, algorithm, CAST(count(*) AS BIGINT) AS n, CAST(count(x) AS BIGINT) AS valid, round(avg(abs(y - x)), 4) AS mae, round(sqrt(avg((y - x) * (y - x))), 4) AS rmse, round(corr(x, y), 4) AS r, round(100.0 * count(x) / count(*), 4) AS valid_pct FROM y GROUP BY algorithm""")
 def estimates_long(spark, sf_dir):
-    """Every estimator's answer beside the label, and its metrics by algorithm."""
+    """Every estimator's answer beside the label, and its metrics by algorithm; some windows have no answer."""
     w = windows64(spark, sf_dir).withColumn("ppg_ir", F.col("w")).withColumn("hr_gt", 60.0 + 10 * F.col("label"))
     est = E.estimates(w, ["vec_id", "hr_gt"], ["ppg_ir", "ppg_green"], ["fft", "autocorr", "msptd"], 8.0)
-    return metrics.error_metrics(est, ["channel", "algorithm"], "hr_gt", "hr_est")
+    out = metrics.error_metrics(est, ["channel", "algorithm"], "hr_gt", "hr_est")
+    return out.withColumns({c: F.round(c, 4) for c in ("mae", "rmse", "r", "valid_pct")})
 
 
 @query()
@@ -475,6 +631,8 @@ def pulse_preprocess(spark, sf_dir):
     return S.preprocess_channels(windows64(spark, sf_dir).select("vec_id", F.col("w").alias("ppg")), 8.0)
 
 
-@query()
+@query(f"""WITH {_PLACES}, j AS (SELECT unnest(range(0, 200)) AS j), k AS (SELECT unnest(range(1, 32)) AS k),
+d AS (SELECT i, j, (1 + 2 * sum(cos(2 * pi() * k * (j / 200.0 - i / 64.0))) + (CASE WHEN i % 2 = 0 THEN 1 ELSE -1 END) * cos(2 * pi() * 32 * j / 200.0)) / 64 AS d FROM (SELECT unnest(range(0, 64)) AS i), j, k GROUP BY i, j)
+SELECT vec_id, CAST(j AS INT) AS j, round(sum(x * d), 5) + 0.0 AS y FROM p JOIN d ON p.i = d.i GROUP BY vec_id, j""")
 def resample200(spark, sf_dir):
-    return windows64(spark, sf_dir).select("vec_id", S.resample(F.col("w"), 200).alias("resampled"))
+    return windows64(spark, sf_dir).select("vec_id", F.posexplode(S.resample(F.col("w"), 200)).alias("j", "y")).withColumn("y", F.round("y", 5))

@@ -5,6 +5,9 @@ Events are sparse, so thresholds are in hours; times are whole microseconds, whi
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 HOUR = 3_600_000_000
@@ -29,3 +32,16 @@ SAMPLES_SQL = "samples AS (SELECT user_id AS participant, event_type AS role, ev
 def windows64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """vec_id, label, w: 64-sample windows at 8 Hz."""
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("w"))
+
+
+def scratch_csv(rows: DataFrame, **options) -> str:
+    """Rows as one CSV file in the folder that executors share, for the readers of such files; a local folder in a local session only."""
+    spark = rows.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='wavelane-')}"
+    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}.csv"
+    rows.coalesce(1).write.options(**options).csv(path)
+    return path

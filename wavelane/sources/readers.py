@@ -167,7 +167,7 @@ def pulse_column(df: DataFrame, channel: str) -> Column:
     return F.col(channel if channel in df.columns else "ppg")
 
 
-def discover(files: DataFrame, participant: str, role: str) -> DataFrame:
+def discover(files: DataFrame, participant: str = "participant", role: str = "role") -> DataFrame:
     """Participants by role with exactly one file, in lexical order; more than one is an error when the rows are read."""
     one = files.groupBy(participant, role).agg(F.count("*").alias("_n"), F.min("path").alias("path"))
     checked = F.when(F.col("_n") == 1, F.col("path")).otherwise(F.raise_error(F.concat(F.lit("more than one file for "), F.col(participant), F.lit(" "), F.col(role))))
