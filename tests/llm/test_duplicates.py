@@ -369,3 +369,31 @@ def test_sketches_merge(spark):
     df = df.withColumn("m", fingerprint.merged("sx", "sy"))
     r = df.select(fingerprint.containment("sx", "m").alias("c"), fingerprint.containment("m", "sx").alias("d"), fingerprint.likeness("sx", "sy").alias("n")).first()
     assert r.c == 1.0 and abs(r.d - 196 / (196 + 1996)) < 0.06 and r.n == 0.0
+
+
+def test_merged_sketches_are_those_of_both_texts(spark):
+    rng = random.Random(4)
+    rows = []
+    for k in range(200):
+        sizes = rng.choice([(5, 5), (6, 300), (8, 7), (0, 5), (0, 0), (200, 200)])
+        x, y = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in sizes)
+        rows.append((k, x, y))
+    df = spark.createDataFrame(rows, "k int, x string, y string")
+    for c in ("x", "y"):
+        df = fingerprint.with_sketch(df, c, f"s{c}")
+    edge = 2**63 // fingerprint.SCALE
+    for r in df.select("sx", "sy", fingerprint.merged("sx", "sy").alias("m"), fingerprint.merged("sy", "sx").alias("w")).collect():
+        both = sorted({*r.sx, *r.sy})
+        below = [h for h in both if h < edge]
+        assert r.m == r.w == (below or both[:1])
+
+
+def test_next_likeness_by_brute_force(spark, docs):
+    """near_next of sketches that retain every hash is the resemblance of the shingle sets; of the query's, close to it."""
+    rows = sorted(((r.doc_id, r.text) for r in docs.collect()), reverse=True)
+    got, error = {r.doc_id: r.near_next for r in fingerprint.fingerprints(docs).collect()}, []
+    runs = lambda t: {tuple(w[i : i + 5]) for w in [re.findall(r"[^\x20\x09-\x0D]+", t)] for i in range(len(w) - 4)} or {tuple(t.split())}
+    for k, (d, text) in enumerate(rows):
+        a, b = runs(text), runs(rows[(k + 1) % len(rows)][1])
+        error.append(abs(got[d] - len(a & b) / len(a | b)))
+    assert np.mean(error) < 0.03

@@ -42,12 +42,23 @@ def test_run_gives_the_last_stage(spark, stages):
 
 def test_stages_at_the_edges(spark, odd, none):
     for table, n in ((none, 0), (odd, None)):
-        own = table.select("doc_id", "text", "lang", "source", "n_chars")
+        own = table
         for _, stage in corpus_pipeline.STAGES:
+            before = own.columns
             own = stage(spark, own, DATA)
+            assert stage is corpus_pipeline.packing or own.columns == before
         assert n is None or own.count() == n
 
 
+def test_substring_dedup_keeps_columns_of_any_name(spark):
+    text = " ".join(f"w{k}" for k in range(60)) + "."
+    rows = [(1, text, "keep-me", 7, [1], 5), (2, text, "keep-me-too", 8, [2], 6), (3, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, _n_removed int, removed array<int>, kept int")
+    got = {r.doc_id: r for r in corpus_pipeline.substring_dedup(spark, docs, DATA).collect()}
+    assert [tuple(got[d])[2:] for d in (1, 2, 3)] == [r[2:] for r in rows]
+    assert (got[1].text, got[2].text, got[3].text) == (text, "", None)
+
+
 def test_queries_are_registered():
     import __spark_entry__
 

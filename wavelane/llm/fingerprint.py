@@ -46,9 +46,11 @@ def containment(a: str, b: str) -> Column:
     return F.expr(f"CASE WHEN size({a}) = 0 THEN 1D ELSE cast(size(array_intersect({a}, {b})) AS double) / size({a}) END")
 
 
-def merged(a: str, b: str) -> Column:
-    """The sketch of two texts together."""
-    return F.expr(f"array_sort(array_union({a}, {b}))")
+def merged(a: str, b: str, scale: int = SCALE) -> Column:
+    """The sketch of two texts together: the hashes below the fraction of either, or the least hash of both where there are none."""
+    both = f"array_sort(array_union({a}, {b}))"
+    below = f"filter({both}, h -> h < {2**63 // scale}L)"
+    return F.expr(f"CASE WHEN size({below}) > 0 THEN {below} ELSE slice({both}, 1, 1) END")
 
 
 def with_next(df: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wavelane.llm.shared import bounded_sample
+from wavelane.llm.shared import bounded_sample, sampled_texts
 from wavelane.llm.textnum import row_ranges, sum_by_row, text_bytes
 
 #: Labelled texts sampled for each language at most: the bound of the fit.
@@ -92,10 +92,12 @@ class ContextTrees:
 
 
 def labelled_texts(docs: DataFrame, learns: Column, per_language: int = SAMPLE_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, language) of the rows to learn from: of each language those with the smallest id hashes, ``per_language`` at most."""
-    own = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), "text")
-    rows = bounded_sample(own, "lang", per_language).select("doc_id", "text", "lang").collect()
-    return sorted((r.text, r.lang) for r in rows)
+    """(text, language) of the rows to learn from: of each language those with the smallest id hashes, ``per_language`` at most.
+
+    Rows without a doc_id, text or language don't count; of a repeated id the least text and language count.
+    """
+    own = docs.where(learns & F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"))
+    return sorted((r.text, r.lang) for r in sampled_texts(own, bounded_sample(own, "lang", per_language), "lang"))
 
 
 @dataclass
@@ -190,7 +192,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` whose text has a language, with all their columns; the text is cast to a string.
 
-    A model that has learned no language tells nothing and keeps every row with a letter.
+    A model that has learned no language tells nothing and keeps every row with a letter. Null texts and texts without a letter go; repeated rows
+    stay or go together; a null doc_id makes no difference; columns of any name are carried along; an empty table gives none.
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.withColumn("text", docs["text"].cast("string"))

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from wavelane.llm.shared import bounded_sample
+from wavelane.llm.shared import bounded_sample, sampled_texts
 from wavelane.llm.textnum import IS_SPACE, find_words, hash_spans, row_ranges, shingles, sum_by_row, text_bytes
 
 #: Labelled documents sampled of each quality at most: the bound of the fit.
@@ -215,17 +215,23 @@ class LineField:
 
 
 def fit_field(docs: DataFrame, labels: DataFrame, per_quality: int = SAMPLE_PER_QUALITY) -> LineField:
-    """Fits the field on the labelled documents with the smallest id hashes, ``per_quality`` of each quality at most."""
-    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).distinct()
-    picked = bounded_sample(marked, "quality", per_quality).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    rows = docs.where("text is not null").select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text))
+    """Fits the field on the labelled documents with the smallest id hashes, ``per_quality`` of each quality at most.
+
+    Labels other than 0 and 1, labels without a text and repeated rows don't count; a document with both labels counts as 0, of a repeated
+    id the least text counts. Without both qualities all lines are content.
+    """
+    marked = labels.where("quality in (0, 1)").select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("doc_id is not null")
+    picked = bounded_sample(marked, "quality", per_quality)
+    quality: dict[int, int] = {}
+    for r in picked.collect():
+        quality[r.doc_id] = min(r.quality, quality.get(r.doc_id, 1))
+    rows = sorted(sampled_texts(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), picked), key=lambda r: r.doc_id)
     if not rows:
         return LineField.fit(np.zeros((0, len(FEATURES))), np.zeros(1, np.int64), np.zeros(0, np.int64))
     data, offsets = text_bytes(pa.array([r.text for r in rows], pa.large_string()))
     parts = [measure(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low]) for low, high in row_ranges(offsets)]
     line_at = np.cumsum(np.concatenate([np.zeros(1, np.int64), *(np.diff(p[3]) for p in parts)]))
-    return LineField.fit(np.concatenate([p[1] for p in parts]), line_at, np.array([r.quality for r in rows]))
+    return LineField.fit(np.concatenate([p[1] for p in parts]), line_at, np.array([quality[r.doc_id] for r in rows]))
 
 
 def verdicts(column, field: LineField, content_share: float) -> list[np.ndarray]:
@@ -262,7 +268,11 @@ def assess(docs: DataFrame, field: LineField, content_share: float = CONTENT_SHA
 
 
 def keep_content(docs: DataFrame, field: LineField, content_share: float = CONTENT_SHARE) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns; the text is cast to a string."""
+    """The rows of ``docs`` that the rules keep, with all their columns; the text is cast to a string.
+
+    Null and empty texts fail the base rules and go; repeated rows stay or go together; a null doc_id makes no difference; columns
+    of any name are carried along; an empty table gives none.
+    """
     held = docs.sparkSession.sparkContext.broadcast(field)
     rows = docs.withColumn("text", docs["text"].cast("string"))
     at = rows.columns.index("text")

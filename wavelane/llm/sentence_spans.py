@@ -135,16 +135,16 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, run_
     return by_bucket(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(gather, BLOBS), n).mapInArrow(meet, BLOBS)
 
 
-def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, run_words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, run_words: int | None = None, names: tuple[str, str, str] = ("n_sentences", "n_removed", "removed")) -> DataFrame:
     """``docs`` with repeated spans and runs cut out of ``text``, and n_sentences, n_removed (those that lose words), removed
-    (byte ranges of the old text). Without ``run_words`` only spans of whole sentences count.
+    (byte ranges of the old text), under other ``names`` if asked for. Without ``run_words`` only spans of whole sentences count.
 
     All columns are kept; the new ones replace columns of their names. Rows with a null doc_id have no place in the order: they stay
     whole and repeat nothing. Rows that share a doc_id and text are one document; a null text stays null, with no sentences; an
     empty table gives none. Spans are dealt by their hash, one entry a task at most; marks and compressed texts by document.
     """
     n = partitions(docs.sparkSession)
-    new = ["n_sentences", "n_removed", "removed"]
+    new = list(names)
     rest = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"), *rest)
     marks = repeated_spans(docs, least_sentences, least_words, run_words, n)
@@ -181,5 +181,5 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
                 columns = [batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(ranges, kind_)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", *rest, *new])
 
-    schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in rows.dtypes) + ", n_sentences long, n_removed long, removed array<struct<start: long, end: long>>"
+    schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in rows.dtypes) + f", `{names[0]}` long, `{names[1]}` long, `{names[2]}` array<struct<start: long, end: long>>"
     return by_bucket(marks.unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(cut, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -16,9 +16,12 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; a local one where it is unset, as in tests."""
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset, a local session, as in tests, takes a
+    folder of its own; a cluster is refused, as its executors would not see each other's files."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='wavelane-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -60,12 +63,36 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+#: Bytes of a text that a model is fitted on, at most; longer ones are not learned from.
+LONGEST_LEARNED = 1 << 16
+
+
 def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
-    """Of each value of ``by`` the rows with the smallest hashes of doc_id, ``most`` at most.
+    """(doc_id, ``by``) of ``most`` ids at most of each value of ``by``: those with the smallest hashes.
 
-    Only ids are ranked, and each task keeps ``most`` of a value before the shuffle; the ids
-    picked are few by this bound, so they are broadcast to fetch the rest of their rows.
+    The number of distinct ids of each value gives a hash below which somewhat more than ``most`` are expected, so only
+    these few ids, bounded by ``most`` and the number of values, leave their tasks, and no value's rows meet in one.
     """
-    ranked = Window.partitionBy(by).orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = rows.select("doc_id", by).withColumn("_rank", F.row_number().over(ranked)).where(F.col("_rank") <= most).select("doc_id").distinct()
-    return rows.join(F.broadcast(ids), "doc_id", "left_semi")
+    spark = rows.sparkSession
+    kind = rows.schema[by].dataType.simpleString()
+    hash_ = F.xxhash64("doc_id")
+    edges = []
+    for r in rows.groupBy(by).agg(F.approx_count_distinct("doc_id", 0.02).alias("n")).collect():
+        share = (1.3 * most + 20) / max(1, 0.9 * r.n)
+        edges.append((r[by], 2**63 - 1 if share >= 1 else int(share * 2**64) - 2**63))
+    edge = spark.createDataFrame(edges, f"{by} {kind}, _edge long")
+    few = rows.select("doc_id", by).join(F.broadcast(edge), by).withColumn("_h", hash_).where(F.col("_h") <= F.col("_edge")).select("doc_id", by, "_h").distinct().collect()
+    picked, count = [], {}
+    for r in sorted(few, key=lambda r: (r._h, r.doc_id)):
+        count[r[by]] = count.get(r[by], 0) + 1
+        if count[r[by]] <= most:
+            picked.append((r.doc_id, r[by]))
+    return spark.createDataFrame(picked, f"doc_id long, {by} {kind}")
+
+
+def sampled_texts(docs: DataFrame, picked: DataFrame, *columns: str) -> list:
+    """Rows (doc_id, text, columns) of the picked ids, of a repeated id the least one: bounded in number by the sample, in
+    bytes by LONGEST_LEARNED."""
+    ids = F.broadcast(picked.select("doc_id").distinct())
+    own = docs.where(F.octet_length("text") <= LONGEST_LEARNED).join(ids, "doc_id", "left_semi")
+    return own.groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("_s")).select("doc_id", "_s.*").collect()
