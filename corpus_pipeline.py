@@ -20,12 +20,12 @@ from wavelane.llm.shared import documents, fold, stored
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and whose lines are mostly content."""
+    """Documents that pass the base rules and whose lines are mostly content; null and empty texts go, repeated rows stay or go together."""
     return keep_content(docs, fit_field(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language, learned from three quarters of the stage's input."""
+    """Documents whose text has a language, learned from three quarters of the stage's input; texts without a letter go."""
     return keep_identified(docs, LanguageModel.fit(labelled_texts(docs, fold("doc_id", 4) != 2)))
 
 
@@ -39,15 +39,21 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the sentences, and runs of over 50 words, that came earlier; n_chars is counted again."""
-    left = remove_repeats(docs, run_words=RUN_WORDS)
+    """Documents without the sentences, and runs of over 50 words, that came earlier; n_chars is counted again.
+
+    Null and empty texts stay as they are, and so do rows without a doc_id; all other columns are kept, whatever their names.
+    """
+    names = ["_n_sentences", "_n_removed", "_removed"]
+    while set(names) & set(docs.columns):
+        names = [f"_{n}" for n in names]
+    left = remove_repeats(docs, run_words=RUN_WORDS, names=tuple(names))
     if "n_chars" in docs.columns:
         left = left.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return left.select(docs.columns)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences of 2048."""
+    """Pieces of the documents' token ids in sequences of 2048; null and empty texts have the end id only, repeated rows are packed each."""
     return pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=2048, end_id=1)
 
 
