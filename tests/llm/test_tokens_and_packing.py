@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 
 from wavelane.llm import piece_codec, token_counts
@@ -59,15 +60,18 @@ def test_count_query(spark, docs, odd, none, library):
 
 def test_ids_are_the_librarys():
     own = ChunkIds(WORDS)
-    for s in strings(3, 6000):
-        assert np.frombuffer(next(own.encode([s], 1)), "<u4").tolist() == [*own.tokenizer.encode(s, add_special_tokens=False).ids, 1], repr(s)
+    texts = [*strings(3, 6000), "", "a" * 3000, "x y " * 900]
+    for s, ids in zip(texts, own.encode(pa.array(texts), 1), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == [*own.tokenizer.encode(s, add_special_tokens=False).ids, 1], repr(s)
+    assert [len(i) for i in own.encode(pa.array([None, "", "<|x"]), 1)][:2] == [4, 4] and list(own.encode(pa.array([], pa.string()), 1)) == []
 
 
 def test_ids_with_a_small_memo(monkeypatch):
     monkeypatch.setattr(packing, "MEMO_ENTRIES", 40)
+    monkeypatch.setattr(packing, "SLICE", 60)
     own = ChunkIds(WORDS)
     texts = strings(6, 500)
-    for s, ids in zip(texts, own.encode(texts, 1), strict=True):
+    for s, ids in zip(texts, own.encode(pa.array(texts), 1), strict=True):
         assert np.frombuffer(ids, "<u4").tolist() == [*own.tokenizer.encode(s, add_special_tokens=False).ids, 1], repr(s)
 
 

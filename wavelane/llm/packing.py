@@ -18,15 +18,24 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Chunks of text whose ids a worker remembers; the memo starts again when it is full.
-MEMO_ENTRIES = 600_000
+from wavelane.llm.exchange import merged_levels
+from wavelane.llm.textnum import BYTE_KEYS, FOLDED_KEYS, find_words, hash_spans, row_ranges, text_bytes
+
+#: Chunks of text whose ids a worker remembers, in about 35 bytes each; the memo starts again when it is full.
+MEMO_ENTRIES = 3_000_000
+#: Bytes of text whose chunks are looked up together.
+SLICE = 1 << 20
 #: Bits of a sequence_id that number the sequences of one partition.
 SEQUENCE_BITS = 40
 
+_SPACES = np.zeros(256, bool)
+_SPACES[[0x20, 0x0A]] = True
+
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -47,67 +56,96 @@ def cuts_at_spaces(path: str) -> bool:
     return same and plain and all(t["content"].startswith("<|") and " " not in t["content"] and "\n" not in t["content"] for t in own["added_tokens"])
 
 
-class ChunkIds(dict):
-    """Token ids, as little-endian 32-bit bytes, by chunk of text between spaces and line feeds.
+class ChunkIds:
+    """Token ids of texts by their chunks between spaces and line feeds.
 
-    No token depends on anything beyond a space, by what the tokenizer's file says; another tokenizer is refused.
+    No token depends on anything beyond a space, by what the tokenizer's file says; another tokenizer is refused. Case makes no
+    difference outside of strings in <| |>. Chunks are told by 64-bit hashes of their bytes, A-Z folded; those met for the first time are
+    encoded, and their ids remembered in sorted levels that merge when they are of about equal size, until there are MEMO_ENTRIES.
     """
 
     def __init__(self, tokenizer_path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         if not cuts_at_spaces(tokenizer_path):
             raise ValueError("this tokenizer's texts can't be cut at spaces")
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self[""] = b""
-
-    def learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of chunks that the memo lacks, which are remembered; the memo starts again when it is full."""
-        new = list(chunks)
-        # A chunk of ASCII has the ids of its lower-case form, and a stop after a letter is a token of its own.
-        plain = [c.lower() if c.isascii() and "<|" not in c else c for c in new]
-        cores = [c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() and c[-2] < "\u0250" and c[-2] != "İ" else c for c in plain]
-        own = {c: self[c] for c in {*cores, ".", ","} if c in self}
-        missing = [c for c in dict.fromkeys([*cores, ".", ","]) if c not in own]
-        # Encoded together, a few hundred to a call, and cut apart by where each token starts.
-        for at in range(0, len(missing), 500):
-            part = missing[at : at + 500]
-            lengths = np.fromiter(map(len, part), np.int64, len(part)) + 1
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Levels of (hash, first place in the ids, number of ids).
+        self.levels: list[list[np.ndarray]] = []
+        self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
+
+    def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
+        """Encodes chunks, a few hundred to a call, and cuts their ids apart by where each token starts."""
+        raw, counts = [], []
+        for at in range(0, len(chunks), 500):
+            part = chunks[at : at + 500]
             e = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             starts = np.fromiter((x for x, _ in e.offsets), np.int64, len(e.ids))
-            cuts = (4 * np.searchsorted(starts, np.cumsum(lengths))).tolist()
-            raw, low = np.array(e.ids, "<u4").tobytes(), 0
-            for c, high in zip(part, cuts, strict=True):
-                own[c] = raw[low:high]
-                low = high
-        for c, form, core in zip(new, plain, cores, strict=True):
-            own[c] = own[core] if form == core else own[core] + own[form[-1]]
-        if len(self) + len(own) > MEMO_ENTRIES:
-            self.clear()
-            self[""] = b""
-        self.update(own)
-        return own
-
-    def encode(self, texts: list[str], end_id: int) -> Iterator[bytes]:
-        """Each text's ids and then ``end_id``."""
-        end = np.array([end_id], "<u4").tobytes()
-        low = 0
-        while low < len(texts):
-            high, size = low, 0
-            while high < len(texts) and size < 4 << 20:
-                size += len(texts[high])
-                high += 1
-            split = [t.replace("\n", " ").split(" ") for t in texts[low:high]]
-            found = [list(map(self.get, chunks)) for chunks in split]
-            lacks = [None in own for own in found]
-            learned: dict[str, bytes] = {}
-            if any(lacks):
-                learned = self.learn({c for chunks, own, lack in zip(split, found, lacks, strict=True) if lack for c, i in zip(chunks, own, strict=True) if i is None})
-            for chunks, own, lack in zip(split, found, lacks, strict=True):
-                yield b"".join([learned[c] if i is None else i for c, i in zip(chunks, own, strict=True)] if lack else own) + end
-            low = high
+            cuts = np.searchsorted(starts, np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1))
+            raw.append(np.array(e.ids, "<u4"))
+            counts.append(np.diff(cuts, prepend=0))
+        ids, size = np.concatenate(raw), np.concatenate(counts)
+        if self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.n_ids], np.zeros(max(len(ids), self.n_ids), "<u4")])
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        at = self.n_ids + np.cumsum(size) - size
+        self.n_ids += len(ids)
+        order = np.argsort(keys)
+        self.levels.append([keys[order], at[order], size[order].astype(np.int32)])
+        merged_levels(self.levels, lambda both: np.argsort(both[0], kind="stable"))
+
+    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and numbers of the ids of distinct chunks; place -1 for a new one."""
+        place, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
+        open_ = np.arange(len(keys))
+        for own, at, n in self.levels:
+            k = np.minimum(np.searchsorted(own, keys[open_]), len(own) - 1)
+            hit = own[k] == keys[open_]
+            place[open_[hit]], size[open_[hit]] = at[k[hit]], n[k[hit]]
+            open_ = open_[~hit]
+        return place, size
+
+    def _slice(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts, ``end_id`` after each, and the texts' n + 1 offsets in them."""
+        starts, ends, chunk_at = find_words(data, offsets, _SPACES)
+        keys = hash_spans(data, starts, ends, FOLDED_KEYS)
+        marks = np.flatnonzero((data[:-1] == 60) & (data[1:] == 124))  # <|
+        if len(marks):
+            own = np.unique(np.searchsorted(starts, marks, "right") - 1)
+            own = own[own >= 0]
+            keys[own] = ~hash_spans(data, starts[own], ends[own], BYTE_KEYS)
+        code, distinct = pd.factorize(keys)
+        if sum(len(x[0]) for x in self.levels) + len(distinct) > MEMO_ENTRIES:
+            self._forget()
+        place, size = self._known(distinct)
+        new = np.flatnonzero(place < 0)
+        if len(new):
+            first = np.zeros(len(distinct), np.int64)
+            first[code[::-1]] = np.arange(len(code))[::-1]
+            raw = data.tobytes()
+            self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
+            place[new], size[new] = self._known(distinct[new])
+        n = size[code]
+        sums = np.concatenate([[0], np.cumsum(n)])
+        at = np.repeat(place[code] - sums[:-1], n) + np.arange(sums[-1])
+        texts = len(offsets) - 1
+        out_at = sums[chunk_at] + np.arange(texts + 1)
+        out = np.full(out_at[-1], end_id, "<u4")
+        out[np.arange(sums[-1]) + np.repeat(np.arange(texts), np.diff(sums[chunk_at]))] = self.ids[at]
+        return out, out_at
+
+    def encode(self, column, end_id: int) -> Iterator[bytes]:
+        """Each text's ids, as little-endian 32-bit bytes, and then ``end_id``."""
+        data, offsets = text_bytes(column)
+        for low, high in row_ranges(offsets, SLICE):
+            ids, at = self._slice(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], end_id)
+            raw, cuts = ids.tobytes(), (4 * at).tolist()
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                yield raw[a:b]
 
 
 _memos: dict[str, ChunkIds] = {}
@@ -206,8 +244,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
 
         rows: list[tuple] = []
         for batch in batches:
-            ids = memo.encode([t or "" for t in batch.column(1).to_pylist()], end_id)
-            for doc_id, raw in zip(batch.column(0).to_pylist(), ids, strict=True):
+            for doc_id, raw in zip(batch.column(0).to_pylist(), memo.encode(batch.column(1), end_id), strict=True):
                 rows += bins.add(doc_id, raw)
                 if len(rows) >= 20_000:
                     yield out(rows)
