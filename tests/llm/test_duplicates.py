@@ -261,14 +261,64 @@ def families(seed):
     return rows
 
 
-@pytest.mark.parametrize("size,percent,block", [(3, 85, 4096), (3, 85, 20), (5, 80, 4096)])
-def test_near_by_brute_force(spark, monkeypatch, size, percent, block):
-    monkeypatch.setattr(near_dup, "BLOCK", block)
+@pytest.mark.parametrize("size,percent,block,bytes_", [(3, 85, 4096, 1 << 24), (3, 85, 20, 1 << 24), (5, 80, 4096, 1 << 24), (3, 85, 6, 1 << 24), (5, 80, 4096, 3000)])
+def test_near_by_brute_force(spark, size, percent, block, bytes_):
     rows = families(size)
-    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size, percent).collect()
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), size, percent, block, bytes_).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == brute_near(rows, size, percent)
 
 
+def test_near_with_a_crowded_key(spark):
+    """A family of over 5,000 near copies, chains that leave it, and unlike texts that share its keys' place in the table."""
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    rows, sets = [], {}
+    for k in range(5200):
+        own = list(base)
+        own[rng.randrange(40)] = f"x{k}"
+        rows.append((k + 10, " ".join(own)))
+    chain = list(base)
+    for k in range(12):
+        chain[k * 3] = f"y{k}"
+        rows.append((9000 + k, " ".join(chain)))
+    rows += [(9500 + k, " ".join(f"z{rng.randrange(10**6)}" for _ in range(40))) for k in range(50)]
+    rng.shuffle(rows)
+    got = {r.doc_id: r.component_id for r in near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), 3, 80, 1000).collect()}
+    shingle = lambda t: {tuple(w[i : i + 3]) for w in [t.split()] for i in range(len(w) - 2)}
+    sets = {d: shingle(t) for d, t in rows}
+    # Any two of the family share at least 32 of 44 shingles: it is one component if it is connected at all, by texts with near places.
+    parent = {d: d for d in sets}
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    holders = defaultdict(list)
+    for d, own in sets.items():
+        for x in own:
+            holders[x].append(d)
+    near = sorted(d for d in sets if d < 9000)
+    place = {d: next(i for i, w in enumerate(t.split()) if w[0] == "x") for d, t in rows if d < 9000}
+    by_place = defaultdict(list)
+    for d in near:
+        by_place[place[d]].append(d)
+    for own in by_place.values():
+        for d in own[1:]:  # the same place: 35 of 41 shingles at least
+            parent[find(d)] = find(own[0])
+    heads = [own[0] for own in by_place.values()] + [d for d in sets if d >= 9000]
+    linked = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    for i, a in enumerate(heads):
+        for b in heads[i + 1 :]:
+            if linked(a, b):
+                parent[find(b)] = find(a)
+    expect = {}
+    for d in sorted(sets):
+        expect.setdefault(find(d), d)
+    assert got == {d: expect[find(d)] for d in sets}
+
+
 def test_near_at_the_edges(spark, odd, none):
     got = near_dup.near_duplicates(odd, 3, 85).collect()
     by = {r.doc_id: r for r in got if r.doc_id is not None}

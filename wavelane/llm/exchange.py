@@ -116,9 +116,12 @@ class Blobs:
 
 
 def deal_texts(out: Blobs, batch: pa.RecordBatch, n: int) -> None:
-    """Puts rows whose first column is the document's id by that id's bucket; a null id counts as 0 here."""
-    ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-    bucket = doc_bucket(ids, n)
+    """Puts rows whose first column is the document's id by that id's bucket; rows with a null id in turn over the buckets."""
+    ids = batch.column(0)
+    bucket = doc_bucket(ids.fill_null(0).to_numpy(zero_copy_only=False), n)
+    if ids.null_count:
+        none = np.flatnonzero(ids.is_null().to_numpy(zero_copy_only=False))
+        bucket[none] = none % n
     for b in np.unique(bucket):
         out.put(TEXTS, int(b), pack_rows(batch.take(pa.array(np.flatnonzero(bucket == b)))))
 

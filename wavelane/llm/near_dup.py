@@ -4,18 +4,20 @@
    15 band keys of 3 samples, and an odd sketch: the samples folded into a bitmap of 256
    parities. The population count of two sketches' XOR estimates a high similarity closely.
 2. Documents with equal sets become one class with its smallest doc_id as representative.
-3. Representatives that share a band key meet in a task. Those whose sketches come near the
-   threshold at all (six standard deviations) are candidates; only a spanning forest of the
-   candidate pairs leaves the task, not the pairs. A key with very many members is split into
-   blocks, and all its members count as candidates of its smallest id.
+3. Representatives that share a band key are candidates if their sketches come near the threshold
+   at all (six standard deviations). The members of a key meet in a task, which gives out a spanning
+   forest of the candidate pairs, not the pairs. A key with over ``block`` members is not gathered:
+   each member is compared with the key's smallest id where it is; those that are not near it
+   are dealt again, by that key and each of their other band keys, and so on.
 4. The forests' components hold every candidate pair. Their texts are fetched, and inside of each
    component the full sets are compared through an inverted index; again a forest of the
-   confirmed links leaves the task. A component with very many members is split into blocks
-   that meet pairwise.
+   confirmed links leaves the task. Of a component that is too large for a task, by count or bytes, the forest's own
+   edges are confirmed first, in units of one end and some of its partners. If these links hold it together,
+   nothing else is needed; otherwise what they leave apart meets the rest in blocks.
 5. Components of the confirmed links are found by alternating large-star and small-star steps.
 
-A pair of similarity 0.85 shares no band key with a probability of 6e-7 (0.8: 2e-5); one that
-does is missed by its sketch only if that is over six standard deviations off (below 2e-8 at
+A pair of similarity 0.85 shares no band key with a probability of 6e-7 (0.8: 2e-5), and no second one under a crowded key with
+2e-6 (5e-5); one that does is missed by its sketch only if that is over six standard deviations off (below 2e-8 at
 0.85 and at 0.8, by the exact distribution for ideal hashes).
 """
 
@@ -29,13 +31,13 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from wavelane.llm.exchange import BLOBS, REQUESTS, Blobs, blob_rows, by_bucket, doc_bucket, text_blobs, unpack_arrays, unpack_rows
-from wavelane.llm.shared import partitions, stored
+from wavelane.llm.shared import discard, partitions, stored
 from wavelane.llm.textnum import FOLDED_KEYS, U64, distinct_by_row, find_words, hash_spans, mix, row_ranges, shingles, text_bytes
 
 SHINGLE_WORDS, PERCENT = 5, 80
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 128, 15, 3, 256
-#: Documents that meet in one task at most, of a band key or of a component of candidates.
-BLOCK = 4096
+#: Documents that meet in one task at most, of a band key or of a component of candidates, and bytes of their compressed texts.
+BLOCK, BLOCK_BYTES = 4096, 16 << 20
 _RNG = np.random.default_rng(20240611)
 _ADD, _TIMES = _RNG.integers(0, 2**63, (2, SAMPLES), dtype=np.int64).astype(U64)
 _TIMES = _TIMES * U64(2) + U64(1)
@@ -109,10 +111,10 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 key = np.stack([mix(s[offsets[1:]] - s[offsets[:-1]] + np.diff(offsets).astype(U64)) for s in sums], axis=1)
                 samples = samples_of(values, offsets)
                 bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(samples).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array([k.tobytes() for k in key], pa.binary()), bands, pa.array([s.tobytes() for s in odd_sketches(samples)], pa.binary())]
+                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array([k.tobytes() for k in key], pa.binary()), bands, pa.FixedSizeListArray.from_arrays(pa.array(odd_sketches(samples).view(np.int64).ravel()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,6 +179,14 @@ def forest_of_links(values: np.ndarray, at: np.ndarray, side: np.ndarray, percen
     return out
 
 
+def links_to_first(values: np.ndarray, at: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs (0, place) of the sets that are similar enough to the first one."""
+    size = np.diff(at)
+    both = np.concatenate([[0], np.cumsum(np.isin(values, values[: at[1]], assume_unique=False))])
+    both = both[at[1:]] - both[at[:-1]]
+    return [(0, k) for k in (np.flatnonzero(100 * both[1:] >= percent * (size[0] + size[1:] - both[1:])) + 1).tolist()]
+
+
 def _by_group(rows: DataFrame, n: int, keys: list[str], order: str, links) -> DataFrame:
     """Rows (a, b): ``links`` applied to the rows of each group of keys, which come together in a task by rising ``order``."""
 
@@ -247,10 +257,11 @@ def fetched(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """Rows (doc_id, component): for each linked id the smallest one that it reaches.
 
-    Large-star and small-star steps until nothing changes; each step is joins and minima, its edges a table in the shared folder.
+    Large-star and small-star steps until nothing changes; each step is joins and minima, its edges a table in the shared folder, which goes
+    after the next step. A hub is one key of the joins; its rows are two numbers each, and AQE splits a join's partition that is too large.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct()
-    before = None
+    before, old = None, None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -259,57 +270,123 @@ def components(links: DataFrame) -> DataFrame:
         joined = large.join(least, "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "star")
+        if old is not None:
+            discard(old)
+        old = edges
         now = tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first())
         if now == before:
             return edges.select(F.col("u").alias("doc_id"), F.col("v").alias("component"))
         before = now
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+def candidate_pairs(classes: DataFrame, n: int, most: int, block: int) -> DataFrame:
+    """Rows (a, b): a spanning forest, for each band key, of its members whose sketches differ in ``most`` bits at most."""
+
+    def near(table: pa.Table) -> list[tuple[int, int]]:
+        sketches = table.column(2).combine_chunks().flatten().to_numpy().view(U64).reshape(table.num_rows, -1)
+        return forest_of_near(table.column(1).to_numpy(), sketches, most)
+
+    parts: list[DataFrame] = []
+    member = classes.select(F.explode("bands").alias("key"), "doc_id", "sketch", "bands")
+    while True:
+        sizes = member.groupBy("key").agg(F.count("*").alias("_n"), F.min_by("sketch", "doc_id").alias("_sketch"), F.min("doc_id").alias("_least"))
+        crowded = stored(sizes.where(F.col("_n") > block).select("key", "_least", "_sketch"), "crowded")
+        if crowded.isEmpty():
+            parts.append(_by_group(member.select("key", "doc_id", "sketch"), n, ["key"], "doc_id", near))
+            break
+        parts.append(_by_group(member.join(crowded, "key", "left_anti").select("key", "doc_id", "sketch"), n, ["key"], "doc_id", near))
+        differing = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("_sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+        met = stored(member.join(crowded, "key").withColumn("_near", differing <= most), "met")
+        parts.append(met.where("_near AND doc_id <> _least").select(F.col("_least").alias("a"), F.col("doc_id").alias("b")))
+        rest = met.where("NOT _near").withColumn("_band", F.explode("bands")).where("_band <> key")
+        member = stored(rest.select(F.xxhash64("key", "_band").alias("key"), "doc_id", "sketch", "bands").distinct(), "members")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return stored(out.distinct(), "candidates")
+
+
+def _sets(packed, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingle sets of compressed texts."""
+    unpack = zstandard.ZstdDecompressor()
+    return shingle_sets(pa.array([unpack.decompress(z).decode() for z in packed.to_pylist()], pa.large_string()), size)
+
+
+def _blocks(n: str, size: str, block: int, bytes_: int):
+    """How many blocks of half the bounds so many documents of so many bytes make."""
+    return F.greatest(F.lit(1), F.ceil(F.col(n) / max(1, block // 2)), F.ceil(F.col(size) / max(1, bytes_ // 2))).cast("int")
+
+
+def confirmed_links(candidates: DataFrame, texts: DataFrame, groups: DataFrame, n: int, size: int, percent: int, block: int, block_bytes: int) -> DataFrame:
+    """Rows (a, b) that hold together whatever full sets link: of each component of candidates a spanning forest of its links."""
+
+    def similar(table: pa.Table) -> list[tuple[int, int]]:
+        ids = table.column("doc_id").to_pylist()
+        values, at = _sets(table.column("packed"), size)
+        return [(ids[i], ids[j]) for i, j in forest_of_links(values, at, table.column("side").to_numpy(), percent)]
+
+    def similar_to_first(table: pa.Table) -> list[tuple[int, int]]:
+        table = table.sort_by("side")
+        ids = table.column("doc_id").to_pylist()
+        return [(ids[i], ids[j]) for i, j in links_to_first(*_sets(table.column("packed"), size), percent)]
+
+    own = groups.join(texts.select("doc_id", F.octet_length("packed").alias("_bytes")), "doc_id")
+    sizes = own.groupBy("group").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_size"))
+    large = stored(sizes.where((F.col("_n") > block) | (F.col("_size") > block_bytes)).select("group"), "large")
+    zero = F.lit(0)
+    if large.isEmpty():
+        whole = groups.join(texts, "doc_id").select("group", zero.alias("low"), zero.alias("high"), "doc_id", zero.alias("side"), "packed")
+        return stored(_by_group(whole, n, ["group", "low", "high"], "doc_id", similar), "links")
+    whole = groups.join(large, "group", "left_anti").join(texts, "doc_id").select("group", zero.alias("low"), zero.alias("high"), "doc_id", zero.alias("side"), "packed")
+    links = _by_group(whole, n, ["group", "low", "high"], "doc_id", similar)
+
+    # The forest's edges of large components: units of an end and some of its partners.
+    of_large = stored(own.join(large, "group"), "large-members")
+    edges = candidates.join(of_large.select(F.col("doc_id").alias("b"), "_bytes"), "b")
+    hubs = edges.groupBy("a").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_size")).select("a", _blocks("_n", "_size", block, block_bytes).alias("blocks"))
+    partners = edges.join(hubs, "a").select(F.col("a").alias("group"), F.expr("cast(pmod(xxhash64(b, 7), blocks) AS int)").alias("low"), zero.alias("high"), F.col("b").alias("doc_id"), F.lit(1).alias("side"))
+    ends = hubs.select(F.col("a").alias("group"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("low"), zero.alias("high"), F.col("a").alias("doc_id"), zero.alias("side"))
+    units = partners.unionByName(ends).join(texts, "doc_id").select("group", "low", "high", "doc_id", "side", "packed")
+    direct = stored(_by_group(units, n, ["group", "low", "high"], "side", similar_to_first), "direct")
+
+    # Pieces that these links leave: the largest of a component is not compared within itself.
+    found = components(direct)
+    piece = of_large.join(found, "doc_id", "left").select("group", "doc_id", "_bytes", F.coalesce("component", "doc_id").alias("piece"))
+    piece = stored(piece.join(found.select(F.col("component").alias("doc_id"), F.col("component").alias("_own")).distinct(), "doc_id", "left").select("group", "doc_id", "_bytes", F.coalesce("_own", "piece").alias("piece")), "pieces")
+    count = piece.groupBy("group", "piece").agg(F.count("*").alias("_n"), F.sum("_bytes").alias("_size"))
+    main = count.groupBy("group").agg(F.max_by("piece", "_n").alias("main"), F.count("*").alias("_pieces")).where("_pieces > 1").drop("_pieces")
+    placed = piece.join(main, "group").withColumn("rest", (F.col("piece") != F.col("main")).cast("int"))
+    blocks = placed.groupBy("group").agg(*(f(F.when(F.col("rest") == k, v)).alias(f"_{name}{k}") for k in (0, 1) for name, f, v in (("n", F.count, F.lit(1)), ("size", F.sum, F.col("_bytes")))))
+    blocks = blocks.select("group", _blocks("_n0", "_size0", block, block_bytes).alias("mains"), _blocks("_n1", "_size1", block, block_bytes).alias("rests"))
+    placed = placed.join(blocks, "group").withColumn("own", F.expr("cast(pmod(xxhash64(doc_id, 7), if(rest = 1, rests, mains)) AS int)"))
+    # Blocks of the rest are numbered from 0, those of the largest piece follow; a unit is a block of the rest and another one.
+    others = F.expr("if(rest = 1, sequence(0, rests + mains - 1), sequence(0, rests - 1))")
+    met = placed.withColumn("own", F.expr("if(rest = 1, own, own + rests)")).withColumn("other", F.explode(others))
+    met = met.select("group", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "doc_id", F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
+    apart = _by_group(met.join(texts, "doc_id").select("group", "low", "high", "doc_id", "side", "packed"), n, ["group", "low", "high"], "doc_id", similar)
+    return stored(links.unionByName(direct).unionByName(apart), "links")
+
+
+def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = PERCENT, block: int = BLOCK, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id, kept), one for each row of ``docs``.
 
     Null texts count as empty; a text without words has no set and no links, a text with fewer words than a shingle has
     its whole sequence as one. Rows with a null doc_id are linked with nothing, have a null component and are kept.
-    Repeated rows give repeated rows; an empty table gives none; other columns are ignored.
+    Repeated rows give repeated rows; an empty table gives none; other columns are ignored. ``block`` and ``block_bytes`` bound
+    what meets in a task and do not change the result.
     """
     n = partitions(docs.sparkSession)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     own = stored(sketch_documents(rows, size), "sketches")
-    classes = stored(own.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
-    member = classes.select(F.explode("bands").alias("key"), "doc_id", "sketch")
-    crowded = stored(member.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where(F.col("n") > BLOCK), "crowded")
-    if crowded.limit(1).count():
-        met = member.join(crowded.select("key", "least"), "key", "left")
-        stars = met.where("least IS NOT NULL").select(F.col("least").alias("a"), F.col("doc_id").alias("b"))
-        met = met.where("least IS NULL").drop("least")
-    else:
-        met, stars = member, None
-    hardly = most_different(percent / 100)
-
-    def near(table: pa.Table) -> list[tuple[int, int]]:
-        sketches = np.frombuffer(b"".join(table.column(2).to_pylist()), U64).reshape(table.num_rows, -1)
-        return forest_of_near(table.column(1).to_numpy(), sketches, hardly)
-
-    candidates = _by_group(met.select("key", "doc_id", "sketch"), n, ["key"], "doc_id", near)
-    candidates = stored((candidates.unionByName(stars) if stars else candidates).distinct(), "candidates")
+    has_set = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = stored(own.where(has_set).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    candidates = candidate_pairs(classes, n, most_different(percent / 100), block)
     groups = components(candidates)
     groups = stored(groups.unionByName(groups.select(F.col("component").alias("doc_id"), "component").distinct()).withColumnRenamed("component", "group"), "groups")
     texts = stored(fetched(rows, groups, n), "texts")
-
-    # A group is one unit, or its blocks meet pairwise: (0, 0), (0, 1), (1, 1) and so on.
-    sizes = groups.groupBy("group").agg(F.ceil(F.count("*") / (BLOCK // 2)).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "group").withColumn("block", F.expr("cast(pmod(xxhash64(doc_id, 7), blocks) AS int)"))
-    units = placed.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    units = units.select("group", "low", "high", "doc_id", F.when(F.col("block") == F.col("low"), 0).otherwise(1).alias("side")).join(texts, "doc_id")
-
-    def similar(table: pa.Table) -> list[tuple[int, int]]:
-        unpack, ids = zstandard.ZstdDecompressor(), table.column(3).to_pylist()
-        values, at = shingle_sets(pa.array([unpack.decompress(z).decode() for z in table.column(5).to_pylist()], pa.large_string()), size)
-        return [(ids[i], ids[j]) for i, j in forest_of_links(values, at, table.column(4).to_numpy(), percent)]
-
-    links = stored(_by_group(units.select("group", "low", "high", "doc_id", "side", "packed"), n, ["group", "low", "high"], "doc_id", similar), "links")
-    found = components(links)
-    by_set = classes.select("set_key", "doc_id").join(found, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component"))
-    joined = own.select("doc_id", "n_shingles", F.when(F.expr("n_shingles > 0 AND doc_id IS NOT NULL"), F.col("set_key")).alias("set_key")).join(by_set, "set_key", "left")
-    out = joined.withColumn("component_id", F.coalesce("component", "doc_id"))
+    found = components(confirmed_links(candidates, texts, groups, n, size, percent, block, block_bytes))
+    by_set = classes.select("set_key", "doc_id").join(found, "doc_id", "left").select("set_key", F.coalesce("component", "doc_id").alias("component_id"))
+    linked = own.where(has_set).select("doc_id", "n_shingles", "set_key").join(by_set, "set_key").drop("set_key")
+    lone = own.where(~F.coalesce(has_set, F.lit(False))).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = linked.unionByName(lone)
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("doc_id") == F.col("component_id"))).alias("kept"))
