@@ -183,3 +183,37 @@ def test_quality_on_the_tables(spark, tables, odd, none):
     assert Q.keep_content(odd, field).columns == odd.columns
     plain = Q.fit_field(docs, labels.limit(0))
     assert Q.assess(docs, plain).where("kept = base_failed").count() == 0
+
+
+def test_convolution_by_loops():
+    """Logits of the trained model, filter by filter and word by word."""
+    rng = np.random.default_rng(3)
+    texts = [" ".join(rng.choice(["ab", "cd", "ef", "gh", "ij", "kl", "mn"], rng.integers(0, 12))) for _ in range(80)]
+    y = np.array(["ab cd" in t for t in texts], int)
+    model = T.TextConvolution.fit(texts, y, [None] * 80, epochs=3)
+    words, at = T.buckets(*text_bytes(pa.array(texts)))
+    got = model.logits(*model.spread(words, at))
+    for k in range(len(texts)):
+        x = np.concatenate([model.embeddings[model.place[words[at[k] : at[k + 1]]]], np.zeros((3, T.DIMENSIONS), np.float32)])
+        hidden = []
+        for f, b in zip(model.filters, model.biases, strict=True):
+            outputs = [sum(x[i + j] @ f[j] for j in range(len(f))) + b for i in range(at[k + 1] - at[k] + 1)]
+            hidden.append(np.maximum(np.max(outputs, axis=0), 0))
+        assert abs(np.concatenate(hidden) @ model.weights + model.bias - got[k]) < 1e-3
+
+
+def test_samples_are_the_least_hashes(spark):
+    from wavelane.llm.shared import bounded_sample, sampled_texts
+
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, "rare").when(F.col("id") < 30_000, "often").otherwise("some").alias("kind"))
+    twice = rows.unionByName(rows.where("kind = 'rare'"))
+    for most in (7, 300, 5000):
+        got = bounded_sample(twice, "kind", most).collect()
+        ranked = {}
+        for r in rows.withColumn("h", F.xxhash64("doc_id")).collect():
+            ranked.setdefault(r.kind, []).append((r.h, r.doc_id))
+        assert {(r.kind, r.doc_id) for r in got} == {(k, d) for k, own in ranked.items() for _, d in sorted(own)[:most]} and len(got) == len(set(got))
+    docs = spark.createDataFrame([(1, "b", 1), (1, "a", 2), (2, "x" * 70_000, 3), (3, None, 4), (4, "c", 5)], "doc_id long, text string, n int")
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "doc_id long")
+    assert [tuple(r)[:3] for r in sampled_texts(docs, ids, "n")] == [(1, "a", 2)]
+    assert bounded_sample(rows.limit(0), "kind", 5).count() == 0

@@ -6,7 +6,7 @@ import pytest
 
 import corpus_pipeline
 from tests.llm.conftest import DATA
-from tests.llm.test_duplicates import brute_near, brute_sentences
+from tests.llm.test_duplicates import brute_near, brute_runs, brute_sentences
 from tests.llm.test_tokens_and_packing import check_packing
 
 
@@ -29,9 +29,10 @@ def test_stages_take_effect(spark, stages):
     near = brute_near([(r.doc_id, r.text) for r in told.collect()], 5, 80)
     assert {r.doc_id for r in single.collect()} == {d for d, (_, _, first) in near.items() if first}
     rows = {r.doc_id: r for r in single.collect()}
-    expect = brute_sentences([(d, r.text) for d, r in rows.items()], 2, 12)
+    texts = [(d, r.text) for d, r in rows.items()]
+    expect, runs = brute_sentences(texts, 3, 30), brute_runs(texts, 51)
     for r in cut.collect():
-        assert (r.text == rows[r.doc_id].text) == (expect[r.doc_id][1] == 0) and r.n_chars == len(r.text) and r.source == rows[r.doc_id].source
+        assert (r.text == rows[r.doc_id].text) == (expect[r.doc_id][1] == 0 and runs[r.doc_id] == rows[r.doc_id].text.split()) and r.n_chars == len(r.text) and r.source == rows[r.doc_id].source
     assert set(check_packing(packed.collect(), 2048)) == set(rows)
 
 

@@ -1,4 +1,4 @@
-"""The queries of the operators for training text, one for each, with production parameters."""
+"""The queries of the operators for training text, one for each, with production parameters, and the SQL of those that have any."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from wavelane.llm.fingerprint import fingerprints
 from wavelane.llm.language_id import LanguageModel, identify, labelled_texts
 from wavelane.llm.near_dup import near_duplicates
+from wavelane.llm.oracles import ORACLES
 from wavelane.llm.packing import pack
 from wavelane.llm.piece_codec import round_trips
 from wavelane.llm.quality import assess, fit_field
@@ -33,7 +34,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeated_bytes(documents(spark, sf_dir))
+    return remove_repeated_bytes(documents(spark, sf_dir)).drop("removed")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,5 +66,4 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op7_merge_dropout, op8_fingerprints, op9_sentence_spans, op10_near_dup)}
 
-#: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

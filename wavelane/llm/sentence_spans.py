@@ -2,7 +2,7 @@
 
 A sentence ends with a word that ends in a full stop, question or exclamation mark, or that
 a line feed or the text's end follows. From each sentence runs the shortest span of at least
-two sentences and twelve words that starts there, and to each the shortest that ends there;
+three sentences and thirty words that starts there, and to each the shortest that ends there;
 every span is hashed by its words. A passage that begins or ends inside of a host's sentence
 shares no such span with its edges, so every run of 51 words is hashed as well, from each
 word on, if ``run_words`` asks for it. Spans and runs are joined over all documents, and all words that one covers which
@@ -22,7 +22,7 @@ from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Batche
 from wavelane.llm.shared import partitions
 from wavelane.llm.textnum import BYTE_KEYS, U64, _power_tables, find_words, hash_spans, mix, row_ranges, text_bytes
 
-LEAST_SENTENCES, LEAST_WORDS = 2, 12
+LEAST_SENTENCES, LEAST_WORDS = 3, 30
 #: Words that repeat count from here on whatever sentences they stand in.
 RUN_WORDS = 51
 #: Bytes of text whose spans and runs, one a word, a task gathers before it sends them.

@@ -91,8 +91,9 @@ def bounded_sample(rows: DataFrame, by: str, most: int) -> DataFrame:
 
 
 def sampled_texts(docs: DataFrame, picked: DataFrame, *columns: str) -> list:
-    """Rows (doc_id, text, columns) of the picked ids, of a repeated id the least one: bounded in number by the sample, in
-    bytes by LONGEST_LEARNED."""
+    """Rows (doc_id, text, columns) of the picked ids in order of the ids' hashes, of a repeated id the least one: bounded in number by
+    the sample, in bytes by LONGEST_LEARNED."""
     ids = F.broadcast(picked.select("doc_id").distinct())
     own = docs.where(F.octet_length("text") <= LONGEST_LEARNED).join(ids, "doc_id", "left_semi")
-    return own.groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("_s")).select("doc_id", "_s.*").collect()
+    rows = own.groupBy("doc_id").agg(F.min(F.struct("text", *columns)).alias("_s")).select("doc_id", "_s.*", F.xxhash64("doc_id").alias("_h")).collect()
+    return sorted(rows, key=lambda r: (r._h, r.doc_id))
