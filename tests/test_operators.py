@@ -191,3 +191,18 @@ def test_splits_at_all_shares(spark):
         assert abs(got - share) < 0.01 and (0 < share < 1 or got == share)
     three = {r.split: r.n for r in folds.three_way(rows, ["id"], 0.3, 0.7).groupBy("split").agg(F.count("*").alias("n")).collect()}
     assert "train" not in three and abs(three["test"] / 20_000 - 0.7) < 0.02
+
+
+@pytest.mark.parametrize("bucket", [1, 7, 50, 10**6])
+def test_bucketed_runs_are_the_plain_ones(spark, bucket):
+    rng = random.Random(bucket)
+    rows = [(k, t, o) for k in "ab" for o, t in enumerate(sorted(rng.choices(range(400), k=150)))] + [("c", 5, 0), (None, 3, 0)]
+    df = frame(spark, rows, "k string, t long, ord long")
+    plain = {(r.k, r.ord): r.run for r in segments.with_runs(df, ["k"], "t", "ord", 4).collect()}
+    got = segments.bucketed_runs(df.where("k IS NOT NULL"), ["k"], "t", "ord", 4, bucket).collect()
+    assert {(r.k, r.ord): r.run for r in got} == {x: n for x, n in plain.items() if x[0] is not None}
+    place, count = {}, {}
+    for k, o in sorted(x for x in plain if x[0] is not None):
+        place[k, o] = count.get((k, plain[k, o]), 0)
+        count[k, plain[k, o]] = place[k, o] + 1
+    assert {(r.k, r.ord): r._place for r in got} == place

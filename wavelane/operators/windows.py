@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from wavelane.operators.segments import nested_regions, place_in_intervals, with_runs
+from wavelane.operators.segments import bucketed_runs, nested_regions, place_in_intervals, with_runs
 
 
 def _check(length: int, stride: int) -> None:
@@ -26,16 +26,28 @@ def strided(rows: DataFrame, run_keys: list[str], t: str, ord: str, length: int,
     return out.where((F.col("i") % stride == 0) & F.col("t1").isNotNull()).withColumn("t0", F.col(t))
 
 
-def gap_restart_windows(df: DataFrame, keys: list[str], t: str, ord: str, gap: float, length: int, stride: int, span: tuple[float, float]) -> DataFrame:
-    """Windows (keys, run, i, t0, t1) of gap-free rows whose span lies in the closed range."""
-    out = strided(with_runs(df, keys, t, ord, gap), [*keys, "run"], t, ord, length, stride)
+def strided_by_place(rows: DataFrame, run_keys: list[str], t: str, length: int, stride: int) -> DataFrame:
+    """As :func:`strided`, for rows that know their ``_place``: every start is joined to its window's last row by run and place, so that a
+    long run is spread over tasks."""
+    _check(length, stride)
+    starts = rows.where(F.col("_place") % stride == 0).withColumnRenamed("_place", "i").withColumn("t0", F.col(t)).withColumn("_end", F.col("i") + length - 1)
+    return starts.join(rows.select(*run_keys, F.col("_place").alias("_end"), F.col(t).alias("t1")), [*run_keys, "_end"]).drop("_end")
+
+
+def gap_restart_windows(df: DataFrame, keys: list[str], t: str, ord: str, gap: float, length: int, stride: int, span: tuple[float, float], bucket: float | None = None) -> DataFrame:
+    """Windows (keys, run, i, t0, t1) of gap-free rows whose span lies in the closed range. With ``bucket``, a width of time, a key that
+    holds a large share of all rows is spread over many tasks."""
+    if bucket is None:
+        out = strided(with_runs(df, keys, t, ord, gap), [*keys, "run"], t, ord, length, stride)
+    else:
+        out = strided_by_place(bucketed_runs(df, keys, t, ord, gap, bucket), [*keys, "run"], t, length, stride)
     return out.where(F.col("t1") - F.col("t0") >= span[0]).where(F.col("t1") - F.col("t0") <= span[1]).select(*keys, "run", "i", "t0", "t1")
 
 
-def continuous_windows(a: DataFrame, b_runs: DataFrame, keys: list[str], t: str, ord: str, gap: float, length: int, stride: int, span: tuple[float, float], width: float) -> DataFrame:
+def continuous_windows(a: DataFrame, b_runs: DataFrame, keys: list[str], t: str, ord: str, gap: float, length: int, stride: int, span: tuple[float, float], width: float, bucket: float | None = None) -> DataFrame:
     """Windows (keys, b_segment, run, i, t0, t1) where both signals run on without a gap."""
-    rows = nested_regions(a, b_runs, keys, t, ord, gap, width)
-    out = strided(rows, [*keys, "b_segment", "run"], t, ord, length, stride)
+    rows, run_keys = nested_regions(a, b_runs, keys, t, ord, gap, width, bucket), [*keys, "b_segment", "run"]
+    out = strided(rows, run_keys, t, ord, length, stride) if bucket is None else strided_by_place(rows, run_keys, t, length, stride)
     return out.where(F.col("t1") - F.col("t0") >= span[0]).where(F.col("t1") - F.col("t0") <= span[1]).select(*keys, "b_segment", "run", "i", "t0", "t1")
 
 
@@ -76,18 +88,20 @@ def padded(values: Column, size: int) -> Column:
 def window_arrays(rows: DataFrame, run_keys: list[str], t: str, ord: str, values: list[str], length: int, stride: int) -> DataFrame:
     """Windows with ``<value>_window`` and ``t_window``: the arrays of the window's rows.
 
-    Rows join only the windows that they belong to (length / stride at most) and are gathered by window, so nothing is
-    built for rows that start none.
+    Rows are gathered into blocks of one stride, and each block, not each row, is dealt to the windows that it is a part of. Rows that know
+    their ``_place`` (see bucketed_runs) are not sorted by run.
     """
     _check(length, stride)
-    order = Window.partitionBy(*run_keys).orderBy(t, ord)
-    n = F.count("*").over(Window.partitionBy(*run_keys))
-    placed = rows.withColumn("_i", F.row_number().over(order) - 1).withColumn("_n", n)
-    first = F.greatest(F.lit(0), F.ceil((F.col("_i") - length + 1) / stride)).cast("long")
-    last = F.least(F.floor(F.col("_i") / stride), F.floor((F.col("_n") - length) / stride)).cast("long")
-    own = placed.withColumn("_first", first).withColumn("_last", last).where("_last >= _first").withColumn("_w", F.explode(F.sequence("_first", "_last")))
-    gathered = own.groupBy(*run_keys, "_w").agg(F.array_sort(F.collect_list(F.struct("_i", F.col(t).alias("_t"), *values))).alias("_s"))
-    out = gathered.withColumn("i", F.col("_w") * stride).withColumn("t_window", F.col("_s._t"))
+    if "_place" in rows.columns:
+        placed = rows.withColumnRenamed("_place", "_i")
+    else:
+        placed = rows.withColumn("_i", (F.row_number().over(Window.partitionBy(*run_keys).orderBy(t, ord)) - 1).cast("long"))
+    block = placed.groupBy(*run_keys, F.floor(F.col("_i") / stride).alias("_b")).agg(F.array_sort(F.collect_list(F.struct("_i", F.col(t).alias("_t"), *values))).alias("_s"))
+    reach = (length - 1) // stride
+    own = block.withColumn("_w", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_b") - reach), F.col("_b"))))
+    own = own.select(*run_keys, "_w", "_b", F.expr(f"filter(_s, x -> x._i < _w * {stride} + {length})").alias("_s"))
+    gathered = own.groupBy(*run_keys, "_w").agg(F.expr("flatten(transform(array_sort(collect_list(struct(_b, _s))), x -> x._s))").alias("_s"))
+    out = gathered.where(F.size("_s") == length).withColumn("i", F.col("_w") * stride).withColumn("t_window", F.col("_s._t"))
     for v in values:
         out = out.withColumn(f"{v}_window", F.col("_s").getField(v))
     return out.withColumn("t0", F.element_at("t_window", 1)).withColumn("t1", F.element_at("t_window", -1)).drop("_w", "_s")

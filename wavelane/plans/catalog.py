@@ -111,6 +111,12 @@ def gap_restart_windows(spark, sf_dir):
     return _w3(spark, sf_dir)
 
 
+@query(ORACLES["gap_restart_windows"])
+def gap_restart_windows_bucketed(spark, sf_dir):
+    """The same windows where a participant's rows are numbered in buckets of a week."""
+    return W.gap_restart_windows(samples(spark, sf_dir), P, "t", "ord", GAP_A, LENGTH, STRIDE, SPAN, bucket=7 * 24 * HOUR)
+
+
 @query(f"WITH {SAMPLES_SQL}, {_W3} SELECT w.participant, w.t0, w.t1, CAST(count(s.t) AS BIGINT) AS n_slice FROM w3 w LEFT JOIN samples s ON s.participant = w.participant AND s.role = 'click' AND s.t BETWEEN w.t0 AND w.t1 GROUP BY ALL")
 def interval_slice_counts(spark, sf_dir):
     return W.slice_counts(_w3(spark, sf_dir).select("participant", "t0", "t1"), _role(spark, sf_dir, "click"), P, "t", WIDTH, ["participant", "t0", "t1"])
@@ -138,6 +144,12 @@ def continuous_windows(spark, sf_dir):
     return _w4(spark, sf_dir)
 
 
+@query(ORACLES["continuous_windows"])
+def continuous_windows_bucketed(spark, sf_dir):
+    """The same windows where a region's rows are numbered in buckets of four days."""
+    return W.continuous_windows(_role(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P, "t", "ord", GAP_B, L4, S4, SPAN4, WIDTH, bucket=4 * 24 * HOUR)
+
+
 _REGION_W = f"""regions_n AS (SELECT a.participant, greatest(a.s, b.s) AS s, least(a.e, b.e) AS e FROM v a JOIN b ON a.participant = b.participant AND a.s <= b.e AND b.s <= a.e WHERE least(a.e, b.e) > greatest(a.s, b.s)),
 ri AS (SELECT x.*, r.s AS region FROM samples x JOIN regions_n r ON x.participant = r.participant AND x.t BETWEEN r.s AND r.e WHERE x.role = 'view'),
 rd AS (SELECT *, t - lag(t) OVER (PARTITION BY participant, region ORDER BY t, ord) AS dt FROM ri),
@@ -160,11 +172,21 @@ s AS (SELECT a.participant, a.run, a.i, a.t AS t0, count(*) AS n, max(b.t) AS t1
 SELECT participant, CAST(run AS BIGINT) AS run, CAST(i AS BIGINT) AS i, t0, t1, CAST(n AS BIGINT) AS n, round(first_x, 6) AS first_x, round(last_x, 6) AS last_x, round(dot, 4) AS dot FROM s""")
 def window_arrays(spark, sf_dir):
     rows = segments.with_runs(samples(spark, sf_dir), P, "t", "ord", GAP_A)
-    w = W.window_arrays(rows, ["participant", "run"], "t", "ord", ["x"], LENGTH, STRIDE)
+    return _window_dots(W.window_arrays(rows, ["participant", "run"], "t", "ord", ["x"], LENGTH, STRIDE))
+
+
+def _window_dots(w):
     dot = F.aggregate(F.transform("x_window", lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, x: a + x)
     return w.select("participant", "run", F.col("i").cast("long").alias("i"), "t0", "t1", F.size("x_window").cast("long").alias("n"), F.round(F.element_at("x_window", 1), 6).alias("first_x"), F.round(F.element_at("x_window", -1), 6).alias("last_x"), F.round(dot, 4).alias("dot"))
 
 
+@query(ORACLES["window_arrays"])
+def window_arrays_bucketed(spark, sf_dir):
+    """The same arrays of rows that know their places in runs from buckets."""
+    rows = segments.bucketed_runs(samples(spark, sf_dir), P, "t", "ord", GAP_A, 7 * 24 * HOUR)
+    return _window_dots(W.window_arrays(rows, ["participant", "run"], "t", "ord", ["x"], LENGTH, STRIDE))
+
+
 @query("""WITH s AS (SELECT vec_id, unnest([0, 1, 2, 3]) AS k, unnest([0, 16, 32, 40]) AS p, embedding FROM embeddings WHERE len(embedding) = 64), t AS (SELECT vec_id, k, unnest(range(0, 24)) AS j, p, embedding FROM s) SELECT vec_id, CAST(k AS INT) AS k, CAST(j AS INT) AS j, round(CAST(embedding[p + j + 1] AS DOUBLE), 6) AS x FROM t""")
 def sub_windows(spark, sf_dir):
     """Windows of 24 at stride 16 inside each window of 64, and one at the tail, with all their samples."""
