@@ -41,9 +41,8 @@ def boosted(label: str, seed: int = 40):
 def leave_one_out(rows: DataFrame, participant: str, key: list[str], label: str, model: Callable = linear) -> DataFrame:
     """Predictions (participant, key, ground_truth_bpm, predicted_bpm) of each participant by a model fitted on the others.
 
-    The loop is over participants, a short list; the prepared rows are kept once for all folds.
+    The loop is over participants, a short list; each fold reads the rows again, so give it a stored table rather than a long plan.
     """
-    rows = rows.persist()
     names = [r[0] for r in rows.select(participant).distinct().orderBy(participant).collect()]
     out = None
     for name in names:

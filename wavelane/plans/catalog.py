@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavelane.functions import arrays as A, ecg, estimators as E, signal as S
 from wavelane.operators import align, folds, labels, metrics, segments, windows as W
-from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, scratch_csv, table, windows64
+from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, scratch, scratch_csv, table, windows64
 from wavelane.sources import readers, sinks
 from wavelane.sources.readers import ecg_epoch, participant_id, pulse_column
 
@@ -493,6 +493,49 @@ def phone_time(spark, sf_dir):
     return readers.with_phone_time(rows, anchors, P).select(F.col("ord").alias("event_id"), F.round("t_ms", 3).alias("t_ms"))
 
 
+# -- sinks -----------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, 'P' || CAST(label % 4 AS VARCHAR) AS participant, CASE WHEN vec_id % 2 = 0 THEN 'Ring' ELSE 'Watch' END AS role, len(embedding) AS n, round(CAST(embedding[1] AS DOUBLE), 6) AS first FROM embeddings")
+def windows_written(spark, sf_dir):
+    """Windows written by participant and role, one role again on its own, and read back."""
+    w = windows64(spark, sf_dir).select("vec_id", F.concat(F.lit("P"), F.col("label") % 4).alias("participant"), F.when(F.col("vec_id") % 2 == 0, "Ring").otherwise("Watch").alias("role"), "w")
+    path = scratch(spark, "windows")
+    sinks.write_windows(w, path)
+    sinks.write_windows(w.where("role = 'Ring'"), path)
+    out = spark.read.parquet(path)
+    return out.select("vec_id", "participant", "role", F.size("w").cast("long").alias("n"), F.round(F.element_at("w", 1), 6).alias("first"))
+
+
+@query("SELECT event_type AS channel, event_id, round(value, 6) AS hr_est FROM events")
+def results_written(spark, sf_dir):
+    path = scratch(spark, "results")
+    sinks.write_results(table(spark, sf_dir, "events").select(F.col("event_type").alias("channel"), "event_id", F.round("value", 6).alias("hr_est")), path)
+    return spark.read.csv(path, header=True, schema="channel string, event_id long, hr_est double")
+
+
+@query("SELECT CAST(user_id AS VARCHAR) AS participant, CAST(printf('%.3f', CAST(event_id AS DOUBLE) / 8) AS DOUBLE) AS ground_truth_bpm, CAST(count(*) AS BIGINT) AS n FROM (SELECT * FROM events UNION ALL SELECT * FROM events WHERE event_id % 2 = 0) GROUP BY ALL")
+def predictions_written(spark, sf_dir):
+    """Predictions written, some of them again in appending mode, and read back with three decimals."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("participant"), (F.col("event_id") / 8).alias("ground_truth_bpm"), F.col("value").alias("predicted_bpm"), "event_id")
+    path = scratch(spark, "predictions")
+    sinks.write_predictions(e, path)
+    sinks.write_predictions(e.where("event_id % 2 = 0"), path, append=True)
+    return sinks.read_predictions(spark, path).groupBy("participant", "ground_truth_bpm").agg(F.count("*").alias("n"))
+
+
+@query("WITH f AS (SELECT l_returnflag, avg(abs(l_quantity - l_extendedprice / 2000)) AS mae, sqrt(avg(pow(l_quantity - l_extendedprice / 2000, 2))) AS rmse FROM lineitem GROUP BY l_returnflag) SELECT 'mae' AS metric, printf('MAE: %.4f ± %.4f', avg(mae), stddev_pop(mae)) AS line FROM f UNION ALL SELECT 'rmse', printf('RMSE: %.4f ± %.4f', avg(rmse), stddev_pop(rmse)) FROM f")
+def summary_lines(spark, sf_dir):
+    return sinks.summary_lines(metrics.error_metrics(_pairs(spark, sf_dir), ["l_returnflag"], "y", "x"), ["mae", "rmse"])
+
+
+@query(f"""WITH e AS (SELECT l_returnflag AS channel, l_linestatus AS algorithm, count(*) AS n, avg(abs(y - x)) AS mae, sqrt(avg((y - x) * (y - x))) AS rmse, covar_pop(y, x) / (stddev_pop(y) * stddev_pop(x)) AS r FROM {_PAIRS_SQL} GROUP BY ALL)
+SELECT channel, algorithm, unnest([printf('%s: valid %d/%d (%.1f%%)', algorithm, n, n, 100.0), printf('  MAE: %.3f', mae), printf('  RMSE: %.3f', rmse), printf('  R: %.3f', r)]) AS line FROM e""")
+def run_log(spark, sf_dir):
+    e = metrics.error_metrics(_pairs(spark, sf_dir), ["l_returnflag", "l_linestatus"], "y", "x")
+    return sinks.run_log(e.withColumnsRenamed({"l_returnflag": "channel", "l_linestatus": "algorithm"}), "%.3f")
+
+
 # -- array functions -------------------------------------------------------------------------------------------------
 
 _PLACES = "p AS (SELECT vec_id, label, unnest(range(0, 64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings WHERE len(embedding) = 64)"
@@ -643,14 +686,36 @@ def ecg_labels(spark, sf_dir):
     return ecg.label_windows(windows64(spark, sf_dir).select("vec_id", "w"), "w", 30.0).drop("w")
 
 
-@query()
+def _filter_sql(source: str) -> str:
+    """Common tables that end in ``filtered`` (vec_id, i, y): rows (vec_id, i, x) of 64 samples through the pulse band, forwards and
+    backwards, step by step. The rows are prolonged by 15 samples at each end, turned about the end's own."""
+    b, a = S.butterworth_band(0.7, 3.5, 8.0)
+    zi = S.steady_state(b, a)
+    wide = f"""ends AS (SELECT vec_id, max(CASE WHEN i = 0 THEN x END) AS first, max(CASE WHEN i = 63 THEN x END) AS last FROM {source} GROUP BY vec_id),
+wide AS (SELECT vec_id, i + 15 AS k, x FROM {source} UNION ALL SELECT s.vec_id, 15 - i, 2 * first - x FROM {source} s JOIN ends USING (vec_id) WHERE i BETWEEN 1 AND 15 UNION ALL SELECT s.vec_id, 78 + 63 - i, 2 * last - x FROM {source} s JOIN ends USING (vec_id) WHERE i BETWEEN 48 AND 62)"""
+
+    def run(name: str, rows: str) -> str:
+        n = lambda v: format(float(v), ".17g")
+        y = f"{n(b[0])} * {{x}} + {{z0}}"
+        begin = [f"{n(zi[m])} * x" for m in range(4)]
+        first = y.format(x="x", z0=f"({begin[0]})")
+        step = y.format(x="w.x", z0="f.z0")
+        state = lambda x, out, z: ", ".join(f"{n(b[m + 1])} * {x} + {z[m + 1] if m < 3 else '0'} - {n(a[m + 1])} * ({out}) AS z{m}" for m in range(4))
+        start = f"SELECT vec_id, 0 AS k, {first} AS y, {state('x', first, [f'({z})' for z in begin])} FROM {rows} WHERE k = 0"
+        return f"{name} AS ({start} UNION ALL SELECT w.vec_id, w.k, {step} AS y, {state('w.x', step, [f'f.z{m}' for m in range(4)])} FROM {name} f JOIN {rows} w ON w.vec_id = f.vec_id AND w.k = f.k + 1)"
+
+    return f"{wide}, {run('once', 'wide')}, back AS (SELECT vec_id, 93 - k AS k, y AS x FROM once), {run('twice', 'back')}, filtered AS (SELECT vec_id, 78 - k AS i, y FROM twice WHERE k BETWEEN 15 AND 78)"
+
+
+@query(f"WITH RECURSIVE {_PLACES}, {_filter_sql('p')} SELECT vec_id, CAST(i AS INT) AS i, round(y, 5) + 0.0 AS y FROM filtered")
 def bandpass(spark, sf_dir):
-    return windows64(spark, sf_dir).select("vec_id", S.bandpass(F.col("w"), 8.0).alias("filtered"))
+    return windows64(spark, sf_dir).select("vec_id", F.posexplode(S.bandpass(F.col("w"), 8.0)).alias("i", "y")).withColumn("y", F.round("y", 5))
 
 
-@query()
+@query(f"WITH RECURSIVE {_PLACES}, f AS (SELECT vec_id, regr_slope(x, i) AS b, regr_intercept(x, i) AS a FROM p GROUP BY vec_id), straight AS (SELECT p.vec_id, i, x - a - b * i AS x FROM p JOIN f ON p.vec_id = f.vec_id), {_filter_sql('straight')} SELECT vec_id, CAST(i AS INT) AS i, round(y, 5) + 0.0 AS y, true AS ppg_preprocessed FROM filtered")
 def pulse_preprocess(spark, sf_dir):
-    return S.preprocess_channels(windows64(spark, sf_dir).select("vec_id", F.col("w").alias("ppg")), 8.0)
+    out = S.preprocess_channels(windows64(spark, sf_dir).select("vec_id", F.col("w").alias("ppg")), 8.0)
+    return out.select("vec_id", F.posexplode("ppg").alias("i", "y"), "ppg_preprocessed").withColumn("y", F.round("y", 5))
 
 
 @query(f"""WITH {_PLACES}, j AS (SELECT unnest(range(0, 200)) AS j), k AS (SELECT unnest(range(1, 32)) AS k),

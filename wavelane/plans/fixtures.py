@@ -34,14 +34,18 @@ def windows64(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("w"))
 
 
-def scratch_csv(rows: DataFrame, **options) -> str:
-    """Rows as one CSV file in the folder that executors share, for the readers of such files; a local folder in a local session only."""
-    spark = rows.sparkSession
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the folder that executors share; in a local folder in a local session only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='wavelane-')}"
-    path = f"{folder.rstrip('/')}/csv-{uuid.uuid4().hex}.csv"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def scratch_csv(rows: DataFrame, **options) -> str:
+    """Rows as one CSV file, for the readers of such files."""
+    path = f"{scratch(rows.sparkSession, 'csv')}.csv"
     rows.coalesce(1).write.options(**options).csv(path)
     return path

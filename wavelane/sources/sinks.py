@@ -34,10 +34,10 @@ def summary_lines(folds: DataFrame, metrics: list[str]) -> DataFrame:
     return folds.agg(F.array(*parts).alias("_s")).select(F.explode("_s").alias("_s")).select("_s.metric", "_s.line")
 
 
-def run_log(metrics: DataFrame) -> DataFrame:
+def run_log(metrics: DataFrame, form: str = "%.4f") -> DataFrame:
     """Lines of text (channel, algorithm, line) that say how each algorithm did, from rows of error metrics."""
     text = lambda c, form: F.coalesce(F.format_string(form, F.col(c)), F.lit("nan"))
-    lines = F.array(F.format_string("%s: valid %d/%d (%.1f%%)", "algorithm", "valid", "n", "valid_pct"), *(F.concat(F.lit(f"  {c.upper()}: "), text(c, "%.4f")) for c in ("mae", "rmse", "r")))
+    lines = F.array(F.format_string("%s: valid %d/%d (%.1f%%)", "algorithm", "valid", "n", "valid_pct"), *(F.concat(F.lit(f"  {c.upper()}: "), text(c, form)) for c in ("mae", "rmse", "r")))
     return metrics.select("channel", "algorithm", F.explode(lines).alias("line"))
 
 
