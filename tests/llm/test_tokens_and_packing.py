@@ -31,8 +31,10 @@ def library():
 
 def test_counts_are_the_librarys(library):
     own = token_counts.PieceCounter(PIECES)
-    for s in strings(1, 8000):
-        assert own.count(s) == len(library.encode(s)), repr(s)
+    texts = [*strings(1, 8000), "", " ", "\n", "a\n\nb", "a b\nc d", "é\nè ab", "x" * 5000]
+    for s, n in zip(texts, own.counts(pa.array(texts)).tolist(), strict=True):
+        assert n == len(library.encode(s)), repr(s)
+    assert own.counts(pa.array([None, "a"])).tolist() == [0, 1] and len(own.counts(pa.array([], pa.string()))) == 0
 
 
 def test_whole_tokens_are_proved(library):
@@ -43,9 +45,10 @@ def test_whole_tokens_are_proved(library):
 
 def test_memo_is_bounded(monkeypatch, library):
     monkeypatch.setattr(token_counts, "MEMO_ENTRIES", 20_000)
+    monkeypatch.setattr(token_counts, "SLICE", 9_000)
     own = token_counts.PieceCounter(PIECES)
-    text = " ".join(f"zq{k}x" for k in range(9000))
-    assert own.count(text) == len(library.encode(text)) and len(own) <= 20_001
+    texts = [" ".join(f"zq{k}x" for k in range(n, n + 900)) for n in range(0, 9000, 900)]
+    assert own.counts(pa.array(texts)).tolist() == [len(library.encode(t)) for t in texts] and len(own.known) <= 20_000
 
 
 def test_count_query(spark, docs, odd, none, library):

@@ -263,6 +263,32 @@ def merged_levels(levels: list[list[np.ndarray]], order: Callable[[list[np.ndarr
         levels.append([x[own] for x in both])
 
 
+class Remembered:
+    """Numbers by 64-bit hash, in sorted levels that merge when they are of about equal size."""
+
+    def __init__(self):
+        self.levels: list[list[np.ndarray]] = []
+
+    def __len__(self) -> int:
+        return sum(len(x[0]) for x in self.levels)
+
+    def add(self, keys: np.ndarray, *values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.levels.append([keys[order], *(v[order] for v in values)])
+        merged_levels(self.levels, lambda both: np.argsort(both[0], kind="stable"))
+
+    def find(self, keys: np.ndarray, n: int) -> list[np.ndarray]:
+        """The n numbers of each key; -1 where there is none."""
+        out, open_ = [np.full(len(keys), -1) for _ in range(n)], np.arange(len(keys))
+        for own, *values in self.levels:
+            k = np.minimum(np.searchsorted(own, keys[open_]), len(own) - 1)
+            hit = own[k] == keys[open_]
+            for o, v in zip(out, values, strict=True):
+                o[open_[hit]] = v[k[hit]]
+            open_ = open_[~hit]
+        return out
+
+
 class Levels:
     """A logarithmic index family over entries (key, doc, start, end, and what else must be equal) with distinct keys.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from wavelane.llm.exchange import merged_levels
+from wavelane.llm.exchange import Remembered
 from wavelane.llm.textnum import BYTE_KEYS, FOLDED_KEYS, find_words, hash_spans, row_ranges, text_bytes
 
 #: Chunks of text whose ids a worker remembers, in about 35 bytes each; the memo starts again when it is full.
@@ -74,8 +74,8 @@ class ChunkIds:
         self._forget()
 
     def _forget(self) -> None:
-        #: Levels of (hash, first place in the ids, number of ids).
-        self.levels: list[list[np.ndarray]] = []
+        #: By chunk the first place in the ids, and the number of ids.
+        self.known = Remembered()
         self.ids, self.n_ids = np.zeros(1 << 16, "<u4"), 0
 
     def _learn(self, keys: np.ndarray, chunks: list[str]) -> None:
@@ -94,20 +94,7 @@ class ChunkIds:
         self.ids[self.n_ids : self.n_ids + len(ids)] = ids
         at = self.n_ids + np.cumsum(size) - size
         self.n_ids += len(ids)
-        order = np.argsort(keys)
-        self.levels.append([keys[order], at[order], size[order].astype(np.int32)])
-        merged_levels(self.levels, lambda both: np.argsort(both[0], kind="stable"))
-
-    def _known(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and numbers of the ids of distinct chunks; place -1 for a new one."""
-        place, size = np.full(len(keys), -1), np.zeros(len(keys), np.int64)
-        open_ = np.arange(len(keys))
-        for own, at, n in self.levels:
-            k = np.minimum(np.searchsorted(own, keys[open_]), len(own) - 1)
-            hit = own[k] == keys[open_]
-            place[open_[hit]], size[open_[hit]] = at[k[hit]], n[k[hit]]
-            open_ = open_[~hit]
-        return place, size
+        self.known.add(keys, at, size.astype(np.int32))
 
     def _slice(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of some texts, ``end_id`` after each, and the texts' n + 1 offsets in them."""
@@ -119,16 +106,16 @@ class ChunkIds:
             own = own[own >= 0]
             keys[own] = ~hash_spans(data, starts[own], ends[own], BYTE_KEYS)
         code, distinct = pd.factorize(keys)
-        if sum(len(x[0]) for x in self.levels) + len(distinct) > MEMO_ENTRIES:
+        if len(self.known) + len(distinct) > MEMO_ENTRIES:
             self._forget()
-        place, size = self._known(distinct)
+        place, size = self.known.find(distinct, 2)
         new = np.flatnonzero(place < 0)
         if len(new):
             first = np.zeros(len(distinct), np.int64)
             first[code[::-1]] = np.arange(len(code))[::-1]
             raw = data.tobytes()
             self._learn(distinct[new], [raw[a:b].decode() for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)])
-            place[new], size[new] = self._known(distinct[new])
+            place[new], size[new] = self.known.find(distinct[new], 2)
         n = size[code]
         sums = np.concatenate([[0], np.cumsum(n)])
         at = np.repeat(place[code] - sums[:-1], n) + np.arange(sums[-1])
