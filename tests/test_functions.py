@@ -169,6 +169,13 @@ def test_scalogram_by_definition():
         assert np.flatnonzero(E.scalogram_peaks(x[None], 10.0)[0]).tolist() == sorted({max(0, p - 1) + int(np.argmax(x[max(0, p - 1) : p + 2])) for p in peaks})
 
 
+def test_missing_samples():
+    x = tone(1.5)
+    holes = np.insert(x, [100, 300, 301], np.nan)
+    assert E.estimate_one("neurokit", holes, 100.0) == E.estimate_one("neurokit", x, 100.0)
+    assert np.isnan(E.estimate_one("neurokit", np.r_[x[:49], [np.nan] * 20], 100.0)) and np.isnan(E.estimate_one("fft", holes, 100.0))
+
+
 def test_registry(spark):
     E.register_estimator("Always", lambda x, fs: 70.0)
     df = spark.createDataFrame([([1.0] * 60,), ([1.0] * 10,), (None,)], "w array<double>")

@@ -394,6 +394,8 @@ def enhanced(x: np.ndarray, fs: float) -> np.ndarray:
 ROW_ESTIMATORS: dict[str, Callable[[np.ndarray, float], np.ndarray]] = {
     "fft": spectral, "autocorr": autocorrelation, "msptd": multiscale, "pwd": delineator, "qppgfast": slope_sum, "neurokit": two_averages, "heartpy": enhanced,
 }
+#: Estimators that leave missing samples (NaN or null) out; for the others such a window has no answer.
+DROP_MISSING = {"neurokit"}
 #: Estimators of one window that have been registered.
 ESTIMATORS: dict[str, Callable[[np.ndarray, float], float]] = {}
 
@@ -427,8 +429,10 @@ def _of_rows(name: str) -> Callable[[np.ndarray, float], np.ndarray]:
     return ROW_ESTIMATORS[key]
 
 
-def answers(estimator: Callable[[np.ndarray, float], np.ndarray], windows, fs: float) -> np.ndarray:
+def answers(estimator: Callable[[np.ndarray, float], np.ndarray], windows, fs: float, drop_missing: bool = False) -> np.ndarray:
     """An estimator's answers by the contract of all of them: NaN rather than an error. Windows of one length are worked on together."""
+    if drop_missing:
+        windows = [None if w is None else (x := np.asarray(w, float))[~np.isnan(x)] for w in windows]
     out, groups = np.full(len(windows), np.nan), {}
     for k, w in enumerate(windows):
         if w is not None and len(w) >= LEAST_SAMPLES:
@@ -447,16 +451,16 @@ def answers(estimator: Callable[[np.ndarray, float], np.ndarray], windows, fs: f
 
 
 def estimate_one(name: str, x: np.ndarray | None, fs: float) -> float:
-    return float(answers(_of_rows(name), [x], fs)[0])
+    return float(answers(_of_rows(name), [x], fs, name.lower() in DROP_MISSING)[0])
 
 
 def heart_rate(name: str, window: Column, fs: float) -> Column:
     """An estimator by name (in any case) as a column expression over an array column; its NaN is null in the column."""
-    own = _of_rows(name)  # goes with the plan: a worker doesn't know what was registered here
+    own, drop = _of_rows(name), name.lower() in DROP_MISSING  # go with the plan: a worker doesn't know what was registered here
 
     @F.pandas_udf("double")
     def run(w: pd.Series) -> pd.Series:
-        return pd.Series(answers(own, w.tolist(), fs))
+        return pd.Series(answers(own, w.tolist(), fs, drop))
 
     return run(window)
 
