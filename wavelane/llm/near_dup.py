@@ -39,7 +39,7 @@ SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 128, 15, 3, 256
 #: Documents that meet in one task at most, of a band key or of a component of candidates, and bytes of their compressed texts.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Parts that the links of each document are dealt in where its neighbours get their minimum.
-SALTS = 16
+SALTS = 8
 _RNG = np.random.default_rng(20240611)
 _ADD, _TIMES = _RNG.integers(0, 2**63, (2, SAMPLES), dtype=np.int64).astype(U64)
 _TIMES = _TIMES * U64(2) + U64(1)
@@ -267,12 +267,12 @@ def components(links: DataFrame) -> DataFrame:
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        # A hub's rows are spread over salts, its minimum is there in each of them.
+        # A hub's rows are spread over salts, its minimum is there in each of them. Links grow with the input, so neither side is broadcast.
         salted = both.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
         least = least.withColumn("_salt", F.explode(F.expr(f"sequence(0L, {SALTS - 1}L)")))
-        large = salted.join(least, ["u", "_salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+        large = salted.join(least.hint("merge"), ["u", "_salt"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(least.hint("merge"), "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
         edges = stored(small, "star")
         if old is not None:
