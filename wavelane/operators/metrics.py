@@ -39,11 +39,23 @@ def valid_ratio(windows: DataFrame, keys: list[str], valid: Column) -> DataFrame
     return out.withColumn("valid_ratio", F.try_divide(F.col("n_valid").cast("double"), F.col("n_windows")))
 
 
-def sampling_rate(rows: DataFrame, keys: list[str], t: str, ord: str, per_second: float = 1000.0) -> DataFrame:
-    """fs by keys: units a second over the median difference of neighbouring times; null with fewer than two rows or a median of 0 or less."""
-    order = Window.partitionBy(*keys).orderBy(t, ord)
-    step = rows.withColumn("_d", (F.col(t) - F.lag(t).over(order)).cast("double"))
-    out = step.groupBy(*keys).agg(F.count("*").alias("n"), F.median(F.when(~F.isnan("_d"), F.col("_d"))).alias("_m"))
+def sampling_rate(rows: DataFrame, keys: list[str], t: str, ord: str, per_second: float = 1000.0, bucket: float | None = None) -> DataFrame:
+    """fs by keys: units a second over the median difference of neighbouring times; null with fewer than two rows or a median of 0 or less.
+
+    With ``bucket``, a width of time, differences are taken within buckets and between the ends of neighbouring ones, so that a key that holds a
+    large share of all rows is spread over many tasks.
+    """
+    if bucket is None:
+        order = Window.partitionBy(*keys).orderBy(t, ord)
+        step = rows.select(*keys, (F.col(t) - F.lag(t).over(order)).cast("double").alias("_d"), F.lit(1).alias("_k"))
+    else:
+        parts = [*keys, "_bucket"]
+        placed = rows.withColumn("_bucket", F.floor(F.col(t) / bucket))
+        inside = placed.select(*keys, (F.col(t) - F.lag(t).over(Window.partitionBy(*parts).orderBy(t, ord))).cast("double").alias("_d"), F.lit(1).alias("_k"))
+        ends = placed.groupBy(*parts).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
+        between = (F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_bucket"))).cast("double")
+        step = inside.unionByName(ends.select(*keys, between.alias("_d"), F.lit(0).alias("_k")))
+    out = step.groupBy(*keys).agg(F.sum("_k").alias("n"), F.median(F.when(~F.isnan("_d"), F.col("_d"))).alias("_m"))
     return out.withColumn("fs", F.when(F.col("_m") > 0, F.lit(per_second) / F.col("_m"))).drop("_m")
 
 

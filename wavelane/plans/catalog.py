@@ -395,6 +395,13 @@ def fs_estimate(spark, sf_dir):
     return out.withColumn("fs", F.round("fs", 6))
 
 
+@query(ORACLES["fs_estimate"])
+def fs_estimate_bucketed(spark, sf_dir):
+    """The same rates from buckets of a week."""
+    out = metrics.sampling_rate(samples(spark, sf_dir), P, "t", "ord", float(HOUR), bucket=7 * 24 * HOUR)
+    return out.withColumn("fs", F.round("fs", 6))
+
+
 @query("WITH c AS (SELECT event_type, event_id // 500 AS c, min(value) AS lo, max(value) AS hi FROM events GROUP BY ALL) SELECT event_type, round(median(lo), 6) AS least, round(median(hi), 6) AS greatest FROM c GROUP BY event_type")
 def chunk_extremes(spark, sf_dir):
     out = metrics.chunk_extremes(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 500)
