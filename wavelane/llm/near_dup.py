@@ -7,8 +7,11 @@
 3. Representatives that share a band key are candidates if their sketches come near the threshold
    at all (six standard deviations). The members of a key meet in a task, which gives out a spanning
    forest of the candidate pairs, not the pairs. A key with over ``block`` members is not gathered:
-   each member is compared with the key's smallest id where it is; those that are not near it
-   are dealt again, by that key and each of their other band keys, and so on.
+   each member is compared with the key's smallest id where it is. Sketches' differences obey the
+   triangle inequality, so whatever is near a member that differs from that id in ``CORE`` bits at most
+   differs from it in ``CORE`` more than the limit at most: all within that are its candidates, and
+   only members beyond ``CORE`` are dealt again, by the key and each of 12 further keys of two samples.
+   What is crowded even then are candidates of its smallest id.
 4. The forests' components hold every candidate pair. Their texts are fetched, and inside of each
    component the full sets are compared through an inverted index; again a forest of the
    confirmed links leaves the task. Of a component that is too large for a task, by count or bytes, the forest's own
@@ -16,8 +19,8 @@
    nothing else is needed; otherwise what they leave apart meets the rest in blocks.
 5. Components of the confirmed links are found by alternating large-star and small-star steps.
 
-A pair of similarity 0.85 shares no band key with a probability of 6e-7 (0.8: 2e-5), and no second one under a crowded key with
-2e-6 (5e-5); one that does is missed by its sketch only if that is over six standard deviations off (below 2e-8 at
+A pair of similarity 0.85 shares no band key with a probability of 6e-7 (0.8: 2e-5), and under a crowded key no further one with
+2e-7 (5e-6); one that does is missed by its sketch only if that is over six standard deviations off (below 2e-8 at
 0.85 and at 0.8, by the exact distribution for ideal hashes).
 """
 
@@ -36,6 +39,8 @@ from wavelane.llm.textnum import FOLDED_KEYS, U64, distinct_by_row, find_words,
 
 SHINGLE_WORDS, PERCENT = 5, 80
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 128, 15, 3, 256
+#: Further keys, by which the members of a crowded band key are dealt, and their samples; and bits by which a member counts as the same.
+FURTHER, FURTHER_ROWS, CORE = 12, 2, 24
 #: Documents that meet in one task at most, of a band key or of a component of candidates, and bytes of their compressed texts.
 BLOCK, BLOCK_BYTES = 4096, 16 << 20
 #: Parts that the links of each document are dealt in where its neighbours get their minimum.
@@ -72,11 +77,12 @@ def samples_of(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def band_keys(samples: np.ndarray) -> np.ndarray:
-    keys = np.empty((len(samples), BANDS), U64)
-    for b in range(BANDS):
-        key = np.full(len(samples), b + 1, U64)
-        for k in range(b * BAND_ROWS, (b + 1) * BAND_ROWS):
+def band_keys(samples: np.ndarray, first: int = 0, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """Keys of bands of so many samples each, from the first one on."""
+    keys = np.empty((len(samples), bands), U64)
+    for b in range(bands):
+        key = np.full(len(samples), first + b + 1, U64)
+        for k in range(first + b * rows, first + (b + 1) * rows):
             key = mix(key * U64(0x9E3779B97F4A7C15) + samples[:, k])
         keys[:, b] = key
     return keys
@@ -102,7 +108,7 @@ def most_different(similarity: float, deviations: float = 6) -> int:
 
 
 def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
-    """Rows (doc_id, n_shingles, set_key, bands, sketch)."""
+    """Rows (doc_id, n_shingles, set_key, bands, further, sketch)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,11 +118,12 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 sums = [np.concatenate([np.zeros(1, U64), np.cumsum(mix(values + U64(c)))]) for c in (1, 2)]
                 key = np.stack([mix(s[offsets[1:]] - s[offsets[:-1]] + np.diff(offsets).astype(U64)) for s in sums], axis=1)
                 samples = samples_of(values, offsets)
-                bands = pa.FixedSizeListArray.from_arrays(pa.array(band_keys(samples).view(np.int64).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array([k.tobytes() for k in key], pa.binary()), bands, pa.FixedSizeListArray.from_arrays(pa.array(odd_sketches(samples).view(np.int64).ravel()), SKETCH_BITS // 64).cast(pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", "sketch"])
+                lists = lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.view(np.int64).ravel()), x.shape[1]).cast(pa.list_(pa.int64()))
+                keys = [lists(band_keys(samples)), lists(band_keys(samples, BANDS * BAND_ROWS, FURTHER, FURTHER_ROWS)), lists(odd_sketches(samples))]
+                columns = [part.column(0), pa.array(np.diff(offsets)), pa.array([k.tobytes() for k in key], pa.binary()), *keys]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", "further", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, sketch array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, further array<long>, sketch array<long>")
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -285,15 +292,15 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(classes: DataFrame, n: int, most: int, block: int) -> DataFrame:
-    """Rows (a, b): a spanning forest, for each band key, of its members whose sketches differ in ``most`` bits at most."""
+    """Rows (a, b) that hold together, for each band key, its members whose sketches differ in ``most`` bits at most."""
 
     def near(table: pa.Table) -> list[tuple[int, int]]:
         sketches = table.column(2).combine_chunks().flatten().to_numpy().view(U64).reshape(table.num_rows, -1)
         return forest_of_near(table.column(1).to_numpy(), sketches, most)
 
     parts: list[DataFrame] = []
-    member = classes.select(F.explode("bands").alias("key"), "doc_id", "sketch", "bands")
-    while True:
+    member = classes.select(F.explode("bands").alias("key"), "doc_id", "sketch", "further")
+    for last in (False, True):
         sizes = member.groupBy("key").agg(F.count("*").alias("_n"), F.min_by("sketch", "doc_id").alias("_sketch"), F.min("doc_id").alias("_least"))
         crowded = stored(sizes.where(F.col("_n") > block).select("key", "_least", "_sketch"), "crowded")
         if crowded.isEmpty():
@@ -301,10 +308,11 @@ def candidate_pairs(classes: DataFrame, n: int, most: int, block: int) -> DataFr
             break
         parts.append(_by_group(member.join(crowded, "key", "left_anti").select("key", "doc_id", "sketch"), n, ["key"], "doc_id", near))
         differing = sum((F.bit_count(F.col("sketch")[k].bitwiseXOR(F.col("_sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
-        met = stored(member.join(crowded, "key").withColumn("_near", differing <= most), "met")
-        parts.append(met.where("_near AND doc_id <> _least").select(F.col("_least").alias("a"), F.col("doc_id").alias("b")))
-        rest = met.where("NOT _near").withColumn("_band", F.explode("bands")).where("_band <> key")
-        member = stored(rest.select(F.xxhash64("key", "_band").alias("key"), "doc_id", "sketch", "bands").distinct(), "members")
+        met = stored(member.join(crowded, "key").withColumn("_bits", differing), "met")
+        parts.append(met.where((F.col("doc_id") != F.col("_least")) & (F.lit(last) | (F.col("_bits") <= most + CORE))).select(F.col("_least").alias("a"), F.col("doc_id").alias("b")))
+        if not last:
+            again = met.where(F.col("_bits") > CORE).withColumn("_further", F.explode("further"))
+            member = stored(again.select(F.xxhash64("key", "_further").alias("key"), "doc_id", "sketch", "further"), "members")
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
@@ -384,7 +392,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE_WORDS, percent: int = P
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     own = stored(sketch_documents(rows, size), "sketches")
     has_set = F.expr("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = stored(own.where(has_set).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
+    classes = stored(own.where(has_set).groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("further").alias("further"), F.first("sketch").alias("sketch")), "classes")
     candidates = candidate_pairs(classes, n, most_different(percent / 100), block)
     groups = components(candidates)
     groups = stored(groups.unionByName(groups.select(F.col("component").alias("doc_id"), "component").distinct()).withColumnRenamed("component", "group"), "groups")
