@@ -206,3 +206,19 @@ def test_bucketed_runs_are_the_plain_ones(spark, bucket):
         place[k, o] = count.get((k, plain[k, o]), 0)
         count[k, plain[k, o]] = place[k, o] + 1
     assert {(r.k, r.ord): r._place for r in got} == place
+
+
+def test_leave_one_out_models(spark):
+    from pyspark.ml.functions import array_to_vector
+
+    from wavelane.operators import models
+
+    rng = random.Random(5)
+    rows = [(p, k, [rng.uniform(-1, 1), rng.uniform(-1, 1)]) for p in ("a", "b", "c") for k in range(60)]
+    df = frame(spark, rows, "participant string, k long, x array<double>").withColumn("hr", 70 + 20 * F.element_at("x", 1)).withColumn("features", array_to_vector("x"))
+    got = models.leave_one_out(df, "participant", ["participant", "k"], "hr")
+    assert got.count() == 180 and {r[0] for r in got.select("participant").distinct().collect()} == {"a", "b", "c"}
+    folds_, macro = models.fold_report(got, "participant")
+    assert folds_.count() == 3 and macro.first().mae_mean < 1.5 and macro.first().r_mean > 0.99
+    wide = df.withColumn("ppg", F.array(*[F.lit(float(k % 7)) for k in range(60)]))
+    assert models.with_features(wide.drop("features"), ["ppg"], "hr", 60, 80).count() == df.where("hr BETWEEN 60 AND 80").count()

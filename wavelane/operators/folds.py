@@ -16,15 +16,19 @@ def below(share: Column, of: float) -> Column:
     return F.lit(True) if edge >= 2**32 else share < f"{max(0, edge):08x}"
 
 
+def fold_split(target: Column, participant: str, key: list[str], validation: float = 0.2) -> Column:
+    """The split of a row in a target's fold: no rows are copied where one fold is wanted at a time."""
+    return F.when(F.col(participant) == target, "test").when(below(hash_share(target, *map(F.col, key)), validation), "val").otherwise("train")
+
+
 def loso_folds(rows: DataFrame, participant: str, key: list[str], validation: float = 0.2, targets: DataFrame | None = None) -> DataFrame:
     """Rows for each target participant: ``test`` for its own, ``val`` or ``train`` for the others' by a hash of target and key.
 
     Targets are the distinct participants, a list whose size the caller knows; they are broadcast only if the
-    optimizer finds them small enough.
+    optimizer finds them small enough. All folds at once multiply the rows by the targets; see :func:`fold_split` for one.
     """
     names = (targets or rows.select(participant).distinct()).select(F.col(participant).alias("target"))
-    split = F.when(F.col(participant) == F.col("target"), "test").when(below(hash_share(F.col("target"), *map(F.col, key)), validation), "val").otherwise("train")
-    return rows.join(names).withColumn("split", split)
+    return rows.join(names).withColumn("split", fold_split(F.col("target"), participant, key, validation))
 
 
 def two_way(rows: DataFrame, key: list[str], test: float, seed: int = 0) -> DataFrame:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from wavelane.functions.arrays import model_input, zscore
-from wavelane.operators.folds import loso_folds
+from wavelane.operators.folds import fold_split
 from wavelane.operators.metrics import error_metrics, macro_metrics
 
 #: Sets of channels by name, for picking a model's inputs.
@@ -46,8 +46,7 @@ def leave_one_out(rows: DataFrame, participant: str, key: list[str], label: str,
     names = [r[0] for r in rows.select(participant).distinct().orderBy(participant).collect()]
     out = None
     for name in names:
-        target = rows.sparkSession.createDataFrame([(name,)], f"{participant} {dict(rows.dtypes)[participant]}")
-        fold = loso_folds(rows, participant, key, targets=target)
+        fold = rows.withColumn("split", fold_split(F.lit(name), participant, key))
         fitted = model(label).fit(fold.where("split = 'train'"))
         own = fitted.transform(fold.where("split = 'test'")).select(participant, *[k for k in key if k != participant], F.col(label).alias("ground_truth_bpm"), "predicted_bpm")
         out = own if out is None else out.unionByName(own)
