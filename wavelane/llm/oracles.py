@@ -43,4 +43,37 @@ g AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS k FROM y JOIN f ON y.conten
 r AS (SELECT d.doc_id, max(d.s) + 1 AS n_sentences, count(DISTINCT CASE WHEN g.k IS NOT NULL THEN d.s END) AS n_removed, coalesce(string_agg(CASE WHEN g.k IS NULL THEN unit END, '' ORDER BY d.k), '') AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.k = g.k GROUP BY d.doc_id)
 SELECT u.doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept, text) AS text FROM u LEFT JOIN r ON u.doc_id = r.doc_id"""
 
-ORACLES = {"op4_suffix_levels": OP4, "op9_sentence_spans": OP9, "op10_near_dup": OP10}
+#: crc32 by its shift register, a byte at a time, over the distinct runs of each document; words and counts; pairs at distance one by
+#: their length; forms; and roots by following forms. DuckDB's distance counts bytes, so each letter above ASCII stands as one other byte there.
+OP11 = r"""WITH RECURSIVE r AS (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+k AS (SELECT id, run, count(*) AS n FROM r GROUP BY id, run HAVING length(run) >= 5),
+t AS (SELECT list(list_reduce([b::UBIGINT, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::UBIGINT) ELSE c >> 1 END) ORDER BY b) AS steps FROM range(256) g(b)),
+x AS (SELECT id, run, n, hex(encode(id || ':' || run)) AS h FROM k),
+c AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(0, length(h) // 2), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS UBIGINT))), lambda a, b: xor(a >> 8, steps[CAST(xor(a, b) & 255 AS BIGINT) + 1])), 4294967295::UBIGINT) AS crc FROM x, t),
+v AS (SELECT CASE WHEN crc % 97 = 0 THEN substr(run, 1, CAST(crc % length(run) AS BIGINT)) || substr(run, CAST(crc % length(run) AS BIGINT) + 2) ELSE run END AS word, n FROM c),
+w AS (SELECT word, sum(n) AS n, length(word) AS l, translate(word, '@LETTERS', '@BYTES') AS b FROM v WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+p AS (SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM w a JOIN w b ON b.l BETWEEN a.l - 1 AND a.l + 1 AND a.word <> b.word AND levenshtein(a.b, b.b) = 1),
+o AS (SELECT *, count(*) OVER (PARTITION BY word) AS c, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+f AS (SELECT word, c, CASE WHEN near_n >= 2 * n THEN near END AS form, CASE WHEN near_n >= 2 * n THEN near_n END AS form_n FROM o WHERE k = 1),
+z AS (SELECT word, word AS here, 0 AS depth FROM w UNION ALL SELECT z.word, f.form, depth + 1 FROM z JOIN f ON z.here = f.word WHERE f.form IS NOT NULL),
+e AS (SELECT word, arg_max(here, depth) AS root FROM z GROUP BY word)
+SELECT w.word, f.form, e.root, CAST(w.n AS BIGINT) AS n, CAST(coalesce(f.c, 0) AS BIGINT) AS n_near, CAST(f.form_n AS BIGINT) AS form_n FROM w JOIN e ON w.word = e.word LEFT JOIN f ON w.word = f.word"""
+OP11 = OP11.replace("@LETTERS", "".join(map(chr, range(0xC0, 0x100)))).replace("@BYTES", "".join(chr(c) for c in range(0x21, 0x60) if c not in (0x27, 0x5C)) + "{|}")
+
+#: The filters applied one after the other, in all orders, to every document.
+OP13 = r"""WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(string_split_regex(text, '[ 	-
+]+'), lambda x: x <> '') AS words, min(doc_id) OVER (PARTITION BY text) AS least FROM t),
+m AS (SELECT doc_id, part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'), doc_id > least] AS fails FROM w),
+d AS (SELECT m.*, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic FROM m LEFT JOIN labels ON m.doc_id = labels.doc_id),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS f),
+o AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+s AS (SELECT o, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+g AS (SELECT part, fails, good, toxic, count(*) AS n FROM d GROUP BY ALL),
+x AS (SELECT g.*, o, step, o[step] AS f, fails[o[step]] AS failing, len(list_filter(o[1 : step - 1], lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda b: b)) AS n_fails FROM g, s),
+r AS (SELECT part, o, step, f, sum(CASE WHEN NOT gone AND NOT failing THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND failing THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND failing THEN n ELSE 0 END) AS redundant, sum(CASE WHEN failing AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails,
+sum(CASE WHEN NOT gone AND failing AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND failing AND toxic THEN n ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, array_to_string(list_transform(o, lambda k: substr('ABCDE', k, 1)), '') AS filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM r"""
+
+ORACLES = {"op4_suffix_levels": OP4, "op9_sentence_spans": OP9, "op10_near_dup": OP10, "op11_spelling_variants": OP11, "op13_filter_audit": OP13}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wavelane.llm.filter_audit import interaction_audit
 from wavelane.llm.fingerprint import fingerprints
 from wavelane.llm.language_id import LanguageModel, identify, labelled_texts
 from wavelane.llm.near_dup import near_duplicates
@@ -14,6 +15,7 @@ from wavelane.llm.piece_codec import round_trips
 from wavelane.llm.quality import assess, fit_field
 from wavelane.llm.sentence_spans import RUN_WORDS, remove_repeats
 from wavelane.llm.shared import documents, fold
+from wavelane.llm.spelling import spelling_variants
 from wavelane.llm.suffix_levels import remove_repeated_bytes
 from wavelane.llm.token_counts import count_tokens
 from wavelane.llm.toxicity import fit_classifier, score_texts
@@ -64,6 +66,14 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op7_merge_dropout, op8_fingerprints, op9_sentence_spans, op10_near_dup)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(documents(spark, sf_dir))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op7_merge_dropout, op8_fingerprints, op9_sentence_spans, op10_near_dup, op11_spelling_variants, op13_filter_audit)}
 
 __all__ = ["ORACLES", "QUERIES"]
