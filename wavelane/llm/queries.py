@@ -5,6 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from wavelane.llm import context_mixing
 from wavelane.llm.filter_audit import interaction_audit
 from wavelane.llm.fingerprint import fingerprints
 from wavelane.llm.language_id import LanguageModel, identify, labelled_texts
@@ -70,10 +71,16 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants(documents(spark, sf_dir))
 
 
+def op12_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Only words that the lexicon lacks leave their document; training is on four fifths of the documents, scoring on all."""
+    held_out = fold("doc_id", 5) == 1
+    return context_mixing.score_texts(documents(spark, sf_dir), ~held_out, held_out)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op7_merge_dropout, op8_fingerprints, op9_sentence_spans, op10_near_dup, op11_spelling_variants, op13_filter_audit)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_packing, op4_suffix_levels, op5_language_id, op6_quality_rules, op7_merge_dropout, op8_fingerprints, op9_sentence_spans, op10_near_dup, op11_spelling_variants, op12_context_mixing, op13_filter_audit)}
 
 __all__ = ["ORACLES", "QUERIES"]
