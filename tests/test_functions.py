@@ -108,46 +108,34 @@ def test_dicrotic_waves_are_no_beats():
     assert abs(E.estimate_one("pwd", pulse(beats, 100.0, 10, 0.3), 100.0) - 55) < 2.5
 
 
-def test_wave_tops_by_steps():
-    """The search as steps over samples, each of which looks for a turn anew."""
-    rng = np.random.default_rng(12)
-    for trial in range(40):
-        fs, n = (100.0, 600) if trial % 2 else (8.0, 64)
-        s = np.cumsum(rng.normal(size=n)) * 0.05 + np.sin(2 * np.pi * rng.uniform(0.6, 2.4) * np.arange(n) / fs) * rng.uniform(0.2, 2)
-        s = E._five_mean(E._five_mean(s[None]))[0]
-        if trial % 5 == 0:
-            s[n // 3 : n // 3 + 15] = s[n // 3]
-        d = np.gradient(s)
-        near, far, height = max(1, int(0.1 * fs)), int(2 * fs), E._wave_height(s, fs, max(1, int(0.1 * fs)))
-        least, tops, cursor = 0.4 * height, [], near
-        while cursor < n - 1:
-            low = high = cursor
-            i, go = cursor, None
-            while i < n - 1 and go is None:
-                if i - cursor > far:
-                    height = 0.6 * height if 0.6 * height > least else 2.5 * least
-                    go = cursor + 1
-                elif d[i - 1] * d[i + 1] <= 0:
-                    a, b = max(0, i - 5), min(i + 5, n - 1)
-                    if b - i == 5 and all(d[i : b + 1] == 0):
-                        go = i + 1
-                        continue
-                    if d[a] < 0 < d[b] and abs(a + np.argmin(s[a : b + 1]) - i) <= 2:
-                        low = a + int(np.argmin(s[a : b + 1]))
-                    if d[b] < 0 < d[a] and abs(a + np.argmax(s[a : b + 1]) - i) <= 2:
-                        high = a + int(np.argmax(s[a : b + 1]))
-                    if high > low and 0.4 * height < s[high] - s[low] < 2 * height:
-                        low = min(range(high, low - 1, -1), key=lambda k: s[k])
-                        if tops and low - tops[-1] < 3 * near:
-                            height, go = 2.5 * least, cursor + 1
-                            continue
-                        if tops and high - tops[-1] > far:
-                            tops.pop()
-                        tops.append(high)
-                        go = i + near + 1
-                i += 1
-            cursor = go if go is not None else n
-        assert E.wave_tops(s, d, fs) == tops
+def test_rises_and_places_apart():
+    s = np.array([[0, 1, 2, 1, 1, 3, 2], [5, 4, 3, 2, 1, 0, 0], [0, 0, 1, 1, 2, 3, 4]], float)
+    assert [a.tolist() for a in E.rises(s)] == [[0, 0, 2, 2], [0, 4, 1, 3], [2, 5, 2, 6]]
+    row, at, value = np.array([0, 0, 0, 0, 1, 1]), np.array([3, 5, 9, 20, 21, 22]), np.array([1, 2, 2, 5, 7, 7])
+    assert E.apart(row, at, value, 4).tolist() == [1, 2, 3, 4] and E.apart(row, at, value, 5).tolist() == [1, 3, 4] and len(E.apart(row[:0], at[:0], value[:0], 4)) == 0
+
+
+@pytest.mark.parametrize("name", ["pwd", "qppgfast"])
+def test_pulse_rates_do_not_depend_on_scale_or_place(name):
+    """The same rate for a pulse that is shifted in time, raised, scaled or drifts slowly, and for beats whose heights differ."""
+    rng = np.random.default_rng(3)
+    for bpm in (50, 66, 84, 100):
+        for _ in range(5):
+            beats = np.arange(rng.uniform(0, 0.6), 29.5, 60 / bpm)
+            x = pulse(beats, 100.0, 30, 0.2 if bpm < 80 else 0.0, 0.002)
+            assert abs(E.estimate_one(name, x, 100.0) - bpm) < 2
+            for other in (x + 40, x * 1e-3, x * 2e4 - 7, x + 0.3 * np.sin(np.arange(3000) / 700)):
+                assert abs(E.estimate_one(name, other, 100.0) - bpm) < 2.5
+            uneven = sum(pulse([b], 100.0, 30, 0.0) * h for b, h in zip(beats, rng.uniform(0.7, 1.3, len(beats)), strict=True))
+            assert abs(E.estimate_one(name, uneven, 100.0) - bpm) < 2.5
+
+
+def test_onsets_lie_at_the_feet_of_known_beats():
+    beats = np.arange(1.0, 19, 0.8)
+    row, at = E.onsets(np.stack([pulse(beats, 100.0, 20, 0.2), pulse(beats + 0.31, 100.0, 20, 0.2)]), 100.0)
+    for k, shift in ((0, 0.0), (1, 0.31)):
+        feet = at[row == k] / 100
+        assert len(feet) == len(beats) and np.abs(feet - (beats + shift - 0.22)).max() < 0.1
 
 
 def test_rows_are_alike_alone_and_together():
@@ -194,7 +182,7 @@ def test_array_functions(spark):
     assert [r.finite for r in rows] == [True, False, True, False]
     assert rows[3].z == [0.0, 0.0] and abs(sum(rows[0].d)) < 1e-12 and rows[2].d == [0.0]
     one = spark.createDataFrame([([3, 5, 9, 20], [0.0] * 3 + [1.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.5] + [0.0] * 10 + [4.0])], "p array<int>, x array<double>")
-    assert one.select(A.merge_close(F.col("p"), F.col("x"), 4).alias("m")).first().m == E.keep_apart(np.array([3, 5, 9, 20]), np.array(one.first().x), 14.0).tolist()
+    assert one.select(A.merge_close(F.col("p"), F.col("x"), 4).alias("m")).first().m == np.array([3, 5, 9, 20])[E.apart(np.zeros(4, int), np.array([3, 5, 9, 20]), np.array(one.first().x)[[3, 5, 9, 20]], 4)].tolist()
     assert one.select(A.one_hot_label(F.array(*map(F.lit, (0, 1, 1)))).alias("l"), A.clock(F.lit(90061.7)).alias("c"), A.run_label(F.lit("Earring_2"), F.lit("ppg_ir")).alias("r")).first() == (1, "25:01:01", "earring2_ir")
     assert A.subset_columns(["ring", "watch"], ["green", "accel"], [1]) == ["ppg_watch_green", "ppg_watch_accel"]
     with pytest.raises(ValueError):

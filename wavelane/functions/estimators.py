@@ -7,7 +7,6 @@ spectra, lags and scalograms over all rows of a batch that have one length; only
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Callable
 
 import numpy as np
@@ -121,210 +120,125 @@ def multiscale(x: np.ndarray, fs: float) -> np.ndarray:
     return _inside(np.where(count > 0, 60 * count / np.maximum(total, 1e-300), np.nan), 30, 200)
 
 
-def keep_apart(peaks: np.ndarray, x: np.ndarray, fs: float) -> np.ndarray:
-    """Peaks at least the interval of 200 beats a minute apart; of two closer ones the higher stays. In a plan: arrays.merge_close."""
-    gap, kept = max(1, int(fs * 60 / 200)), []
-    for p in peaks:
-        if kept and p - kept[-1] < gap:
-            if x[p] > x[kept[-1]]:
-                kept[-1] = int(p)
-        else:
-            kept.append(int(p))
-    return np.array(kept, int)
+def apart(row: np.ndarray, at: np.ndarray, value: np.ndarray, gap: float) -> np.ndarray:
+    """Numbers of the places, sorted by row, that are left when no two of a row are closer than the gap: as long as there are
+    closer ones, the lower of each two goes, and of equals the later. One window at a time in a plan: arrays.merge_close."""
+    left = np.arange(len(at))
+    while True:
+        close = (row[left][1:] == row[left][:-1]) & (np.diff(at[left]) < gap)
+        if not close.any():
+            return left
+        lower = value[left][1:] <= value[left][:-1]
+        gone = np.zeros(len(left), bool)
+        gone[1:] |= close & lower
+        gone[:-1] |= close & ~lower
+        left = left[~gone]
 
 
-def _five_mean(x: np.ndarray) -> np.ndarray:
-    """Mean of five neighbours in each row, its edges repeated."""
-    wide = np.pad(x, ((0, 0), (2, 2)), mode="edge")
-    return sum(wide[:, k : k + x.shape[1]] for k in range(5)) / 5
-
+def _median_rate(row: np.ndarray, at: np.ndarray, rows: int, fs: float) -> np.ndarray:
+    """Beats a minute by the median of each row's intervals that count, of places sorted by row."""
+    beats, same = np.diff(at) / fs, row[1:] == row[:-1]
+    ok = same & (beats >= INTERVALS[0]) & (beats <= INTERVALS[1])
+    middle = pd.Series(beats[ok]).groupby(row[1:][ok]).median()
+    out = np.full(rows, np.nan)
+    out[middle.index.to_numpy(dtype=np.int64)] = 60 / middle.to_numpy()
+    return _inside(out, 30, 200)
 
-def _turns(s: np.ndarray, d: np.ndarray, first: int) -> list[tuple[int, int, int]]:
-    """Where a pulse wave turns: (place, what, extremum). The slope's sign changes around the place; what: -1 for a foot and 1 for a
-    top, if the extremum of the five samples to either side is within two of it; 0 for a stretch without slope."""
-    n, out = len(s), []
-    for i in (np.flatnonzero(d[:-2] * d[2:] <= 0) + 1).tolist():
-        if i < first:
-            continue
-        low, high = max(0, i - 5), min(i + 5, n - 1)
-        if high - i == 5 and not d[i : high + 1].any():
-            out.append((i, 0, i))
-        elif d[low] < 0 < d[high]:
-            if abs((at := low + int(s[low : high + 1].argmin())) - i) <= 2:
-                out.append((i, -1, at))
-        elif d[high] < 0 < d[low]:
-            if abs((at := low + int(s[low : high + 1].argmax())) - i) <= 2:
-                out.append((i, 1, at))
-    return out
 
+def _around(row: np.ndarray, at: np.ndarray, value: np.ndarray, rows: int, n: int, fs: float) -> np.ndarray:
+    """(row, second): the median, over five seconds around, of the largest value in each second that has any."""
+    top = np.full((rows, int(n / fs) + 1), -np.inf)
+    np.maximum.at(top, (row, (at / fs).astype(np.int64)), value)
+    wide = np.pad(np.where(top > -np.inf, top, np.nan), ((0, 0), (2, 2)), constant_values=np.nan)
+    near = np.sort(np.lib.stride_tricks.sliding_window_view(wide, 5, axis=1), axis=2)  # NaN goes last
+    count = (~np.isnan(near)).sum(axis=2)
+    take = lambda k: np.take_along_axis(near, np.maximum(k, 0)[..., None], axis=2)[..., 0]
+    return np.where(count > 0, (take((count - 1) // 2) + take(count // 2)) / 2, np.inf)
 
-def _wave_height(s: np.ndarray, fs: float, near: int) -> float:
-    """Typical height of a wave: the mean range of up to ten seconds spread over the window; of a short window the whole range."""
-    n = len(s)
-    parts = next((k for seconds, k in ((12, 10), (7, 5), (4, 2)) if n > seconds * fs), 1)
-    if parts == 1:
-        return float(np.ptp(s[near:]))
-    step = n // (parts + 2)
-    return float(np.mean([np.ptp(s[k * step : min(k * step + int(fs), n - 1) + 1]) for k in range(1, parts + 1)]))
 
+def rises(s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, foot and top of every stretch in which the samples rise, in order."""
+    up = np.pad(np.diff(s, axis=1) > 0, ((0, 0), (1, 1))).astype(np.int8)
+    turn = np.diff(up, axis=1)
+    row, foot = np.nonzero(turn == 1)
+    return row, foot, np.nonzero(turn == -1)[1]
 
-def wave_tops(s: np.ndarray, d: np.ndarray, fs: float) -> list[int]:
-    """Tops of pulse waves from a smooth signal and its slope (after Li and others, 2010).
 
-    From a cursor on, turns are followed until a rise from foot to top has 0.4 to 2 times the height expected. If two seconds bring
-    none, the height shrinks to 0.6 of itself, and from 0.4 of the first one it goes back to 2.5 times that.
-    """
-    n, near, far = len(s), max(1, int(0.1 * fs)), int(2 * fs)
-    if n < near + 10:
-        return []
-    turns = _turns(s, d, near)
-    places = [t[0] for t in turns]
-    height = _wave_height(s, fs, near)
-    least = 0.4 * height
-    tops: list[int] = []
-    cursor = near
-    while cursor < n - 1:
-        foot = top = cursor
-        after = None  # where the search goes on
-        for i, what, at in turns[bisect_left(places, cursor) :]:
-            if i - cursor > far:
-                break
-            if what == 0:
-                after = i + 1
-                break
-            foot, top = (at, top) if what < 0 else (foot, at)
-            if not (top > foot and 0.4 * height < s[top] - s[foot] < 2 * height):
-                continue
-            rise = s[foot + 1 : top + 1][::-1]
-            if rise.min() < s[foot]:
-                foot = top - int(rise.argmin())
-            if tops and foot - tops[-1] < 3 * near:  # a dicrotic wave
-                height, after = 2.5 * least, cursor + 1
-                break
-            if tops and top - tops[-1] > far:
-                tops.pop()  # the last one stands alone
-            tops.append(top)
-            after = i + near + 1
-            break
-        if after is None:
-            if cursor + far + 1 >= n - 1:
-                break
-            height = 0.6 * height
-            if height <= least:
-                height = 2.5 * least
-            after = cursor + 1
-        cursor = after
-    return tops
+#: A rise counts from 0.4 to 2.5 times the height of rises around it; one within 0.3 s of the last top and below 0.6 of its height is a dicrotic wave.
+LOWEST, HIGHEST, DICROTIC, SECOND_WAVE = 0.4, 2.5, 0.3, 0.6
 
 
 def delineator(x: np.ndarray, fs: float) -> np.ndarray:
-    """Tops of pulse waves after a Bessel low-pass at 25 Hz and means of five samples; median of the intervals that count."""
-    s = _five_mean(10 * forward_backward(*bessel_low(min(0.99, max(0.01, 25 * 2 / fs))), x))
-    d = np.diff(s, axis=1) * 100
-    d = _five_mean(np.concatenate([d[:, :1], d], axis=1))
-    return np.array([_from_peaks(keep_apart(wave_tops(a, b, fs), w, fs), fs, 30, 200, INTERVALS) for a, b, w in zip(s, d, x, strict=True)])
-
-
-# Fixed values of the slope-sum method (Vest and others, 2018): seconds of the blind time, of the sum and of the wait for a beat; the
-# least threshold; what marks a missing sample; seconds of a trace back over steps, and from the crossing.
-BLIND, SUM, WAIT, LEAST_LEVEL, MISSING, STEP_BACK, AHEAD = 0.34, 0.17, 2.5, 5, -32758, 0.024, 0.04
-
-
-def rescaled(x: np.ndarray, fs: float) -> np.ndarray:
-    """Samples spread over -2000 to 2000, by the median range of stretches of five minutes; missing ones repeat the last."""
-    x = x.copy()
-    if x[0] <= MISSING:
-        x[0] = x.mean()
-    last = np.maximum.accumulate(np.where(x > MISSING, np.arange(len(x)), 0))
-    x = x[last]
-    long_ = int(5 * 60 * fs)
-    cuts = range(0, len(x), long_) if len(x) >= 5 * 60 * fs else [0]
-    parts = [x[k : k + long_] if len(cuts) > 1 else x for k in cuts]
-    low, high = np.median([p.min() for p in parts]), np.median([p.max() for p in parts])
-    return (x - low) / (high - low) * 4000 - 2000 if high - low > 1e-10 else np.zeros(len(x))
-
-
-class SlopeSum:
-    """Onsets of one window by sums of rises."""
-
-    def __init__(self, x: np.ndarray, fs: float):
-        self.x, self.fs, self.n = rescaled(x, fs), fs, len(x)
-        self.blind = max(1, int(fs * BLIND))
-        self.rises = np.convolve(np.maximum(np.diff(self.x, prepend=self.x[0]), 0), np.ones(max(1, int(fs * SUM))))[: self.n]
-
-    def beat(self, t: int) -> tuple[int, int, float] | None:
-        """(valley, foot, height) of the rise that crosses the threshold at t, or none if it is no beat."""
-        r, fs = self.rises, self.fs
-        ahead = r[t : t + self.blind]
-        top = t + int(ahead.argmax())
-        back = max(0, t - self.blind // 2)
-        high, low = r[top], r[back : top + 1].min()
-        if top == t or high <= low + 10:
-            return None
-        below = np.flatnonzero(r[back : top + 1] < (high - low) * 2.0 / 3)
-        start, step = back + (int(below[-1]) if len(below) else 0), int(STEP_BACK * fs)
-        foot = max(0, t - int(AHEAD * fs))
-        for k in range(start, max(back, t - self.blind // 2 + step) - 1, -1):
-            if k < step:
-                break
-            if r[k] - r[k - step] < (high - low) / 100 + 2:
-                foot = max(0, k - int(0.016 * fs))
-                break
-        valley = self.valley(foot)
-        return (valley, foot, float(high)) if valley > 0 else None
-
-    def valley(self, foot: int) -> int:
-        """The lowest local minimum near the foot, the first of equals, if it is below the foot; or the foot."""
-        x = self.x
-        i = np.arange(max(1, int(foot - 0.20 * self.fs)), min(int(foot + 0.05 * self.fs), self.n - 2) + 1)
-        if foot <= 0 or not len(i):
-            return min(foot, self.n - 1)
-        i = i[(x[i] <= x[i - 1]) & (x[i] <= x[i + 1])]
-        return int(i[x[i].argmin()]) if len(i) and x[i].min() < x[foot] else foot
-
-    def onsets(self) -> list[int]:
-        """A first pass over the learning time sets the level; the second one, from the start, finds the onsets."""
-        n, fs, r = self.n, self.fs, self.rises
-        learn = max(self.blind, int(8 * fs) if n >= 12 * fs else min(int(4 * fs), n // 3))
-        mean = float(r[: min(learn, n - 1) + 1].mean())
-        mean = mean if mean > 0 else LEAST_LEVEL
-        level, out = 3 * mean, []
-        for learning in (True, False):
-            threshold, quiet, t = 2 * mean if learning else mean, 0, 0
-            while t < n and not (learning and t > learn):
-                if r[t] <= threshold:
-                    quiet += 1
-                    if not learning and quiet > int(fs * WAIT) and level > LEAST_LEVEL:
-                        level = max(LEAST_LEVEL, level - 1)
-                        threshold = level / 3
-                    t += 1
-                    continue
-                quiet = 0
-                found = self.beat(t)
-                if found is None:
-                    t += 1
-                    continue
-                valley, foot, high = found
-                if not learning and (not out or valley > out[-1]):
-                    out.append(valley)
-                level += (high - level) / 10
-                threshold = 2 * mean if learning else level / 3
-                t = foot + self.blind
-            if learning and t >= n:
-                return []  # the window ends before the learning time does
-        return out
+    """Tops of pulse waves (after Li and others, 2010) as rises that are filtered in steps.
+
+    After a Bessel low-pass at 25 Hz and a mean of five samples, all rises from foot to top are taken from the slope's sign. What is typical is the
+    median of the largest rises in the seconds around, so there is no threshold that moves from beat to beat. Where a threshold of the
+    paper has to find its way back after a loss of signal, this one has nothing to find; where beats alternate strongly, it may keep what
+    the paper's drops. The answer is the median of the intervals that count.
+    """
+    smooth = forward_backward(*bessel_low(min(0.99, max(0.01, 25 * 2 / fs))), x)
+    wide = np.pad(smooth, ((0, 0), (2, 2)), mode="edge")
+    s = np.lib.stride_tricks.sliding_window_view(wide, 5, axis=1).mean(axis=2)
+    row, foot, top = rises(s)
+    height = s[row, top] - s[row, foot]
+    usual = _around(row, top, height, *x.shape, fs)[row, (top / fs).astype(np.int64)]
+    ok = (height > LOWEST * usual) & (height < HIGHEST * usual)
+    row, foot, top, height = row[ok], foot[ok], top[ok], height[ok]
+    after = np.zeros(len(row), bool)
+    after[1:] = (row[1:] == row[:-1]) & (foot[1:] - top[:-1] < DICROTIC * fs) & (height[1:] < SECOND_WAVE * height[:-1])
+    row, top = row[~after], top[~after]
+    left = apart(row, top, x[row, top], fs * INTERVALS[0])
+    return _median_rate(row[left], top[left], len(x), fs)
+
+
+#: Seconds over which rises are summed, and in which an onset has no other (Vest and others, 2018); the shares of the usual sum at which a
+#: beat begins to count and at which its onset lies.
+SUM, BLIND, CROSSING, ONSET = 0.17, 0.34, 1 / 3, 0.02
+
+
+def onsets(x: np.ndarray, fs: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and onsets of beats by the slope-sum function: the sum of the rises of the last 0.17 s, over samples scaled to -2000 to 2000.
+
+    A beat is a stretch of it above a third of what is usual in the seconds around; its onset is the last place before at which the sum is next to
+    nothing. The usual sum is a median of seconds on both sides, so that nothing has to be learned from a beginning that may be bad; a method
+    that learns as it goes may differ at a window's start.
+    """
+    low, span = x.min(axis=1, keepdims=True), np.ptp(x, axis=1, keepdims=True)
+    scaled = (x - low) / np.where(span > 1e-10, span, 1) * 4000 - 2000
+    up = np.maximum(np.diff(scaled, axis=1, prepend=scaled[:, :1]), 0)
+    total = np.cumsum(up, axis=1)
+    size = max(1, int(fs * SUM))
+    sums = total - np.pad(total, ((0, 0), (size, 0)))[:, : x.shape[1]]
+    row, at = np.nonzero(sums > 0)
+    usual = _around(row, at, sums[row, at], *x.shape, fs)[:, (np.arange(x.shape[1]) / fs).astype(np.int64)]
+    over = np.diff(np.pad((sums > CROSSING * usual).astype(np.int8), ((0, 0), (1, 1))), axis=1)
+    row, begin = np.nonzero(over == 1)
+    end = np.nonzero(over == -1)[1]
+    if not len(row):
+        return row, begin
+    flat = np.append(sums.ravel(), 0.0)
+    peak = np.maximum.reduceat(flat, np.stack([row * x.shape[1] + begin, row * x.shape[1] + end], 1).ravel())[::2]
+    left = apart(row, begin, peak, fs * BLIND)
+    quiet = np.maximum.accumulate(np.where(sums <= ONSET * usual, np.arange(x.shape[1]), 0), axis=1)
+    return row[left], quiet[row[left], begin[left]]
 
 
 def slope_sum(x: np.ndarray, fs: float) -> np.ndarray:
-    """Onsets by the slope-sum function with an adaptive threshold, without the first; a beat is the largest value between two onsets, or
-    after the last; median of the intervals that count."""
-    out = np.full(len(x), np.nan)
-    for k, w in enumerate(x):
-        onsets = SlopeSum(w, fs).onsets()
-        onsets = onsets[1:] if len(onsets) > 1 else onsets
-        peaks = [a + int(w[a:b].argmax()) for a, b in zip(onsets, [*onsets, len(w)][1:], strict=True)]
-        out[k] = _from_peaks(keep_apart(peaks, w, fs), fs, 30, 200, INTERVALS)
-    return out
+    """Median of the intervals between beats, each the largest sample from one onset to the next; the first onset of a window is left out."""
+    row, at = onsets(x, fs)
+    first = np.ones(len(row), bool)
+    first[1:] = row[1:] != row[:-1]
+    many = np.bincount(row, minlength=len(x))[row] > 1
+    row, at = row[~(first & many)], at[~(first & many)]
+    # All samples numbered by the last onset at or before them in their row.
+    mark = np.zeros(x.shape, np.int64)
+    mark[row, at] = np.arange(1, len(row) + 1)
+    own = np.maximum.accumulate(mark, axis=1).ravel()
+    inside = np.flatnonzero(own)
+    top = pd.Series(x.ravel()[inside], index=inside).groupby(own[inside]).idxmax().to_numpy(dtype=np.int64)
+    row, top = top // x.shape[1], top % x.shape[1]
+    left = apart(row, top, x[row, top], fs * INTERVALS[0])
+    return _median_rate(row[left], top[left], len(x), fs)
 
 
 def two_averages(x: np.ndarray, fs: float) -> np.ndarray:
