@@ -163,7 +163,7 @@ def test_sentences_by_brute_force(spark, least):
 def test_sentences_on_the_table(spark, docs):
     rows = {r.doc_id: r.text for r in docs.collect()}
     got = sentence_spans.remove_repeats(docs.repartition(6)).collect()
-    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got} == brute_sentences(rows.items(), 3, 30)
+    assert {r.doc_id: (r.n_sentences, r.n_removed) for r in got} == brute_sentences(rows.items(), 2, 12)
     for r in got:
         raw = rows[r.doc_id].encode()
         for span in reversed(r.removed):
@@ -206,7 +206,39 @@ def test_passages_in_mid_sentence(spark):
         raw = t.encode()
         for span in reversed(got[d].removed):
             raw = raw[: span.start] + raw[span.end :]
-        assert raw.decode() == got[d].text and (got[d].n_removed > 0) == (got[d].text != t)
+        assert raw.decode() == got[d].text and (got[d].n_removed + got[d].n_cut > 0) == (got[d].text != t)
+
+
+def test_sentences_cut_are_counted_apart(spark):
+    """Sixty words inside of one sentence, then the same ones as two sentences: without runs nothing, with runs a cut or a removal."""
+    run = " ".join(f"w{k}" for k in range(60))
+    halves = " ".join(f"v{k}" for k in range(30)) + ". " + " ".join(f"u{k}" for k in range(30)) + "."
+    rows = [(1, f"one two {run} three four."), (2, f"five {run} six."), (3, halves), (4, f"New here. {halves} And there.")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_cut, r.text) for r in sentence_spans.remove_repeats(frame, run_words=51).collect()}
+    assert got[2] == (0, 1, "five six.") and got[4] == (2, 0, "New here. And there.")
+    got = {r.doc_id: (r.n_removed, r.n_cut, r.text) for r in sentence_spans.remove_repeats(frame).collect()}
+    assert got[2] == (0, 0, rows[1][1]) and got[4] == (2, 0, "New here. And there.")
+
+
+def thue_morse(n, pair):
+    return "".join(pair[bin(k).count("1") % 2] for k in range(n))
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_words_do_not_collide(spark, n):
+    """Strings that collide under any polynomial modulo 2^64: words, lines and documents that hold them stay apart."""
+    pairs = [(thue_morse(n, p), thue_morse(n, p[::-1])) for p in ("ab", "xy", "01")]
+    for a, b in pairs:
+        data = np.frombuffer((a + b).encode(), np.uint8)
+        one, two = hash_spans(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert one != two
+    rows = [(2 * k + j, w) for k, pair in enumerate(pairs) for j, w in enumerate(pair)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dup.near_duplicates(frame, size=3, percent=85).where("NOT kept").count() == 0
+    common = " ".join(f"word{k}" for k in range(50))
+    frame = spark.createDataFrame([(d, f"{common} {w}") for d, w in rows], "doc_id long, text string")
+    assert sentence_spans.remove_repeats(frame, run_words=51).where("n_removed + n_cut > 0").count() == 0
 
 
 def test_query_leaves_no_run_of_over_50_words(spark, docs):

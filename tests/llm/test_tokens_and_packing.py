@@ -37,6 +37,22 @@ def test_counts_are_the_librarys(library):
     assert own.counts(pa.array([None, "a"])).tolist() == [0, 1] and len(own.counts(pa.array([], pa.string()))) == 0
 
 
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_regular_pre_tokens_are_told_apart(spark, library, n):
+    """Strings of two symbols that collide under any polynomial modulo 2^64: counts and ids are the libraries' for each."""
+    from tokenizers import Tokenizer
+
+    texts = ["".join(pair[bin(k).count("1") % 2] for k in range(n)) for p in ("ab", "xy", "01", "zq", "AB") for pair in (p, p[::-1])]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.n_tokens for r in token_counts.count_tokens(frame, PIECES).collect()} == {k: len(library.encode(t)) for k, t in enumerate(texts)}
+    words, got = Tokenizer.from_file(WORDS), {}
+    for r in pack(frame, WORDS).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32))
+    for k, t in enumerate(texts):
+        ids = np.array([*words.encode(t, add_special_tokens=False).ids, 1], "<u4")
+        assert sorted(got[k]) == [(s, m, zlib.crc32(ids[s : s + m].tobytes())) for s, m, _ in sorted(got[k])]
+
+
 def test_whole_tokens_are_proved(library):
     own = token_counts.PieceCounter(PIECES)
     assert len(own.whole) > 10_000

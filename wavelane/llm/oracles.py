@@ -35,13 +35,14 @@ w AS (SELECT doc_id, unnest(range(0, len(u))) AS k, unnest(u) AS unit, len(u) AS
 c AS (SELECT doc_id, k, n, CASE WHEN k = 0 THEN head || unit ELSE unit END AS unit, regexp_extract(unit, '^[^\x20\x09-\x0D]+') AS word, regexp_matches(unit, '^[^\x20\x09-\x0D]*[.!?]([\x20\x09-\x0D]|$)') OR contains(unit, chr(10)) OR k = n - 1 AS closes FROM w),
 d AS (SELECT *, coalesce(sum(CAST(closes AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM c),
 b AS (SELECT doc_id, s, min(k) AS a FROM d GROUP BY doc_id, s UNION ALL SELECT doc_id, max(s) + 1, max(n) FROM d GROUP BY doc_id),
-x AS (SELECT i.doc_id, i.a AS a, min(j.a) AS b FROM b i JOIN b j ON i.doc_id = j.doc_id AND j.s >= i.s + 3 AND j.a - i.a >= 30 GROUP BY i.doc_id, i.a UNION SELECT j.doc_id, max(i.a), j.a FROM b i JOIN b j ON i.doc_id = j.doc_id AND j.s >= i.s + 3 AND j.a - i.a >= 30 GROUP BY j.doc_id, j.a UNION SELECT doc_id, k, k + 51 FROM d WHERE k + 51 <= n),
+x AS (SELECT i.doc_id, i.a AS a, min(j.a) AS b FROM b i JOIN b j ON i.doc_id = j.doc_id AND j.s >= i.s + 2 AND j.a - i.a >= 12 GROUP BY i.doc_id, i.a UNION SELECT j.doc_id, max(i.a), j.a FROM b i JOIN b j ON i.doc_id = j.doc_id AND j.s >= i.s + 2 AND j.a - i.a >= 12 GROUP BY j.doc_id, j.a UNION SELECT doc_id, k, k + 51 FROM d WHERE k + 51 <= n),
 l AS (SELECT doc_id, list(word ORDER BY k) AS words FROM d GROUP BY doc_id),
 y AS (SELECT x.doc_id, a, b, array_to_string(words[a + 1 : b], ' ') AS content FROM x JOIN l ON x.doc_id = l.doc_id),
 f AS (SELECT content, min(doc_id * 16777216 + a) AS first FROM y GROUP BY content HAVING count(*) > 1),
 g AS (SELECT DISTINCT doc_id, unnest(range(a, b)) AS k FROM y JOIN f ON y.content = f.content WHERE doc_id * 16777216 + a > first),
-r AS (SELECT d.doc_id, max(d.s) + 1 AS n_sentences, count(DISTINCT CASE WHEN g.k IS NOT NULL THEN d.s END) AS n_removed, coalesce(string_agg(CASE WHEN g.k IS NULL THEN unit END, '' ORDER BY d.k), '') AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.k = g.k GROUP BY d.doc_id)
-SELECT u.doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(kept, text) AS text FROM u LEFT JOIN r ON u.doc_id = r.doc_id"""
+h AS (SELECT doc_id, sum(CASE WHEN m = 2 THEN 1 ELSE 0 END) AS n_removed, sum(CASE WHEN m = 1 THEN 1 ELSE 0 END) AS n_cut FROM (SELECT d.doc_id, d.s, CASE WHEN count(g.k) = count(*) THEN 2 WHEN count(g.k) > 0 THEN 1 ELSE 0 END AS m FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.k = g.k GROUP BY d.doc_id, d.s) GROUP BY doc_id),
+r AS (SELECT d.doc_id, max(d.s) + 1 AS n_sentences, coalesce(string_agg(CASE WHEN g.k IS NULL THEN unit END, '' ORDER BY d.k), '') AS kept FROM d LEFT JOIN g ON d.doc_id = g.doc_id AND d.k = g.k GROUP BY d.doc_id)
+SELECT u.doc_id, CAST(coalesce(n_sentences, 0) AS BIGINT) AS n_sentences, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_cut, 0) AS BIGINT) AS n_cut, coalesce(kept, text) AS text FROM u LEFT JOIN r ON u.doc_id = r.doc_id LEFT JOIN h ON u.doc_id = h.doc_id"""
 
 #: crc32 by its shift register, a byte at a time, over the distinct runs of each document; words and counts; pairs at distance one by
 #: their length; forms; and roots by following forms. DuckDB's distance counts bytes, so each letter above ASCII stands as one other byte there.

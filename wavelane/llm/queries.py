@@ -60,7 +60,7 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(documents(spark, sf_dir), run_words=RUN_WORDS).select("doc_id", "n_sentences", "n_removed", "text")
+    return remove_repeats(documents(spark, sf_dir), run_words=RUN_WORDS).select("doc_id", "n_sentences", "n_removed", "n_cut", "text")
 
 
 def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

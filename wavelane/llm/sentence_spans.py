@@ -1,13 +1,15 @@
-"""Substring dedup by sliding sentence spans and word runs.
+"""Substring dedup by sliding sentence spans, and by word runs as an option.
 
 A sentence ends with a word that ends in a full stop, question or exclamation mark, or that
 a line feed or the text's end follows. From each sentence runs the shortest span of at least
-three sentences and thirty words that starts there, and to each the shortest that ends there;
-every span is hashed by its words. A passage that begins or ends inside of a host's sentence
-shares no such span with its edges, so every run of 51 words is hashed as well, from each
-word on, if ``run_words`` asks for it. Spans and runs are joined over all documents, and all words that one covers which
-also occurs earlier (smaller doc_id, or same document and earlier start) are removed: no
-run of over 50 words is left that occurs earlier in the input, wherever sentences end.
+two sentences and twelve words that starts there, and to each the shortest that ends there;
+every span is hashed by its words. Spans are joined over all documents, and the sentences that one covers which
+also occurs earlier (smaller doc_id, or same document and earlier start) are removed.
+
+A passage that begins or ends inside of a host's sentence shares no such span with its edges. With
+``run_words`` every run of so many words is hashed as well, from each word on, and the words of a run that occurs
+earlier are removed, also from within a sentence: no run of that many words is then left that occurs earlier, wherever
+sentences end. Sentences removed whole and sentences that only lose words are counted apart.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from pyspark.sql import DataFrame
 
 from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Batches, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import partitions
-from wavelane.llm.textnum import BYTE_KEYS, U64, _power_tables, find_words, hash_spans, mix, row_ranges, text_bytes
+from wavelane.llm.textnum import BYTE_KEYS, U64, Sums, find_words, hash_spans, mix, row_ranges, text_bytes
 
-LEAST_SENTENCES, LEAST_WORDS = 3, 30
+LEAST_SENTENCES, LEAST_WORDS = 2, 12
 #: Words that repeat count from here on whatever sentences they stand in.
 RUN_WORDS = 51
 #: Bytes of text whose spans and runs, one a word, a task gathers before it sends them.
@@ -72,9 +74,7 @@ def span_entries(ids: np.ndarray, data: np.ndarray, offsets: np.ndarray, least_s
         run = np.arange(len(run_row)) + (word_at[:-1] - np.cumsum(runs) + runs)[run_row]
         row, low, high = np.concatenate([row, run_row]), np.concatenate([low, run]), np.concatenate([high, run + run_words])
     words = hash_spans(data, starts, ends, BYTE_KEYS)
-    up, down = _power_tables(len(words) + 1)
-    sums = np.concatenate([np.zeros(1, U64), np.cumsum(words * up[: len(words)])])
-    key = mix((sums[high] - sums[low]) * down[low] + (high - low).astype(U64))
+    key = mix(Sums(words >> U64(3)).of(low, high) + (high - low).astype(U64))
     base = word_at[row]
     return [key, ids[row], (low - base).astype(np.int32), (high - base).astype(np.int32)]
 
@@ -135,9 +135,9 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, run_
     return by_bucket(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(gather, BLOBS), n).mapInArrow(meet, BLOBS)
 
 
-def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, run_words: int | None = None, names: tuple[str, str, str] = ("n_sentences", "n_removed", "removed")) -> DataFrame:
-    """``docs`` with repeated spans and runs cut out of ``text``, and n_sentences, n_removed (those that lose words), removed
-    (byte ranges of the old text), under other ``names`` if asked for. Without ``run_words`` only spans of whole sentences count.
+def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, run_words: int | None = None, names: tuple[str, str, str, str] = ("n_sentences", "n_removed", "n_cut", "removed")) -> DataFrame:
+    """``docs`` with repeated spans and runs cut out of ``text``, and n_sentences, n_removed (those removed whole), n_cut (those that lose
+    words and keep some: none without ``run_words``), removed (byte ranges of the old text), under other ``names`` if asked for.
 
     All columns are kept; the new ones replace columns of their names. Rows with a null doc_id have no place in the order: they stay
     whole and repeat nothing. Rows that share a doc_id and text are one document; a null text stays null, with no sentences; an
@@ -159,14 +159,15 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
             for batch in unpack_rows(blob):
                 data, offsets = text_bytes(batch.column(1))
                 starts, _, first, at = sentences(data, offsets)
-                texts, counts, removed, ranges = batch.column(1).to_pylist(), np.diff(at), [], []
+                texts, counts, removed, cut_, ranges = batch.column(1).to_pylist(), np.diff(at), [], [], []
                 for k, doc in enumerate(batch.column(0).to_pylist()):
                     low, high = marked.of(doc)
                     own = first[at[k] : at[k + 1] + 1] - first[at[k]]
                     gone = cover(low, high, int(own[-1])) if len(low) else np.zeros(own[-1], bool)
-                    removed.append(int(np.logical_or.reduceat(gone, own[:-1]).sum()) if len(low) else 0)
+                    removed.append(int(np.logical_and.reduceat(gone, own[:-1]).sum()) if len(low) else 0)
+                    cut_.append(int(np.logical_or.reduceat(gone, own[:-1]).sum()) - removed[-1] if len(low) else 0)
                     ranges.append([])
-                    if removed[-1]:
+                    if removed[-1] or cut_[-1]:
                         # A word reaches to the next one; the first from the text's start.
                         edge = np.append(starts[first[at[k]] : first[at[k + 1]]], offsets[k + 1]) - offsets[k]
                         edge[0] = 0
@@ -178,8 +179,8 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
                             left = r["end"]
                         texts[k] = (b"".join(stay) + raw[left:]).decode()
                 kind_ = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                columns = [batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(ranges, kind_)]
+                columns = [batch.column(0), pa.array(texts, pa.string()), *batch.columns[2:], pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(cut_, pa.int64()), pa.array(ranges, kind_)]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", *rest, *new])
 
-    schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in rows.dtypes) + f", `{names[0]}` long, `{names[1]}` long, `{names[2]}` array<struct<start: long, end: long>>"
+    schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in rows.dtypes) + f", `{names[0]}` long, `{names[1]}` long, `{names[2]}` long, `{names[3]}` array<struct<start: long, end: long>>"
     return by_bucket(marks.unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(cut, schema)

@@ -21,19 +21,35 @@ SLICE_BYTES = 1 << 19
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
-_RNG = np.random.default_rng(20240607)
-#: A random 64-bit value for each byte, and for each byte with A-Z folded.
-BYTE_KEYS = _RNG.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
+#: The weight of each byte in a hash, and of each byte with A-Z folded.
+BYTE_KEYS = np.arange(1, 257, dtype=np.uint64)
 FOLDED_KEYS = BYTE_KEYS.copy()
 FOLDED_KEYS[65:91] = BYTE_KEYS[97:123]
-_BASE = U64(0x9E3779B97F4A7C15 | 1)
-_BASE_INVERSE = U64(pow(int(_BASE), -1, 2**64))
+# Hashes are polynomials modulo a prime; modulo 2^64 they would collide on strings of a regular make, whatever the base.
+_PRIME = U64(2**61 - 1)
+_BASE = U64(0x0E3779B97F4A7C15)
+_LOW32, _LOW31, _LOW30, _LOW29 = (U64(2**k - 1) for k in (32, 31, 30, 29))
+#: Bytes whose unreduced sums fit 64 bits.
+_MOST_UNREDUCED = 1 << 22
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, U64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _PRIME) + (x >> U64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def multiplied(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a times b modulo 2^61 - 1, of numbers below it."""
+    a1, a0, b1, b0 = a >> U64(31), a & _LOW31, b >> U64(31), b & _LOW31
+    middle = a1 * b0 + a0 * b1
+    return _reduced(U64(2) * a1 * b1 + (middle >> U64(30)) + ((middle & _LOW30) << U64(31)) + a0 * b0)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(1, U64)
+    while len(out) < n:
+        out = np.concatenate([out, multiplied(out, np.full(len(out), pow(base, len(out), int(_PRIME)), U64))])
+    return out[:n]
 
 
 _tables = {"n": 0}
@@ -42,10 +58,33 @@ _tables = {"n": 0}
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _tables["n"] < n:
         size = max(n, SLICE_BYTES + 1)
-        _tables.update(n=size, up=_powers(_BASE, size), down=_powers(_BASE_INVERSE, size))
+        up = _powers(int(_BASE), size)
+        _tables.update(n=size, up=up, halves=(up & _LOW32, up >> U64(32)), down=_powers(pow(int(_BASE), -1, int(_PRIME)), size))
     return _tables["up"], _tables["down"]
 
 
+class Sums:
+    """Running sums of numbers below 2^61 - 1 times the powers of a base, from which any span's polynomial follows."""
+
+    def __init__(self, values: np.ndarray, small: bool = False):
+        """``small``: all values are 256 at most."""
+        up, self.down = _power_tables(len(values) + 1)
+        if small and len(values) <= _MOST_UNREDUCED:
+            low, high = (values * half[: len(values)] for half in _tables["halves"])
+        else:
+            term = multiplied(values, up[: len(values)])
+            low, high = term & _LOW32, term >> U64(32)
+        self.low, self.high = np.zeros(len(values) + 1, U64), np.zeros(len(values) + 1, U64)
+        np.cumsum(low, out=self.low[1:])
+        np.cumsum(high, out=self.high[1:])
+
+    def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The polynomials of spans, each as if it began at 0."""
+        high = self.high[ends] - self.high[starts]
+        value = _reduced(_reduced(self.low[ends] - self.low[starts]) + (high >> U64(29)) + ((high & _LOW29) << U64(32)))
+        return multiplied(value, self.down[starts])
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer: every output bit depends on every input bit."""
     x = x ^ (x >> U64(30))
@@ -100,11 +139,9 @@ def find_words(data: np.ndarray, offsets: np.ndarray, separates: np.ndarray = IS
 
 
 def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray = BYTE_KEYS) -> np.ndarray:
-    """A 64-bit hash of each span of bytes; equal spans have equal hashes."""
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U64)
-    np.cumsum(keys[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64))
+    """A 64-bit hash of each span of bytes; equal spans have equal hashes, and two that differ one alike with a chance of
+    their length in 2^61 at most for a base drawn at random."""
+    return mix(Sums(keys[data], small=True).of(starts, ends) + (ends - starts).astype(U64))
 
 
 def shingles(words: np.ndarray, word_offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
