@@ -43,7 +43,7 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Null and empty texts stay as they are, and so do rows without a doc_id; all other columns are kept, whatever their names.
     """
-    names = ["_n_sentences", "_n_removed", "_removed"]
+    names = ["_n_sentences", "_n_removed", "_n_cut", "_removed"]
     while set(names) & set(docs.columns):
         names = [f"_{n}" for n in names]
     left = remove_repeats(docs, run_words=RUN_WORDS, names=tuple(names))
