@@ -75,7 +75,15 @@ def test_regions_need_two_rows(spark):
 def test_touching_overlap_and_coverage(spark):
     a = frame(spark, [(1, 0, 0.0, 5.0), (1, 1, 8.0, 9.0)], "p int, segment long, start double, end double")
     b = frame(spark, [(1, 0, 5.0, 8.5)], "p int, segment long, start double, end double")
-    assert [(r.start, r.end) for r in segments.overlaps(a, b, ["p"]).collect()] == [(8.0, 8.5)]
+    assert [(r.start, r.end) for r in segments.overlaps(a, b, ["p"], 100.0).collect()] == [(8.0, 8.5)]
+    rng = random.Random(4)
+    some = lambda: [(p, k, float(s := rng.randint(0, 400)), float(s + rng.randint(0, 60))) for p in "xy" for k in range(40)]
+    left, right = some(), some()
+    want = sorted((p, k, m, max(s, u), min(e, v)) for p, k, s, e in left for q, m, u, v in right if p == q and max(s, u) < min(e, v))
+    names = "p string, segment long, start double, end double"
+    for width in (7.0, 1000.0):
+        got = segments.overlaps(spark.createDataFrame(left, names), spark.createDataFrame(right, names), ["p"], width).collect()
+        assert sorted(tuple(r) for r in got) == want
     i = frame(spark, [(1, 0.0, 5.0), (1, 5.0, 6.0), (1, 2.0, 3.0), (1, 9.0, 9.0), (1, float("nan"), 4.0), (1, 10.0, 11.0)], "p int, s double, e double")
     r = segments.coverage(i, ["p"], "s", "e").first()
     assert (r.covered, r.n_merged) == (7.0, 2)

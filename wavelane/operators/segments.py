@@ -76,15 +76,20 @@ def gap_segments(df: DataFrame, keys: list[str], t: str, ord: str, gap: float, b
     return joined.groupBy(*keys, "segment").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
 
 
-def overlaps(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+def overlaps(a: DataFrame, b: DataFrame, keys: list[str], width: float) -> DataFrame:
     """Overlaps (keys, a_segment, b_segment, start, end) of two sets of segments; segments that only touch give none.
 
-    An equi-join on the keys with the overlap as a residual: segments are aggregates, far fewer than rows.
+    Segments are listed under each bucket of ``width`` that they reach, and a pair is met in the bucket where its overlap begins: so
+    segments of one key meet only those near them in time, and a large key spreads over its time.
     """
-    x = a.select(*keys, F.col("segment").alias("a_segment"), F.col("start").alias("_as"), F.col("end").alias("_ae"))
-    y = b.select(*keys, F.col("segment").alias("b_segment"), F.col("start").alias("_bs"), F.col("end").alias("_be"))
-    both = x.join(y, keys).where("_as < _be AND _bs < _ae")
-    return both.select(*keys, "a_segment", "b_segment", F.greatest("_as", "_bs").alias("start"), F.least("_ae", "_be").alias("end")).where("end > start")
+
+    def listed(segments: DataFrame, name: str) -> DataFrame:
+        own = segments.select(*keys, F.col("segment").alias(f"{name}_segment"), F.col("start").alias(f"_{name}s"), F.col("end").alias(f"_{name}e"))
+        return own.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(f"_{name}s") / width), F.floor(F.col(f"_{name}e") / width))))
+
+    both = listed(a, "a").join(listed(b, "b"), [*keys, "_bucket"]).where("_as < _be AND _bs < _ae")
+    both = both.withColumns({"start": F.greatest("_as", "_bs"), "end": F.least("_ae", "_be")})
+    return both.where((F.col("end") > F.col("start")) & (F.col("_bucket") == F.floor(F.col("start") / width))).select(*keys, "a_segment", "b_segment", "start", "end")
 
 
 def place_in_intervals(rows: DataFrame, intervals: DataFrame, keys: list[str], t: str, start: str, end: str, width: float, how: str = "inner") -> DataFrame:

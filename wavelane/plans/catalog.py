@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavelane.functions import arrays as A, ecg, estimators as E, signal as S
-from wavelane.operators import align, folds, labels, metrics, segments, windows as W
+from wavelane.operators import align, folds, labels, metrics, segments, training, windows as W
 from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, scratch, scratch_csv, table, windows64
 from wavelane.sources import readers, sinks
 from wavelane.sources.readers import ecg_epoch, participant_id, pulse_column
@@ -82,7 +82,7 @@ regions AS (SELECT a.participant, a.segment AS a_segment, b.segment AS b_segment
 
 @query(f"WITH {SAMPLES_SQL}, {_OVERLAP} SELECT participant, a_segment, b_segment, s AS start_us, e AS end_us FROM regions")
 def overlap_regions(spark, sf_dir):
-    out = segments.overlaps(_segments(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P)
+    out = segments.overlaps(_segments(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P, WIDTH)
     return out.withColumnsRenamed({"start": "start_us", "end": "end_us"})
 
 
@@ -162,7 +162,7 @@ w5 AS (SELECT participant, t AS t0, t1 FROM ro WHERE i % {S4} = 0 AND t1 IS NOT
 def windows_with_fallback(spark, sf_dir):
     """Long windows where both signals run on; for participants without any, windows of the overlaps."""
     first = _w4(spark, sf_dir).where(F.col("t1") - F.col("t0") >= 60 * HOUR).select("participant", "t0", "t1")
-    regions = segments.overlaps(_segments(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P).select("participant", F.col("start").alias("region"), "start", "end")
+    regions = segments.overlaps(_segments(spark, sf_dir, "view"), _segments(spark, sf_dir, "click"), P, WIDTH).select("participant", F.col("start").alias("region"), "start", "end")
     second = W.region_windows(_role(spark, sf_dir, "view"), regions, P, "t", "ord", GAP_B, L4, S4, SPAN4, WIDTH).select("participant", "t0", "t1")
     return W.with_fallback(first, second, P)
 
@@ -477,10 +477,11 @@ def merged_csv_rows(spark, sf_dir):
     return a.join(b, "ord").select("source_file", "ecg_rel_ms", "recomputed_ms", "trusted_ms", "ecg_uv")
 
 
-@query("WITH c AS (SELECT user_id AS participant, event_type AS role, count(*) AS n, min('/data/' || CAST(event_id AS VARCHAR)) AS path FROM events GROUP BY ALL) SELECT participant, role, path FROM c WHERE n = 1")
+@query("WITH c AS (SELECT CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS participant, event_type AS role, count(*) AS n, min('/data/' || CAST(event_id AS VARCHAR)) AS path FROM events GROUP BY ALL) SELECT participant, role, path FROM c WHERE n = 1")
 def discovered_files(spark, sf_dir):
-    """Files by participant and device, where a device has one; an event is a file."""
-    files = samples(spark, sf_dir).select("participant", "role", F.concat(F.lit("/data/"), F.col("ord")).alias("path"))
+    """Files by participant and device, where a device has one; an event is a file, and a user's day a participant."""
+    day = F.date_format(F.timestamp_micros("t"), "yyyy-MM-dd")
+    files = samples(spark, sf_dir).select(F.concat_ws("/", F.col("participant").cast("string"), day).alias("participant"), "role", F.concat(F.lit("/data/"), F.col("ord")).alias("path"))
     lone = files.groupBy("participant", "role").agg(F.count("*").alias("n")).where("n = 1").drop("n")
     return readers.discover(files.join(lone, ["participant", "role"]))
 
@@ -730,3 +731,44 @@ d AS (SELECT i, j, (1 + 2 * sum(cos(2 * pi() * k * (j / 200.0 - i / 64.0))) + (C
 SELECT vec_id, CAST(j AS INT) AS j, round(sum(x * d), 5) + 0.0 AS y FROM p JOIN d ON p.i = d.i GROUP BY vec_id, j""")
 def resample200(spark, sf_dir):
     return windows64(spark, sf_dir).select("vec_id", F.posexplode(S.resample(F.col("w"), 200)).alias("j", "y")).withColumn("y", F.round("y", 5))
+
+
+# -- models ----------------------------------------------------------------------------------------------------------
+
+
+def _rated(spark, sf_dir):
+    """Windows of eight participants with a label in beats a minute, and mean and mean square as features."""
+    rows = windows64(spark, sf_dir).withColumns({"participant": F.concat(F.lit("P"), F.col("vec_id") % 8), "hr": 60.0 + 10 * F.col("label")})
+    total = lambda f: F.aggregate(F.transform("w", f), F.lit(0.0), lambda a, b: a + b) / 64
+    return rows.withColumn("features", F.array(total(lambda v: v), total(lambda v: v * v)))
+
+
+@query("""WITH r AS (SELECT vec_id, 'P' || CAST(vec_id % 8 AS VARCHAR) AS participant, 60.0::DOUBLE + 10 * label AS y, CAST(embedding AS DOUBLE[]) AS w FROM embeddings),
+f AS (SELECT vec_id, participant, y, list_sum(w) / 64 AS x, list_sum(list_transform(w, lambda v: v * v)) / 64 AS z FROM r),
+s AS (SELECT participant, count(*) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(x * x) AS xx, sum(x * z) AS xz, sum(z * z) AS zz, sum(x * y) AS xy, sum(z * y) AS zy FROM f GROUP BY participant),
+t AS (SELECT sum(n) AS n, sum(x) AS x, sum(z) AS z, sum(y) AS y, sum(xx) AS xx, sum(xz) AS xz, sum(zz) AS zz, sum(xy) AS xy, sum(zy) AS zy FROM s),
+o AS (SELECT s.participant, t.n - s.n AS n, t.x - s.x AS x, t.z - s.z AS z, t.y - s.y AS y, t.xx - s.xx AS xx, t.xz - s.xz AS xz, t.zz - s.zz AS zz, t.xy - s.xy AS xy, t.zy - s.zy AS zy FROM s, t),
+c AS (SELECT participant, n, x, z, y, xx - x * x / n + 1 AS a, xz - x * z / n AS b, zz - z * z / n + 1 AS d, xy - x * y / n AS p, zy - z * y / n AS q FROM o),
+w AS (SELECT participant, n, x, z, y, (p * d - b * q) / (a * d - b * b) AS u, (a * q - b * p) / (a * d - b * b) AS v FROM c)
+SELECT f.vec_id, f.participant, f.y AS hr, round((w.y - u * w.x - v * w.z) / n + u * f.x + v * f.z, 6) AS predicted_bpm FROM f JOIN w ON f.participant = w.participant""")
+def loso_ridge(spark, sf_dir):
+    """A ridge regression for each participant from the others' sums of products, all folds in one pass."""
+    out = training.leave_one_out_ridge(_rated(spark, sf_dir), "participant", "features", "hr", 2)
+    return out.select("vec_id", "participant", "hr", F.round("predicted_bpm", 6).alias("predicted_bpm"))
+
+
+@query()
+def loso_ridge_metrics(spark, sf_dir):
+    """Errors by fold of ridge regressions on whole windows."""
+    rows = _rated(spark, sf_dir).withColumn("x", A.zscore(F.col("w")))
+    out = training.leave_one_out_ridge(rows, "participant", "x", "hr", 64)
+    return metrics.error_metrics(out, P, "hr", "predicted_bpm", zero_r=True)
+
+
+@query()
+def probe_metrics(spark, sf_dir):
+    """Errors by fold of a two-layer probe on whole windows, trained for all folds at once by data-parallel steps."""
+    rows = _rated(spark, sf_dir).withColumn("x", A.zscore(F.col("w")))
+    run = training.Training(training.TwoLayers(64, 16), scratch(spark, "probe"), rate=5e-3, epochs=6, batches=2)
+    fitted = run.fit(rows, "participant", ["vec_id"], "x", "hr")
+    return metrics.error_metrics(run.predictions(rows, fitted, "participant", "x"), P, "hr", "predicted_bpm", zero_r=True)
