@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tests.conftest import DATA
 from wavelane.operators import models, segments, windows as W
 from wavelane.sources import readers as R, sinks
-from wavelane.streaming import sessions
+from wavelane.streaming import ordered, sessions
 
 
 def drain(df, name, mode="append"):
@@ -44,6 +44,46 @@ def test_sessions_match_segments(spark, tmp_path):
     assert got <= expect and len(got) > 0.5 * len(expect)  # the last ones stay open
 
 
+@pytest.mark.parametrize("length, stride", [(4, 4), (3, 1)])
+def test_timers_take_rows_in_order_and_delete_state(spark, tmp_path, length, stride):
+    rng = np.random.default_rng(length)
+    rows = [(p, k, int(x)) for p in range(5) for k, x in enumerate(np.cumsum(rng.choice([10, 20, 5000, 90_000], 60) * 1000))]
+    df = spark.createDataFrame(rows, "p int, ord long, t long").withColumn("ts", F.timestamp_micros("t"))
+    shuffled = [rows[k] for k in sorted(range(len(rows)), key=lambda k: rows[k][2] + rng.integers(0, 3_000_000))]
+    parts = [shuffled[:100], shuffled[100:200], shuffled[200:], [(-1, 0, 10**12)]]
+    for part in parts:  # late by three seconds at most, in four files
+        spark.createDataFrame(part, "p int, ord long, t long").withColumn("ts", F.timestamp_micros("t")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    session = ordered.with_state_tables(spark)
+    stream = session.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    gap = 6_000_000
+    results = {
+        "windows": (ordered.window_stream(stream, "p", "ts", "t", "ord", gap, length, stride, "4 seconds"), W.gap_restart_windows(df, ["p"], "t", "ord", gap, length, stride, (0, 10**15)).select("p", "t0", "t1")),
+        "segments": (ordered.segment_stream(stream, "p", "ts", "t", "ord", gap, "4 seconds"), segments.gap_segments(df, ["p"], "t", "ord", gap).select("p", "start", "end", "n")),
+    }
+    for name, (out, batch) in results.items():
+        state = str(tmp_path / f"{name}-state")
+        q = out.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(str(tmp_path / name))
+        q.awaitTermination()
+        got = spark.read.parquet(str(tmp_path / name)).where("p >= 0").select(*batch.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+        for variable in ("run", "waiting"):
+            left = session.read.format("statestore").option("path", state).option("stateVarName", variable).load()
+            assert {r.key.p for r in left.select("key").collect()} <= {-1}
+
+
+def test_rows_are_numbered_over_splits(spark, tmp_path):
+    n = 3000
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.csv").write_text("".join(f"{k},{k}.0,2024-01-01 00:00:02,{name}{k},{k % 7}\n" for k in range(n)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 20_000)
+    try:
+        assert spark.read.csv(str(tmp_path)).rdd.getNumPartitions() > 4
+        rows = R.device_csv(spark, str(tmp_path), "P7").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 2 * n and all(r.ord == r.t_ms + 1 and r.site == r.source_file[0] + "0" for r in rows)
+
+
 def test_csv_readers(spark, tmp_path):
     (tmp_path / "dev.csv").write_text("1 , 2000.0, 2024-01-01 00:00:02, wrist, 5\n2, 1000.0 ,2024-01-01 00:00:01,arm,6\n")
     rows = R.device_csv(spark, str(tmp_path / "dev.csv"), "P7").orderBy("ord").collect()

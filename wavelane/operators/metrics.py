@@ -42,8 +42,8 @@ def valid_ratio(windows: DataFrame, keys: list[str], valid: Column) -> DataFrame
 def sampling_rate(rows: DataFrame, keys: list[str], t: str, ord: str, per_second: float = 1000.0, bucket: float | None = None) -> DataFrame:
     """fs by keys: units a second over the median difference of neighbouring times; null with fewer than two rows or a median of 0 or less.
 
-    With ``bucket``, a width of time, differences are taken within buckets and between the ends of neighbouring ones, so that a key that holds a
-    large share of all rows is spread over many tasks.
+    With ``bucket``, a width of time, differences are taken within buckets and between the ends of neighbouring ones, and the median is :func:`exact_median`'s,
+    so that a key that holds a large share of all rows is spread over many tasks.
     """
     if bucket is None:
         order = Window.partitionBy(*keys).orderBy(t, ord)
@@ -55,19 +55,72 @@ def sampling_rate(rows: DataFrame, keys: list[str], t: str, ord: str, per_second
         ends = placed.groupBy(*parts).agg(F.min(t).alias("_lo"), F.max(t).alias("_hi"))
         between = (F.col("_lo") - F.lag("_hi").over(Window.partitionBy(*keys).orderBy("_bucket"))).cast("double")
         step = inside.unionByName(ends.select(*keys, between.alias("_d"), F.lit(0).alias("_k")))
-    out = step.groupBy(*keys).agg(F.sum("_k").alias("n"), F.median(F.when(~F.isnan("_d"), F.col("_d"))).alias("_m"))
+    if bucket is None:
+        out = step.groupBy(*keys).agg(F.sum("_k").alias("n"), F.median(F.when(~F.isnan("_d"), F.col("_d"))).alias("_m"))
+    else:
+        middle = exact_median(step, keys, "_d").select(F.struct(*keys).alias("_key"), F.col("median").alias("_m"))
+        out = step.groupBy(*keys).agg(F.sum("_k").alias("n")).withColumn("_key", F.struct(*keys)).join(middle, "_key", "left").drop("_key")
     return out.withColumn("fs", F.when(F.col("_m") > 0, F.lit(per_second) / F.col("_m"))).drop("_m")
 
 
+#: Bits of the mantissa that the second to the fourth digit of a number hold.
+_BITS = (17, 17, 18)
+
+
+def _digits(x: Column) -> list[Column]:
+    """Whole numbers that order as ``x``, a double other than NaN, does: its signed exponent, then its mantissa in three signed parts.
+    Powers of two are exact, so the parts are exact too."""
+    size, top = F.abs(x), F.lit(float("inf"))
+    plain = F.when((size > 0) & (size < top), size)
+    guess = F.when(plain.isNotNull(), F.greatest(F.floor(F.log2(plain)).cast("int"), F.lit(-1074)))
+    ratio = plain / F.pow(F.lit(2.0), guess)
+    exponent = guess + F.when(ratio >= 2, 1).when(ratio < 1, -1).otherwise(0)
+    mantissa = F.coalesce(((plain / F.pow(F.lit(2.0), exponent) - 1) * float(1 << 52)).cast("long"), F.lit(0).cast("long"))
+    sign = F.when(x < 0, -1).otherwise(1)
+    parts, left = [F.coalesce(exponent, F.when(size == 0, -1100).otherwise(1100)) + 1101], 52
+    for bits in _BITS:
+        left -= bits
+        parts.append(F.shiftright(mantissa, left).bitwiseAND(F.lit((1 << bits) - 1)))
+    return [(sign * p).cast("long") for p in parts]
+
+
+def exact_median(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
+    """(keys, n, median) of the numbers of ``x``, nulls and NaN left out; a key without numbers has no row.
+
+    Counts by value and key are summed by digits, most significant first, and only the bucket that holds the middle goes to the next digit. No buffer holds a key's
+    values, as that of an ordinary median does: a window has at most as many rows as a digit has values (262,144), however many rows a key has.
+    """
+    values = rows.select(F.struct(*keys).alias("_key"), clean(x).alias("_x")).where(F.col("_x").isNotNull())
+    counts = values.groupBy("_key", "_x").agg(F.count("*").alias("_c"))
+    n = counts.groupBy("_key").agg(F.sum("_c").alias("n"))
+    placed = counts.select("_key", "_x", "_c", *(d.alias(f"_d{k}") for k, d in enumerate(_digits(F.col("_x")))))
+    middles = F.array_distinct(F.array(F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1))
+    # _rank: the place among all numbers of the key that is sought; _rest: the place among those that share the digits found so far.
+    sought = n.select("_key", F.explode(middles).alias("_rank")).withColumn("_rest", F.col("_rank"))
+    path = ["_key"]
+    for k in range(len(_BITS) + 1):
+        digit = f"_d{k}"
+        sums = placed.join(sought, path).groupBy(*path, "_rank", "_rest", digit).agg(F.sum("_c").alias("_s"))
+        upto = sums.withColumn("_before", F.sum("_s").over(Window.partitionBy("_key", "_rank").orderBy(digit)) - F.col("_s"))
+        path = [*path, digit]
+        sought = upto.where((F.col("_rest") > F.col("_before")) & (F.col("_rest") <= F.col("_before") + F.col("_s"))).select(*path, "_rank", (F.col("_rest") - F.col("_before")).alias("_rest"))
+    middles = placed.join(sought, path).groupBy("_key").agg(F.avg("_x").alias("median"))
+    return n.join(middles, "_key").select(*(F.col("_key")[k].alias(k) for k in keys), "n", "median")
+
+
 def value_range(rows: DataFrame, keys: list[str], x: str) -> DataFrame:
     """Least and greatest value by keys; no rows, no result."""
     return rows.groupBy(*keys).agg(F.min(clean(x)).alias("least"), F.max(clean(x)).alias("greatest"))
 
 
-def chunk_extremes(rows: DataFrame, keys: list[str], i: str, x: str, chunk: int) -> DataFrame:
-    """Median over chunks of rows of the chunks' least and greatest values."""
+def chunk_extremes(rows: DataFrame, keys: list[str], i: str, x: str, chunk: int, spread: bool = False) -> DataFrame:
+    """Median over chunks of rows of the chunks' least and greatest values. ``spread``: by :func:`exact_median`, for keys with very many chunks."""
     parts = rows.withColumn("_c", F.floor(F.col(i) / chunk)).groupBy(*keys, "_c").agg(F.min(clean(x)).alias("_lo"), F.max(clean(x)).alias("_hi"))
-    return parts.groupBy(*keys).agg(F.median("_lo").alias("least"), F.median("_hi").alias("greatest"))
+    if not spread:
+        return parts.groupBy(*keys).agg(F.median("_lo").alias("least"), F.median("_hi").alias("greatest"))
+    sides = [exact_median(parts, keys, c).select(F.struct(*keys).alias("_key"), F.col("median").alias(name)) for c, name in (("_lo", "least"), ("_hi", "greatest"))]
+    out = parts.select(*keys).distinct().withColumn("_key", F.struct(*keys))
+    return out.join(sides[0], "_key", "left").join(sides[1], "_key", "left").drop("_key")
 
 
 def column_zscore(rows: DataFrame, columns: list[str], epsilon: float = 1e-6) -> DataFrame:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wavelane.functions import arrays as A, ecg, estimators as E, signal as S
 from wavelane.operators import align, folds, labels, metrics, segments, training, windows as W
 from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, scratch, scratch_csv, table, windows64
-from wavelane.sources import readers, sinks
+from wavelane.sources import archives, readers, sinks
 from wavelane.sources.readers import ecg_epoch, participant_id, pulse_column
+from wavelane.streaming import ordered
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -64,6 +65,28 @@ def gap_segments_bucketed(spark, sf_dir):
     return out.select("participant", "segment", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n")
 
 
+def _streamed(spark, sf_dir, apply, name: str):
+    """Results of a stream over the samples in files by quarter, with late rows within a file, that ends when all is read. A last row of no participant, years
+    later, moves the watermark past all others."""
+    folder, out = scratch(spark, f"{name}-in"), scratch(spark, f"{name}-out")
+    rows = samples(spark, sf_dir).select("participant", "ord", "t", F.timestamp_micros("t").alias("ts"))
+    rows.withColumn("part", F.date_format("ts", "yyyyQ")).repartition("part").sortWithinPartitions("part", "ord").write.partitionBy("part").parquet(folder)
+    end = rows.agg((F.max("t") + 4000 * 24 * HOUR).alias("t")).select(F.lit(-1).cast(rows.schema["participant"].dataType).alias("participant"), F.lit(0).cast(rows.schema["ord"].dataType).alias("ord"), "t", F.timestamp_micros("t").alias("ts"))
+    end.write.parquet(f"{folder}/part=99991")
+    session = ordered.with_state_tables(spark)
+    stream = session.readStream.schema(rows.schema).parquet(folder)
+    query = apply(stream).writeStream.format("parquet").option("checkpointLocation", scratch(spark, f"{name}-state")).trigger(availableNow=True).start(out)
+    query.awaitTermination()
+    return spark.read.parquet(out).where("participant >= 0")
+
+
+@query(f"WITH {SAMPLES_SQL}, {_runs('', GAP_A, 'g')} SELECT participant, s AS start_us, e AS end_us, CAST(n AS BIGINT) AS n FROM g")
+def streamed_segments(spark, sf_dir):
+    """Gap segments of a stream by state with timers."""
+    out = _streamed(spark, sf_dir, lambda s: ordered.segment_stream(s, "participant", "ts", "t", "ord", GAP_A, "1 hour"), "segments")
+    return out.select("participant", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n")
+
+
 _NESTED = f"""{_runs("click", GAP_B, "b")},
 inside AS (SELECT a.*, b.segment AS b_segment, b.s AS b_start, b.e AS b_end, count(*) OVER (PARTITION BY a.participant, b.segment) AS k FROM samples a JOIN b ON a.participant = b.participant AND a.t BETWEEN b.s AND b.e WHERE a.role = 'view'),
 nd AS (SELECT *, t - lag(t) OVER (PARTITION BY participant, b_segment ORDER BY t, ord) AS dt FROM inside WHERE k >= 2),
@@ -117,6 +140,14 @@ def gap_restart_windows_bucketed(spark, sf_dir):
     return W.gap_restart_windows(samples(spark, sf_dir), P, "t", "ord", GAP_A, LENGTH, STRIDE, SPAN, bucket=7 * 24 * HOUR)
 
 
+@query(f"WITH {SAMPLES_SQL}, {_W3} SELECT participant, t0, t1 FROM w3")
+def streamed_windows(spark, sf_dir):
+    """Windows that restart after gaps, of a stream by state with timers."""
+    out = _streamed(spark, sf_dir, lambda s: ordered.window_stream(s, "participant", "ts", "t", "ord", GAP_A, LENGTH, STRIDE, "1 hour"), "windows")
+    span = F.col("t1") - F.col("t0")
+    return out.where((span >= SPAN[0]) & (span <= SPAN[1])).select("participant", "t0", "t1")
+
+
 @query(f"WITH {SAMPLES_SQL}, {_W3} SELECT w.participant, w.t0, w.t1, CAST(count(s.t) AS BIGINT) AS n_slice FROM w3 w LEFT JOIN samples s ON s.participant = w.participant AND s.role = 'click' AND s.t BETWEEN w.t0 AND w.t1 GROUP BY ALL")
 def interval_slice_counts(spark, sf_dir):
     return W.slice_counts(_w3(spark, sf_dir).select("participant", "t0", "t1"), _role(spark, sf_dir, "click"), P, "t", WIDTH, ["participant", "t0", "t1"])
@@ -408,6 +439,29 @@ def chunk_extremes(spark, sf_dir):
     return out.select("event_type", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
 
 
+@query(ORACLES["chunk_extremes"])
+def chunk_extremes_spread(spark, sf_dir):
+    """The same by selection of the middle instead of a buffer of all chunks."""
+    out = metrics.chunk_extremes(table(spark, sf_dir, "events"), ["event_type"], "event_id", "value", 500, spread=True)
+    return out.select("event_type", F.round("least", 6).alias("least"), F.round("greatest", 6).alias("greatest"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, round(median(CAST(l_extendedprice AS DOUBLE) * (CASE WHEN l_linenumber % 2 = 0 THEN -1 ELSE 1 END)), 4) AS median FROM lineitem GROUP BY ALL")
+def hot_key_median(spark, sf_dir):
+    """Medians of few keys with many rows each, of both signs."""
+    x = F.col("l_extendedprice").cast("double") * F.when(F.col("l_linenumber") % 2 == 0, -1).otherwise(1)
+    out = metrics.exact_median(table(spark, sf_dir, "lineitem").withColumn("x", x), ["l_returnflag", "l_linestatus"], "x")
+    return out.withColumn("median", F.round("median", 4))
+
+
+@query("SELECT event_type AS role, event_id AS ord, round(value, 6) AS x FROM events")
+def archive_rows(spark, sf_dir):
+    """Samples as archives by device, written by many tasks and read back by the members that are asked for; times are left unread."""
+    path = scratch(spark, "archives")
+    archives.write_archives(samples(spark, sf_dir).select("role", "ord", "t", "x"), path, ["role"], ["ord"])
+    return archives.read_archives(spark, path, "role string, ord long, x double", required="ord,x").withColumn("x", F.round("x", 6))
+
+
 @query("SELECT event_type, round(min(value), 6) AS least, round(max(value), 6) AS greatest FROM events GROUP BY event_type")
 def value_range(spark, sf_dir):
     out = metrics.value_range(table(spark, sf_dir, "events"), ["event_type"], "value")
@@ -444,37 +498,39 @@ def participant_id_normalise(spark, sf_dir):
     return c.select("c_custkey", participant_id(F.when(F.col("c_custkey") % 2 == 0, raw).otherwise(F.concat(F.lit("p"), raw))).alias("participant"))
 
 
-_FIRST = "(SELECT arg_min(event_type, event_id) FROM events)"
+_BY_MONTH = "f AS (SELECT *, row_number() OVER m AS ord, first_value(ts) OVER m AS first_ts, first_value(event_type) OVER m AS site FROM events WINDOW m AS (PARTITION BY year(ts), month(ts) ORDER BY event_id))"
+_MONTH = "date_format(ts, 'yyyyMM') AS month"
 
 
-@query(f"SELECT 'P7' AS participant, event_id AS ord, round(epoch_us(ts) / 1000.0, 3) AS t_ms, {_FIRST} AS site, round(value, 6) AS ppg, round(epoch_us(ts) / 1000.0 + 3600000, 3) AS phone_ms FROM (SELECT * REPLACE (row_number() OVER (ORDER BY event_id) AS event_id) FROM events)")
+@query(f"WITH {_BY_MONTH} SELECT 'P7' AS participant, ord, round(epoch_us(ts) / 1000.0, 3) AS t_ms, site, round(value, 6) AS ppg, round(epoch_us(ts) / 1000.0 + 3600000, 3) AS phone_ms FROM f")
 def device_csv_rows(spark, sf_dir):
-    """Events as the headerless CSV of a device whose clock is an hour behind the phone's, read back in both time axes."""
+    """Events as headerless CSV files by month of a device whose clock is an hour behind the phone's, read back in both time axes."""
     ts = F.col("ts").cast("timestamp")
-    e = table(spark, sf_dir, "events").orderBy("event_id").select(F.col("event_id").cast("double"), (F.unix_micros(ts) / 1000).alias("epoch_ms"), F.date_format(ts + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("s"), "event_type", F.col("value").cast("double"))
-    path = scratch_csv(e)
+    e = table(spark, sf_dir, "events").select(F.col("event_id").cast("double").alias("uptime"), (F.unix_micros(ts) / 1000).alias("epoch_ms"), F.date_format(ts + F.expr("INTERVAL 1 HOUR"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("s"), "event_type", F.col("value").cast("double").alias("v"), "event_id", F.expr(_MONTH))
+    path = scratch_csv(e, "month", "event_id")
     plain = readers.device_csv(spark, path, "P7")
-    phone = readers.device_csv_phone_time(spark, path, "P7").select("ord", F.round("t_ms", 3).alias("phone_ms"))
-    return plain.select("participant", "ord", F.round("t_ms", 3).alias("t_ms"), "site", F.round("ppg", 6).alias("ppg")).join(phone, "ord").select("participant", "ord", "t_ms", "site", "ppg", "phone_ms")
+    phone = readers.device_csv_phone_time(spark, path, "P7").select("ord", F.round("t_ms", 3).alias("phone_ms"), F.round(F.col("t_ms") - 3_600_000, 3).alias("_t"))
+    rows = plain.select("participant", "ord", F.round("t_ms", 3).alias("_t"), "site", F.round("ppg", 6).alias("ppg"))
+    return rows.join(phone, ["ord", "_t"]).select("participant", "ord", F.col("_t").alias("t_ms"), "site", "ppg", "phone_ms")
 
 
-@query("SELECT 'P8' AS participant, row_number() OVER (ORDER BY event_id) AS ord, round((SELECT arg_min(epoch_us(ts), event_id) FROM events) / 1000.0 + event_id * 8.0, 3) AS ecg_epoch_ms, event_id * 8.0::DOUBLE AS ecg_rel_ms, round(value, 6) AS ecg_uv FROM events")
+@query(f"WITH {_BY_MONTH} SELECT 'P8' AS participant, ord, round(epoch_us(first_ts) / 1000.0 + event_id * 8.0, 3) AS ecg_epoch_ms, event_id * 8.0::DOUBLE AS ecg_rel_ms, round(value, 6) AS ecg_uv FROM f")
 def polar_csv_rows(spark, sf_dir):
-    """Events as the semicolon CSV of an ECG strap: the first phone time plus the relative time."""
-    e = table(spark, sf_dir, "events").orderBy("event_id").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("phone_time"), F.lit(0.0).alias("sensor_ns"), (F.col("event_id") * 8.0).alias("rel_time_ms"), F.col("value").cast("double").alias("ecg_uv"))
-    out = readers.polar_csv(spark, scratch_csv(e, sep=";", header=True), "P8")
+    """Events as semicolon CSV files by month of an ECG strap: the first phone time plus the relative time."""
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("phone_time"), F.lit(0.0).alias("sensor_ns"), (F.col("event_id") * 8.0).alias("rel_time_ms"), F.col("value").cast("double").alias("ecg_uv"), "event_id", F.expr(_MONTH))
+    out = readers.polar_csv(spark, scratch_csv(e, "month", "event_id", sep=";", header=True), "P8")
     return out.select("participant", "ord", F.round("ecg_epoch_ms", 3).alias("ecg_epoch_ms"), "ecg_rel_ms", F.round("ecg_uv", 6).alias("ecg_uv"))
 
 
-@query("WITH f AS (SELECT *, arg_min(epoch_us(ts), event_id) OVER (PARTITION BY event_type) AS f FROM events) SELECT event_type AS source_file, event_id * 8.0::DOUBLE AS ecg_rel_ms, round(f / 1000.0 + event_id * 8.0, 3) AS recomputed_ms, round(epoch_us(ts) / 1000.0, 3) AS trusted_ms, round(value, 6) AS ecg_uv FROM f")
+@query("WITH f AS (SELECT *, 'P' || (user_id % 16) AS participant, arg_min(epoch_us(ts), event_id) OVER (PARTITION BY user_id % 16, event_type) AS f FROM events) SELECT participant, event_type AS source_file, event_id * 8.0::DOUBLE AS ecg_rel_ms, round(f / 1000.0 + event_id * 8.0, 3) AS recomputed_ms, round(epoch_us(ts) / 1000.0, 3) AS trusted_ms, round(value, 6) AS ecg_uv FROM f")
 def merged_csv_rows(spark, sf_dir):
-    """Events as a merged ECG CSV of several source files, its times recomputed by file and taken as they are."""
+    """Events as merged ECG CSVs by participant, of several source files each, their times recomputed by file and taken as they are."""
     ts = F.col("ts").cast("timestamp")
-    e = table(spark, sf_dir, "events").orderBy("event_id").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("phone_time"), (F.unix_micros(ts) / 1000).alias("time_ms"), F.lit(0.0).alias("sensor_time_ns"), (F.col("event_id") * 8.0).alias("rel_time_ms"), F.col("value").cast("double").alias("ecg_uv"), F.col("event_type").alias("source_file"))
-    path = scratch_csv(e, header=True)
-    a = readers.read_ecg(spark, path, "P9").select("ord", "source_file", "ecg_rel_ms", F.round("ecg_epoch_ms", 3).alias("recomputed_ms"), F.round("ecg_uv", 6).alias("ecg_uv"))
-    b = readers.merged_csv(spark, path, "P9", recompute=False).select("ord", F.round("ecg_epoch_ms", 3).alias("trusted_ms"))
-    return a.join(b, "ord").select("source_file", "ecg_rel_ms", "recomputed_ms", "trusted_ms", "ecg_uv")
+    e = table(spark, sf_dir, "events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("phone_time"), (F.unix_micros(ts) / 1000).alias("time_ms"), F.lit(0.0).alias("sensor_time_ns"), (F.col("event_id") * 8.0).alias("rel_time_ms"), F.col("value").cast("double").alias("ecg_uv"), F.col("event_type").alias("source_file"), "event_id", F.concat(F.lit("P"), F.col("user_id") % 16).alias("participant"))
+    path = scratch_csv(e, "participant", "event_id", header=True)
+    a = readers.read_ecg(spark, path, None).select("participant", "ord", "source_file", "ecg_rel_ms", F.round("ecg_epoch_ms", 3).alias("recomputed_ms"), F.round("ecg_uv", 6).alias("ecg_uv"))
+    b = readers.merged_csv(spark, path, None, recompute=False).select("participant", "ord", F.round("ecg_epoch_ms", 3).alias("trusted_ms"))
+    return a.join(b, ["participant", "ord"]).select("participant", "source_file", "ecg_rel_ms", "recomputed_ms", "trusted_ms", "ecg_uv")
 
 
 @query("WITH c AS (SELECT CAST(user_id AS VARCHAR) || '/' || CAST(CAST(ts AS DATE) AS VARCHAR) AS participant, event_type AS role, count(*) AS n, min('/data/' || CAST(event_id AS VARCHAR)) AS path FROM events GROUP BY ALL) SELECT participant, role, path FROM c WHERE n = 1")

@@ -44,8 +44,8 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def scratch_csv(rows: DataFrame, **options) -> str:
-    """Rows as one CSV file, for the readers of such files."""
+def scratch_csv(rows: DataFrame, by: str, order: str, **options) -> str:
+    """Rows as CSV files, one in a folder of its own for each value of ``by``, in order of ``order`` (which isn't written), for the readers of such files."""
     path = f"{scratch(rows.sparkSession, 'csv')}.csv"
-    rows.coalesce(1).write.options(**options).csv(path)
+    rows.repartition(by).sortWithinPartitions(by, order).drop(order).write.partitionBy(by).options(**options).csv(path)
     return path

@@ -1,7 +1,7 @@
 """Readers of recordings: CSV forms, NumPy archives and participant discovery.
 
-Rows carry ``ord``, their order in the file. It is numbered within each file, in one task for a
-file; Parquet tables that already have it are the native form.
+Rows carry ``ord``, their order in the file: the place in the split that holds them and the counts of the file's splits before it, so that a large
+file is numbered by many tasks. Parquet tables that already have it are the native form.
 """
 
 from __future__ import annotations
@@ -36,25 +36,43 @@ def epoch_ms(text: Column) -> Column:
     return F.unix_micros(F.to_timestamp(F.concat(text, F.lit("+00:00")))).cast("double") / 1000
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows of files with ``_file``, their file's path, and ``ord``; ids rise along a split."""
+    rows = df.withColumn("_file", F.col("_metadata.file_path")).withColumn("_split", F.col("_metadata.file_block_start")).withColumn("_id", F.monotonically_increasing_id())
+    before = Window.partitionBy("_file").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("_file", "_split").agg(F.count("*").alias("_n")).select("_file", "_split", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = rows.withColumn("_place", F.row_number().over(Window.partitionBy("_file", "_split").orderBy("_id")))
+    return inside.join(counts, ["_file", "_split"]).withColumn("ord", F.col("_before") + F.col("_place")).drop("_split", "_id", "_place", "_before")
+
+
+def _with_values(rows: DataFrame, keys: list[str], **values: Column) -> DataFrame:
+    """Rows with aggregates of their key's rows, which are combined before the shuffle."""
+    key = F.struct(*keys)
+    return rows.withColumn("_key", key).join(rows.groupBy(key.alias("_key")).agg(*(v.alias(k) for k, v in values.items())), "_key").drop("_key")
+
+
 def _ordered_csv(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
-    """Rows of CSV files with their file and their order in it: ids rise along a file's splits."""
+    """Rows of CSV files with their file's name and their order in it."""
     df = spark.read.csv(path, schema=schema, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, **options)
-    return df.withColumn("source_file", F.col("_metadata.file_name")).withColumn("_id", F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())).withColumn("ord", F.row_number().over(Window.partitionBy("source_file").orderBy("_id")).cast("long")).drop("_id")
+    return _numbered(df).withColumn("source_file", F.element_at(F.split("_file", "/"), -1))
+
+
+def _device_csv(spark: SparkSession, path: str, subject: str) -> DataFrame:
+    rows = _ordered_csv(spark, path, "uptime_ms double, epoch_ms double, datetime_str string, site string, ppg_raw double")
+    return rows.select("_file", F.lit(subject).alias("participant"), "source_file", "ord", F.col("epoch_ms").alias("t_ms"), "datetime_str", "site", F.col("ppg_raw").alias("ppg"))
 
 
 def device_csv(spark: SparkSession, path: str, subject: str) -> DataFrame:
     """Headerless pulse CSV (uptime_ms, epoch_ms, datetime_str, site, ppg_raw): t_ms and ppg; ``site`` is the first row's."""
-    rows = _ordered_csv(spark, path, "uptime_ms double, epoch_ms double, datetime_str string, site string, ppg_raw double")
-    file = Window.partitionBy("source_file")
-    return rows.withColumn("site", F.min_by("site", "ord").over(file)).select(F.lit(subject).alias("participant"), "source_file", "ord", F.col("epoch_ms").alias("t_ms"), "datetime_str", "site", F.col("ppg_raw").alias("ppg"))
+    rows = _with_values(_device_csv(spark, path, subject), ["_file"], _site=F.min_by("site", "ord"))
+    return rows.withColumn("site", F.col("_site")).drop("_file", "_site")
 
 
 def device_csv_phone_time(spark: SparkSession, path: str, subject: str) -> DataFrame:
     """:func:`device_csv` with times counted from the first row's (by time) date and time."""
-    file, first = Window.partitionBy("source_file"), F.struct("t_ms", "ord")
-    rows = device_csv(spark, path, subject)
-    rows = rows.withColumn("_start", epoch_ms(F.min_by("datetime_str", first).over(file))).withColumn("_least", F.min("t_ms").over(file))
-    return rows.withColumn("t_ms", F.col("_start") + (F.col("t_ms") - F.col("_least"))).drop("_start", "_least")
+    first = F.min_by("datetime_str", F.struct("t_ms", "ord"))
+    rows = _with_values(_device_csv(spark, path, subject), ["_file"], _site=F.min_by("site", "ord"), _first=first, _least=F.min("t_ms"))
+    return rows.withColumn("site", F.col("_site")).withColumn("t_ms", epoch_ms(F.col("_first")) + (F.col("t_ms") - F.col("_least"))).drop("_file", "_site", "_first", "_least")
 
 
 def with_phone_time(samples: DataFrame, anchors: DataFrame, keys: list[str]) -> DataFrame:
@@ -65,25 +83,25 @@ def with_phone_time(samples: DataFrame, anchors: DataFrame, keys: list[str]) ->
 def polar_csv(spark: SparkSession, path: str, subject: str) -> DataFrame:
     """Semicolon ECG CSV with a header: the epoch is the first phone time in the file plus the relative time."""
     rows = _ordered_csv(spark, path, "phone_time string, sensor_ns double, rel_time_ms double, ecg_uv double", sep=";", header=True, enforceSchema=True)
-    start = epoch_ms(F.min_by("phone_time", "ord").over(Window.partitionBy("source_file")))
-    return rows.select(F.lit(subject).alias("participant"), "ord", (start + F.col("rel_time_ms")).alias("ecg_epoch_ms"), F.col("rel_time_ms").alias("ecg_rel_ms"), "ecg_uv", "source_file")
+    rows = _with_values(rows, ["_file"], _first=F.min_by("phone_time", "ord"))
+    return rows.select(F.lit(subject).alias("participant"), "ord", (epoch_ms(F.col("_first")) + F.col("rel_time_ms")).alias("ecg_epoch_ms"), F.col("rel_time_ms").alias("ecg_rel_ms"), "ecg_uv", "source_file")
 
 
 def ecg_epoch(raw: DataFrame) -> DataFrame:
     """Raw rows (participant, ord, phone_time, rel_time_ms, ..., source_file) with ecg_epoch_ms: for each source file its first
     phone time in file order plus the relative time. Rows without a source file are rejected."""
-    file = Window.partitionBy("participant", "source_file")
-    first = F.min_by("phone_time", "ord").over(file)
-    return raw.where(F.col("source_file").isNotNull()).withColumn("ecg_epoch_ms", epoch_ms(first) + F.col("rel_time_ms"))
+    rows = _with_values(raw.where(F.col("source_file").isNotNull()), ["participant", "source_file"], _first=F.min_by("phone_time", "ord"))
+    return rows.withColumn("ecg_epoch_ms", epoch_ms(F.col("_first")) + F.col("rel_time_ms")).drop("_first")
 
 
 _MERGED = "phone_time string, time_ms double, sensor_time_ns double, rel_time_ms double, ecg_uv double, source_file string"
 
 
-def merged_csv(spark: SparkSession, path: str, subject: str, recompute: bool = True) -> DataFrame:
-    """Merged ECG CSV; epochs are recomputed by source file, or ``time_ms`` is trusted."""
-    df = spark.read.csv(path, schema=_MERGED, header=True, enforceSchema=True).withColumn("_file", F.col("_metadata.file_name"))
-    df = df.withColumn("_id", F.monotonically_increasing_id()).withColumn("ord", F.row_number().over(Window.partitionBy("_file").orderBy("_id")).cast("long")).drop("_file", "_id").withColumn("participant", F.lit(subject))
+def merged_csv(spark: SparkSession, path: str, subject: str | None, recompute: bool = True) -> DataFrame:
+    """Merged ECG CSV; epochs are recomputed by source file, or ``time_ms`` is trusted. Without ``subject`` the path holds folders participant=<id> with
+    one file each."""
+    df = _numbered(spark.read.csv(path, schema=_MERGED if subject else f"{_MERGED}, participant string", header=True, enforceSchema=True)).drop("_file")
+    df = df.withColumn("participant", F.lit(subject)) if subject else df
     df = ecg_epoch(df) if recompute else df.withColumn("ecg_epoch_ms", F.col("time_ms"))
     return df.select("participant", "ord", "ecg_epoch_ms", F.col("rel_time_ms").alias("ecg_rel_ms"), "ecg_uv", "source_file")
 
@@ -125,7 +143,7 @@ def ecg_archive(spark: SparkSession, path: str) -> DataFrame:
     return ecg_epoch(_archives(spark, path, read, "participant string, ord long, phone_time string, rel_time_ms double, ecg_uv double, source_file string"))
 
 
-def read_ecg(spark: SparkSession, path: str, subject: str) -> DataFrame:
+def read_ecg(spark: SparkSession, path: str, subject: str | None) -> DataFrame:
     """ECG by the file's kind."""
     if path.endswith(".npz"):
         return ecg_archive(spark, path)
