@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wavelane.operators.folds import below, hash_share
+from wavelane.operators.networks import Network
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -131,7 +133,7 @@ class Training:
     what goes to the driver and back at each step; rows stay where they are.
     """
 
-    def __init__(self, model: TwoLayers, table: str, rate: float = 5e-4, epochs: int = 20, patience: int = 5, batches: int = 4, validation: float = 0.2, seed: int = 40):
+    def __init__(self, model: TwoLayers | Network, table: str, rate: float = 5e-4, epochs: int = 20, patience: int = 5, batches: int = 4, validation: float = 0.2, seed: int = 40):
         self.model, self.table, self.rate, self.epochs, self.patience, self.batches, self.validation, self.seed = model, table, rate, epochs, patience, batches, validation, seed
 
     def prepared(self, rows: DataFrame, participant: str, key: list[str], features: str, label: str) -> DataFrame:
@@ -220,6 +222,8 @@ class Training:
     def predictions(self, rows: DataFrame, fitted: DataFrame, participant: str, features: str) -> DataFrame:
         """``rows`` with ``predicted_bpm`` by the model that was fitted without their participant; null where features can't be used."""
         model = self.model
+        if isinstance(model, Network):
+            return self._network_predictions(rows, fitted, participant, features)
         joined = rows.join(fitted.select(F.col("fold").alias("_fold"), F.col("weights").alias("_w")), F.col(participant).cast("string") == F.col("_fold"), "left")
         x, w = F.col(features).cast("array<double>"), F.col("_w")
 
@@ -234,3 +238,19 @@ class Training:
         else:
             out = dot(x, F.slice(w, 1, d)) + F.get(w, F.lit(d))
         return joined.withColumn("predicted_bpm", F.when((F.size(features) == d) & w.isNotNull(), out)).drop("_fold", "_w")
+
+    def _network_predictions(self, rows: DataFrame, fitted: DataFrame, participant: str, features: str) -> DataFrame:
+        # The models are what training holds on the driver already: folds times weights.
+        model = self.model
+        weights = rows.sparkSession.sparkContext.broadcast({r.fold: np.array(r.weights) for r in fitted.collect()})
+
+        @F.pandas_udf("double")
+        def predicted(names: pd.Series, x: pd.Series) -> pd.Series:
+            out = pd.Series(np.nan, names.index)
+            fits = x.map(lambda v: v is not None and len(v) == model.inputs)
+            for name, own in names[fits].groupby(names[fits]).groups.items():
+                if name in weights.value:
+                    out[own] = model.predict(weights.value[name], np.stack(x[own].to_list()).astype(float))
+            return out
+
+        return rows.withColumn("predicted_bpm", F.nanvl(predicted(F.col(participant).cast("string"), F.col(features).cast("array<double>")), F.lit(None).cast("double")))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wavelane.functions import arrays as A, ecg, estimators as E, signal as S
-from wavelane.operators import align, folds, labels, metrics, segments, training, windows as W
+from wavelane.operators import align, folds, labels, metrics, networks, segments, training, windows as W
 from wavelane.plans.fixtures import DEVICE_OF, DEVICES, HOUR, SAMPLES_SQL, samples, scratch, scratch_csv, table, windows64
 from wavelane.sources import archives, readers, sinks
 from wavelane.sources.readers import ecg_epoch, participant_id, pulse_column
@@ -828,3 +828,28 @@ def probe_metrics(spark, sf_dir):
     run = training.Training(training.TwoLayers(64, 16), scratch(spark, "probe"), rate=5e-3, epochs=6, batches=2)
     fitted = run.fit(rows, "participant", ["vec_id"], "x", "hr")
     return metrics.error_metrics(run.predictions(rows, fitted, "participant", "x"), P, "hr", "predicted_bpm", zero_r=True)
+
+
+def _network_metrics(spark, sf_dir, model):
+    rows = _rated(spark, sf_dir).withColumn("x", A.zscore(F.col("w")))
+    run = training.Training(model, scratch(spark, "network"), rate=5e-3, epochs=3, batches=2)
+    fitted = run.fit(rows, "participant", ["vec_id"], "x", "hr")
+    return metrics.error_metrics(run.predictions(rows, fitted, "participant", "x"), P, "hr", "predicted_bpm", zero_r=True)
+
+
+@query()
+def convolution_metrics(spark, sf_dir):
+    """Errors by fold of convolutions on whole windows."""
+    return _network_metrics(spark, sf_dir, networks.Convolutions(64, (8, 16, 16)))
+
+
+@query()
+def recurrent_metrics(spark, sf_dir):
+    """Errors by fold of two recurrent layers on whole windows."""
+    return _network_metrics(spark, sf_dir, networks.Recurrent(64, hidden=16))
+
+
+@query()
+def attention_metrics(spark, sf_dir):
+    """Errors by fold of attention over patches of whole windows."""
+    return _network_metrics(spark, sf_dir, networks.Attention(64, width=16, depth=2))
