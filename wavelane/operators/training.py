@@ -10,9 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wavelane.operators.folds import below, hash_share
 from wavelane.operators.networks import Network
@@ -244,13 +245,17 @@ class Training:
         model = self.model
         weights = rows.sparkSession.sparkContext.broadcast({r.fold: np.array(r.weights) for r in fitted.collect()})
 
-        @F.pandas_udf("double")
-        def predicted(names: pd.Series, x: pd.Series) -> pd.Series:
-            out = pd.Series(np.nan, names.index)
-            fits = x.map(lambda v: v is not None and len(v) == model.inputs)
-            for name, own in names[fits].groupby(names[fits]).groups.items():
-                if name in weights.value:
-                    out[own] = model.predict(weights.value[name], np.stack(x[own].to_list()).astype(float))
-            return out
-
-        return rows.withColumn("predicted_bpm", F.nanvl(predicted(F.col(participant).cast("string"), F.col(features).cast("array<double>")), F.lit(None).cast("double")))
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                *kept, who, x = batch.columns
+                out = np.full(batch.num_rows, np.nan)
+                fits = np.flatnonzero(pc.fill_null(pc.equal(pc.list_value_length(x), model.inputs), False).to_numpy(zero_copy_only=False))
+                names, values = np.array(who.to_pylist(), object)[fits], _matrix(x.take(pa.array(fits))) if len(fits) else None
+                for name in set(names) & set(weights.value):
+                    own = names == name
+                    out[fits[own]] = model.predict(weights.value[name], values[own])
+                yield pa.RecordBatch.from_arrays([*kept, pa.array(out, pa.float64(), mask=np.isnan(out))], names=[*batch.schema.names[:-2], "predicted_bpm"])
+
+        kept = rows.drop("predicted_bpm")
+        schema = StructType([*kept.schema.fields, StructField("predicted_bpm", DoubleType())])
+        return kept.select("*", F.col(participant).cast("string").alias("_who"), F.col(features).cast("array<double>").alias("_x")).mapInArrow(run, schema)
