@@ -103,6 +103,24 @@ def test_variants_at_the_edges(spark, odd, none):
     assert got["zzzzz"][3] == 7 and got["words"][3] == 8
 
 
+def test_no_table_of_words_is_broadcast(spark, docs, monkeypatch):
+    plans, keep = [], S.stored
+
+    def seen(df, *more):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, *more)
+
+    monkeypatch.setattr(S, "stored", seen)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        plans.append(S.spelling_variants(docs)._jdf.queryExecution().executedPlan().toString())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(plans) > 3 and "SortMergeJoin" in plans[-1]
+    assert not any("Broadcast" in p for p in plans)
+
+
 def brute_audit(rows, labels):
     texts = {}
     for id_, text, _ in rows:

@@ -24,6 +24,12 @@ _BASES = (1103515245, 1664525069)
 _SLICE = 1 << 20
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join by sorting. Stored tables are compressed, so a file below Spark's bound for broadcasts may hold many times more,
+    which the driver would collect and hash; and all tables here grow with the vocabulary."""
+    return side.hint("merge")
+
+
 def word_counts(docs: DataFrame, every: int = 97, least_length: int = 5, least_count: int = 3) -> DataFrame:
     """(word, n) of the runs of letters, one code point of every ``every``-th (document, run) deleted, by the crc32 of both."""
     id_ = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
@@ -103,11 +109,11 @@ def near_pairs(words: DataFrame) -> DataFrame:
     word's places: a bound by language, not by data. Words of one id by chance come out as further candidates and are verified as all are.
     """
     keys = deletions(words)
-    pairs = keys.alias("a").join(keys.alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    pairs = keys.alias("a").join(merged(keys).alias("b"), "key").where("a.id < b.id").select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     twins = words.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))
     left = words.select(F.col("id").alias("a"), F.col("word").alias("x"), F.col("n").alias("nx"))
     right = words.select(F.col("id").alias("b"), F.col("word").alias("y"), F.col("n").alias("ny"))
-    found = pairs.unionByName(twins).join(left, "a").join(right, "b").where((F.col("x") != F.col("y")) & at_distance_one(F.col("x"), F.col("y")))
+    found = pairs.unionByName(twins).join(merged(left), "a").join(merged(right), "b").where((F.col("x") != F.col("y")) & at_distance_one(F.col("x"), F.col("y")))
     twice = F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("x").alias("word"), F.col("nx").alias("n"), F.col("y").alias("near"), F.col("ny").alias("near_n")))).otherwise(
         F.array(F.struct(F.col("x").alias("word"), F.col("nx").alias("n"), F.col("y").alias("near"), F.col("ny").alias("near_n")), F.struct(F.col("y").alias("word"), F.col("ny").alias("n"), F.col("x").alias("near"), F.col("nx").alias("near_n")))
     )
@@ -121,9 +127,9 @@ def roots(forms: DataFrame) -> DataFrame:
     under which there are only its near words, never all words of one root.
     """
     found, links = None, forms
-    level = forms.select(F.col("form").alias("word")).distinct().join(forms.select("word"), "word", "left_anti").withColumn("root", F.col("word"))
+    level = forms.select(F.col("form").alias("word")).distinct().join(merged(forms.select("word")), "word", "left_anti").withColumn("root", F.col("word"))
     while True:
-        next_ = stored(links.join(level.select(F.col("word").alias("form"), "root"), "form").select("word", "root"), "spelling-level")
+        next_ = stored(links.join(merged(level.select(F.col("word").alias("form"), "root")), "form").select("word", "root"), "spelling-level")
         if next_.isEmpty():
             return found if found is not None else next_
         found = next_ if found is None else found.unionByName(next_)
@@ -142,5 +148,5 @@ def spelling_variants(docs: DataFrame, every: int = 97, least_length: int = 5, l
     good = -F.col("b.less") >= times * F.col("n")
     best = stored(best.select("word", "n_near", F.when(good, F.col("b.form")).alias("form"), F.when(good, -F.col("b.less")).alias("form_n")), "spelling-near")
     ends = roots(best.where("form IS NOT NULL").select("word", "form"))
-    out = words.select("word", "n").join(best, "word", "left").join(ends, "word", "left")
+    out = words.select("word", "n").join(merged(best), "word", "left").join(merged(ends), "word", "left")
     return out.select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
