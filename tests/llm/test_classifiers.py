@@ -62,6 +62,37 @@ def test_score_ignores_other_columns(spark, tables):
     assert a == {r.doc_id: r.score for r in T.score_texts(changed, model, F.lit(True)).collect()}
 
 
+def test_toxicity_learns_from_all_labelled_texts(spark):
+    """3,000 texts of each class; each of 600 toxic words is in five of them, and one is in long texts only."""
+    rng = np.random.default_rng(2)
+    letters = "abcdefghijklmnopqrst"
+    words = [a + b for a in letters for b in letters]
+    bad = ["x" + a + b for a in letters for b in letters + "uvwxyzABCD"]
+    rows = [(2 * d + y, " ".join([*(words[k] for k in rng.integers(0, 400, 12)), *[bad[d % 600]] * y]), None, y) for d in range(3000) for y in (0, 1)]
+    rows += [(7000 + d, "lengthy " * 10_000, "de", 1) for d in range(12)]
+    rows += [rows[1], (8000, None, "xx", 1)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string, toxic int")
+    model = T.fit_classifier(table.drop("toxic"), table.select("doc_id", "toxic"), F.lit(True), rounds=2)
+    known = [bool(model.place[w]) for w in T.buckets(*text_bytes(pa.array([" ".join(bad)])))[0]]
+    assert np.mean(known) > 0.93 and model.place[T.buckets(*text_bytes(pa.array(["lengthy"])))[0][0]] and model.languages == ["de"]
+    again = T.fit_classifier(table.drop("toxic").repartition(7), table.select("doc_id", "toxic"), F.lit(True), rounds=2)
+    assert np.allclose(model.embeddings, again.embeddings, atol=1e-5) and np.allclose(model.thresholds, again.thresholds, atol=0.02)
+
+
+def test_shards_count_as_loops_do(spark):
+    texts = ["a b b c", "b é", "", "a a", "c d e"]
+    words, at = T.buckets(*text_bytes(pa.array(texts)))
+    shard = T.Shard(words, at, np.array([0, 1, 1, 0, 1]), np.array([0, 1, -1, 2, 0]), np.array([False, False, False, False, True]))
+    tables = {}
+    shard.count_into(tables)
+    shard.count_into(tables)
+    with_, of_language = T.split_tables(tables, 3)
+    for word in "abcde":
+        k = T.buckets(*text_bytes(pa.array([word])))[0][0]
+        assert with_[k].tolist() == [2 * sum(word in texts[i].split() for i in own) for own in ((0, 3), (1, 2))]
+        assert of_language[k].tolist() == [2 * texts[i].split().count(word) for i in (0, 1, 3)]
+
+
 def test_threshold_is_the_widest_best_cut():
     assert T.best_threshold(np.array([0.0, 1.0, 5.0, 6.0]), np.array([0, 0, 1, 1]), 9.0) == 3.0
     assert T.best_threshold(np.array([0.0, 1.0]), np.array([0, 0]), 9.0) == 9.0
