@@ -108,6 +108,29 @@ def test_spelling_is_a_distribution(model):
     assert all(n == int("1" + "".join(map(str, bit[k - s : k])), 2) for k, (n, s) in enumerate(zip(node, shift, strict=True)))
 
 
+def test_start_is_the_mean_of_all_training_texts(model, docs):
+    """Over 500 texts, and one of over 64 KiB; each is fitted alone here, and the result does not depend on partitions."""
+    lexicon, tables, *_ = model
+    rows = docs.select("doc_id", "text")
+    many = rows.where(~held()).select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).selectExpr("10 * doc_id + k AS doc_id", "text")
+    start = M.Start.fit(many, F.lit(True), lexicon, tables)
+    texts = [r.text for r in many.collect()]
+    assert len(texts) > 600
+    times, weights, tries = np.zeros(8), np.zeros((8, 3)), 0
+    views = [M.Odds(tables[1])]
+    for text in texts:
+        mixer = M.class_scores(M.Tokens(*text_bytes(pa.array([text])), lexicon), lexicon, tables, np.ones(1, bool), M.Start(), fits=True, views=views)[1]
+        times += mixer.times
+        weights += mixer.times[:, None] * mixer.weights.T
+        tries = tries + mixer.tries
+    assert np.allclose(start.weights, weights / times[:, None], atol=1e-4)
+    assert np.allclose(start.refined[1], np.minimum(tries, M.PATIENCE), atol=1e-3)
+    long_ = rows.unionByName(rows.where("doc_id = 3").selectExpr("-1L AS doc_id", "repeat(concat(text, ' '), 200) AS text"))
+    assert long_.where("octet_length(text) > 65536").count() > 0
+    a, b = (M.Start.fit(r, F.lit(True), lexicon, tables) for r in (long_, long_.repartition(6)))
+    assert np.allclose(a.weights, b.weights, atol=1e-6) and not np.allclose(a.weights, M.Start.fit(rows, F.lit(True), lexicon, tables).weights, atol=1e-6)
+
+
 def test_mixing_by_loops(model, docs):
     """One decision after the other, with plain numbers, weights and counts taken at the start of each block."""
     lexicon, tables, start, *_ = model
