@@ -174,6 +174,33 @@ def test_mixing_by_loops(model, docs):
         assert math.isclose(total, got[text], rel_tol=2e-3, abs_tol=1e-3)
 
 
+def test_few_decisions_at_once(model, docs, monkeypatch):
+    """However many texts come together, their decisions are met a few at a time, and each text is scored and fitted as if it were alone."""
+    lexicon, tables, start, *_ = model
+    texts = [r.text for r in docs.where("doc_id < 150").collect()] + ["", "the of and", None, " ".join(f"of w{k % 7} the" for k in range(3000))]
+    learned, views, sizes = np.arange(len(texts)) % 3 > 0, [M.Odds(tables[1])], []
+    run = lambda own, marks, **more: M.class_scores(M.Tokens(*text_bytes(pa.array(own, pa.string())), lexicon), lexicon, tables, marks, views=views, **more)
+    plain = M.Mixer.learn
+    monkeypatch.setattr(M.Mixer, "learn", lambda self, x, at, *more: (sizes.append(len(at)), plain(self, x, at, *more))[1])
+    together, fitted = run(texts, learned, start=start)[0], run(texts, learned, start=M.Start(), fits=True)[1]
+    assert len(texts) > 2 * 64 and max(sizes) <= 64 * M.BLOCK * 9 and len(sizes) > 100
+    alone = [run([t], learned[k : k + 1], start=start)[0][0] for k, t in enumerate(texts)]
+    assert np.allclose(together, alone, rtol=1e-4)
+    assert np.allclose(fitted.sums(), sum(run([t], learned[k : k + 1], start=M.Start(), fits=True)[1].sums() for k, t in enumerate(texts)), rtol=1e-3, atol=2)
+    assert len(run([], learned[:0], start=start)[0]) == 0
+
+
+def test_odds_and_steps_in_one_number(model):
+    table = model[1][1]
+    at = np.append(np.flatnonzero(table.sum(axis=1))[:5000], [0, len(table) - 1])
+    odds = M.Odds(table)
+    for view, less in enumerate(([0, 0], [1, 0], [0, 1])):
+        n = np.maximum(table[at] - less, 0)
+        got = odds.x.take(at + view * len(table))
+        assert np.allclose(got, np.log((n[:, 1] + M.PRIOR) / (n[:, 0] + M.PRIOR)), rtol=1e-5, atol=1e-6)
+        assert odds.seen(got).tolist() == [sum(k >= edge for edge in M.SEEN) for k in n.sum(axis=1)]
+
+
 def test_held_out_texts_of_a_made_up_language(spark):
     """Two languages with words of their own: texts code below the unigram base, and shuffled letters above it."""
     rng = random.Random(5)
