@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 
 from wavelane.llm import exchange, fingerprint, near_dup, sentence_spans, suffix_levels
-from wavelane.llm.textnum import find_words, hash_spans, shingles, text_bytes
+from wavelane.llm.textnum import find_words, hash_spans, returned, shingles, text_bytes
 
 
 # -- shared parts ----------------------------------------------------------------------------------------------------
@@ -57,6 +58,43 @@ def test_levels_find_every_later_place():
     assert all(a >= 2 * b for a, b in zip(sizes[:-1], sizes[1:], strict=True))
 
 
+def test_levels_merge_in_little_memory():
+    rng = np.random.default_rng(3)
+    n = 200_000
+    tracemalloc.start()
+    try:
+        levels = [[rng.integers(0, 2**63, n).astype(np.uint64), np.arange(n), np.arange(n, dtype=np.int32), np.arange(n, dtype=np.int32)] for _ in range(2)]
+        own, _ = tracemalloc.get_traced_memory()
+        expect = {tuple(r) for x in levels for r in zip(*(a[::1000].tolist() for a in x), strict=True)}
+        before, _ = tracemalloc.get_traced_memory()
+        tracemalloc.reset_peak()
+        exchange.merged_levels(levels, lambda both: np.argsort(both[0], kind="stable"))
+        _, peak = tracemalloc.get_traced_memory()
+    finally:
+        tracemalloc.stop()
+    (merged,) = levels
+    assert (np.diff(merged[0].view(np.int64)) >= 0).all() and expect <= set(zip(*(a.tolist() for a in merged), strict=True))
+    assert peak - before < 1.2 * own  # entries once more at most, not twice
+
+
+def test_free_memory_is_returned_after_a_task():
+    def resident() -> int:
+        with open("/proc/self/status") as f:
+            return next(int(x.split()[1]) for x in f if x.startswith("RssAnon")) >> 10
+
+    def run(batches):
+        for batch in batches:
+            parts = [np.ones(8_000) for _ in range(3_000)]  # small enough for the heap
+            pins.append(np.ones(8_000))  # keeps the heap from shrinking by itself
+            del parts
+            used.append(resident())
+            yield batch
+
+    batch, pins, used, before = pa.RecordBatch.from_pydict({"doc_id": [1]}), [], [], resident()
+    assert list(returned(run)(iter([batch]))) == [batch] and used[0] - before > 150
+    assert resident() - before < 50
+
+
 def test_joined_spans():
     doc, s, e = exchange.joined(np.array([1, 1, 2, 1]), np.array([5, 0, 3, 9], np.int32), np.array([9, 6, 4, 12], np.int32))
     assert list(zip(doc.tolist(), s.tolist(), e.tolist(), strict=True)) == [(1, 0, 12), (2, 3, 4)]

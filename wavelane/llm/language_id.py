@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wavelane.llm.shared import bounded_sample, sampled_texts
-from wavelane.llm.textnum import row_ranges, sum_by_row, text_bytes
+from wavelane.llm.textnum import returned, row_ranges, sum_by_row, text_bytes
 
 #: Labelled texts sampled for each language at most: the bound of the fit.
 SAMPLE_PER_LANGUAGE = 400
@@ -209,4 +209,4 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
                 keep = [t is not None and _LETTER.search(t) is not None for t in column.to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(returned(run), rows.schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from wavelane.llm.exchange import BLOBS, REQUESTS, Blobs, blob_rows, by_bucket, doc_bucket, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import discard, partitions, stored
-from wavelane.llm.textnum import FOLDED_KEYS, U64, distinct_by_row, find_words, hash_spans, mix, row_ranges, shingles, text_bytes
+from wavelane.llm.textnum import FOLDED_KEYS, U64, distinct_by_row, find_words, hash_spans, mix, returned, row_ranges, shingles, text_bytes
 
 SHINGLE_WORDS, PERCENT = 5, 80
 SAMPLES, BANDS, BAND_ROWS, SKETCH_BITS = 128, 15, 3, 256
@@ -123,7 +123,7 @@ def sketch_documents(docs: DataFrame, size: int) -> DataFrame:
                 columns = [part.column(0), pa.array(np.diff(offsets)), pa.array([k.tobytes() for k in key], pa.binary()), *keys]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "set_key", "bands", "further", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_key binary, bands array<long>, further array<long>, sketch array<long>")
+    return docs.mapInArrow(returned(run), "doc_id long, n_shingles long, set_key binary, bands array<long>, further array<long>, sketch array<long>")
 
 
 def _differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,7 +230,7 @@ def _by_group(rows: DataFrame, n: int, keys: list[str], order: str, links) -> Da
         if held:
             yield from done()
 
-    return rows.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInArrow(run, "a long, b long")
+    return rows.repartition(n, *keys).sortWithinPartitions(*keys, order).mapInArrow(returned(run), "a long, b long")
 
 
 def fetched(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
@@ -260,7 +260,7 @@ def fetched(rows: DataFrame, ids: DataFrame, n: int) -> DataFrame:
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([pack.compress((t or "").encode()) for _, t in got], pa.binary())], ["doc_id", "packed"])
 
-    return by_bucket(ids.select("doc_id").mapInArrow(ask, BLOBS).unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(run, "doc_id long, packed binary")
+    return by_bucket(ids.select("doc_id").mapInArrow(returned(ask), BLOBS).unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(returned(run), "doc_id long, packed binary")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from wavelane.llm.exchange import Remembered
-from wavelane.llm.textnum import BYTE_KEYS, FOLDED_KEYS, find_words, hash_spans, row_ranges, text_bytes
+from wavelane.llm.textnum import BYTE_KEYS, FOLDED_KEYS, find_words, hash_spans, returned, row_ranges, text_bytes
 
 #: Chunks of text whose ids a worker remembers, in about 35 bytes each; the memo starts again when it is full.
 MEMO_ENTRIES = 3_000_000
@@ -239,4 +239,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         if rows := rows + bins.finish():
             yield out(rows)
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, PACKED)
+    return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(returned(run), PACKED)

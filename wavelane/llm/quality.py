@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wavelane.llm.shared import bounded_sample, sampled_texts
-from wavelane.llm.textnum import IS_SPACE, find_words, hash_spans, row_ranges, shingles, sum_by_row, text_bytes
+from wavelane.llm.textnum import IS_SPACE, find_words, hash_spans, returned, row_ranges, shingles, sum_by_row, text_bytes
 
 #: Labelled documents sampled of each quality at most: the bound of the fit.
 SAMPLE_PER_QUALITY = 600
@@ -282,4 +282,4 @@ def keep_content(docs: DataFrame, field: LineField, content_share: float = CONTE
             if batch.num_rows:
                 yield batch.filter(pa.array(verdicts(batch.column(at), held.value, content_share)[6]))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(returned(run), rows.schema)

@@ -22,13 +22,13 @@ from pyspark.sql import DataFrame
 
 from wavelane.llm.exchange import BLOBS, FLUSH_BYTES, KEYS, MARKS, TEXTS, Batches, Blobs, Levels, Spans, blob_rows, by_bucket, by_place, cover, doc_bucket, first_of_each, joined, key_bucket, text_blobs, unpack_arrays, unpack_rows
 from wavelane.llm.shared import partitions
-from wavelane.llm.textnum import BYTE_KEYS, U64, Sums, find_words, hash_spans, mix, row_ranges, text_bytes
+from wavelane.llm.textnum import BYTE_KEYS, U64, Sums, find_words, hash_spans, mix, returned, row_ranges, text_bytes
 
 LEAST_SENTENCES, LEAST_WORDS = 2, 12
 #: Words that repeat count from here on whatever sentences they stand in.
 RUN_WORDS = 51
 #: Bytes of text whose spans and runs, one a word, a task gathers before it sends them.
-GATHER_BYTES = FLUSH_BYTES // 4
+GATHER_BYTES = FLUSH_BYTES // 16
 _STOP = np.zeros(256, bool)
 _STOP[[33, 46, 63]] = True
 
@@ -132,7 +132,7 @@ def repeated_spans(docs: DataFrame, least_sentences: int, least_words: int, run_
         scan(gathered.rest(), 0)
         yield from out.take(0)
 
-    return by_bucket(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(gather, BLOBS), n).mapInArrow(meet, BLOBS)
+    return by_bucket(docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(returned(gather), BLOBS), n).mapInArrow(returned(meet), BLOBS)
 
 
 def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, least_words: int = LEAST_WORDS, run_words: int | None = None, names: tuple[str, str, str, str] = ("n_sentences", "n_removed", "n_cut", "removed")) -> DataFrame:
@@ -183,4 +183,4 @@ def remove_repeats(docs: DataFrame, least_sentences: int = LEAST_SENTENCES, leas
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text", *rest, *new])
 
     schema = ", ".join(f"`{name.replace('`', '``')}` {kind}" for name, kind in rows.dtypes) + f", `{names[0]}` long, `{names[1]}` long, `{names[2]}` long, `{names[3]}` array<struct<start: long, end: long>>"
-    return by_bucket(marks.unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(cut, schema)
+    return by_bucket(marks.unionByName(text_blobs(rows, n)), n, sort=True).mapInArrow(returned(cut), schema)
