@@ -201,6 +201,64 @@ def test_odds_and_steps_in_one_number(model):
         assert odds.seen(got).tolist() == [sum(k >= edge for edge in M.SEEN) for k in n.sum(axis=1)]
 
 
+def test_texts_are_cut_once(spark, odd, monkeypatch):
+    """Texts go to Python once to be counted and once to be coded, whatever is fitted and scored; words outside of the lexicon are listed and joined once."""
+    plain, read = type(odd).mapInArrow, []
+    monkeypatch.setattr(type(odd), "mapInArrow", lambda self, *more: (read.append(self.columns), plain(self, *more))[1])
+    out = score(odd)
+    assert sum("text" in columns for columns in read) == 2
+    kept, made = M.stored, []
+    monkeypatch.setattr(M, "stored", lambda df, *more: (made.append(df), kept(df, *more))[1])
+    out = score(odd)
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in [*made, out]]
+    assert sum(plan.count("Generate explode") for plan in plans) == 1
+
+
+def test_coded_texts(spark, model, docs):
+    """Coded texts hold all that the texts' tokens do, and fit the same tables and starting weights."""
+    lexicon, tables, start, *_ = model
+    odd = ["The the  THE\tof été", None, "", " \n", "x" * 300 + " the " + "x" * 300, "qqzx1 of qqzx2 the qqzx1", "".join(map(chr, range(1, 400))), "of " * 5000]
+    texts = odd + [r.text for r in docs.where("doc_id < 60").collect()]
+    rows = spark.createDataFrame([(k, t, k % 2 == 0, k % 3 > 0) for k, t in enumerate(texts)], "doc_id long, text string, held_out boolean, learned boolean")
+    coded = M.coded(rows.repartition(3), lexicon).toArrow().sort_by("doc_id").combine_chunks()
+    column = lambda name: coded.column(name).combine_chunks()
+    want = M.Tokens(*text_bytes(pa.array(texts)), lexicon)
+    got = M.Tokens.coded(column("ids"), column("hashes"), lexicon)
+    assert all(np.array_equal(getattr(got, name), getattr(want, name)) for name in ("row", "place", "first", "count", "known", "hash", "before"))
+    assert np.array_equal(got.class_[got.known >= 0], want.class_[want.known >= 0])
+    assert all(np.array_equal(a, b) for a, b in zip(got.slots(0, len(got.row)), want.slots(0, len(want.row)), strict=True))
+    words = want.types.to_pylist()
+    for r in coded.to_pylist():
+        own = np.flatnonzero(want.row == r["doc_id"])
+        outside = Counter(words[want.type[k]] for k in own if want.known[k] < 0)
+        assert {e["word"]: e["n"] for e in r["rare"]} == outside and len(r["rare"]) == len(outside)
+        assert (r["n_tokens"], r["known"], r["n_bytes"]) == (len(own), sum(want.known[own] >= 0), len((texts[r["doc_id"]] or "").encode()))
+        assert (r["held_out"], r["learned"]) == (r["doc_id"] % 2 == 0, r["doc_id"] % 3 > 0)
+    assert len(set(column("row").to_pylist())) == len(texts)
+    learned = M.coded(docs.selectExpr("text", "doc_id").withColumns({"held_out": held(), "learned": ~held()}), lexicon)
+    assert all(np.array_equal(a, b) for a, b in zip(M.class_tables(learned, F.col("learned"), lexicon), tables, strict=True))
+    again = M.Start.fit(learned, F.col("learned"), lexicon, tables)
+    assert np.allclose(again.weights, start.weights, atol=1e-9) and np.allclose(again.refined, start.refined)
+
+
+def test_numbers_by_hash(model):
+    lexicon = model[0]
+    listed = lexicon.words.to_pylist()
+    words = pa.array([*listed[::-1], "", "qqzx1", listed[0] + "q"])
+    want = [listed.index(w) if w in set(listed) else -1 for w in words.to_pylist()]
+    hashes = M.Tokens(*text_bytes(words), lexicon)
+    own = dict(zip(hashes.types.to_pylist(), hashes.type_hash.tolist(), strict=True))
+    hash_ = np.array([own[w] for w in words.to_pylist()], np.uint64)
+    assert lexicon.numbers(words, hash_).tolist() == want
+    # A word with another's hash is told from it by its letters.
+    assert lexicon.numbers(pa.array(["qqzx1"]), lexicon.hash[:1]).tolist() == [-1]
+    # Where words of the lexicon share a hash, all are found still.
+    twice = M.Lexicon(["a", "b", "of"], [9, 8, 7], 24, 3)
+    twice.sorted = twice.sorted[[0, 0, 1]]
+    assert twice.numbers(pa.array(["of", "b", "c", "a"]), np.zeros(4, np.uint64)).tolist() == [2, 1, -1, 0]
+    assert M.Lexicon([], [], 0, 0).numbers(pa.array(["a"]), np.zeros(1, np.uint64)).tolist() == [-1]
+
+
 def test_held_out_texts_of_a_made_up_language(spark):
     """Two languages with words of their own: texts code below the unigram base, and shuffled letters above it."""
     rng = random.Random(5)
