@@ -259,6 +259,18 @@ def test_numbers_by_hash(model):
     assert M.Lexicon([], [], 0, 0).numbers(pa.array(["a"]), np.zeros(1, np.uint64)).tolist() == [-1]
 
 
+def test_spelling_learns_block_by_block(model):
+    """Looked up several blocks at once, words teach what they do when each block is run alone."""
+    speller, words = model[3], pa.array([w for w in (r.word for r in model[4].orderBy("word").limit(2500).collect()) if w] + ["z" * 40000, "é", "of"])
+    one, other = M.Speller(speller.packed), M.Speller(speller.packed)
+    one.learn(words)
+    one.learn(words.slice(0, 0))
+    for low, high in M.word_slices(words, M.WORD_BLOCK):
+        other.run(words.slice(low, high - low), np.ones(high - low, bool), True)
+    assert one.mixer.times.sum() > 0 and np.array_equal(one.mixer.rows, other.mixer.rows)
+    assert np.array_equal(one.mixer.came, other.mixer.came) and np.array_equal(one.mixer.times, other.mixer.times)
+
+
 def test_held_out_texts_of_a_made_up_language(spark):
     """Two languages with words of their own: texts code below the unigram base, and shuffled letters above it."""
     rng = random.Random(5)
